@@ -2,16 +2,45 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import mixing, neardup, quality, secrets, sentencepiece_codec
 from .common import table
-from .neardup import near_duplicates
+
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(table(spark, sf_dir, "documents"))
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), num=85, den=100)
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), num=85, den=100)
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = sentencepiece_codec.encode_decode(table(spark, sf_dir, "documents"), MODEL)
+    digest = lambda c: F.sha2(c, 256)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        digest(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
+        digest(F.col("decoded")).alias("decoded_sha256"),
+        F.coalesce(F.element_at("ends", -1), F.lit(0)).cast("long").alias("n_bytes"),
+    )
 
 
-QUERIES = {"op9_minhash_near_dedup": op9_minhash_near_dedup}
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op4_quality_rules, op5_secret_scan, op9_minhash_near_dedup, op10_sentencepiece)}
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op1_source_mixing": mixing.ORACLE, "op4_quality_rules": quality.ORACLE}
