@@ -5,8 +5,8 @@ gets its text length, less its link text, as weight. Weights are summed over
 sliding windows of lines; a surge is where the window sum rises above a
 threshold and a dive where it falls back to zero, and the lines between a
 surge and its dive are kept. Lines inside navigation, forms, adverts and the
-like weigh nothing and are never kept. On a page that marks its article, lines
-outside it weigh nothing and any positive window is a surge.
+like weigh nothing and are never kept. A page that marks its article gives its
+own surge and dive: the article's lines are kept and no others.
 """
 
 from __future__ import annotations
@@ -108,8 +108,6 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     """The page's main text, one line per kept block; empty for null."""
     lines = lines_of(page or "")
     marked = any(inside and not aside for _, _, aside, inside in lines)
-    if marked:
-        surge = 0
     weights = [0 if aside or (marked and not inside) else w for _, w, aside, inside in lines]
     sums, total = [], sum(weights[:window])
     for k in range(len(weights)):
@@ -117,13 +115,12 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
         total += (weights[k + window] if k + window < len(weights) else 0) - weights[k]
     kept, running = [], False
     for k, (text, _, aside, inside) in enumerate(lines):
-        if not running and sums[k] > surge and weights[k] > 0:
-            running = True
-        elif running and sums[k] == 0:
+        if sums[k] == 0:
             running = False
-        if marked and inside or running and not marked:
-            if not aside and (running or weights[k] > 0 or marked):
-                kept.append(text)
+        elif sums[k] > surge and weights[k] > 0:
+            running = True
+        if not aside and (inside if marked else running):
+            kept.append(text)
     return "\n".join(kept)
 
 

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, neardup, quality, secrets, sentencepiece_codec
-from .common import table
+from . import html_extract, licenses, lm_scoring, mixing, neardup, quality, secrets, sentencepiece_codec, topk, toxicity
+from .common import table, words
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -16,6 +16,16 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: the documents labelled as of good quality; background: all documents."""
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return lm_scoring.score_against(table(spark, sf_dir, "documents"), good)
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -25,6 +35,29 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(table(spark, sf_dir, "documents"))
 
 
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors, by sign codes, of each whose id is divisible by 100."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10, bits=64)
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files source/lang/<thousands of doc_id>/<doc_id>.
+
+    A document with a notice and at most 100 words speaks for its directory.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
+    folder = F.concat_ws("/", name("source"), name("lang"), F.coalesce(F.expr("cast(doc_id div 1000 as string)"), F.lit("none")))
+    files = docs.select("doc_id", F.concat_ws("/", folder, name("doc_id")).alias("path"), "text")
+    scanned = licenses.scan(files, license_file=F.size(words(F.col("text"))) <= 100)
+    return scanned.select("doc_id", "path", "own_license", "own_score", "license", "license_from", "license_depth")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), num=85, den=100)
 
@@ -41,6 +74,6 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op4_quality_rules, op5_secret_scan, op9_minhash_near_dedup, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_lm_scoring, op3_html_extraction, op4_quality_rules, op5_secret_scan, op6_exact_top_k, op7_license_scan, op8_toxicity, op9_minhash_near_dedup, op10_sentencepiece)}
 
-ORACLES = {"op1_source_mixing": mixing.ORACLE, "op4_quality_rules": quality.ORACLE}
+ORACLES = {"op1_source_mixing": mixing.ORACLE, "op4_quality_rules": quality.ORACLE, "op6_exact_top_k": topk.ORACLE}

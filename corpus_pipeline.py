@@ -1,13 +1,74 @@
-"""Corpus pipeline; its stages follow as their operators are built."""
+"""Corpus pipeline: filter, deduplicate, redact, mix and encode documents.
+
+Every stage takes all rows that the one before it kept. All but the last
+return the columns of documents. A stage's column of its own that has the name
+of a documents column replaces it, except where the stage only filters.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from cairngraph.llm import mixing, neardup, quality, secrets, sentencepiece_codec
+from cairngraph.llm.common import cut
+from cairngraph.llm.queries import MODEL
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality cascade keeps, unchanged."""
+    return quality.quality(docs).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near-duplicates (0.8), one row each.
+
+    Rows that share a doc_id are one document, of which the first row in the
+    order of its columns stays. Rows without a doc_id go.
+    """
+    leads = neardup.near_duplicates(docs, num=80, den=100).where("kept").select("doc_id").distinct()
+    first = F.row_number().over(W.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in docs.columns if c != "doc_id"]))
+    return docs.join(leads, "doc_id", "left_semi").withColumn("_first", first).where("_first = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with [SECRET] in place of every secret and n_chars counted anew."""
+    found = secrets.scan(docs.select("doc_id", *[F.col(f"`{c}`") for c in docs.columns if c != "doc_id"]), secrets.train(docs))
+    text = secrets.redact(F.col("text"), F.col("spans"))
+    clean = found.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
+    return clean.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of the sources reads them, at most three times each."""
+    return mixing.copies(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Per document of the mix: doc_id, n_tokens, ids."""
+    return sentencepiece_codec.encode_decode(docs, MODEL).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("quality_rules", keep_good),
+    ("near_dedup", keep_one_of_each),
+    ("secret_scan", redact_secrets),
+    ("source_mixing", mix_sources),
+    ("sentencepiece", encode),
+]
+
+#: The encoding has no SQL form; the tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply STAGES to documents, each stage's rows being stored before the next one reads them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for n, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if n < len(STAGES) - 1:
+            docs = cut(docs)
     return docs
