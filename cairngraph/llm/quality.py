@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, words
 
-SYMBOLS = r"[#*$%&|<>]"
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words")
 
 
 @dataclass(frozen=True)
@@ -69,7 +69,10 @@ def measures(docs: DataFrame) -> DataFrame:
     out = out.withColumn("_at", F.expr(f"transform({hit}, p -> p & ({mask}))"))
     covered = F.size(F.array_distinct(F.concat("_at", F.transform("_at", lambda x: x + 1), F.transform("_at", lambda x: x + 2))))
     repeat = F.when(F.col("_at").isNull(), F.lit(0)).otherwise(covered).cast("long")
-    return out.withColumn("n_repeat_words", repeat).drop("_tri", "_bits", "_packed", "_ordered", "_at")
+    out = out.withColumn("n_repeat_words", repeat)
+    # The generator keeps a later filter on these columns above them: pushed down, it would repeat the array work.
+    made = F.explode(F.array(F.struct(*MEASURES))).alias("_m")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c not in MEASURES], made).select(*[F.col(f"`{c}`") for c in docs.columns if c not in MEASURES], "_m.*")
 
 
 def base_failed(min_words: int = 50, repeat_percent: int = 50) -> Column:
