@@ -30,11 +30,12 @@ class Rule:
 def default_rules() -> list[Rule]:
     text = F.coalesce("text", F.lit(""))
     left = lambda pattern: F.length(F.regexp_replace(text, pattern, ""))
+    chars = left(r"[\x20\x09-\x0D]+")
     return [
         Rule("symbols", 10 * left(r"[^#*$%&|<>]+") > F.col("n_words")),
         Rule("capitals", 2 * left(r"[^A-Z]+") > left(r"[^A-Za-z]+")),
-        Rule("digits", 2 * left(r"[^0-9]+") > left(r"[\x20\x09-\x0D]+")),
-        Rule("word_length", ~F.coalesce(left(r"[\x20\x09-\x0D]+") / F.col("n_words"), F.lit(0.0)).between(2, 15)),
+        Rule("digits", 2 * left(r"[^0-9]+") > chars),
+        Rule("word_length", (chars < 2 * F.col("n_words")) | (chars > 15 * F.col("n_words"))),
         Rule("repeated_lines", 2 * F.col("n_dup_lines") > F.col("n_lines")),
     ]
 
@@ -136,6 +137,6 @@ b AS (SELECT x.*, coalesce(cov.n, 0) AS n_repeat_words,
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
        NOT base_failed AND NOT (10 * n_symbols > n_words) AND NOT (2 * upper_n > alpha_n) AND NOT (2 * digit_n > word_chars)
-         AND (word_chars * 1.0 / n_words BETWEEN 2 AND 15) AND NOT (2 * n_dup_lines > n_lines) AS kept
+         AND NOT (word_chars < 2 * n_words OR word_chars > 15 * n_words) AND NOT (2 * n_dup_lines > n_lines) AS kept
 FROM b
 """

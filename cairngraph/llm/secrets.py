@@ -2,7 +2,8 @@
 
 Two character bigram models are trained from labelled samples: the values that
 the fixed patterns find are random strings, the other words of a bounded
-sample of documents are ordinary identifiers. A long token that mixes letters
+sample of documents are ordinary identifiers, but for the long mixed ones that
+are to be judged. A long token that mixes letters
 and digits is reported if its log-likelihood ratio per character is high.
 """
 
@@ -84,7 +85,8 @@ def train(docs: DataFrame, sample_docs: int = 4000, smoothing: float = 0.5) -> M
     secret = F.concat(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)), F.regexp_extract_all("text", F.lit(ACCESS), F.lit(1)), F.regexp_extract_all("text", F.lit(HEX), F.lit(1)))
     ordinary = F.regexp_extract_all(F.regexp_replace("text", f"{ASSIGN}|{ACCESS}|[0-9a-f]{{32,}}", " "), F.lit(r"([A-Za-z0-9+/_=-]{4,})"), F.lit(1))
     tokens = text.select(F.explode(F.filter(secret, lambda x: F.length(x) >= 16)).alias("token"), F.lit(1).alias("random"))
-    tokens = tokens.union(text.select(F.explode(ordinary).alias("token"), F.lit(0).alias("random")))
+    plain = F.filter(ordinary, lambda x: ~((F.length(x) >= 20) & x.rlike("[0-9]") & x.rlike("[A-Za-z]")))
+    tokens = tokens.union(text.select(F.explode(plain).alias("token"), F.lit(0).alias("random")))
     chars = tokens.select("random", F.transform(F.split("token", ""), lambda c: F.ascii(c)).alias("c")).where(F.size("c") > 1)
     pairs = chars.select("random", F.explode(F.transform(F.sequence(F.lit(1), F.size("c") - 1), lambda i: F.get("c", i - 1) * ALPHABET + F.get("c", i))).alias("pair"))
     counts = pairs.groupBy("random", "pair").agg(F.count("*").alias("n")).collect()
