@@ -3,8 +3,8 @@
 Two character bigram models are trained from labelled samples: the values that
 the fixed patterns find are random strings, the other words of a bounded
 sample of documents are ordinary identifiers, but for the long mixed ones that
-are to be judged. A long token that mixes letters
-and digits is reported if its log-likelihood ratio per character is high.
+are to be judged. A long token that mixes letters and digits is reported if
+its log-likelihood ratio per character is high.
 """
 
 from __future__ import annotations
@@ -73,12 +73,13 @@ def base_spans(docs: DataFrame) -> DataFrame:
     )
 
 
-def train(docs: DataFrame, sample_docs: int = 4000, smoothing: float = 0.5) -> MarkovPair:
+def train(docs: DataFrame, sample_docs: int = 4000, smoothing: float = 0.5, prior: float = 20.0) -> MarkovPair:
     """Train both models on the texts of the ``sample_docs`` documents that come first in hashed id order.
 
-    Only bigram counts, at most 128 x 128 a model, reach the driver. Without
-    any found secret, smoothing makes the random model uniform over letters,
-    digits and ``+/_=-``.
+    Only bigram counts, at most 128 x 128 a model, reach the driver. A bigram's
+    share leans on its second character's with weight ``prior``; the random
+    model's characters are half observed and half uniform over letters, digits
+    and ``+/_=-``, so that it needs no secret to be found.
     """
     pick = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(pick), "doc_id").select("text")
@@ -92,13 +93,16 @@ def train(docs: DataFrame, sample_docs: int = 4000, smoothing: float = 0.5) -> M
     counts = pairs.groupBy("random", "pair").agg(F.count("*").alias("n")).collect()
     legal = [ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"]
     logs = []
-    for label in (1, 0):
+    for label, flat in ((1, 0.5), (0, 0.0)):
         n = {r.pair: r.n for r in counts if r.random == label}
+        single = {b: sum(n.get(a * ALPHABET + b, 0) for a in legal) + smoothing for b in legal}
+        total = sum(single.values())
+        back = {b: flat / len(legal) + (1 - flat) * single[b] / total for b in legal}
         table = [0.0] * (ALPHABET * ALPHABET)
         for a in legal:
-            held = sum(n.get(a * ALPHABET + b, 0) for b in legal) + smoothing * len(legal)
+            held = sum(n.get(a * ALPHABET + b, 0) for b in legal)
             for b in legal:
-                table[a * ALPHABET + b] = math.log((n.get(a * ALPHABET + b, 0) + smoothing) / held)
+                table[a * ALPHABET + b] = math.log((n.get(a * ALPHABET + b, 0) + prior * back[b]) / (held + prior))
         logs.append(table)
     return MarkovPair(tuple(r - o for r, o in zip(*logs)))
 
