@@ -23,7 +23,9 @@ from pyspark.sql import DataFrame
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-REMEMBERED = 200_000
+REMEMBERED = 400_000
+SHORT = 64
+NEVER = float("inf")
 CHUNK = 1 << 21
 
 
@@ -165,6 +167,29 @@ class Codec:
 
     def _merge(self, word: str) -> tuple[int, ...]:
         """Ids of one word of normalised text."""
+        part = self._merge_short(word) if len(word) <= SHORT else self._merge_long(word)
+        try:
+            return tuple(map(self.ids.__getitem__, part))
+        except KeyError:
+            spell = lambda p: [self.bytes[b] for b in p.encode()] if self.bytes else [self.unknown]
+            return tuple(chain.from_iterable([self.ids[p]] if p in self.ids else spell(p) for p in part))
+
+    def _merge_short(self, word: str) -> list[str]:
+        """Pieces of a word by looking through all its pairs for each merge."""
+        get, part = self.rank.get, list(word)
+        ranks = [get(a + b, NEVER) for a, b in zip(part, part[1:])]
+        while ranks and (best := min(ranks)) != NEVER:
+            i = ranks.index(best)
+            part[i] += part.pop(i + 1)
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get(part[i - 1] + part[i], NEVER)
+            if i < len(ranks):
+                ranks[i] = get(part[i] + part[i + 1], NEVER)
+        return part
+
+    def _merge_long(self, word: str) -> list[str]:
+        """The same by a heap of pairs, for words whose pairs are too many to look through."""
         rank, part = self.rank, list(word)
         after, before = [*range(1, len(part)), -1], [-1, *range(len(part) - 1)]
         heap = [(rank[p], i, p) for i in range(len(part) - 1) if (p := part[i] + part[i + 1]) in rank]
@@ -181,13 +206,7 @@ class Codec:
                     heapq.heappush(heap, (rank[p], i, p))
             if before[i] >= 0 and (p := part[before[i]] + merged) in rank:
                 heapq.heappush(heap, (rank[p], before[i], p))
-        ids: list[int] = []
-        for p in part:
-            if p in self.ids:
-                ids.append(self.ids[p])
-            elif p:
-                ids += [self.bytes[b] for b in p.encode()] if self.bytes else [self.unknown]
-        return tuple(ids)
+        return [p for p in part if p]
 
     def _encode_normal(self, normal: str) -> list[int]:
         seen, words = self.seen, self.split(normal) if self.by_word else [normal]

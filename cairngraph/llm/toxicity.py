@@ -21,7 +21,6 @@ from .common import cut
 
 BITS = 20
 GRAMS = (3, 4, 5, 6)
-CHUNK = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -107,15 +106,17 @@ def held_out_fold(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3
 
 
-def train(labelled: DataFrame, sample_docs: int = 8000, max_features: int = 1024, min_z: float = 3.5, penalty: float = 1e-3) -> Model:
-    """Train on labelled(doc_id, text, label), label 0 or 1.
+def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 8000, max_features: int = 1024, min_z: float = 3.5, penalty: float = 1e-3) -> Model:
+    """Train on docs(doc_id, text) and labels(doc_id, label), one row per doc_id, label 0 or 1.
 
-    At most ``sample_docs`` rows are used, those first in hashed id order, and
-    at most ``max_features`` features, those whose log-count ratio exceeds its
-    standard error the most. Without rows of both labels the model gives every
-    text the smoothed share of toxic rows.
+    At most ``sample_docs`` labels are used, those first in hashed id order, so
+    that their ids can be sent to every task and no text is moved for the
+    others; and at most ``max_features`` features, those whose log-count ratio
+    exceeds its standard error the most. Without rows of both labels the model
+    gives every text the smoothed share of toxic rows.
     """
-    pick = cut(labelled.where("doc_id is not null and label in (0, 1)").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).select("text", F.col("label").cast("int").alias("label")))
+    chosen = labels.where("doc_id is not null and label in (0, 1)").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    pick = cut(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("label").cast("int").alias("label")))
     share = {r.label: r.n for r in pick.groupBy("label").agg(F.count("*").alias("n")).collect()}
     pos, neg = share.get(1, 0), share.get(0, 0)
     slot = np.full(1 << BITS, -1, np.int16)
@@ -161,7 +162,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample_
     scored, never trained on and not held out.
     """
     label = labels.groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    seen = docs.select("doc_id", "text").join(label.where(held_out_fold() != 1), "doc_id")
-    out = score(docs, train(seen, sample_docs))
+    out = score(docs, train(docs, label.where(held_out_fold() != 1), sample_docs))
     held = F.coalesce(held_out_fold() == 1, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).cast("int").alias("predicted"))
