@@ -1,0 +1,19 @@
+"""Reliable checkpoints for iterative plans."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Store df in the checkpoint folder and drop its lineage.
+
+    The session's ``spark.checkpoint.dir`` is used; a temporary folder is made
+    only where that is unset, as in local tests.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cairn-"))
+    return df.checkpoint(eager=True)

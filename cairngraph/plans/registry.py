@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from . import q_exprs, q_graph
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _module in (q_graph, q_exprs):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
