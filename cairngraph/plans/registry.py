@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import q_exprs, q_graph
+from . import q_exprs, q_graph, q_joins
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (q_graph, q_exprs):
+for _module in (q_graph, q_exprs, q_joins):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
