@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import q_exprs, q_graph, q_joins
+from . import q_aggs, q_exprs, q_graph, q_joins
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (q_graph, q_exprs, q_joins):
+for _module in (q_graph, q_exprs, q_joins, q_aggs):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
