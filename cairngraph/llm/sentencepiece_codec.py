@@ -7,7 +7,8 @@ leftmost on ties, with byte fallback; each piece is then projected through the
 alignment to the span of source bytes it stands for.
 
 No piece of such a model holds a word mark after another character, so texts
-are merged word by word and each worker keeps a bounded table of words seen.
+are merged word by word and each worker keeps two bounded tables of words seen:
+when the newer is full it becomes the older, from which words are taken back.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 SHORT = 64
 NEVER = float("inf")
 CHUNK = 1 << 21
@@ -122,6 +123,7 @@ class Codec:
         self.by_word = not any(MARK in p.lstrip(MARK) for p in self.ids)
         self.split = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
         self.seen: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         surface = {CONTROL: lambda p: b"", UNKNOWN: lambda p: " ⁇ ".encode(), BYTE: lambda p: bytes([int(p[3:5], 16)])}
         self.surfaces = [surface.get(k, lambda p: p.replace(MARK, " ").encode())(p) for p, k in zip(self.pieces, self.kinds)]
         self.normal_bytes = np.array([1 if k == BYTE else len(p.encode()) for p, k in zip(self.pieces, self.kinds)])
@@ -214,11 +216,14 @@ class Codec:
             return list(chain.from_iterable(map(seen.__getitem__, words)))
         except KeyError:
             if len(seen) > REMEMBERED:
-                seen.clear()
-            missed = {}
+                self.older, self.seen = seen, {}
+                seen = self.seen
+            missed, older = {}, self.older
             for w in set(words).difference(seen):
-                (seen if len(w) <= 64 else missed)[w] = self._merge(w)
-            return list(chain.from_iterable(seen[w] if w in seen else missed[w] for w in words))
+                (seen if len(w) <= SHORT else missed)[w] = older[w] if w in older else self._merge(w)
+            if missed:
+                return list(chain.from_iterable(seen[w] if w in seen else missed[w] for w in words))
+            return list(chain.from_iterable(map(seen.__getitem__, words)))
 
     def encode(self, text: str) -> tuple[list[int], np.ndarray, np.ndarray]:
         """Ids and, for each, begin and end of its span in the text's UTF-8 bytes."""
