@@ -102,3 +102,36 @@ def actor_order(nodes: DataFrame, ranks: dict[str, int]) -> DataFrame:
 
     rank = lookup(F.col("type"), {k: str(v) for k, v in ranks.items()}, "99").cast("int")
     return nodes.withColumn("type_rank", rank)
+
+
+def any_flag(steps: DataFrame, flag: str) -> DataFrame:
+    """(node_id, flag) over flattened steps(node_id, path, ...): whether any step of a node has the flag."""
+    return steps.groupBy("node_id").agg(F.bool_or(F.coalesce(flag, F.lit(False))).alias(flag))
+
+
+def flatten_calls(steps: DataFrame, field: str) -> DataFrame:
+    """(node_id, fields...): the distinct entries of an array of structs over all steps of a node."""
+    return steps.select("node_id", F.explode(field).alias("_c")).select("node_id", "_c.*").distinct()
+
+
+def tab_list(manifest: DataFrame, mode: str, query: str | None = None, verbs: Sequence[str] = ()) -> DataFrame:
+    """Tabs by substring of their label and by verb: ``risk`` keeps those above none, most severe first; ``recent`` the new and changed."""
+    from ..functions.exprs import severity_rank
+
+    out = manifest if not query else manifest.where(F.lower("label").contains(query.lower()))
+    out = out.where(F.col("verb").isin(*verbs)) if verbs else out
+    if mode == "recent":
+        return out.where(F.col("status").isin("new", "changed")).orderBy("status", "tab_id")
+    rank = severity_rank(F.col("risk_level"))
+    return out.withColumn("severity", rank).where("severity > 0").orderBy(F.desc("severity"), "tab_id")
+
+
+def stated(table: DataFrame, settings: Sequence[str]) -> DataFrame:
+    """Rows that state some setting: not null, not false, not an empty string or array."""
+    keep = F.lit(False)
+    kinds = dict(table.dtypes)
+    for c in settings:
+        col = F.col(c)
+        said = col if kinds[c] == "boolean" else (F.size(col) > 0) if kinds[c].startswith("array") else (F.length(col) > 0) if kinds[c] == "string" else col.isNotNull()
+        keep = keep | F.coalesce(said, F.lit(False))
+    return table.where(keep)

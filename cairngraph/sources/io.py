@@ -67,9 +67,9 @@ def fingerprint(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return files.select("path", F.sha2("content", 256).alias("hash"), "length")
 
 
-def read_manifests(spark: SparkSession, path: str) -> DataFrame:
-    """(project, package, version, dev) of package manifests with two dependency maps."""
-    raw = spark.read.schema("name string, `require` map<string,string>, `require-dev` map<string,string>").json(path, multiLine=True)
+def read_manifests(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """(project, package, version, dev) of package manifests with two dependency maps, one a file or one a line."""
+    raw = spark.read.schema("name string, `require` map<string,string>, `require-dev` map<string,string>").json(path, multiLine=multi_line)
     part = lambda c, dev: raw.select(F.col("name").alias("project"), F.explode(c).alias("package", "version"), F.lit(dev).alias("dev"))
     return part("require", False).unionByName(part("`require-dev`", True))
 
