@@ -8,7 +8,8 @@ would differ in more than r bits), so a query whose k-th verified distance is
 within that bound is finished; the others go on to radius r + 1.
 
 Equal codes are one entry of the index. An entry carries its k smallest ids,
-which are all that any list of k can take from it.
+which are all that any list of k can take from it. A candidate farther than a
+query's k-th distance so far is dropped where it is met.
 """
 
 from __future__ import annotations
@@ -39,9 +40,9 @@ def hamming(a: Column, b: Column) -> Column:
 
 
 def cut_points(bits: int, rows: int, most: int = 16) -> list[tuple[int, int]]:
-    """Equal segments of about log2(rows) bits, at most ``most``, that do not straddle code words."""
+    """Equal segments of log2(rows) bits or more, at most ``most``, that do not straddle code words."""
     width = max(1, min(most, max(rows, 2).bit_length() - 1))
-    per_word = -(-WORD_BITS // width)
+    per_word = WORD_BITS // width
     out = []
     for at in range(0, bits, WORD_BITS):
         have = min(WORD_BITS, bits - at)
@@ -78,25 +79,30 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64) -
 
     keyed = index.select("code", "ids", F.explode(F.array(*[F.struct(F.lit(n).alias("part"), segment(F.col("code"), *p).alias("value")) for n, p in enumerate(parts)])).alias("at")).select("at.part", "at.value", F.col("code").alias("found"), "ids")
     keyed = cut(keyed)
-    found, done, active = None, [], asked
+    by = ["query_id", "code"]
+    found, done, active = None, [], asked.withColumn("bound", F.lit(bits))
     for radius in range(widest + 1):
         probes = []
         for n, (low, high) in enumerate(parts):
             flips = masks(high - low, radius)
             if flips:
                 each = _flipped(segment(F.col("code"), low, high), flips)
-                probes.append(active.select("query_id", "code", F.lit(n).alias("part"), F.explode(each).alias("value")))
+                probes.append(active.select(*by, "bound", F.lit(n).alias("part"), F.explode(each).alias("value")))
         if probes:
-            met = reduce(DataFrame.union, probes).join(keyed, ["part", "value"]).select("query_id", "code", "found", "ids").dropDuplicates(["query_id", "code", "found"])
-            met = met.select("query_id", "code", hamming(F.col("code"), F.col("found")).alias("distance"), F.explode("ids").alias("vec_id"))
-            met = met if found is None else met.union(found.join(active, ["query_id", "code"], "left_semi")).distinct()
-            by = W.partitionBy("query_id", "code").orderBy("distance", "vec_id")
-            found = cut(met.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).drop("rank"))
-        bound = len(parts) * (radius + 1) - 1
-        full = found.groupBy("query_id", "code").agg(F.count("*").alias("n"), F.max("distance").alias("far"))
-        sure = full.where((F.col("n") >= k) & (F.col("far") <= bound)) if radius < widest else full
-        done.append(found.join(sure, ["query_id", "code"], "left_semi"))
-        active = cut(active.join(sure, ["query_id", "code"], "left_anti"))
+            met = reduce(DataFrame.union, probes).join(keyed, ["part", "value"]).withColumn("distance", hamming(F.col("code"), F.col("found")))
+            met = met.where("distance <= bound").select(*by, "found", "distance", "ids")
+            met = met if found is None else met.union(found.join(active, by, "left_semi"))
+            nearest = W.partitionBy(*by).orderBy("distance", F.get("ids", 0))
+            met = met.dropDuplicates([*by, "found"]).withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= k).drop("place")
+            found = cut(met)
+        items = found.select(*by, "distance", F.explode("ids").alias("vec_id"))
+        items = items.withColumn("place", F.row_number().over(W.partitionBy(*by).orderBy("distance", "vec_id"))).where(F.col("place") <= k)
+        full = items.groupBy(*by).agg(F.count("*").alias("n"), F.max("distance").alias("far"))
+        covered = len(parts) * (radius + 1) - 1
+        sure = full.where((F.col("n") >= k) & (F.col("far") <= covered)) if radius < widest else full
+        done.append(items.drop("place").join(sure, by, "left_semi"))
+        left = active.drop("bound").join(sure, by, "left_anti").join(full, by, "left")
+        active = cut(left.select(*by, F.when(F.col("n") >= k, F.col("far")).otherwise(bits).alias("bound")))
         if active.isEmpty():
             break
     ranked = reduce(DataFrame.union, done).groupBy("query_id", "vec_id").agg(F.min("distance").alias("distance"))
