@@ -51,9 +51,9 @@ def _commits(spark, sf):
     return _t(spark, sf, "orders").select(F.col("o_custkey").alias("file"), F.to_date("o_orderdate").alias("commit_date"), F.col("o_orderpriority").alias("author"), newest.alias("ord"))
 
 
-@query("SELECT o_custkey AS file, count(*) AS commits, CAST(max(o_orderdate) AS DATE) AS last_changed, arg_min(o_orderpriority, (-epoch(o_orderdate), o_orderkey)) AS last_author FROM orders GROUP BY 1")
+@query("SELECT o_custkey AS file, count(*) AS commits, CAST(CAST(max(o_orderdate) AS DATE) AS VARCHAR) AS last_changed, arg_min(o_orderpriority, (-epoch(o_orderdate), o_orderkey)) AS last_author FROM orders GROUP BY 1")
 def churn(spark, sf):
-    return A.churn(_commits(spark, sf))
+    return A.churn(_commits(spark, sf)).withColumn("last_changed", F.col("last_changed").cast("string"))
 
 
 @query("WITH " + METRICS + ", c AS (SELECT o_custkey AS file, count(*) AS commits FROM orders GROUP BY 1) SELECT file, complexity, commits, complexity * commits AS risk FROM (SELECT class AS file, max(cc) AS complexity FROM m GROUP BY 1) JOIN c USING (file) ORDER BY risk DESC, file LIMIT 50")
@@ -126,9 +126,9 @@ def bench_stability(spark, sf):
     return A.bench_stability(counts, ["none"])
 
 
-@query("WITH " + SAMPLES + ", p AS (SELECT arm, scenario, 'p' || event_id % 4 AS phase, quantile_cont(ms / 100, 0.5) AS m FROM s GROUP BY 1, 2, 3) SELECT scenario, phase, round(a.m, 6) AS base_ms, round(b.m, 6) AS head_ms FROM (SELECT * FROM p WHERE arm = 'base') a FULL JOIN (SELECT * FROM p WHERE arm = 'head') b USING (scenario, phase) WHERE greatest(coalesce(a.m, 0), coalesce(b.m, 0)) >= 0.5")
+@query("WITH " + SAMPLES + ", p AS (SELECT arm, scenario, 'p' || event_id % 4 AS phase, quantile_cont(ms / 10, 0.5) AS m FROM s GROUP BY 1, 2, 3) SELECT scenario, phase, round(a.m, 6) AS base_ms, round(b.m, 6) AS head_ms FROM (SELECT * FROM p WHERE arm = 'base') a FULL JOIN (SELECT * FROM p WHERE arm = 'head') b USING (scenario, phase) WHERE greatest(coalesce(a.m, 0), coalesce(b.m, 0)) >= 0.5")
 def bench_phases(spark, sf):
-    phases = _samples(spark, sf).select("arm", "scenario", F.concat(F.lit("p"), (F.col("event_id") % 4).cast("string")).alias("phase"), (F.col("ms") / 100).alias("ms"))
+    phases = _samples(spark, sf).select("arm", "scenario", F.concat(F.lit("p"), (F.col("event_id") % 4).cast("string")).alias("phase"), (F.col("ms") / 10).alias("ms"))
     return A.bench_phases(phases, "base", "head", 0.5).select("scenario", "phase", F.round("base_ms", 6).alias("base_ms"), F.round("head_ms", 6).alias("head_ms"))
 
 
