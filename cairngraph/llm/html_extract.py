@@ -33,8 +33,8 @@ _ASIDE = set("nav footer aside form button dialog menu".split())
 _OUTER = _ASIDE | {"header"}
 _MAIN = {"article", "main"}
 _NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|advertisement|adverts|banner|breadcrumb|breadcrumbs|comment|comments|cookie|cookies|consent|disqus|footer|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pagination|popup"
-    r"|promo|promoted|promotion|related|replies|search|share|sharing|sidebar|signup|site-header|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ad|ads|advert|advertisement|adverts|banner|breadcrumb|breadcrumbs|comment|comments|commentlist|cookie|cookies|consent|disqus|footer|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pagination|popup"
+    r"|promo|promoted|promotion|adsense|adsbygoogle|disclaimer|gdpr|related|replies|search|share|sharing|sidebar|signup|site-header|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])",
     re.I,
 )
 _LABEL = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)

@@ -391,3 +391,16 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
         if name not in ("sentencepiece",):
             assert docs.columns == source.columns
     assert sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(map(str, docs.collect())) and len(seen) == 5
+
+
+def test_stages_on_empty_and_null_documents(spark):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, size long, _first long"
+    none = spark.createDataFrame([], schema)
+    odd = spark.createDataFrame([(None, None, None, None, None, True, 1, 1), (1, "", "en", None, 0, True, 1, 1), (1, "a b", "en", "s", 3, None, 1, 1), (2, "w " * 70 + "end of it all here", "en", "s", 1, False, 1, 1), (2, "w " * 70 + "end of it all here", "en", "s", 1, False, 1, 1)], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, "").count() == 0, name
+        out = stage(spark, odd, "")
+        assert len(out.collect()) <= 6, name
+        assert name == "sentencepiece" or out.columns == odd.columns, name
