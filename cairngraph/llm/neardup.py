@@ -220,7 +220,7 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, size: int =
 
     links = _linked(pairs, sets, num, den)
     if not crowd.isEmpty():
-        links = cut(links.union(_crowded(large, crowd, sets, num, den)))
+        links = cut(links.union(_crowded(large, crowd, sets, reps.select(F.col("rep").alias("id"), "keys"), num, den)))
     else:
         links = cut(links)
 
@@ -234,8 +234,12 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, size: int =
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def _crowded(large: DataFrame, crowd: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links between the classes of large buckets; see the module's text."""
+def _crowded(large: DataFrame, crowd: DataFrame, sets: DataFrame, keys: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between the classes of large buckets; see the module's text.
+
+    keys has each class's bucket keys: a pair of the last step is given only by
+    the least key that its two classes share, and not by each of them.
+    """
     each = sets.join(crowd, "id").select("id", F.explode("shingles").alias("h"))
     seen = each.groupBy("h").agg(F.count("*").alias("df"))
     rare = cut(each.join(seen.where(F.col("df") <= RARE), "h"))
@@ -254,10 +258,12 @@ def _crowded(large: DataFrame, crowd: DataFrame, sets: DataFrame, num: int, den:
     links = cut(_linked(by_rare.union(star).distinct(), sets, num, den))
     parts = connected_components(links) if not links.isEmpty() else links.select(F.col("a").alias("id"), F.col("b").alias("component"))
 
-    placed = cut(known.join(parts, "id", "left").select("key", "id", "n", "rare", F.coalesce("component", "id").alias("part")))
+    placed = known.join(parts, "id", "left").select("key", "id", "n", "rare", F.coalesce("component", "id").alias("part"))
+    placed = cut(placed.join(keys, "id"))
     head = pivot.select("key", F.col("p.id").alias("id")).join(placed.select("key", "id", F.col("part").alias("main")), ["key", "id"]).select("key", "main")
-    apart = placed.join(head, "key").where("part <> main").select("key", *[F.col(c).alias(f"x{c}") for c in ("id", "n", "rare", "part")])
-    rest = apart.join(placed, "key").where((F.col("xpart") != F.col("part")) & bound("x", "")).select(F.least("id", "xid").alias("a"), F.greatest("id", "xid").alias("b")).distinct()
+    apart = placed.join(head, "key").where("part <> main").select("key", *[F.col(c).alias(f"x{c}") for c in ("id", "n", "rare", "part", "keys")])
+    once = F.array_min(F.array_intersect("xkeys", "keys")) == F.col("key")
+    rest = apart.join(placed, "key").where((F.col("xpart") != F.col("part")) & bound("x", "") & once).select(F.least("id", "xid").alias("a"), F.greatest("id", "xid").alias("b")).distinct()
     return links.union(_linked(rest, sets, num, den))
 
 
