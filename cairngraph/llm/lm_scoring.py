@@ -6,164 +6,148 @@ smoothing, so their losses differ by what the texts hold and not by what the
 models leave out. A document's score is the mean over its words of the target
 loss minus the background loss: the lower, the more it is like the target.
 
-Words are 64-bit hashes of their bytes with A-Z in lower case. Every document
-is counted, in chunks that are summed before the shuffle. What reaches the
-tasks is bounded by the models' stated sizes: ``vocab_size`` words and
-``max_bigrams`` bigrams; a pruned bigram backs off to its word's share.
+Words are 64-bit hashes of their bytes with A-Z in lower case. The vocabulary
+(every word seen ``min_count`` times) and the bigrams stay Spark tables that
+grow with the corpus; a bigram seen less often backs off to its word's share.
+Documents are dealt into chunks of about ``CHUNK`` bytes by a hash of their
+id. A chunk sends each of its words and bigrams once, the rows of one key are
+summed where they meet, and the sums go back to the chunks that sent them, so
+even the most frequent word has one row a chunk and nothing is broadcast.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import cut
-from .neardup import _word_hashes
+from .neardup import MULT, _mix, _word_hashes
 
 CHUNK = 1 << 23
-
-
-@dataclass(frozen=True)
-class LanguageModels:
-    """Sorted word hashes; sorted bigram codes; per model word and bigram counts."""
-
-    words: np.ndarray
-    bigrams: np.ndarray
-    word_counts: tuple[np.ndarray, np.ndarray]
-    bigram_counts: tuple[np.ndarray, np.ndarray]
-    weight: float = 0.5
-
-    def losses(self, before: np.ndarray, word: np.ndarray) -> list[np.ndarray]:
-        """Per model, -ln p of each word after the word before it."""
-        code = before * np.int64(len(self.words) + 2) + word
-        at = np.minimum(np.searchsorted(self.bigrams, code), max(len(self.bigrams) - 1, 0))
-        known = self.bigrams[at] == code if len(self.bigrams) else np.zeros(len(code), bool)
-        out = []
-        for unigram, bigram in zip(self.word_counts, self.bigram_counts):
-            share = (unigram[word] + 1) / (unigram[:-1].sum() + len(unigram) - 1)
-            seen = unigram[before]
-            pair = np.where(known, bigram[at] if len(bigram) else 0, 0) / np.maximum(seen, 1)
-            mix = np.where(seen > 0, self.weight, 0.0)
-            out.append(-np.log(mix * pair + (1 - mix) * share))
-        return out
-
-
-def _rows(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list, list[bytes]]]:
-    """Ids and lower-cased bytes of the texts, some megabytes at a time."""
-    ids, texts, held = [], [], 0
-    for batch in batches:
-        for k in range(batch.num_rows):
-            text = (batch.column(column)[k].as_py() or "").encode("utf-8", "replace").lower()
-            ids.append(batch.column(0)[k].as_py())
-            texts.append(text)
-            held += len(text)
-            if held >= CHUNK:
-                yield ids, texts
-                ids, texts, held = [], [], 0
-    if ids:
-        yield ids, texts
-
-
-def _hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of all texts and the number of words of each."""
-    parts = [_word_hashes(t)[0] for t in texts]
-    return np.concatenate(parts).view(np.int64), np.array([len(p) for p in parts])
-
-
-def _sums(keys: np.ndarray, name: str) -> pa.RecordBatch:
-    key, n = np.unique(keys, return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], [name, "n"])
-
-
-def _count_words(batches):
-    for _, texts in _rows(batches, 0):
-        yield _sums(_hashed(texts)[0], "word")
-
-
-def word_ids(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Place in the sorted vocabulary; its length stands for every other word."""
-    if not len(words):
-        return np.zeros(len(hashes), np.int64)
-    at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
-    return np.where(words[at] == hashes, at, len(words)).astype(np.int64)
-
-
-def _pairs(words: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Id of the word before (len(words) + 1 at a text's start) and of each word, and the texts' lengths."""
-    hashes, sizes = _hashed(texts)
-    ids = word_ids(words, hashes)
-    before = np.concatenate(([0], ids[:-1])) if len(ids) else ids
-    starts = (np.cumsum(sizes) - sizes)[sizes > 0]
-    before[starts] = len(words) + 1
-    return before, ids, sizes
-
-
-def _count_bigrams(words: np.ndarray):
-    def run(batches):
-        for _, texts in _rows(batches, 0):
-            before, ids, _ = _pairs(words, texts)
-            yield _sums(before * np.int64(len(words) + 2) + ids, "code")
+WEIGHT = 0.5
+#: Keys beside the word hashes: all words, starts of texts, every word out of the vocabulary.
+ALL, START, OTHER = -(1 << 63), 1 - (1 << 63), 2 - (1 << 63)
+COUNTS = "chunk int, code long, b long, t long"
+
+
+def _words(rows: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+    """The chunk's documents, their word hashes end to end, their numbers of words and whether they are in the target."""
+    named = np.asarray(rows["named"])
+    chosen = pa.chunked_array([rows.filter(pa.array(named))["doc_id"].combine_chunks()])
+    docs = rows.filter(pa.array(~named))
+    target = np.asarray(pa.compute.is_in(docs["doc_id"], value_set=chosen)) & np.asarray(docs["doc_id"].is_valid())
+    parts = [_word_hashes((t.as_py() or "").encode("utf-8", "replace").lower())[0] for t in docs["text"]]
+    hashes = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
+    return docs, hashes, np.array([len(p) for p in parts], np.int64), target
+
+
+def _sums(chunk: int, codes: np.ndarray, target: np.ndarray) -> pa.Table:
+    code, at = np.unique(codes, return_inverse=True)
+    b, t = np.bincount(at, minlength=len(code)), np.bincount(at[target], minlength=len(code))
+    return pa.table({"chunk": pa.array(np.full(len(code), chunk, np.int32)), "code": code, "b": b.astype(np.int64), "t": t.astype(np.int64)})
+
+
+def _pairs(known: np.ndarray, hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The word before (``START`` at a text's start), each word, and the code of both; words not in known are ``OTHER``."""
+    word = np.where(_find(known, hashes)[1], hashes, OTHER)
+    before = np.concatenate(([START], word[:-1])) if len(word) else word
+    before[(np.cumsum(sizes) - sizes)[sizes > 0]] = START
+    return before, word, _mix(_mix(before.view(np.uint64) * MULT) ^ word.view(np.uint64)).view(np.int64)
+
+
+def _find(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of asked in the sorted keys and whether they are there."""
+    if not len(keys):
+        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return at, keys[at] == asked
+
+
+def _count_words(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+    _, hashes, sizes, target = _words(rows)
+    extra = np.concatenate((np.full(len(hashes), ALL), np.full((sizes > 0).sum(), START)))
+    flags = np.repeat(target, sizes)
+    return _sums(key[0].as_py(), np.concatenate((hashes, extra)), np.concatenate((flags, flags, target[sizes > 0])))
+
+
+def _sorted(counts: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    code, b, t = (counts[c].to_numpy() for c in ("code", "b", "t"))
+    order = np.argsort(code)
+    return code[order], b[order], t[order]
+
+
+def _count_pairs(key: tuple[pa.Scalar, ...], rows: pa.Table, words: pa.Table) -> pa.Table:
+    _, hashes, sizes, target = _words(rows)
+    return _sums(key[0].as_py(), _pairs(_sorted(words)[0], hashes, sizes)[2], np.repeat(target, sizes))
+
+
+def _scorer(n_known: int, known_sums: dict[str, int]):
+    """Losses of a chunk's documents; sums has its words' and its bigrams' counts."""
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table, sums: pa.Table) -> pa.Table:
+        docs, hashes, sizes, _ = _words(rows)
+        is_pair = sums["pair"].combine_chunks()
+        known, *word_counts = _sorted(sums.filter(pa.compute.invert(is_pair)))
+        pairs, *pair_counts = _sorted(sums.filter(is_pair))
+        before, word, code = _pairs(known, hashes, sizes)
+        (at_before, in_before), (at_word, in_word), (at_pair, in_pair) = _find(known, before), _find(known, word), _find(pairs, code)
+        ends, means = np.cumsum(sizes), []
+        for m, count, pair_count in zip("tb", word_counts[::-1], pair_counts[::-1]):
+            n_words = int(count[_find(known, np.array([ALL]))[0][0]]) if len(known) else 0
+            other = n_words - known_sums[m]
+            of = lambda at, found: np.where(found, count[at] if len(count) else 0, other)  # noqa: B023, E731
+            share = (of(at_word, in_word) + 1) / (n_words + n_known + 1)
+            seen = of(at_before, in_before)
+            pair = np.where(in_pair, pair_count[at_pair] if len(pair_count) else 0, 0) / np.maximum(seen, 1)
+            mix = np.where(seen > 0, WEIGHT, 0.0)
+            total = np.concatenate(([0.0], np.cumsum(-np.log(mix * pair + (1 - mix) * share))))
+            means.append(np.where(sizes > 0, (total[ends] - total[ends - sizes]) / np.maximum(sizes, 1), np.nan))
+        return pa.table({"doc_id": docs["doc_id"], "n_words": sizes, "target_loss": pa.array(means[0], pa.float64(), from_pandas=True), "background_loss": pa.array(means[1], pa.float64(), from_pandas=True)})
 
     return run
 
 
-def train(target: DataFrame, background: DataFrame, vocab_size: int = 10_000, max_bigrams: int = 500_000, min_count: int = 2) -> LanguageModels:
-    """Count both models over all of target(text) and background(text)."""
-    counted = lambda df, f, name: df.select("text").mapInArrow(f, f"{name} long, n long").groupBy(name).agg(F.sum("n").alias("n"))
-    kept = counted(background, _count_words, "word").where(F.col("n") >= min_count).orderBy(F.desc("n"), "word").limit(vocab_size).select("word").toArrow()
-    words = np.sort(kept["word"].to_numpy())
-    base = len(words) + 2
-    count = _count_bigrams(words)
-    both = counted(background, count, "code").withColumnRenamed("n", "b").join(counted(target, count, "code").withColumnRenamed("n", "t"), "code", "full")
-    both = cut(both.select("code", F.coalesce("b", F.lit(0)).alias("b"), F.coalesce("t", F.lit(0)).alias("t")))
-    heads = both.groupBy(F.expr(f"code div {base}").alias("word")).agg(F.sum("b").alias("b"), F.sum("t").alias("t")).where(F.col("word") == base - 1).toArrow()
-    tails = both.groupBy((F.col("code") % base).alias("word")).agg(F.sum("b").alias("b"), F.sum("t").alias("t")).toArrow()
-    best = both.where(F.col("b") + F.col("t") >= min_count).orderBy(F.desc(F.col("b") + F.col("t")), "code").limit(max_bigrams).toArrow().sort_by("code")
-    word_counts = []
-    for m in ("t", "b"):
-        table = np.zeros(base, np.float64)
-        table[tails["word"].to_numpy()] = tails[m].to_numpy()
-        table[base - 1] = heads[m].to_numpy().sum()
-        word_counts.append(table)
-    return LanguageModels(words, best["code"].to_numpy(), tuple(word_counts), tuple(best[m].to_numpy().astype(np.int32) for m in ("t", "b")))
-
-
-def _scorer(models: LanguageModels):
-    def run(batches):
-        for ids, texts in _rows(batches, 1):
-            before, word, sizes = _pairs(models.words, texts)
-            ends = np.cumsum(sizes)
-            means = []
-            for loss in models.losses(before, word):
-                total = np.concatenate(([0.0], np.cumsum(loss)))
-                means.append(np.where(sizes > 0, (total[ends] - total[ends - sizes]) / np.maximum(sizes, 1), np.nan))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sizes.astype(np.int64)), *[pa.array(m, pa.float64(), from_pandas=True) for m in means]],
-                ["doc_id", "n_words", "target_loss", "background_loss"],
-            )
+def _totals(counts: DataFrame) -> DataFrame:
+    """counts with b and t summed over all chunks of a code; ``first`` marks one row of each code."""
+    same = W.partitionBy("code")
+    return counts.select("chunk", "code", F.sum("b").over(same).alias("b"), F.sum("t").over(same).alias("t"), (F.col("chunk") == F.min("chunk").over(same)).alias("first"))
 
-    return run
 
+def _most(totals: DataFrame, size, n: int | None) -> DataFrame:
+    """The rows of the n codes of most size; all of them if n is not given."""
+    if n is None:
+        return totals
+    return totals.join(totals.where("first").orderBy(F.desc(size), "code").limit(n).select("code"), "code", "left_semi")
 
-def score(docs: DataFrame, models: LanguageModels) -> DataFrame:
-    """Per row of docs(doc_id, text): doc_id, n_words, target_loss, background_loss, score.
 
-    Losses are nats per word, rounded to 6 digits. A null text or one without
-    words has no loss and a null score. Repeated rows are scored one by one;
-    other columns are ignored.
+def score_against(docs: DataFrame, chosen: DataFrame, vocab_size: int | None = None, max_bigrams: int | None = None, min_count: int = 2) -> DataFrame:
+    """Score all docs; the target is the docs whose doc_id is in chosen(doc_id), the background all of them.
+
+    Per row of docs(doc_id, text): doc_id, n_words, target_loss,
+    background_loss, score. Losses are nats per word, rounded to 6 digits. A
+    null text or one without words has no loss and a null score. Repeated rows
+    are scored one by one; other columns are ignored. All words and bigrams
+    seen ``min_count`` times are in the models unless ``vocab_size`` or
+    ``max_bigrams`` is given.
     """
-    out = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(_scorer(models), "doc_id long, n_words long, target_loss double, background_loss double")
+    texts = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", "false named")
+    n_chunks = 1 + (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // CHUNK
+    names = chosen.selectExpr("cast(doc_id as long) doc_id", "cast(null as string) text", "true named").where("doc_id is not null").distinct()
+    rows = texts.union(names).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n_chunks)).cast("int"))
+    parts = rows.groupBy("chunk")
+    words = _totals(parts.applyInArrow(_count_words, COUNTS)).where((F.col("b") >= min_count) | (F.col("code") <= START))
+    kept = cut(words)
+    if vocab_size is not None:
+        kept = cut(_most(kept.where(F.col("code") > START), F.col("b"), vocab_size).unionByName(kept.where(F.col("code") <= START)))
+    known = kept.where((F.col("code") > START) & F.col("first")).agg(F.count("*"), F.coalesce(F.sum("b"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
+    vocabulary = kept.select("chunk", "code", "b", "t")
+    pairs = _totals(parts.cogroup(vocabulary.groupBy("chunk")).applyInArrow(_count_pairs, COUNTS)).where(F.col("b") + F.col("t") >= min_count)
+    pairs = _most(pairs, F.col("b") + F.col("t"), max_bigrams).select("chunk", "code", "b", "t")
+    sums = vocabulary.withColumn("pair", F.lit(False)).unionByName(pairs.withColumn("pair", F.lit(True)))
+    scored = parts.cogroup(sums.groupBy("chunk")).applyInArrow(_scorer(known[0], {"b": known[1], "t": known[2]}), "doc_id long, n_words long, target_loss double, background_loss double")
     rounded = [F.round(c, 6).alias(c) for c in ("target_loss", "background_loss")]
-    return out.select("doc_id", "n_words", *rounded, F.round(F.col("target_loss") - F.col("background_loss"), 6).alias("score"))
-
-
-def score_against(docs: DataFrame, chosen: DataFrame, vocab_size: int = 10_000, max_bigrams: int = 500_000) -> DataFrame:
-    """Score all docs; the target is the docs whose doc_id is in chosen(doc_id), the background all of them."""
-    named = chosen.select("doc_id").distinct().hint("merge")  # grows with the corpus: never broadcast
-    target = cut(docs.select("doc_id", "text").join(named, "doc_id", "left_semi").select("text"))
-    return score(docs, train(target, docs, vocab_size, max_bigrams))
+    return scored.select("doc_id", "n_words", *rounded, F.round(F.col("target_loss") - F.col("background_loss"), 6).alias("score"))

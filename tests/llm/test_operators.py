@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import math
 import random
 import re
 from collections import Counter
@@ -404,3 +405,18 @@ def test_stages_on_empty_and_null_documents(spark):
         out = stage(spark, odd, "")
         assert len(out.collect()) <= 6, name
         assert name == "sentencepiece" or out.columns == odd.columns, name
+
+
+def test_language_models_keep_the_tail(spark):
+    # 12,000 words seen twice each, one of them only in the target
+    texts = [(i, " ".join(f"w{k}" for k in range(40 * i, 40 * i + 40))) for i in range(300)]
+    rows = [*texts, *((1000 + i, t) for i, t in texts), (5000, "zebra quagga okapi " * 2), (5001, "zebra quagga okapi"), (5002, "w1 w2")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    target = spark.createDataFrame([(5000,)], "doc_id long")
+    out = {r.doc_id: r for r in lm_scoring.score_against(frame, target).collect()}
+    assert len(out) == len(rows)
+    n, known = sum(len(t.split()) for _, t in rows), 12_003
+    share = (3 + 1) / (n + known + 1)  # of w1 and of w2; no other text starts with w1
+    loss = -math.log(0.5 * share) - math.log(0.5 * 3 / 3 + 0.5 * share)
+    assert out[5002].background_loss == pytest.approx(loss / 2, abs=1e-5)
+    assert out[5001].score < out[5002].score
