@@ -1,22 +1,34 @@
 """License scan: TF-IDF cosine of notices to templates, inherited down directories.
 
-A file's notices are the runs of adjacent lines that hold a licence cue, each
-cut into pieces of at most ``PIECE`` words. Terms are weighted by their inverse
-document frequency over the notices of all files, and every notice is compared
-with the templates it shares a term with. A file without a notice of its own
-takes the licence of the licence file in the nearest directory above it.
+Around every licence cue of a file all windows of each template's number of
+terms are compared with that template, and so are the cue's line, sentence and
+run of adjacent cue lines with every template; the best of all counts. Terms
+are weighted by their inverse document frequency over the templates, so what
+stands beside a notice and how many files there are cannot hide it. A file
+without a notice of its own takes the licence of the licence file in the
+nearest directory above it.
 """
 
 from __future__ import annotations
 
+import math
+import re
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
+from pyspark.sql.types import DoubleType, StringType, StructType
 
 from .common import cut
 
 CUE = r"(?i)licen[cs]e|copyright|spdx-|permission is|redistribution|warrant(?:y|ies)|public domain"
-PIECE = 120
+_CUE = re.compile(CUE, re.ASCII)
+_TERM = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
+_STOP = re.compile(r"[.!?](?=\s)|\n[^a-z0-9\n]*(?=\n)")
 
 #: Licence notices, as their licences word them.
 TEMPLATES = {
@@ -51,42 +63,122 @@ TEMPLATES = {
 }
 
 
-def terms(text: Column) -> Column:
-    """Words of letters, digits, dots inside and hyphens inside, in lower case."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9]+(?:[.-][a-z0-9]+)*)"), F.lit(1))
-
-
 def template_table(spark: SparkSession, templates: dict[str, list[str]] | None = None) -> DataFrame:
     rows = [(name, f"{name}#{k}", text) for name, texts in (templates or TEMPLATES).items() for k, text in enumerate(texts)]
     return spark.createDataFrame(rows, "license string, template string, text string")
 
 
-def notices(files: DataFrame, key: str = "file") -> DataFrame:
-    """(key, notice, term, n): the terms of every notice piece of files(key, text)."""
-    lines = files.where(F.col("text").rlike(CUE)).select(key, F.posexplode(F.split("text", "\n")).alias("line", "words")).where(F.col("words").rlike(CUE))
-    order = W.partitionBy(key).orderBy("line")
-    runs = lines.withColumn("run", F.col("line") - F.row_number().over(order))
-    pieces = runs.select(key, "run", "line", F.posexplode(terms(F.col("words"))).alias("at", "term"))
-    whole = W.partitionBy(key, "run").orderBy("line", "at")
-    pieces = pieces.withColumn("piece", F.floor((F.row_number().over(whole) - 1) / PIECE))
-    return pieces.groupBy(key, F.concat_ws(":", "run", "piece").alias("notice"), "term").agg(F.count("*").alias("n"))
+class Matcher:
+    """Templates as unit TF-IDF vectors, and the best of them for a text."""
+
+    def __init__(self, templates: list[tuple[str, str]], least: float):
+        counts = [(name, Counter(_TERM.findall(text.lower()))) for name, text in templates]
+        df = Counter(t for _, c in counts for t in c)
+        idf = lambda n: 1 + math.log((len(counts) + 1) / (n + 1))
+        self.least, self.weight, self.unseen = least, {t: idf(n) for t, n in df.items()}, idf(0)
+        self.templates = []
+        for name, c in counts:
+            norm = math.sqrt(sum((n * self.weight[t]) ** 2 for t, n in c.items()))
+            if norm:
+                self.templates.append((name, sum(c.values()), {t: n * self.weight[t] / norm for t, n in c.items()}))
+
+    def best(self, text: str) -> tuple[str, float] | None:
+        """(license, score) of the text's best window; of equal scores the first license."""
+        text = text.lower()
+        cues = [(m.start(), m.end()) for m in _CUE.finditer(text)]
+        found = [(m.start(), m.end(), m[0]) for m in _TERM.finditer(text)]
+        if not cues or not found:
+            return None
+        starts, ends, words = ([f[k] for f in found] for k in range(3))
+        at = [(max(0, bisect_left(ends, a + 1)), bisect_left(starts, b)) for a, b in cues]  # terms of each cue
+        w = np.array([self.weight.get(t, self.unseen) for t in words])
+        held, scores = set(words), []
+        # no window is nearer to a template than its share of the terms that occur at all
+        near = [x for x in self.templates if math.sqrt(sum(v * v for t, v in x[2].items() if t in held)) >= self.least - 1e-6]
+        if not near:
+            return None
+        for a, b in self.spans(text, cues, starts):
+            n = Counter(words[a:b])
+            norm = math.sqrt(sum((k * self.weight.get(t, self.unseen)) ** 2 for t, k in n.items()))
+            scores += [(sum(v * n[t] * self.weight[t] for t, v in vector.items() if t in n) / norm, name) for name, _, vector in near]
+        number = {t: k for k, t in enumerate(held)}
+        ids, norms = np.array([number[t] for t in words]), {}
+        for name, size, vector in near:
+            if size not in norms:
+                norms[size] = self.windows(ids, w * w, at, size)
+            places, norm = norms[size]
+            dots = np.concatenate(([0.0], np.cumsum(w * np.array([vector.get(t, 0.0) for t in words]))))
+            stop = np.minimum(places + size, len(words))
+            scores.append((float(((dots[stop] - dots[places]) / norm).max()), name))
+        score, name = min((-round(x, 6), name) for x, name in scores)
+        return (name, -score) if -score >= self.least else None
+
+    @staticmethod
+    def spans(text: str, cues: list[tuple[int, int]], starts: list[int]) -> set[tuple[int, int]]:
+        """Term ranges of the lines, sentences and runs of adjacent cue lines that hold the cues."""
+        breaks = [m.start() for m in re.finditer("\n", text)]
+        stops = [m.end() for m in _STOP.finditer(text)]
+        lines = sorted({k for a, b in cues for k in range(bisect_left(breaks, a), bisect_left(breaks, b - 1) + 1)})
+        edge = lambda cuts, k: 0 if k < 0 else cuts[k] if k < len(cuts) else len(text)
+        out = {(edge(breaks, k - 1), edge(breaks, k)) for k in lines}
+        out |= {(edge(stops, bisect_left(stops, a + 1) - 1), edge(stops, bisect_left(stops, b))) for a, b in cues}
+        first = 0
+        for k in range(1, len(lines) + 1):
+            if k == len(lines) or lines[k] != lines[k - 1] + 1:
+                out.add((edge(breaks, lines[first] - 1), edge(breaks, lines[k - 1])))
+                first = k
+        ranges = {(bisect_left(starts, a), bisect_left(starts, b)) for a, b in out}
+        return {(a, b) for a, b in ranges if a < b}
+
+    @staticmethod
+    def windows(ids: np.ndarray, squares: np.ndarray, at: list[tuple[int, int]], size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of all windows of ``size`` terms that touch a cue, and their norms."""
+        last = max(0, len(ids) - size)
+        marks = np.zeros(last + 2, np.int64)
+        for a, b in at:
+            marks[min(max(0, a - size + 1), last)] += 1
+            marks[min(max(b - 1, a), last) + 1] -= 1
+        places = np.flatnonzero(np.cumsum(marks[:-1]) > 0)
+        low, high = places[0], min(places[-1] + size, len(ids))
+        part, sq = ids[low:high], squares[low:high]
+        sums = np.concatenate(([0.0], np.cumsum(sq)))
+        total = sums[np.minimum(places + size, len(ids)) - low] - sums[places - low]
+        # twice the squares of each pair of equal terms inside a window
+        order = np.argsort(part, kind="stable")
+        same, lag = np.zeros(len(part) + 1), 1
+        while lag < min(size, len(part)):
+            i, j = order[:-lag], order[lag:]
+            pair = (part[i] == part[j]) & (j - i < size)
+            if not pair.any():
+                break
+            i, j = i[pair], j[pair]
+            np.add.at(same, np.maximum(j - size + 1, 0), 2 * sq[i])
+            np.add.at(same, i + 1, -2 * sq[i])
+            lag += 1
+        total = total + np.cumsum(same)[places - low]
+        return places, np.sqrt(total)
+
+
+def _match(matcher: Matcher):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [matcher.best(t.as_py()) for t in batch.column(1)]
+            hit = [k for k, g in enumerate(got) if g]
+            columns = [batch.column(0).take(pa.array(hit, pa.int64())), pa.array([got[k][0] for k in hit], pa.string()), pa.array([got[k][1] for k in hit], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, [batch.schema.names[0], "license", "score"])
+
+    return run
 
 
 def own_licenses(files: DataFrame, templates: DataFrame, least: float = 0.6, key: str = "file") -> DataFrame:
-    """(key, license, score) of files(key, text) whose best notice is at least ``least`` like a template."""
-    found = cut(notices(files, key))
-    n_notices = found.select(key, "notice").distinct().count()
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    patterns = templates.select("license", "template", F.explode(terms(F.col("text"))).alias("term")).groupBy("license", "template", "term").agg(F.count("*").alias("n"))
-
-    def weighed(rows: DataFrame, *ids: str) -> DataFrame:
-        w = rows.join(df, "term", "left").withColumn("w", F.col("n") * (1 + F.log((F.lit(n_notices) + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0))))
-        norm = w.groupBy(*ids).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-        return w.join(norm, list(ids)).select(*ids, *(["license"] if "license" in rows.columns else []), "term", (F.col("w") / F.col("norm")).alias("u"))
-
-    a, b = weighed(found, key, "notice"), weighed(patterns, "template").withColumnRenamed("u", "v")
-    cosine = a.join(b, "term").groupBy(key, "notice", "license", "template").agg(F.round(F.sum(F.col("u") * F.col("v")), 6).alias("score")).where(F.col("score") >= least)
-    best = cosine.groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("less"), F.col("license"))).alias("b"))
+    """(key, license, score) of files(key, text) whose best window is at least ``least`` like a template.
+
+    The templates, whose number does not depend on the files, are sent to the tasks.
+    """
+    matcher = Matcher([(r.license, r.text) for r in templates.select("license", "text").collect()], least)
+    schema = StructType().add(key, files.schema[key].dataType).add("license", StringType()).add("score", DoubleType())
+    scored = files.where(F.col("text").rlike(CUE)).select(key, "text").mapInArrow(_match(matcher), schema)
+    best = scored.groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("less"), F.col("license"))).alias("b"))
     return best.select(key, F.col("b.license").alias("license"), (-F.col("b.less")).alias("score"))
 
 

@@ -420,3 +420,38 @@ def test_language_models_keep_the_tail(spark):
     loss = -math.log(0.5 * share) - math.log(0.5 * 3 / 3 + 0.5 * share)
     assert out[5002].background_loss == pytest.approx(loss / 2, abs=1e-5)
     assert out[5001].score < out[5002].score
+
+
+def test_licenses_beside_other_text(spark):
+    mit, long = "Released under the MIT License.", licenses.TEMPLATES["GPL-3.0"][1]
+    prose = "this tool reads tables from many places and writes them sorted"
+    rows = [
+        ("prose", f"{prose}. {mit} {prose} again and again", "MIT"),
+        ("inline", f"{prose} is released under the MIT License and {prose}", "MIT"),
+        ("header", f"Copyright 2021 Jane Doe\n{mit}\ncode", "MIT"),
+        ("wrapped", f"{prose}\n{long[:90]}\n{long[90:]}\n{prose}", "GPL-3.0"),
+        ("late", "copyright holder " * 50 + long, "GPL-3.0"),
+        ("none", f"{prose} under a license that nobody knows", None),
+    ]
+    rows += [(f"x{k}", f"Copyright 2021 Name{k} Family{k}\n{mit}", "MIT") for k in range(30)]
+    out = licenses.scan(spark.createDataFrame([(f"{k}/{n}", t, w) for k, (n, t, w) in enumerate(rows)], "path string, text string, want string")).collect()
+    assert [(r.path, r.own_license) for r in out if r.own_license != r.want] == []
+
+
+def test_license_windows_against_brute_force():
+    rng = random.Random(4)
+    matcher = licenses.Matcher([(n, t) for n, texts in licenses.TEMPLATES.items() for t in texts], 0.0)
+    for _ in range(60):
+        words = rng.choices(["license", "the", "mit", "under", "public", "version", "x", "y", "of"], k=rng.randint(1, 40))
+        cues = [k for k, w in enumerate(words) if w == "license"]
+        if not cues:
+            continue
+        for size in (2, 5, 12, 45):
+            ids = licenses.np.array([["license", "the", "mit", "under", "public", "version", "x", "y", "of"].index(w) for w in words])
+            squares = licenses.np.array([matcher.weight.get(w, matcher.unseen) ** 2 for w in words])
+            places, norms = matcher.windows(ids, squares, [(c, c + 1) for c in cues], size)
+            starts = {max(0, min(s, len(words) - size)) for c in cues for s in range(c - size + 1, c + 1)}
+            assert set(places) == starts
+            for s, norm in zip(places, norms):
+                n = Counter(words[s : s + size])
+                assert norm == pytest.approx(math.sqrt(sum((k * matcher.weight.get(w, matcher.unseen)) ** 2 for w, k in n.items())))
