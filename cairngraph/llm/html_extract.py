@@ -4,9 +4,11 @@ Markup is stripped into lines, one for each block of the page, and each line
 gets its text length, less its link text, as weight. Weights are summed over
 sliding windows of lines; a surge is where the window sum rises above a
 threshold and a dive where it falls back to zero, and the lines between a
-surge and its dive are kept. Lines inside navigation, forms, adverts and the
-like weigh nothing and are never kept. A page that marks its article gives its
-own surge and dive: the article's lines are kept and no others.
+surge and its dive are kept. The threshold is ``SURGE`` or less, as the page's
+own blocks are short. Tags only change weights: lines inside navigation, forms,
+adverts and the like weigh nothing and are never kept, and a line of a marked
+article weighs a whole surge more. Lines outside the articles are summed
+without them, so text beside a teaser is judged as on a page without one.
 """
 
 from __future__ import annotations
@@ -104,24 +106,39 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
     return out
 
 
-def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
-    """The page's main text, one line per kept block; empty for null."""
-    lines = lines_of(page or "")
-    marked = any(inside and not aside for _, _, aside, inside in lines)
-    weights = [0 if aside or (marked and not inside) else w for _, w, aside, inside in lines]
+def _window_sums(weights: list[int], window: int) -> list[int]:
     sums, total = [], sum(weights[:window])
     for k in range(len(weights)):
         sums.append(total)
         total += (weights[k + window] if k + window < len(weights) else 0) - weights[k]
-    kept, running = [], False
-    for k, (text, _, aside, inside) in enumerate(lines):
-        if sums[k] == 0:
+    return sums
+
+
+def _between(weights: list[int], window: int, limit: float) -> list[bool]:
+    """Whether each line is between a surge above limit and its dive."""
+    out, running = [], False
+    for weight, total in zip(weights, _window_sums(weights, window)):
+        if total == 0:
             running = False
-        elif sums[k] > surge and weights[k] > 0:
+        elif total > limit and weight > 0:
             running = True
-        if not aside and (inside if marked else running):
-            kept.append(text)
-    return "\n".join(kept)
+        out.append(running)
+    return out
+
+
+def surge_of(weights: list[int], window: int, surge: int) -> float:
+    """The page's threshold: at most half its densest window and twice its median block, so that short blocks surge too."""
+    solid = sorted(w for w in weights if w)
+    return min(surge, max(_window_sums(weights, window)) / 2, 2 * solid[(len(solid) - 1) // 2]) if solid else surge
+
+
+def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
+    """The page's main text, one line per kept block; empty for null."""
+    lines = lines_of(page or "")
+    limit = surge_of([w for _, w, _, _ in lines], window, surge)
+    inner = _between([len(text) + surge if inside and not aside else 0 for text, _, aside, inside in lines], window, limit)
+    outer = _between([0 if inside else w for _, w, _, inside in lines], window, limit)
+    return "\n".join(text for (text, _, aside, inside), i, o in zip(lines, inner, outer) if not aside and (i if inside else o))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

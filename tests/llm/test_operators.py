@@ -455,3 +455,12 @@ def test_license_windows_against_brute_force():
             for s, norm in zip(places, norms):
                 n = Counter(words[s : s + size])
                 assert norm == pytest.approx(math.sqrt(sum((k * matcher.weight.get(w, matcher.unseen)) ** 2 for w, k in n.items())))
+
+
+def test_html_short_blocks_and_teasers():
+    long, verse = "word " * 40, ["The sea is wide", "the night is deep", "and all the birds", "are fast asleep"]
+    teaser = f"<nav>Menu</nav><article><p>Teaser of the day</p></article><div><a href=a>one</a></div><div><p>{long}</p><p>{long}</p></div>"
+    assert html_extract.main_text(teaser) == "\n".join(["Teaser of the day", long.strip(), long.strip()])
+    assert html_extract.main_text("<nav>Menu</nav>" + "".join(f"<p>{v}</p>" for v in verse)) == "\n".join(verse)
+    assert html_extract.main_text("<nav>Menu</nav><p>A short note.</p><footer>x</footer>") == "A short note."
+    assert html_extract.main_text(f"<article><p>{long}</p></article><div>Legal</div>") == long.strip()
