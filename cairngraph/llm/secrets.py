@@ -2,9 +2,10 @@
 
 Two character bigram models are trained from labelled samples: the values that
 the fixed patterns find are random strings, the other words of a bounded
-sample of documents are ordinary identifiers, but for the long mixed ones that
-are to be judged. A long token that mixes letters and digits is reported if
-its log-likelihood ratio per character is high.
+sample of documents are ordinary identifiers, but for the long ones that are
+to be judged. A token of ``LEAST`` characters or more is reported if its
+log-likelihood ratio is high, whatever characters it has. A bigram that comes
+again in a token is no new evidence, so a run of one character is not random.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"(AKIA[A-Z0-9]+)"
 HEX = r"([0-9a-f]+)"
-TOKEN = r"([A-Za-z0-9+/_=-]{20,})"
+LEAST = 16
+TOKEN = rf"([A-Za-z0-9+/_-]{{{LEAST},}}=*)"
 ALPHABET = 128
 
 
@@ -30,16 +32,18 @@ class MarkovPair:
     ratios: tuple[float, ...]
     per_char: float = 1.0
     total: float = 20.0
+    #: From so many bigrams on, repeats are usual in random strings too and the limit grows no more.
+    most: int = 64
 
     def score(self, token: str) -> float:
-        return sum(self.ratios[ord(a) * ALPHABET + ord(b)] for a, b in zip(token, token[1:]))
+        return sum(self.ratios[ord(a) * ALPHABET + ord(b)] for a, b in set(zip(token, token[1:])))
 
     def column(self, token: Column) -> Column:
         """The same score as an expression, linear in the token's length."""
         table = F.split(F.lit(",".join(f"{x:.6g}" for x in self.ratios)), ",").cast("array<double>")
         codes = F.transform(F.split(token, ""), lambda c: F.ascii(c))
-        pairs = F.zip_with(F.slice(codes, 1, F.length(token) - 1), F.slice(codes, 2, F.length(token) - 1), lambda a, b: F.get(table, a * ALPHABET + b))
-        return F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0)))
+        pairs = F.zip_with(F.slice(codes, 1, F.length(token) - 1), F.slice(codes, 2, F.length(token) - 1), lambda a, b: a * ALPHABET + b)
+        return F.aggregate(F.array_distinct(pairs), F.lit(0.0), lambda acc, x: acc + F.coalesce(F.get(table, x), F.lit(0.0)))
 
 
 def _spans(text: Column, pattern: str, value_group: int, least: int) -> Column:
@@ -86,7 +90,7 @@ def train(docs: DataFrame, sample_docs: int = 4000, smoothing: float = 0.5, prio
     secret = F.concat(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)), F.regexp_extract_all("text", F.lit(ACCESS), F.lit(1)), F.regexp_extract_all("text", F.lit(HEX), F.lit(1)))
     ordinary = F.regexp_extract_all(F.regexp_replace("text", f"{ASSIGN}|{ACCESS}|[0-9a-f]{{32,}}", " "), F.lit(r"([A-Za-z0-9+/_=-]{4,})"), F.lit(1))
     tokens = text.select(F.explode(F.filter(secret, lambda x: F.length(x) >= 16)).alias("token"), F.lit(1).alias("random"))
-    plain = F.filter(ordinary, lambda x: ~((F.length(x) >= 20) & x.rlike("[0-9]") & x.rlike("[A-Za-z]")))
+    plain = F.filter(ordinary, lambda x: F.length(x) < LEAST)
     tokens = tokens.union(text.select(F.explode(plain).alias("token"), F.lit(0).alias("random")))
     chars = tokens.select("random", F.transform(F.split("token", ""), lambda c: F.ascii(c)).alias("c")).where(F.size("c") > 1)
     pairs = chars.select("random", F.explode(F.transform(F.sequence(F.lit(1), F.size("c") - 1), lambda i: F.get("c", i - 1) * ALPHABET + F.get("c", i))).alias("pair"))
@@ -111,8 +115,8 @@ def scan(docs: DataFrame, model: MarkovPair | None = None) -> DataFrame:
     """docs with spans: array<struct<start, kind_no, end>> sorted, kinds numbered as in ``KINDS``.
 
     Offsets are code points of the whole text, end exclusive. Kinds of the
-    fixed patterns may overlap one another; a random token that touches one of
-    their spans is left to them. A null text counts as empty. Columns of docs
+    fixed patterns may overlap one another; a random token stands beside those
+    it contains or overlaps, unless one of them covers it whole. A null text counts as empty. Columns of docs
     named spans, assign, access or hex are replaced; other columns and every
     row are passed on.
     """
@@ -122,14 +126,13 @@ def scan(docs: DataFrame, model: MarkovPair | None = None) -> DataFrame:
     out = out.withColumn("_base", F.concat(*[numbered(k, i) for i, k in enumerate(KINDS[:3])]))
     if model is None:
         return out.withColumn("spans", F.sort_array("_base")).drop("_base")
-    out = out.withColumn("_long", _spans(text, TOKEN, 1, 20))
-    out = out.withColumn("_long", F.filter("_long", lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))))
+    out = out.withColumn("_long", _spans(text, TOKEN, 1, LEAST))
+    out = out.withColumn("_long", F.filter("_long", lambda s: ~F.exists("_base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))))
 
     def random(span: Column) -> Column:
         token = F.substring(text, span["start"] + 1, span["end"] - span["start"])
         score = model.column(token)
-        mixed = token.rlike("[0-9]") & token.rlike("[A-Za-z]")
-        return mixed & (score >= model.total) & (score >= model.per_char * (F.length(token) - 1))
+        return (score >= model.total) & (score >= model.per_char * F.least(F.length(token) - 1, F.lit(model.most)))
 
     out = out.withColumn("_random", F.filter("_long", random))
     return out.withColumn("spans", F.sort_array(F.concat("_base", numbered("_random", 3)))).drop("_base", "_long", "_random")

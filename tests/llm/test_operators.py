@@ -464,3 +464,14 @@ def test_html_short_blocks_and_teasers():
     assert html_extract.main_text("<nav>Menu</nav>" + "".join(f"<p>{v}</p>" for v in verse)) == "\n".join(verse)
     assert html_extract.main_text("<nav>Menu</nav><p>A short note.</p><footer>x</footer>") == "A short note."
     assert html_extract.main_text(f"<article><p>{long}</p></article><div>Legal</div>") == long.strip()
+
+
+def test_secrets_of_any_characters(spark, docs):
+    hexed = "Zq7Tx" + "0f1e2d3c4b5a69788796a5b4c3d2e1f0" + "Kw9YpV"
+    keys = {9101: "kQzXvBmNpLsTwYjEuJhGdFaR", 9102: "k7Qz9XvB2mN4pL8s", 9103: hexed, 9104: "abc " + "=" * 40 + " " + "f" * 90}
+    frame = spark.createDataFrame(list(keys.items()), "doc_id long, text string").union(docs.select("doc_id", "text"))
+    model = secrets.train(frame)
+    rows = {r.doc_id: r for r in secrets.scan(frame, model).select("doc_id", secrets.describe(secrets.F.col("spans")).alias("spans"), secrets.redact(frame.text, secrets.F.col("spans")).alias("clean")).collect()}
+    assert rows[9101].spans == "random:0:24" and rows[9102].spans == "random:0:16"
+    assert rows[9103].spans == "random:0:43,hex:5:37" and rows[9103].clean == "[SECRET]"
+    assert "random" not in rows[9104].spans
