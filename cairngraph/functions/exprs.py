@@ -5,16 +5,70 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEVERITIES = ("none", "low", "medium", "high", "critical")
 
-
-def node_id(name: Column, method: Column | None = None) -> Column:
-    """Canonical id: runs of non-alphanumerics become one underscore, lower case, then ``::method``."""
-    base = F.lower(F.regexp_replace(name, "[^A-Za-z0-9]+", "_"))
-    return base if method is None else F.concat(base, F.lit("::"), method)
+# Kinds of cache operations by method name.
+CACHE_OPERATIONS = {
+    "get": "read",
+    "many": "read",
+    "getMultiple": "read",
+    "has": "read",
+    "missing": "read",
+    "remember": "read",
+    "rememberForever": "read",
+    "sear": "read",
+    "flexible": "read",
+    "put": "write",
+    "set": "write",
+    "putMany": "write",
+    "setMultiple": "write",
+    "add": "write",
+    "forever": "write",
+    "increment": "write",
+    "decrement": "write",
+    "forget": "invalidate",
+    "delete": "invalidate",
+    "deleteMultiple": "invalidate",
+    "pull": "invalidate",
+    "flush": "invalidate",
+    "clear": "invalidate",
+    "lock": "lock",
+    "restoreLock": "lock",
+}
+
+# Names of the sidebar's buckets by tab category.
+TAB_BUCKETS = {
+    "Command": "Console Commands",
+    "Channel": "Broadcast Channels",
+    "Schedule": "Schedules",
+    "ERD": "Model ERD",
+    "Events": "Event Choreography",
+    "AI": "AI Agents",
+    "Reachability": "Reachability",
+}
+PANEL_CATEGORY = "Filament"
+
+
+def is_controller(name: Column) -> Column:
+    """Whether a class counts as a controller by its name or namespace."""
+    return name.contains("Controller") | name.contains("\\Http\\") | name.contains("\\Livewire\\")
+
+
+def node_id(name: Column, method: Column) -> Column:
+    """Canonical id of a hop.
+
+    Ids of closure routes and schedules are the name itself, templates are
+    ``view::`` and their lower-cased name, controllers ``action::name::method``;
+    any other name has each character but letters, digits and ``_`` made ``_``
+    and is followed by ``::method``.
+    """
+    view = F.concat(F.lit("view::"), F.lower(F.regexp_replace(name, "[^a-zA-Z0-9._]", "_")))
+    plain = F.concat(F.lower(F.regexp_replace(name, "[^a-zA-Z0-9_]", "_")), F.lit("::"), method)
+    virtual = name.startswith("route::") | name.startswith("schedule::")
+    return F.when(name.startswith("blade::"), view).when(virtual, name).when(is_controller(name), F.concat_ws("::", F.lit("action"), name, method)).otherwise(plain)
 
 
 def short_name(col: Column, sep: str = "\\") -> Column:
@@ -45,12 +99,21 @@ def glob_match(col: Column, patterns: list[str]) -> Column:
 
 
 def guard_match(col: Column, patterns: list[str], sep: str = "\\") -> Column:
-    """A pattern ending in ``:`` matches as a prefix; any other matches the value, the part before ``:`` or sep, or the base name."""
+    """Whether a guard, in any case, matches one of the patterns.
+
+    A pattern ending in ``:`` matches as a prefix or without its colon. Any
+    other matches the whole guard or as what stands before ``:`` or sep, and a
+    pattern that holds sep also every class of the same base name.
+    """
+    low = F.lower(col)
+    base = F.substring_index(F.substring_index(low, ":", 1), sep, -1)
 
-    def one(p: str) -> Column:
+    def one(pattern: str) -> Column:
+        p = pattern.lower()
         if p.endswith(":"):
-            return col.startswith(p)
-        return (col == p) | col.startswith(f"{p}:") | col.startswith(p + sep) | (F.substring_index(F.substring_index(col, ":", 1), sep, -1) == p)
+            return low.startswith(p) | (low == p.rstrip(":"))
+        hit = (low == p) | low.startswith(f"{p}:") | low.startswith(p + sep)
+        return hit | ((base != "") & (base == p.split(":")[0].rsplit(sep, 1)[-1])) if sep in p else hit
 
     return reduce(lambda a, b: a | b, map(one, patterns), F.lit(False))
 
@@ -71,26 +134,29 @@ def cadence(frequency: Column, args: Column) -> Column:
     return F.when(frequency.isNull() | (frequency == ""), "").when((frequency == "cron") & (F.size(args) > 0), F.get(args, 0)).otherwise(F.trim(F.concat_ws(" ", frequency, joined)))
 
 
-def slug(col: Column, max_len: int = 100, keep: int = 91) -> Column:
-    """Lower case, non-alphanumeric runs as ``-``, trimmed; longer than max_len is cut to keep and given 8 hash characters."""
-    s = F.regexp_replace(F.regexp_replace(F.lower(col), "[^a-z0-9]+", "-"), "^-+|-+$", "")
-    return F.when(F.length(s) > max_len, F.concat(F.substring(s, 1, keep), F.lit("-"), F.substring(F.md5(s), 1, 8))).otherwise(s)
+def slug(col: Column, max_len: int = 100) -> Column:
+    """Lower case, non-alphanumeric runs as ``-``, trimmed; beyond max_len cut there and given 8 characters of the text's own hash."""
+    s = F.lower(F.regexp_replace(F.regexp_replace(col, "[^a-zA-Z0-9]+", "-"), "^-+|-+$", ""))
+    return F.when(F.length(s) > max_len, F.concat(F.substring(s, 1, max_len), F.lit("-"), F.substring(F.md5(col), 1, 8))).otherwise(s)
 
 
-def rel_path(col: Column, root_regex: str, default: str) -> Column:
-    """What follows the root, else default."""
-    return F.coalesce(F.nullif(F.regexp_extract(col, f"^{root_regex}(.+)$", 1), F.lit("")), F.lit(default))
+def rel_path(col: Column, folder: str, default: str) -> Column:
+    """What follows the first ``/folder/``, with forward slashes; else the base name; default for an empty path."""
+    path = F.regexp_replace(col, r"\\", "/")
+    inner = F.nullif(F.regexp_extract(path, f"/{folder}/(.+)$", 1), F.lit(""))
+    return F.when(F.coalesce(col, F.lit("")) == "", F.lit(default)).otherwise(F.coalesce(inner, F.substring_index(path, "/", -1)))
 
 
 def table_name(name: Column) -> Column:
-    """Conventional table of a CamelCase name: snake case, plural."""
-    snake = F.lower(F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1_$2"))
-    return F.when(snake.rlike("[^aeiou]y$"), F.concat(F.regexp_replace(snake, "y$", ""), F.lit("ies"))).when(snake.rlike("(s|x|z|ch|sh)$"), F.concat(snake, F.lit("es"))).otherwise(F.concat(snake, F.lit("s")))
+    """Conventional table of a class: its short name in snake case, each capital a new word, plural."""
+    snake = F.lower(F.regexp_replace(F.substring_index(name, "\\", -1), "(?<!^)([A-Z])", "_$1"))
+    plural = F.when(snake.rlike("[^aeiou]y$"), F.concat(F.regexp_replace(snake, "y$", ""), F.lit("ies")))
+    return plural.when(snake.rlike("(ss|x|ch|sh)$"), F.concat(snake, F.lit("es"))).otherwise(F.concat(snake, F.lit("s")))
 
 
 def statement_target(sql: Column) -> Column:
-    """First table after FROM, INTO, UPDATE or TABLE; null if there is none."""
-    return F.nullif(F.regexp_extract(sql, "(?i)(?:FROM|INTO|UPDATE|TABLE)\\s+[`\"]?([A-Za-z0-9_.]+)", 1), F.lit(""))
+    """First word after FROM, INTO, UPDATE or TABLE; null if there is none."""
+    return F.nullif(F.regexp_extract(sql, r"(?i)\b(?:FROM|INTO|UPDATE|TABLE)\s+`?(\w+)`?", 1), F.lit(""))
 
 
 def truncate(col: Column, longest: int, keep: int, mark: str) -> Column:
@@ -98,19 +164,43 @@ def truncate(col: Column, longest: int, keep: int, mark: str) -> Column:
     return F.when(F.length(col) > longest, F.concat(F.substring(col, 1, keep), F.lit(mark))).otherwise(col)
 
 
+#: Variant types that a field of each kind may have.
+JSON_TYPES = {"bigint": ["BIGINT"], "int": ["BIGINT"], "double": ["BIGINT", "DOUBLE", "DECIMAL"], "string": ["STRING"], "boolean": ["BOOLEAN"]}
+
+
 def payload(col: Column, path: str, kind: str, default=None) -> Column:
-    """JSON field cast to kind; default where it is absent or of another type."""
-    return F.coalesce(F.get_json_object(col, path).try_cast(kind), F.lit(default).cast(kind))
+    """JSON field of the kind; default where it is absent or of another type (a text that looks like a number is a text)."""
+    field = F.try_variant_get(F.try_parse_json(col), path, "variant")
+    of_kind = F.regexp_extract(F.schema_of_variant(field), "^([A-Z]+)", 1).isin(*JSON_TYPES[kind])
+    return F.coalesce(F.when(of_kind, F.try_variant_get(field, "$", kind)), F.lit(default).cast(kind))
+
+
+def op_kind(method: Column) -> Column:
+    """read, write, invalidate or lock of a cache method; null for any other."""
+    return lookup(method, CACHE_OPERATIONS)
+
+
+def call_attrs(calls: DataFrame) -> DataFrame:
+    """calls(verb, url, key_source, ...) with host, asynchronous and address.
+
+    ``key_source`` is config or env where the address is read from there. An
+    address ending in ``…`` was put together at run time, an empty one is
+    dynamic, any other literal.
+    """
+    url = F.coalesce("url", F.lit(""))
+    address = F.when(F.col("key_source").isin("config", "env"), F.col("key_source")).when(url == "", "dynamic").when(url.endswith("…"), "constructed").otherwise("literal")
+    host = F.coalesce(F.try_parse_url(F.rtrim(url, F.lit("…")), F.lit("HOST")), F.lit(""))
+    return calls.withColumns({"host": host, "asynchronous": F.col("verb").endswith("Async"), "address": address})
 
 
 def is_async(edge_type: Column) -> Column:
-    """Whether an edge type names deferred work."""
-    return edge_type.rlike("(?i)queue|job|event|listener|broadcast|schedule")
+    """Whether an edge type fires and forgets: it leads to a job or to an event."""
+    return edge_type.contains("-to-job") | edge_type.contains("-to-event")
 
 
 def severity_rank(col: Column) -> Column:
-    """Position in none < low < medium < high < critical; unknown values count as none."""
-    return F.greatest(F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), F.coalesce(F.lower(col), F.lit("none"))) - 1, F.lit(0)).cast("int")
+    """Position in none < low < medium < high < critical; a missing value counts as low, an unknown one as none."""
+    return F.greatest(F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), F.coalesce(F.lower(col), F.lit("low"))) - 1, F.lit(0)).cast("int")
 
 
 def severity_name(rank: Column) -> Column:
@@ -123,10 +213,7 @@ def max_severity(col: Column) -> Column:
 
 
 def tab_bucket(category: Column, panel: Column) -> Column:
-    """Bucket of a tab: its panel if set, else the category with a capital first letter, else Other."""
-    named = F.concat(F.upper(F.substring(category, 1, 1)), F.substring(category, 2, 1000))
-    return F.when(F.length(panel) > 0, panel).when(F.length(category) > 0, named).otherwise(F.lit("Other"))
-
-
-def url_host(url: Column) -> Column:
-    return F.parse_url(url, F.lit("HOST"))
+    """Bucket of a tab by its category; tabs of panels by their panel's name with a capital first letter; else Other."""
+    named = F.concat(F.lit(f"{PANEL_CATEGORY} · "), F.upper(F.substring(panel, 1, 1)), F.regexp_replace(panel, "(?s)^.", ""), F.lit(" Panel"))
+    by_panel = F.when(F.length(panel) > 0, named).otherwise(F.lit(PANEL_CATEGORY))
+    return F.when(category == PANEL_CATEGORY, by_panel).otherwise(lookup(category, TAB_BUCKETS, "Other"))

@@ -13,7 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..plans.lineage import settle
+from ..functions.exprs import is_async, slug
+from ..lineage import settle
+from .aggs import collapse_messages, unique_slugs
+from .graph import ACTOR_RANKS, type_rank
 
 COMPACT = 8
 
@@ -23,10 +26,13 @@ def closure(edges: DataFrame, seeds: DataFrame, keys: Sequence[str] = (), max_de
 
     All keys advance in one loop and only rows new to their key expand. Seeds
     are always expanded; with ``expand(id)`` given, other ids only if listed.
-    Seeds need not be nodes; cycles end because a row is visited once.
+    Seeds need not be nodes; cycles end because a row is visited once. An
+    unbounded walk stores the edges it needs once; a bounded one, which may
+    touch few of them, reads them where they are.
     """
     a, b = ("target", "source") if reverse else ("source", "target")
-    step = settle(edges.select(F.col(a).alias("id"), F.col(b).alias("to")).distinct())
+    step = edges.select(F.col(a).alias("id"), F.col(b).alias("to"))
+    step = step.distinct() if max_depth is not None else settle(step.distinct())
     by = [*keys, "id"]
     frontier = settle(seeds.select(*by).distinct().withColumn("depth", F.lit(0)))
     levels, depth = [frontier], 0
@@ -50,6 +56,42 @@ def tab_closure(edges: DataFrame, seeds: DataFrame, skip_types: Sequence[str] =
     return closure(walked, seeds, ["tab_id"])
 
 
+def tab_seeds(routes: DataFrame | None = None, commands: DataFrame | None = None, channels: DataFrame | None = None, schedules: DataFrame | None = None, macros: DataFrame | None = None, pages: DataFrame | None = None) -> DataFrame:
+    """(tab_id, id, family): the seeds of all families of tabs, each table having (label, id, ord).
+
+    A tab is named by its label's slug, commands, channels and schedules with
+    their family in front. Rows of one label seed one tab together. A schedule
+    written twice (one id) is one tab, and schedules that share a slug are
+    numbered. All macros are one tab. Of two families that give one tab the
+    earlier one has it, in the order of the arguments.
+    """
+    parts = []
+
+    def add(rank: int, family: str, table: DataFrame | None, prefix: str = "") -> None:
+        if table is not None:
+            parts.append(table.select(slug(F.concat(F.lit(prefix), F.col("label"))).alias("tab_id"), "id", F.lit(family).alias("family"), F.lit(rank).alias("_rank")))
+
+    add(0, "route", routes)
+    add(1, "command", commands, "cmd ")
+    add(2, "channel", channels, "channel ")
+    if macros is not None:
+        parts.append(macros.select(F.lit("macros").alias("tab_id"), "id", F.lit("macro"), F.lit(3)))
+    if schedules is not None:
+        once = schedules.groupBy("id").agg(F.min(F.struct("ord", "label")).alias("s")).select("id", "s.ord", slug(F.concat(F.lit("schedule "), F.col("s.label"))).alias("slug"))
+        parts.append(unique_slugs(once, "slug", "ord").select("unique_slug", "id", F.lit("schedule"), F.lit(4)))
+    add(5, "page", pages)
+    seeds = settle(reduce(DataFrame.union, parts).distinct())
+    owner = seeds.groupBy("tab_id").agg(F.min("_rank").alias("_rank"))
+    return seeds.join(owner, ["tab_id", "_rank"], "left_semi").select("tab_id", "id", "family")
+
+
+def with_broadcasters(tab_nodes: DataFrame, channels: DataFrame, nodes: DataFrame, edges: DataFrame, kind: str = "event-to-channel") -> DataFrame:
+    """tab_nodes(tab_id, id) and, in the tabs of channels(tab_id, id), the existing sources of edges of the kind into the channel, which are not followed."""
+    into = edges.where(F.col("type") == kind).select(F.col("target").alias("id"), "source")
+    sent = channels.join(into, "id").select("tab_id", F.col("source").alias("id")).join(nodes.select("id"), "id", "left_semi").select("tab_id", "id")
+    return tab_nodes.select("tab_id", "id").union(sent).distinct()
+
+
 def tab_edges(tab_nodes: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(tab_id, source, target, type): every edge, of any type, with both ends existing in the tab."""
     have = tab_nodes.join(nodes.select("id"), "id", "left_semi").select("tab_id", "id")
@@ -74,12 +116,22 @@ def neighbourhood(nodes: DataFrame, edges: DataFrame, focal: DataFrame, depth: i
     return closure(edges, focal, max_depth=depth).join(nodes, "id")
 
 
-def attributed(edges: DataFrame, entries: DataFrame, nodes: DataFrame, through: Sequence[str], operations: Sequence[str]) -> DataFrame:
-    """(tab_id, id): targets of ``operations`` edges met on walks from entries(tab_id, id) through nodes of given types."""
-    walked = closure(edges, entries, ["tab_id"], expand=nodes.where(F.col("type").isin(*through)))
-    inside = walked.join(nodes.where(F.col("type").isin(*through)).select("id"), "id", "left_semi").select("tab_id", "id").union(entries.select("tab_id", "id")).distinct()
-    ops = edges.where(F.col("type").isin(*operations)).select(F.col("source").alias("id"), "target")
-    return inside.join(ops, "id").select("tab_id", F.col("target").alias("id")).distinct()
+#: Types through which the operations of an entry are followed.
+THROUGH = ("service", "repository", "mail", "notification", "abstract_class")
+
+
+def attributed(calls: DataFrame, entries: DataFrame, statements: DataFrame, through: Sequence[str] = THROUGH, operations: Sequence[str] = ("model",)) -> DataFrame:
+    """(tab_id, kind, operation), each once, of entries(tab_id, id) over calls(source, target, type), the type being the callee's.
+
+    Calls of the types ``through`` are followed. A visited method's calls of
+    the types ``operations`` count as operations of kind model, and each of
+    its statements(id, statement) as one of kind raw.
+    """
+    walked = closure(calls.where(F.col("type").isin(*through)), entries, ["tab_id"]).select("tab_id", "id")
+    hops = calls.where(F.col("type").isin(*operations)).select(F.col("source").alias("id"), F.col("target").alias("operation"))
+    models = walked.join(hops, "id").select("tab_id", F.lit("model").alias("kind"), "operation")
+    raw = walked.join(statements.select("id", F.col("statement").alias("operation")), "id").select("tab_id", F.lit("raw"), "operation")
+    return models.union(raw).distinct()
 
 
 def trace(edges: DataFrame, entries: DataFrame, nodes: DataFrame, expandable: Sequence[str], depth: int = 5) -> DataFrame:
@@ -130,13 +182,16 @@ def resolve_member(parents: DataFrame, methods: DataFrame, requests: DataFrame,
     return near.select(F.col("asked").alias("id"), "method", F.col("n.id").alias("declared_in"), F.col("n.depth").alias("depth"))
 
 
-def collapse(nodes: DataFrame, edges: DataFrame, collapsed: DataFrame, types: Sequence[str]) -> DataFrame:
-    """(id, hidden) per collapsed(id) node: descendants over edges whose ends are of visible types, itself not counted."""
+def collapse(nodes: DataFrame, edges: DataFrame, collapsed: DataFrame, types: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(id) hidden by any of collapsed(id), and (id, hidden): how many each of them hides, itself not counted.
+
+    A node hides its descendants over edges whose two ends are of visible types.
+    """
     shown = nodes.where(F.col("type").isin(*types)).select("id")
     seen = edges.join(shown.withColumnRenamed("id", "source"), "source", "left_semi").join(shown.withColumnRenamed("id", "target"), "target", "left_semi")
     below = closure(seen, collapsed.select(F.col("id").alias("top"), "id"), ["top"]).where("id <> top")
     counts = below.groupBy("top").agg(F.count("*").alias("hidden"))
-    return collapsed.select("id").join(counts, F.col("id") == F.col("top"), "left").select("id", F.coalesce("hidden", F.lit(0)).alias("hidden"))
+    return below.select("id").distinct(), collapsed.select("id").join(counts, F.col("id") == F.col("top"), "left").select("id", F.coalesce("hidden", F.lit(0)).alias("hidden"))
 
 
 def event_cascade(listener_edges: DataFrame, fired: DataFrame) -> DataFrame:
@@ -158,17 +213,41 @@ def grow(refs: DataFrame, seeds: DataFrame, rounds: int = 8) -> DataFrame:
     return closure(refs, seeds, max_depth=rounds)
 
 
-def expand_groups(names: DataFrame, groups: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(owner, name): the leaves of names(owner, name) after nested groups(group, pos, member) and aliases(alias, target).
+def _resolved(name, target):
+    """name with the part before its first colon replaced by target, if there is one; parameters stay."""
+    return F.when(target.isNull(), name).when(name.contains(":"), F.concat(target, F.regexp_replace(name, "^[^:]*", ""))).otherwise(target)
+
 
-    A name that is both a group and an alias is taken as the group; groups
-    that contain one another end.
+def expand_groups(names: DataFrame, groups: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(owner, name, place): what names(owner, pos, name) stand for, in the order in which it runs, each once.
+
+    A name that is, parameters and all, a group of groups(group, pos, member)
+    is replaced by its members, those that are groups too by theirs; a group
+    met again on its own path ends there, and one without members (a null
+    member) gives nothing. Any other name has the part before its colon
+    replaced by its aliases(alias, target). ``place`` is the path of positions
+    that led to a name; the first one counts.
     """
-    edges = groups.select(F.col("group").alias("source"), F.col("member").alias("target"))
-    met = closure(edges, names.select("owner", F.col("name").alias("id")), ["owner"])
-    leaves = met.join(groups.select(F.col("group").alias("id")).distinct(), "id", "left_anti")
-    known = aliases.select(F.col("alias").alias("id"), F.col("target").alias("named"))
-    return leaves.join(known, "id", "left").select("owner", F.coalesce("named", "id").alias("name")).distinct()
+    member = groups.select(F.col("group").alias("name"), F.col("pos").cast("long").alias("_pos"), "member")
+    front = settle(names.select("owner", "name", F.array(F.col("pos").cast("long")).alias("place"), F.array().cast("array<string>").alias("_path")))
+    leaves = []
+    while True:
+        leaves.append(front.join(member.select("name").distinct(), "name", "left_anti").select("owner", "name", "place"))
+        inner = front.where(~F.array_contains("_path", F.col("name"))).join(member, "name").where("member is not null")
+        front = settle(inner.select("owner", F.col("member").alias("name"), F.array_append("place", F.col("_pos")).alias("place"), F.array_append("_path", F.col("name")).alias("_path")))
+        if front.isEmpty():
+            break
+    known = aliases.groupBy(F.col("alias").alias("_head")).agg(F.min("target").alias("_to"))
+    out = reduce(DataFrame.union, leaves).withColumn("_head", F.substring_index("name", ":", 1)).join(known, "_head", "left")
+    return out.groupBy("owner", _resolved(F.col("name"), F.col("_to")).alias("name")).agg(F.min("place").alias("place"))
+
+
+def guard_names(names: DataFrame, groups: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(owner, name, place): every guard as it is written, its alias resolved, and then what it expands to; each once."""
+    known = aliases.groupBy(F.col("alias").alias("_head")).agg(F.min("target").alias("_to"))
+    written = names.withColumn("_head", F.substring_index("name", ":", 1)).join(known, "_head", "left")
+    written = written.select("owner", _resolved(F.col("name"), F.col("_to")).alias("name"), F.array(F.col("pos").cast("long")).alias("place"))
+    return written.union(expand_groups(names, groups, aliases)).groupBy("owner", "name").agg(F.min("place").alias("place"))
 
 
 def view_closure(view_refs: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -178,14 +257,40 @@ def view_closure(view_refs: DataFrame, seeds: DataFrame) -> tuple[DataFrame, Dat
     return met, edges.join(met.select(F.col("id").alias("source")), "source", "left_semi")
 
 
-def sequence(nodes: DataFrame, edges: DataFrame, route: DataFrame, actor_ranks: dict[str, int]) -> DataFrame:
-    """(pos, sender, receiver, label): calls in breadth-first order from route(id), each followed by its return."""
-    from ..functions.exprs import lookup
+def sequence(nodes: DataFrame, edges: DataFrame, route: DataFrame, ranks: dict[str, int] = ACTOR_RANKS, model: str = "model") -> tuple[DataFrame, DataFrame]:
+    """Participants and messages of the calls that start at the route(id).
 
-    met = closure(edges, route)
-    calls = met.join(edges, met.id == edges.source).select("depth", "source", "target", "type", "ord").distinct()
-    kind = nodes.select(F.col("id").alias("target"), lookup(F.col("type"), {k: str(v) for k, v in actor_ranks.items()}, "99").cast("int").alias("rank"))
-    calls = calls.join(kind, "target", "left")
-    back = calls.select("depth", "ord", "rank", F.col("target").alias("sender"), F.col("source").alias("receiver"), F.lit("return").alias("label"), F.lit(1).alias("part"))
-    rows = calls.select("depth", "ord", "rank", F.col("source").alias("sender"), F.col("target").alias("receiver"), F.col("type").alias("label"), F.lit(0).alias("part")).union(back)
-    return rows.select(F.struct("depth", "ord", "rank", F.when(F.col("part") == 0, F.col("receiver")).otherwise(F.col("sender")), "part").alias("pos"), "sender", "receiver", "label")
+    Participants (place, id, type): the client, every existing node met, by
+    type rank and id, and the database if a node of the type ``model`` is met.
+    Messages (pos, sender, receiver, label, asynchronous, is_return, times),
+    repeated ones once at their first position: the request, the calls between
+    two participants by the depth of the caller, then ord, then id, a query and
+    its result for each model, and the response. Labels of repeated messages
+    are marked ``×n``.
+    """
+    met = settle(closure(edges, route))
+    inside = nodes.join(met.select("id"), "id", "left_semi").withColumn("_rank", type_rank(F.col("type"), ranks))
+    people = inside.select(F.struct(F.lit(1).alias("part"), F.col("_rank").alias("rank"), F.col("id").alias("name")).alias("place"), "id", F.when(F.col("type") == "action", "controller").otherwise(F.col("type")).alias("type"))
+    place = lambda part, name: F.struct(F.lit(part).alias("part"), F.lit(0).alias("rank"), F.lit(name).alias("name"))
+    client = route.select("id").limit(1).select(place(0, "").alias("place"), F.lit("__client__").alias("id"), F.lit("client").alias("type"))
+    database = inside.where(F.col("type") == model).limit(1).select(place(2, "").alias("place"), F.lit("__db__").alias("id"), F.lit("db").alias("type"))
+    actors = client.union(people).union(database)
+
+    ids = inside.select("id")
+    first = route.join(ids, "id", "left_semi").select("id")
+    at = lambda part, depth, ord, name, step: F.struct(F.lit(part).alias("part"), depth.cast("long").alias("depth"), ord.cast("long").alias("ord"), name.alias("name"), F.lit(step).alias("step"))
+    zero = F.lit(0)
+    row = lambda pos, a, b, label, late, back: [pos.alias("pos"), a.alias("sender"), b.alias("receiver"), F.coalesce(label, F.lit("")).alias("label"), late.alias("asynchronous"), F.lit(back).alias("is_return")]
+    no, client_id, db = F.lit(False), F.lit("__client__"), F.lit("__db__")
+    calls = met.join(edges, met.id == edges.source).where("source <> target").join(ids.select(F.col("id").alias("source")), "source", "left_semi").join(ids.select(F.col("id").alias("target")), "target", "left_semi")
+    name = F.concat_ws(">", "source", "target")
+    rows = calls.select(*row(at(1, F.col("depth"), F.col("ord"), name, 0), F.col("source"), F.col("target"), F.col("label"), is_async(F.col("type")), False))
+    models = inside.where(F.col("type") == model)
+    for df, values in (
+        (first, row(at(0, zero, zero, F.col("id"), 0), client_id, F.col("id"), F.lit("request"), no, False)),
+        (models, row(at(2, zero, zero, F.col("id"), 0), F.col("id"), db, F.lit("query"), no, False)),
+        (models, row(at(2, zero, zero, F.col("id"), 1), db, F.col("id"), F.lit("result"), no, True)),
+        (first, row(at(3, zero, zero, F.col("id"), 0), F.col("id"), client_id, F.lit("response"), no, True)),
+    ):
+        rows = rows.union(df.select(*values))
+    return actors, collapse_messages(rows, ["sender", "receiver", "label", "asynchronous", "is_return"])

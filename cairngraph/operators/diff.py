@@ -17,39 +17,63 @@ def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def edge_delta(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("source", "target", "type")) -> DataFrame:
-    """(keys..., occurrence, side): edges, repeated ones by their number, on one side only."""
-    numbered = lambda df: df.withColumn("occurrence", F.row_number().over(W.partitionBy(*keys).orderBy(*keys)) - 1).select(*keys, "occurrence")
-    on = [*keys, "occurrence"]
-    both = numbered(old).withColumn("_o", F.lit(1)).join(numbered(new).withColumn("_n", F.lit(1)), on, "full")
-    return both.where("_o is null or _n is null").select(*on, F.when(F.col("_o").isNull(), "added").otherwise("removed").alias("side"))
+    """(keys..., occurrence, side): edges, repeated ones by their number, on one side only.
+
+    Equal edges are counted and not numbered one by one, so an edge repeated
+    without end is one row until the numbers on one side only are given.
+    """
+    count = lambda df, name: df.groupBy(*keys).agg(F.count("*").alias(name))
+    both = count(old, "_o").join(count(new, "_n"), list(keys), "full").na.fill(0, ["_o", "_n"]).where("_o <> _n")
+    numbers = F.sequence(F.least("_o", "_n"), F.greatest("_o", "_n") - 1)
+    return both.select(*keys, F.explode(numbers).alias("occurrence"), F.when(F.col("_o") < F.col("_n"), "added").otherwise("removed").alias("side"))
+
+
+EDGE = ("source", "target", "type")
 
 
-def owned_equal(old: DataFrame, new: DataFrame) -> DataFrame:
-    """One row (equal): whether two edge tables hold the same rows as often."""
-    cols = old.columns
-    a = old.groupBy(*cols).agg(F.count("*").alias("_a"))
-    b = new.groupBy(*cols).agg(F.count("*").alias("_b"))
-    odd = a.join(b, cols, "full").where(F.coalesce("_a", F.lit(0)) != F.coalesce("_b", F.lit(0)))
+def owned_edges(nodes: DataFrame, edges: DataFrame, files: DataFrame) -> DataFrame:
+    """Edges whose source node lies in one of files(file)."""
+    owners = nodes.join(files.select("file").distinct(), "file", "left_semi").select(F.col("id").alias("source")).distinct()
+    return edges.join(owners, "source", "left_semi").select(*edges.columns)
+
+
+def owned_equal(old_nodes: DataFrame, old_edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame, files: DataFrame, keys: Sequence[str] = EDGE) -> DataFrame:
+    """One row (equal): whether files(file) own the same edges, as often, in both builds."""
+    count = lambda n, e, name: owned_edges(n, e, files).groupBy(*keys).agg(F.count("*").alias(name))
+    both = count(old_nodes, old_edges, "_a").join(count(new_nodes, new_edges, "_b"), list(keys), "full")
+    odd = both.where(F.coalesce("_a", F.lit(0)) != F.coalesce("_b", F.lit(0)))
     return odd.agg((F.count("*") == 0).alias("equal"))
 
 
 def unbacked(providers: DataFrame) -> DataFrame:
-    """providers with ``missing``: promised keys that are not registered; none for dynamic promises or without registrations."""
-    empty = F.array().cast("array<string>")
-    return providers.withColumn("missing", F.when(F.col("provides_dynamic") | (F.size("binding_keys") <= 0), empty).otherwise(F.array_sort(F.array_except("provides", "binding_keys"))))
+    """providers with ``missing``: promised keys that are not registered.
+
+    None if the provider is not deferred, promises dynamically or is not seen
+    to register anything.
+    """
+    silent = ~F.col("deferred") | F.col("provides_dynamic") | (F.size("binding_keys") <= 0)
+    return providers.withColumn("missing", F.when(silent, F.array().cast("array<string>")).otherwise(F.array_sort(F.array_except("provides", "binding_keys"))))
 
 
 def provider_defects(providers: DataFrame) -> DataFrame:
-    """providers with ``defect``: never boots, promises unbacked keys, uses the legacy flag; in this order."""
+    """providers with ``defect``: never-boots, else unbacked-provides, else legacy-defer (the old flag on an eager provider), else null."""
     never = F.col("deferred") & (F.size("provides") <= 0) & (F.size("when_events") <= 0) & ~F.col("provides_dynamic")
-    return unbacked(providers).withColumn("defect", F.when(never, "never-boots").when(F.col("deferred") & (F.size("missing") > 0), "unbacked").when(F.col("legacy_defer"), "legacy-flag"))
+    old_flag = F.col("legacy_defer") & ~F.col("deferred")
+    return unbacked(providers).withColumn("defect", F.when(never, "never-boots").when(F.size("missing") > 0, "unbacked-provides").when(old_flag, "legacy-defer"))
+
 
+def tab_status(new: DataFrame, prev: DataFrame | None = None) -> DataFrame:
+    """(tab_id, status) of a manifest against the one before: new, changed or unchanged by nodes:edges:risk.
 
-def tab_status(new: DataFrame, prev: DataFrame) -> DataFrame:
-    """(tab_id, status) by nodes:edges:risk of two manifests: new, changed or unchanged."""
-    mark = F.concat_ws(":", "node_count", "edge_count", "risk_level")
+    Missing counts are 0 and a missing risk is none. Without a manifest before,
+    and for tabs without an id, everything is unchanged.
+    """
+    mark = F.concat_ws(":", F.coalesce("node_count", F.lit(0)), F.coalesce("edge_count", F.lit(0)), F.coalesce("risk_level", F.lit("none")))
+    if prev is None:
+        return new.select("tab_id", F.lit("unchanged").alias("status"))
     both = new.select("tab_id", mark.alias("_n")).join(prev.select("tab_id", mark.alias("_p")), "tab_id", "left")
-    return both.select("tab_id", F.when(F.col("_p").isNull(), "new").when(F.col("_n") != F.col("_p"), "changed").otherwise("unchanged").alias("status"))
+    status = F.when(F.col("tab_id").isNull(), "unchanged").when(F.col("_p").isNull(), "new").when(F.col("_n") != F.col("_p"), "changed")
+    return both.select("tab_id", status.otherwise("unchanged").alias("status"))
 
 
 def count_changes(base: DataFrame, head: DataFrame) -> DataFrame:
@@ -58,9 +82,22 @@ def count_changes(base: DataFrame, head: DataFrame) -> DataFrame:
     return both.where(~F.col("base").eqNullSafe(F.col("head")))
 
 
-def graph_signature(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(id, signature): hash of a node's fields."""
-    return nodes.select("id", F.md5(F.concat_ws("|", *keys)).alias("signature"))
+def _numbered(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """edges with ``occurrence``, the number of the edge among those of equal keys, which are interchangeable."""
+    return edges.withColumn("occurrence", F.row_number().over(W.partitionBy(*keys).orderBy(*keys)) - 1)
+
+
+def graph_signature(nodes: DataFrame, edges: DataFrame, fields: Sequence[str] = ("type", "label"), keys: Sequence[str] = EDGE) -> DataFrame:
+    """(kind, id, signature): hashes of what nodes and edges say, edges being named by their content and occurrence."""
+    n = nodes.select(F.lit("node").alias("kind"), "id", F.md5(F.concat_ws("|", *fields)).alias("signature"))
+    name = F.concat_ws("|", *keys)
+    return n.union(_numbered(edges, keys).select(F.lit("edge"), F.concat(name, F.lit("#"), F.col("occurrence").cast("string")), F.md5(name)))
+
+
+def signature_diff(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(kind, id): elements of two signatures that differ or are on one side only; none means equal graphs."""
+    both = a.withColumnRenamed("signature", "_a").join(b.withColumnRenamed("signature", "_b"), ["kind", "id"], "full")
+    return both.where(~F.col("_a").eqNullSafe(F.col("_b"))).select("kind", "id")
 
 
 def line_delta(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -84,25 +121,49 @@ def dirty_set(old_nodes: DataFrame, new_nodes: DataFrame, delta: DataFrame, file
     return owned.union(delta.select("source")).union(delta.select("target")).distinct()
 
 
-def reconstruct(old: DataFrame, new: DataFrame, dirty: DataFrame) -> DataFrame:
-    """Rows of the new build, the old row being reused for ids that are not dirty."""
-    cols = [c for c in new.columns if c != "id"]
-    marked = new.join(dirty.select("id", F.lit(True).alias("_d")), "id", "left").alias("n")
-    reuse = F.col("n._d").isNull() & F.col("o.id").isNotNull()
-    return marked.join(old.alias("o"), F.col("n.id") == F.col("o.id"), "left").select("n.id", *[F.when(reuse, F.col(f"o.`{c}`")).otherwise(F.col(f"n.`{c}`")).alias(c) for c in cols])
+def reconstruct(old_nodes: DataFrame, old_edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame, files: DataFrame, keys: Sequence[str] = EDGE) -> tuple[DataFrame, DataFrame]:
+    """The new build's nodes(id, file, ...) and edges(keys..., ...), old rows being reused for all that is not dirty.
 
-
-def apply_partial(old: DataFrame, partial: DataFrame, files: DataFrame) -> DataFrame:
-    """The old nodes with those of changed files replaced by partial; kept ids keep their old ord, new ids follow."""
-    kept = old.join(files, "file", "left_anti")
-    places = old.select("id", F.col("ord").alias("_ord"))
-    last = old.agg(F.coalesce(F.max("ord"), F.lit(0)).alias("_last"))
-    fresh = partial.join(files, "file", "left_semi").join(places, "id", "left").join(F.broadcast(last)).withColumn("ord", F.coalesce("_ord", F.col("_last") + 1 + F.col("ord")))
-    return kept.select(*old.columns).union(fresh.select(*old.columns))
-
-
-def scope_decision(diff: DataFrame, roots: Sequence[str]) -> DataFrame:
-    """One row (decision, files): none without a change, full if the path set changed or a path lies outside the roots, else list."""
+    Dirty are the nodes and edges of the changed files in either build, edges
+    on one side only and the ends of those.
+    """
+    on = [*keys, "occurrence"]
+    was, now = _numbered(old_edges, keys), _numbered(new_edges, keys)
+    delta = edge_delta(old_edges, new_edges, keys)
+    dirty = dirty_set(old_nodes, new_nodes, delta, files)
+    nodes = _reuse(old_nodes, new_nodes, dirty, ["id"])
+    owned = owned_edges(old_nodes, was, files).select(*on).union(owned_edges(new_nodes, now, files).select(*on)).union(delta.select(*on)).distinct()
+    return nodes, _reuse(was, now, owned, on).drop("occurrence")
+
+
+def _reuse(old: DataFrame, new: DataFrame, dirty: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of new, those of old in their place where the key is in both and not dirty."""
+    cols = [c for c in new.columns if c not in on]
+    was = old.join(dirty, on, "left_anti").select(*on, F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_was"))
+    met = new.select(*on, F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_now")).join(was, on, "left")
+    return met.select(*on, F.coalesce("_was", "_now").alias("_row")).select(*on, "_row.*").select(*new.columns)
+
+
+def apply_partial(old_nodes: DataFrame, old_edges: DataFrame, partial_nodes: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The old graph with the nodes of changed files(file) replaced by those of the partial build, at their old ord.
+
+    A node that the partial build no longer has is dropped. All edges are kept:
+    this is only right where owned_equal holds, and then there is no new node.
+    """
+    owned = old_nodes.select("id", "file").union(partial_nodes.select("id", "file")).join(files, "file", "left_semi").select("id").distinct()
+    kept = old_nodes.join(owned, "id", "left_anti")
+    cols = [c for c in old_nodes.columns if c != "ord"]
+    places = old_nodes.select("id", "ord").join(owned, "id", "left_semi")
+    fresh = partial_nodes.select(*cols).join(places, "id")
+    return kept.select(*old_nodes.columns).union(fresh.select(*old_nodes.columns)), old_edges
+
+
+def scope_decision(diff: DataFrame, roots: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(by..., decision, files): full if the path set changed or a path lies outside the roots, else list.
+
+    Without ``by`` there is one row, and none without a change; by projects,
+    those without a change are not in diff and have no row.
+    """
     outside = ~F.coalesce(F.greatest(*[F.col("path").startswith(r).cast("int") for r in roots], F.lit(0)), F.lit(0)).cast("boolean")
-    facts = diff.agg(F.count("*").alias("n"), F.count_if((F.col("change") != "modified") | outside).alias("hard"))
-    return facts.select(F.when(F.col("n") == 0, "none").when(F.col("hard") > 0, "full").otherwise("list").alias("decision"), F.col("n").alias("files"))
+    facts = diff.groupBy(*by).agg(F.count("path").alias("n"), F.count_if((F.col("change") != "modified") | outside).alias("hard"))
+    return facts.select(*by, F.when(F.col("n") == 0, "none").when(F.col("hard") > 0, "full").otherwise("list").alias("decision"), F.col("n").alias("files"))

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.exprs import lookup, max_severity, severity_rank
+
 
 def valid_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges whose two ends exist."""
@@ -66,19 +69,25 @@ def edge_ids(edges: DataFrame, keys: Sequence[str] = ("source", "target", "type"
 
 
 def usages(nodes: DataFrame, edges: DataFrame, ids: DataFrame | None = None) -> DataFrame:
-    """(id, file, callers): distinct direct callers of each node by the caller's file.
+    """(id, file, callers): distinct direct callers of each node by the caller's file, most first.
 
-    Self-loops do not count; a caller without a file is a group of its own.
+    Self-loops and empty sources do not count. A caller without a file, or
+    that is no node, is a group of its own, named ``#`` and its id.
     """
-    calls = edges.where("source <> target").select(F.col("target").alias("id"), "source").distinct()
-    calls = calls if ids is None else calls.join(ids.select("id"), "id", "left_semi")
-    files = nodes.select(F.col("id").alias("source"), F.coalesce("file", F.concat(F.lit("#"), F.col("id"))).alias("file"))
-    return calls.join(files, "source").groupBy("id", "file").agg(F.count("*").alias("callers"))
-
-
-def focal(nodes: DataFrame, key: str) -> DataFrame:
-    """The node with that id, else the first by ord whose label equals key in any case."""
-    rank = F.when(F.col("id") == key, 0).when(F.lower("label") == key.lower(), 1)
+    calls = edges.where("source <> target and source <> ''").select(F.col("target").alias("id"), "source").distinct()
+    calls = calls.join((nodes if ids is None else ids).select("id").distinct(), "id", "left_semi")
+    files = nodes.select(F.col("id").alias("source"), F.nullif("file", F.lit("")).alias("file")).dropDuplicates(["source"])
+    met = calls.join(files, "source", "left").select("id", F.coalesce("file", F.concat(F.lit("#"), "source")).alias("file"))
+    return met.groupBy("id", "file").agg(F.count("*").alias("callers")).orderBy("id", F.desc("callers"), F.col("file").startswith("#"), "file")
+
+
+def focal(nodes: DataFrame, id: str | None = None, label: str | None = None) -> DataFrame:
+    """The node of that id, else the first by ord whose label or uri equals the label in any case."""
+    rank = F.when(F.col("id") == F.lit(id), 0)
+    named = F.lower("label") == F.lit((label or "").lower())
+    if "uri" in nodes.columns and label:
+        named = named | (F.lower("uri") == label.lower())
+    rank = rank if label is None else rank.when(named, 1)
     return nodes.withColumn("_r", rank).where("_r is not null").orderBy("_r", "ord").limit(1).drop("_r")
 
 
@@ -87,21 +96,27 @@ def tab_rollup(tab_nodes: DataFrame, seeds: DataFrame, nodes: DataFrame) -> Data
 
     nodes has id, severity (null: no finding) and smell (boolean).
     """
-    from ..functions.exprs import max_severity
-
     facts = nodes.select("id", "severity", "smell")
-    entry = seeds.join(facts, "id", "left").groupBy("tab_id").agg(F.count("severity").alias("security"), max_severity(F.col("severity")).alias("worst"))
+    worst = max_severity(F.coalesce("severity", F.lit("none")))
+    entry = seeds.join(facts, "id", "left").groupBy("tab_id").agg(F.count("severity").alias("security"), worst.alias("worst"))
     smells = tab_nodes.join(facts, "id").groupBy("tab_id").agg(F.count_if("smell").alias("smells"))
     both = entry.join(smells, "tab_id", "left").withColumn("smells", F.coalesce("smells", F.lit(0)))
     return both.select("tab_id", "security", "worst", "smells", (F.col("security") + F.col("smells")).alias("total"))
 
 
-def actor_order(nodes: DataFrame, ranks: dict[str, int]) -> DataFrame:
-    """nodes with place: by type rank, then id."""
-    from ..functions.exprs import lookup
+#: Actors of a sequence from left to right.
+ACTOR_RANKS = {t: n for n, t in enumerate("route middleware controller action validation_request action_class service model event job command channel schedule view mail notification enum interface trait abstract_class service_provider ai_agent ai_tool".split())}
+
+
+def type_rank(kind: Column, ranks: dict[str, int] = ACTOR_RANKS) -> Column:
+    """Place of a node type among the actors; an action stands as its controller, an unknown type last (99)."""
+    plain = F.when(kind == "action", "controller").otherwise(kind) if "controller" in ranks else kind
+    return lookup(plain, {k: str(v) for k, v in ranks.items()}, "99").cast("int")
 
-    rank = lookup(F.col("type"), {k: str(v) for k, v in ranks.items()}, "99").cast("int")
-    return nodes.withColumn("type_rank", rank)
+
+def actor_order(nodes: DataFrame, ranks: dict[str, int] = ACTOR_RANKS) -> DataFrame:
+    """nodes with type_rank, ordered by it and then by id."""
+    return nodes.withColumn("type_rank", type_rank(F.col("type"), ranks)).orderBy("type_rank", "id")
 
 
 def any_flag(steps: DataFrame, flag: str) -> DataFrame:
@@ -116,16 +131,30 @@ def flatten_calls(steps: DataFrame, field: str) -> DataFrame:
 
 def tab_list(manifest: DataFrame, mode: str, query: str | None = None, verbs: Sequence[str] = ()) -> DataFrame:
     """Tabs by substring of their label and by verb: ``risk`` keeps those above none, most severe first; ``recent`` the new and changed."""
-    from ..functions.exprs import severity_rank
-
     out = manifest if not query else manifest.where(F.lower("label").contains(query.lower()))
     out = out.where(F.col("verb").isin(*verbs)) if verbs else out
     if mode == "recent":
         return out.where(F.col("status").isin("new", "changed")).orderBy("status", "tab_id")
-    rank = severity_rank(F.col("risk_level"))
+    rank = severity_rank(F.coalesce("risk_level", F.lit("none")))
     return out.withColumn("severity", rank).where("severity > 0").orderBy(F.desc("severity"), "tab_id")
 
 
+def refine_types(nodes: DataFrame, facades: DataFrame, validators: DataFrame, roots: Sequence[str], default: str = "service") -> DataFrame:
+    """nodes(id, fqcn, type, file) where a node of the default type may turn out to be of another.
+
+    In this order: ``facade`` if facades(fqcn) has its class, else
+    ``validation_request`` if validators(file) has its file, else
+    ``action_class`` if its file lies under one of the roots.
+    """
+    plain = F.col("type") == default
+    known = facades.select(F.col("fqcn").alias("_facade")).distinct()
+    checked = validators.select(F.col("file").alias("_checked")).distinct()
+    out = nodes.join(known, plain & (F.col("fqcn") == F.col("_facade")), "left").join(checked, plain & (F.col("file") == F.col("_checked")), "left")
+    inside = reduce(lambda a, b: a | b, [F.col("file").startswith(r.rstrip("/") + "/") for r in roots], F.lit(False))
+    kind = F.when(F.col("_facade").isNotNull(), "facade").when(F.col("_checked").isNotNull(), "validation_request").when(F.coalesce(inside, F.lit(False)), "action_class").otherwise(default)
+    return out.withColumn("type", F.when(plain, kind).otherwise(F.col("type"))).drop("_facade", "_checked")
+
+
 def stated(table: DataFrame, settings: Sequence[str]) -> DataFrame:
     """Rows that state some setting: not null, not false, not an empty string or array."""
     keep = F.lit(False)

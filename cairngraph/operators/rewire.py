@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .closure import guard_names
+
 
 def resolve_alias(names: DataFrame, aliases: DataFrame, col: str = "name") -> DataFrame:
     """names with ``resolved``: the part before the first ``:`` replaced by its aliases(alias, target), parameters kept."""
@@ -46,9 +49,9 @@ def priority_resolve(keys: DataFrame, *sources: DataFrame) -> DataFrame:
     return ranked.where("value is not null and value <> key").groupBy("key").agg(best).select("key", "b.value", "b.rank")
 
 
-def template_match(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(left, right): templates that agree once every ``{name}`` is ``{}``; the first right one (ord) counts."""
-    norm = lambda c: F.regexp_replace(c, r"\{[^}/]*\}", "{}")
+def template_match(left: DataFrame, right: DataFrame, sep: str = ".") -> DataFrame:
+    """(left, right): templates that agree once every segment that is wholly a ``{name}`` is ``{}``; the first right one (ord) counts."""
+    norm = lambda c: F.array_join(F.transform(F.split(c, re.escape(sep)), lambda x: F.when(x.startswith("{") & x.endswith("}"), "{}").otherwise(x)), sep)
     first = right.groupBy(norm("template").alias("_t")).agg(F.min_by("template", "ord").alias("right"))
     return left.select(F.col("template").alias("left"), norm("template").alias("_t")).join(first, "_t").select("left", "right")
 
@@ -66,21 +69,28 @@ def provides_edges(providers: DataFrame, nodes: DataFrame) -> DataFrame:
     return each.join(nodes.select("fqcn", F.col("id").alias("source")), "fqcn").select("source", "target").distinct()
 
 
-def er_graph(models: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entity nodes (id, external) and edges (source, target, type) of models(fqcn, relationships array<struct<type, related>>).
+def er_graph(models: DataFrame, stats: DataFrame | None = None, schemas: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Entity nodes (id, external, stats, schema) and edges (source, target, type) of models(fqcn, table, relationships array<struct<type, related>>).
 
-    A related entity is resolved by its full name, else by its short name if
-    that is unique, else it is an external placeholder.
+    A related entity is resolved by its full name; one written without a
+    namespace else by its short name, in any case, if that is unique; the rest
+    are external placeholders. stats(table, ...) and schemas(table, ...) are
+    stamped as structs on the entities of their table; without one the column
+    is null.
     """
-    short = F.substring_index("fqcn", "\\", -1)
+    short = F.lower(F.substring_index("fqcn", "\\", -1))
     unique = models.groupBy(short.alias("_short")).agg(F.min("fqcn").alias("_by_short"), F.count("*").alias("_n")).where("_n = 1").drop("_n")
-    rel = models.select(F.col("fqcn").alias("source"), F.explode("relationships").alias("r")).select("source", "r.type", "r.related")
+    rel = models.select(F.col("fqcn").alias("source"), F.explode("relationships").alias("r")).select("source", "r.type", F.regexp_replace("r.related", r"^\\+", "").alias("related")).where("related <> ''")
     full = models.select(F.col("fqcn").alias("related"), F.col("fqcn").alias("_full"))
-    rel = rel.join(full, "related", "left").withColumn("_short", F.substring_index("related", "\\", -1)).join(unique, "_short", "left")
+    bare = F.when(~F.col("related").contains("\\"), F.lower("related"))
+    rel = rel.join(full, "related", "left").withColumn("_short", bare).join(unique, "_short", "left")
     edges = rel.select("source", F.coalesce("_full", "_by_short", "related").alias("target"), "type").distinct()
-    ids = models.select(F.col("fqcn").alias("id"), F.lit(False).alias("external"))
-    missing = edges.select(F.col("target").alias("id")).distinct().join(ids, "id", "left_anti").withColumn("external", F.lit(True))
-    return ids.union(missing), edges
+    ids = models.select(F.col("fqcn").alias("id"), "table", F.lit(False).alias("external"))
+    for name, facts in (("stats", stats), ("schema", schemas)):
+        given = facts.select("table", F.struct(*[c for c in facts.columns if c != "table"]).alias(name)) if facts is not None else None
+        ids = ids.withColumn(name, F.lit(None)) if given is None else ids.join(given, "table", "left")
+    missing = edges.select(F.col("target").alias("id")).distinct().join(ids.select("id"), "id", "left_anti").withColumn("external", F.lit(True))
+    return ids.unionByName(missing, allowMissingColumns=True).drop("table"), edges
 
 
 def stamp(nodes: DataFrame, facts: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
@@ -94,13 +104,34 @@ def range_findings(findings: DataFrame, spans: DataFrame) -> DataFrame:
     return met.where(F.col("line").isNull() | F.col("line").between(F.col("first"), F.col("last")))
 
 
-def evidence(unreached: DataFrame, **mentions: DataFrame) -> DataFrame:
-    """(id, file, evidence): for unreached(id, file), which of the mention tables (id, file) name it from another file."""
-    out = unreached
-    for name, table in mentions.items():
-        hit = unreached.select("id", "file").join(table.select("id", F.col("file").alias("_f")), "id").where("_f <> file").select("id").distinct().withColumn(f"_{name}", F.lit(name))
-        out = out.join(hit, "id", "left")
-    return out.select("id", "file", F.array_compact(F.array(*[F.col(f"_{n}") for n in mentions])).alias("evidence"))
+def inherited(classes: DataFrame, reached: DataFrame) -> DataFrame:
+    """(id): what classes(id, parent, interfaces, traits) that are reached(id) extend, implement or use."""
+    near = classes.join(reached.select("id").distinct(), "id", "left_semi")
+    each = near.select(F.explode(F.concat(F.array("parent"), F.coalesce("interfaces", F.array().cast("array<string>")), F.coalesce("traits", F.array().cast("array<string>")))).alias("id"))
+    return each.where("id is not null and id <> ''").distinct()
+
+
+def evidence(unreached: DataFrame, bound: DataFrame, facades: DataFrame, inherited: DataFrame, configured: DataFrame, mentioned: DataFrame) -> DataFrame:
+    """(id, file, evidence): for unreached(id, file), what speaks for it though nothing reaches it.
+
+    In this order: facade if facades(id) names it, else bound if bound(id)
+    does; configured if configured(id, file) names it from another file;
+    inherited if inherited(id) does; mentioned if mentioned(id, file) names it
+    from another file.
+    """
+    found = None
+    for n, (name, table) in enumerate({"facade": facades, "bound": bound, "configured": configured, "inherited": inherited, "mentioned": mentioned}.items()):
+        hit = unreached.select("id", "file")
+        if name in ("configured", "mentioned"):
+            hit = hit.join(table.select("id", F.col("file").alias("_f")), "id").where("not (_f <=> file)")
+        else:
+            hit = hit.join(table.select("id"), "id", "left_semi")
+        hit = hit.select("id", F.lit(n).alias("n"), F.lit(name).alias("name")).distinct()
+        found = hit if found is None else found.union(hit)
+    listed = found.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("n", "name"))).alias("_all"))
+    names = F.coalesce(F.transform("_all", lambda x: x["name"]), F.array().cast("array<string>"))
+    names = F.when(F.array_contains(names, "facade"), F.filter(names, lambda x: x != "bound")).otherwise(names)
+    return unreached.join(listed, "id", "left").select("id", "file", names.alias("evidence"))
 
 
 def first_existing(candidates: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -139,15 +170,22 @@ def assemble_calls(call_edges: DataFrame, listener_edges: DataFrame, kind: str =
     return ends.groupBy("id").agg(F.min("type").alias("type")), edges
 
 
-def assemble_routes(routes: DataFrame, guards: DataFrame) -> DataFrame:
-    """(source, target, type) of routes(id, controller, action, middlewares) and guards(controller, name, only, except)."""
-    to_controller = routes.select(F.col("id").alias("source"), F.col("controller").alias("target"), F.lit("route-to-controller").alias("type"))
-    to_action = routes.select("controller", F.concat_ws("::", "controller", "action"), F.lit("controller-to-action"))
-    own = routes.select("id", F.explode("middlewares"), F.lit("route-to-guard"))
-    applies = (F.size("only") <= 0) | F.array_contains("only", F.col("action"))
-    applies = applies & ~F.array_contains("except", F.col("action"))
-    given = routes.join(guards, "controller").where(applies).select("id", "name", F.lit("route-to-guard"))
-    return to_controller.union(to_action).union(own).union(given).distinct()
+def assemble_routes(routes: DataFrame, guards: DataFrame, groups: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(source, target, type) of routes(id, controller, action, middlewares) and guards(controller, name, only, except).
+
+    A controller's guard applies to a route whose action is in ``only`` (null:
+    any) and not in ``except`` (null: none). Guards are resolved through
+    groups(group, pos, member) and aliases(alias, target), what is written
+    being kept. Routes without a controller, or to a closure, lead to none.
+    """
+    named = routes.where("controller <> '' and controller <> 'Closure'")
+    to_controller = named.select(F.col("id").alias("source"), F.col("controller").alias("target"), F.lit("route-to-controller").alias("type"))
+    to_action = named.where("action <> ''").select("controller", F.concat_ws("::", "controller", "action"), F.lit("controller-to-action"))
+    own = routes.select(F.col("id").alias("owner"), F.posexplode("middlewares").alias("pos", "name"))
+    applies = (F.col("only").isNull() | F.array_contains("only", F.col("action"))) & ~F.coalesce(F.array_contains("except", F.col("action")), F.lit(False))
+    given = routes.join(guards, "controller").where(applies).select("id", F.lit(1 << 20), "name")
+    guarded = guard_names(own.select("owner", "pos", "name").union(given), groups, aliases)
+    return to_controller.union(to_action).union(guarded.select("owner", "name", F.lit("route-to-guard"))).distinct()
 
 
 def edges_from(table: DataFrame, spec: Sequence[tuple[Column, Column, str]]) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import contains_any, truncate
+from ..functions.exprs import contains_any, glob_match, truncate
 
 
 def rule_scan(sources: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
@@ -23,9 +23,21 @@ def rule_scan(sources: DataFrame, rules: Sequence[tuple[str, str, str]]) -> Data
     return each.select("file", "line", "r.rule", "r.severity", F.explode("r.hits").alias("hit")).withColumn("snippet", truncate(F.col("hit"), 60, 57, "...")).drop("hit")
 
 
-def finding_severity(findings: DataFrame, risky: Sequence[str]) -> DataFrame:
-    """findings(message, tainted) with severity: critical if tainted, high with a risky word, else medium."""
-    return findings.withColumn("severity", F.when(F.coalesce("tainted", F.lit(False)), "critical").when(contains_any(F.col("message"), list(risky)), "high").otherwise("medium"))
+# Words that tell of raw user content.
+RISKY_WORDS = "html body content description text message comment note remark bio about summary input data raw unsafe user post output".split()
+
+
+def finding_severity(findings: DataFrame, tainted: DataFrame, risky: Sequence[str] = RISKY_WORDS) -> DataFrame:
+    """findings(file, message, ...) with severity: high if the message, in any case, holds a name of tainted(file, name) or a risky word, else medium."""
+    names = tainted.groupBy("file").agg(F.collect_set(F.lower("name")).alias("_names"))
+    low = F.lower("message")
+    hit = F.coalesce(F.exists("_names", lambda n: low.contains(n)), F.lit(False))
+    return findings.join(names, "file", "left").withColumn("severity", F.when(hit | F.coalesce(contains_any(F.col("message"), list(risky)), F.lit(False)), "high").otherwise("medium")).drop("_names")
+
+
+def page_refs(pages: DataFrame) -> DataFrame:
+    """(page_id, href): the distinct addresses within the site that pages(page_id, html) refer to."""
+    return pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), F.lit(1))).alias("href")).distinct()
 
 
 def template_refs(sources: DataFrame, names: DataFrame) -> DataFrame:
@@ -66,8 +78,6 @@ def name_mentions(sources: DataFrame, names: DataFrame, token: str = r"([A-Za-z0
 
 def under_roots(paths: DataFrame, roots: Sequence[str], globs: Sequence[str] = ()) -> DataFrame:
     """paths(path) with ``inside``: under a root, or matching a glob."""
-    from ..functions.exprs import glob_match
-
     inside = F.lit(False)
     for r in roots:
         inside = inside | F.col("path").startswith(r.rstrip("/") + "/") | (F.col("path") == r.rstrip("/"))

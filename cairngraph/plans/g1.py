@@ -47,22 +47,39 @@ EDGES_SQL = " UNION ALL ".join(f"SELECT {'DISTINCT ' if d else ''}'{a}::' || {ak
 G = f"WITH RECURSIVE nodes AS ({NODES_SQL}), edges AS ({EDGES_SQL})"
 
 
-def cut_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    """Without orders before 2001."""
-    late = _t(spark, sf, "orders").where("o_orderdate >= timestamp'2001-01-01'").select(_id("order", "o_orderkey").alias("id"))
-    n = nodes(spark, sf)
-    return n.where("type <> 'order'").union(n.where("type = 'order'").join(late, "id", "left_semi"))
 
+def wide_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """The graph's nodes and the documents."""
+    docs = _t(spark, sf, "documents").select(_id("document", "doc_id").alias("id"), F.lit("document").alias("type"), F.col("lang").alias("label"), (F.col("doc_id") + 9 * 10**9).alias("ord"))
+    return nodes(spark, sf).union(docs)
 
-def cut_edges(spark: SparkSession, sf: str) -> DataFrame:
-    """Order-to-part edges only of line items of 49 units and more; no supplier-to-part edges."""
-    big = _t(spark, sf, "lineitem").where("l_quantity >= 49").select(_id("order", "l_orderkey").alias("source"), _id("part", "l_partkey").alias("target"), F.lit("order-to-part").alias("type"), F.col("l_partkey").alias("ord")).distinct()
-    return edges(spark, sf).where("type not in ('order-to-part', 'supplier-to-part')").union(big)
+
+def mentions(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges from entities to what they only name (segments, brands, priorities), and from kinds of labels to labelled documents."""
+    named = [("customer", "customer", "c_custkey", "segment", "c_mktsegment"), ("part", "part", "p_partkey", "brand", "p_brand"), ("order", "orders", "o_orderkey", "priority", "o_orderpriority")]
+    out = _t(spark, sf, "labels").select(F.concat(F.lit("label::"), F.col("quality").cast("string")).alias("source"), _id("document", "doc_id").alias("target"), F.lit("label-to-document").alias("type"), F.col("doc_id").alias("ord")).distinct()
+    for kind, table, key, what, name in named:
+        out = out.union(_t(spark, sf, table).select(_id(kind, key), _id(what, name), F.lit(f"{kind}-to-{what}"), F.col(key).cast("long")))
+    return out
+
+
+def wide_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return edges(spark, sf).union(mentions(spark, sf))
 
 
-CUT = (
+WIDE = (
     G
-    + """, cnodes AS (SELECT * FROM nodes WHERE type <> 'order' OR id IN (SELECT 'order::' || o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '2001-01-01')),
-cedges AS (SELECT * FROM edges WHERE type NOT IN ('order-to-part', 'supplier-to-part') UNION ALL
- SELECT DISTINCT 'order::' || l_orderkey, 'part::' || l_partkey, 'order-to-part', l_partkey FROM lineitem WHERE l_quantity >= 49)"""
+    + """, wnodes AS (SELECT * FROM nodes UNION ALL SELECT 'document::' || doc_id, 'document', lang, doc_id + 9000000000 FROM documents),
+wedges AS (SELECT * FROM edges UNION ALL SELECT DISTINCT 'label::' || quality, 'document::' || doc_id, 'label-to-document', doc_id FROM labels
+ UNION ALL SELECT 'customer::' || c_custkey, 'segment::' || c_mktsegment, 'customer-to-segment', c_custkey FROM customer
+ UNION ALL SELECT 'part::' || p_partkey, 'brand::' || p_brand, 'part-to-brand', p_partkey FROM part
+ UNION ALL SELECT 'order::' || o_orderkey, 'priority::' || o_orderpriority, 'order-to-priority', o_orderkey FROM orders)"""
 )
+
+
+def urgent(spark: SparkSession, sf: str) -> DataFrame:
+    """(id): the open orders of the highest priority, entry points of the graph."""
+    return _t(spark, sf, "orders").where("o_orderstatus = 'O' and o_orderpriority like '1%'").select(_id("order", "o_orderkey").alias("id"))
+
+
+URGENT = "urgent AS (SELECT 'order::' || o_orderkey AS id FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority LIKE '1%')"

@@ -2,41 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from .base import registrar
+from .base import table as _t
 
 PART_RULES = [("BRASS$", "metal"), ("^PROMO", "promotion"), ("POLISHED", "finish")]
-EVENT_KINDS = {"view": "read", "click": "read", "purchase": "write", "signup": "write", "error": "invalidate"}
 EDGE_LABELS = {"region-to-nation": "holds", "nation-to-customer": "serves", "nation-to-supplier": "sources", "customer-to-order": "places", "order-to-part": "contains", "supplier-to-part": "supplies"}
 
 
-def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
-
 def _path(url="url"):
     return F.coalesce(F.nullif(F.regexp_extract(F.col(url), r"^https?://[^/?#]+([^?#]*)", 1), F.lit("")), F.lit("/"))
 
 
 PATH_SQL = r"coalesce(nullif(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), ''), '/')"
-QUERIES, ORACLES = {}, {}
-
-
-def query(oracle: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLES[f.__name__] = oracle
-        return f
+QUERIES, ORACLES, query = registrar()
 
-    return add
 
-
-@query("SELECT p_partkey, trim(lower(regexp_replace(p_name, '[^A-Za-z0-9]+', '_', 'g'))) || '::' || lower(p_brand) AS id FROM part")
+@query(
+    r"""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'route::GET::/' || p_name WHEN 1 THEN 'action::App\Http\' || p_name || '::run' WHEN 2 THEN 'view::blade__' || regexp_replace(lower(p_name), '[^a-z0-9._]', '_', 'g')
+ WHEN 3 THEN regexp_replace(lower(p_brand), '[^a-z0-9_]', '_', 'g') || '__' || regexp_replace(lower(p_name), '[^a-z0-9_]', '_', 'g') || '::run' ELSE 'action::' || p_name || 'Controller::run' END AS id FROM part"""
+)
 def node_ids(spark, sf):
-    return _t(spark, sf, "part").select("p_partkey", X.node_id(F.col("p_name"), F.lower("p_brand")).alias("id"))
+    kind, name = F.col("p_partkey") % 5, F.col("p_name")
+    named = F.when(kind == 0, F.concat(F.lit("route::GET::/"), name)).when(kind == 1, F.concat(F.lit("App\\Http\\"), name)).when(kind == 2, F.concat(F.lit("blade::"), name)).when(kind == 3, F.concat("p_brand", F.lit("\\_"), name)).otherwise(F.concat(name, F.lit("Controller")))
+    return _t(spark, sf, "part").select("p_partkey", X.node_id(named, F.lit("run")).alias("id"))
 
 
 @query("SELECT page_id, split_part(url, '/', -1) AS short FROM pages")
@@ -55,17 +46,17 @@ def glob_match(spark, sf):
 
 
 @query(
-    r"""SELECT page_id, h IN ('fr') OR starts_with(h, 'fr:') OR starts_with(h, 'fr/') OR split_part(split_part(h, ':', 1), '/', -1) = 'fr' OR starts_with(h, 'en:') AS hit
-    FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN split_part(p, '/', 2) || ':' || page_id WHEN page_id % 3 = 1 THEN 'app/' || split_part(p, '/', 2) ELSE split_part(p, '/', 2) END AS h
-    FROM (SELECT page_id, """
+    r"""SELECT page_id, lower(h) = 'fr' OR starts_with(lower(h), 'fr:') OR starts_with(lower(h), 'fr/') OR lower(h) = 'can' OR starts_with(lower(h), 'can:')
+      OR lower(h) = 'web/auth' OR starts_with(lower(h), 'web/auth:') OR starts_with(lower(h), 'web/auth/') OR split_part(split_part(lower(h), ':', 1), '/', -1) = 'auth' AS hit
+    FROM (SELECT page_id, CASE page_id % 6 WHEN 0 THEN upper(l) || ':' || page_id WHEN 1 THEN 'app/' || l WHEN 2 THEN 'CAN' WHEN 3 THEN 'can:x' WHEN 4 THEN 'App/Auth:' || l ELSE l || '/auth' END AS h
+    FROM (SELECT page_id, split_part("""
     + PATH_SQL
-    + " AS p FROM pages))"
+    + ", '/', 2) AS l FROM pages))"
 )
 def guard_match(spark, sf):
-    lang, n = F.get(F.split(_path(), "/"), 1), F.col("page_id")
-    lang = F.coalesce(lang, F.lit(""))
-    guard = F.when(n % 3 == 0, F.concat(lang, F.lit(":"), n)).when(n % 3 == 1, F.concat(F.lit("app/"), lang)).otherwise(lang)
-    return _t(spark, sf, "pages").select("page_id", X.guard_match(guard, ["fr", "en:"], sep="/").alias("hit"))
+    lang, n = F.coalesce(F.get(F.split(_path(), "/"), 1), F.lit("")), F.col("page_id") % 6
+    guard = F.when(n == 0, F.concat(F.upper(lang), F.lit(":"), "page_id")).when(n == 1, F.concat(F.lit("app/"), lang)).when(n == 2, "CAN").when(n == 3, "can:x").when(n == 4, F.concat(F.lit("App/Auth:"), lang)).otherwise(F.concat(lang, F.lit("/auth")))
+    return _t(spark, sf, "pages").select("page_id", X.guard_match(guard, ["fr", "Can:", "Web/Auth"], sep="/").alias("hit"))
 
 
 @query("SELECT doc_id, regexp_matches(lower(coalesce(text, '')), 'token|password|secret') AS sensitive FROM documents")
@@ -86,9 +77,12 @@ def edge_labels(spark, sf):
     return edges(spark, sf).select("type").distinct().select("type", X.lookup(F.col("type"), EDGE_LABELS, "uses").alias("label"))
 
 
-@query("SELECT event_id, CASE event_type WHEN 'view' THEN 'read' WHEN 'click' THEN 'read' WHEN 'purchase' THEN 'write' WHEN 'signup' THEN 'write' WHEN 'error' THEN 'invalidate' ELSE 'other' END AS kind FROM events")
+@query(
+    """SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'read' WHEN 1 THEN 'write' WHEN 2 THEN 'invalidate' WHEN 3 THEN 'lock' WHEN 4 THEN 'invalidate' END AS kind FROM events"""
+)
 def op_kinds(spark, sf):
-    return _t(spark, sf, "events").select("event_id", X.lookup(F.col("event_type"), EVENT_KINDS, "other").alias("kind"))
+    method = F.get(F.array(*[F.lit(m) for m in ("rememberForever", "increment", "pull", "restoreLock", "deleteMultiple", "connection")]), (F.col("event_id") % 6).cast("int"))
+    return _t(spark, sf, "events").select("event_id", X.op_kind(method).alias("kind"))
 
 
 @query("SELECT doc_id, f AS cadence FROM (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '' WHEN doc_id % 4 = 1 THEN lang WHEN doc_id % 4 = 2 THEN trim('daily ' || lang || ', ' || source) ELSE 'weekly' END AS f FROM documents)")
@@ -102,29 +96,33 @@ def cadence(spark, sf):
 SLUG_SQL = "regexp_replace(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
 
 
-@query(f"SELECT page_id, CASE WHEN length(s) > 30 THEN substr(s, 1, 21) || '-' || substr(md5(s), 1, 8) ELSE s END AS slug FROM (SELECT page_id, {SLUG_SQL.format('url')} AS s FROM pages)")
+@query(f"SELECT page_id, CASE WHEN length(s) > 30 THEN substr(s, 1, 30) || '-' || substr(md5(url), 1, 8) ELSE s END AS slug FROM (SELECT page_id, url, {SLUG_SQL.format('url')} AS s FROM pages)")
 def slugs(spark, sf):
-    return _t(spark, sf, "pages").select("page_id", X.slug(F.col("url"), 30, 21).alias("slug"))
+    return _t(spark, sf, "pages").select("page_id", X.slug(F.col("url"), 30).alias("slug"))
 
 
-@query(r"SELECT page_id, coalesce(nullif(regexp_extract(url, '^https?://[^/?#]+/(.+)$', 1), ''), 'index') AS rel FROM pages")
+@query(
+    r"""SELECT page_id, CASE p % 4 WHEN 0 THEN 'routes.php' WHEN 1 THEN 'v1/' || tail WHEN 2 THEN 'a/routes/' || tail ELSE tail END AS rel FROM (SELECT page_id, page_id AS p, split_part(url, '/', -1) || '.php' AS tail FROM pages)"""
+)
 def rel_paths(spark, sf):
-    return _t(spark, sf, "pages").select("page_id", X.rel_path(F.col("url"), "https?://[^/?#]+/", "index").alias("rel"))
+    p, tail = F.col("page_id") % 4, F.concat(F.substring_index("url", "/", -1), F.lit(".php"))
+    path = F.when(p == 0, "").when(p == 1, F.concat(F.lit("C:\\app\\routes\\v1\\"), tail)).when(p == 2, F.concat(F.lit("/app/routes/a/routes/"), tail)).otherwise(F.concat(F.lit("/app/web/"), tail))
+    return _t(spark, sf, "pages").select("page_id", X.rel_path(path, "routes", "routes.php").alias("rel"))
 
 
 @query(
-    """SELECT p_partkey, CASE WHEN regexp_matches(s, '[^aeiou]y$') THEN regexp_replace(s, 'y$', '') || 'ies' WHEN regexp_matches(s, '(s|x|z|ch|sh)$') THEN s || 'es' ELSE s || 's' END AS tbl
-    FROM (SELECT p_partkey, lower(regexp_replace('Part' || replace(p_brand, '#', '') || substr('yxhs', CAST(p_partkey % 4 AS INTEGER) + 1, 1), '([a-z0-9])([A-Z])', '\\1_\\2', 'g')) AS s FROM part)"""
+    """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'order_items' WHEN 1 THEN 'categories' WHEN 2 THEN 'addresses' WHEN 3 THEN 'bus_quizs' WHEN 4 THEN 'h_t_m_l_boxes' ELSE 'day' || p_size || 's' END AS tbl FROM part"""
 )
 def table_names(spark, sf):
-    name = F.concat(F.lit("Part"), F.regexp_replace("p_brand", "#", ""), F.substring(F.lit("yxhs"), (F.col("p_partkey") % 4 + 1).cast("int"), F.lit(1)))
+    names = ["App\\Models\\OrderItem", "Category", "App\\Address", "BusQuiz", "HTMLBox"]
+    name = F.coalesce(F.get(F.array(*[F.lit(n) for n in names]), (F.col("p_partkey") % 6).cast("int")), F.concat(F.lit("Day"), F.col("p_size").cast("string")))
     return _t(spark, sf, "part").select("p_partkey", X.table_name(name).alias("tbl"))
 
 
-@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 't' || o_custkey WHEN 1 THEN 'log' WHEN 2 THEN 'a.b' ELSE NULL END AS target FROM orders")
+@query("SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 't' || o_custkey WHEN 1 THEN 'log' WHEN 2 THEN 'a' WHEN 3 THEN 'real' END AS target FROM orders")
 def sql_targets(spark, sf):
-    n, k = F.col("o_orderkey") % 4, F.col("o_custkey").cast("string")
-    sql = F.when(n == 0, F.concat(F.lit("select * from t"), k, F.lit(" where x=1"))).when(n == 1, F.lit("INSERT INTO `log` VALUES (1)")).when(n == 2, F.lit("update a.b set c=1")).otherwise(F.lit("begin"))
+    n, k = F.col("o_orderkey") % 5, F.col("o_custkey").cast("string")
+    sql = F.when(n == 0, F.concat(F.lit("select * from t"), k, F.lit(" where x=1"))).when(n == 1, F.lit("INSERT INTO `log` VALUES (1)")).when(n == 2, F.lit("update a.b set c=1")).when(n == 3, F.lit("select datefrom x, y FROM real")).otherwise(F.lit("begin"))
     return _t(spark, sf, "orders").select("o_orderkey", X.statement_target(sql).alias("target"))
 
 
@@ -133,31 +131,41 @@ def short_labels(spark, sf):
     return _t(spark, sf, "documents").select("doc_id", X.truncate(F.col("text"), 60, 57, "...").alias("label"), X.truncate(F.col("source"), 4, 3, "…").alias("src"))
 
 
-@query("SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), -1) AS k, coalesce(json_extract_string(props, '$.none'), 'absent') AS missing FROM events")
+@query("SELECT event_id, coalesce(CASE WHEN event_id % 2 = 0 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END, -1) AS k, CASE WHEN event_id % 2 = 1 THEN json_extract_string(props, '$.k') ELSE 'absent' END AS name, 'absent' AS missing FROM events")
 def json_fields(spark, sf):
-    return _t(spark, sf, "events").select("event_id", X.payload(F.col("props"), "$.k", "bigint", -1).alias("k"), X.payload(F.col("props"), "$.none", "string", "absent").alias("missing"))
+    """Half of the properties carry their number as a text, which is no number."""
+    props = F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(F.regexp_replace("props", "([0-9]+)", '"$1"'))
+    return _t(spark, sf, "events").select("event_id", X.payload(props, "$.k", "bigint", -1).alias("k"), X.payload(props, "$.k", "string", "absent").alias("name"), X.payload(props, "$.none", "string", "absent").alias("missing"))
 
 
-@query(r"SELECT page_id, regexp_extract(url, '^https?://([^/?#:]+)', 1) AS host, regexp_matches(url, '^https') AS secure FROM pages")
+@query(
+    r"""SELECT page_id, CASE page_id % 4 WHEN 0 THEN '' WHEN 3 THEN '' ELSE regexp_extract(url, '^https?://([^/?#:]+)', 1) END AS host, page_id % 3 = 0 AS asynchronous,
+ CASE page_id % 4 WHEN 0 THEN 'config' WHEN 1 THEN 'literal' WHEN 2 THEN 'constructed' ELSE 'dynamic' END AS address FROM pages"""
+)
 def url_hosts(spark, sf):
-    return _t(spark, sf, "pages").select("page_id", X.url_host(F.col("url")).alias("host"), F.col("url").startswith("https").alias("secure"))
+    n = F.col("page_id") % 4
+    url = F.when(n == 1, F.col("url")).when(n == 2, F.concat("url", F.lit("…"))).otherwise("")
+    calls = _t(spark, sf, "pages").select("page_id", F.when(F.col("page_id") % 3 == 0, "postAsync").otherwise("post").alias("verb"), url.alias("url"), F.when(n == 0, "config").alias("key_source"))
+    return X.call_attrs(calls).select("page_id", "host", "asynchronous", "address")
 
 
-@query("SELECT DISTINCT t AS edge_type, regexp_matches(t, '(?i)queue|job|event|listener|broadcast|schedule') AS deferred FROM (SELECT CASE WHEN event_type = 'purchase' THEN 'action-to-job' WHEN event_type = 'error' THEN 'event-to-listener' ELSE 'action-to-' || event_type END AS t FROM events)")
+@query("SELECT DISTINCT t AS edge_type, t IN ('action-to-job', 'model-to-event') AS deferred FROM (SELECT CASE event_type WHEN 'purchase' THEN 'action-to-job' WHEN 'error' THEN 'event-to-listener' WHEN 'view' THEN 'model-to-event' ELSE 'action-to-' || event_type END AS t FROM events)")
 def async_edges(spark, sf):
     e = F.col("event_type")
-    t = F.when(e == "purchase", "action-to-job").when(e == "error", "event-to-listener").otherwise(F.concat(F.lit("action-to-"), e))
+    t = F.when(e == "purchase", "action-to-job").when(e == "error", "event-to-listener").when(e == "view", "model-to-event").otherwise(F.concat(F.lit("action-to-"), e))
     return _t(spark, sf, "events").select(t.alias("edge_type")).distinct().select("edge_type", X.is_async(F.col("edge_type")).alias("deferred"))
 
 
-@query("SELECT o_orderstatus, CASE max(CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 4 WHEN '2' THEN 3 WHEN '3' THEN 2 WHEN '4' THEN 0 ELSE 1 END) WHEN 4 THEN 'critical' WHEN 3 THEN 'high' WHEN 2 THEN 'medium' WHEN 1 THEN 'low' ELSE 'none' END AS worst FROM orders GROUP BY 1")
+@query("SELECT o_custkey, CASE max(CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 4 WHEN '2' THEN 3 WHEN '3' THEN 2 WHEN '4' THEN 0 ELSE 1 END) WHEN 4 THEN 'critical' WHEN 3 THEN 'high' WHEN 2 THEN 'medium' WHEN 1 THEN 'low' ELSE 'none' END AS worst FROM orders GROUP BY 1")
 def max_severity(spark, sf):
-    level = X.lookup(F.substring("o_orderpriority", 1, 1), {"1": "critical", "2": "HIGH", "3": "medium", "4": "unknown", "5": "low"})
-    return _t(spark, sf, "orders").groupBy("o_orderstatus").agg(X.max_severity(level).alias("worst"))
+    level = X.lookup(F.substring("o_orderpriority", 1, 1), {"1": "critical", "2": "HIGH", "3": "medium", "4": "unknown"})
+    return _t(spark, sf, "orders").groupBy("o_custkey").agg(X.max_severity(level).alias("worst"))
 
 
-@query("SELECT bucket, count(*) AS n FROM (SELECT CASE WHEN doc_id % 5 = 0 THEN 'Panel' WHEN lang <> '' AND doc_id % 5 < 4 THEN upper(substr(lang, 1, 1)) || substr(lang, 2) ELSE 'Other' END AS bucket FROM documents) GROUP BY 1")
+@query(
+    """SELECT bucket, count(*) AS n FROM (SELECT CASE doc_id % 6 WHEN 0 THEN 'Console Commands' WHEN 1 THEN 'Event Choreography' WHEN 2 THEN 'Filament' || coalesce(' · ' || upper(substr(lang, 1, 1)) || substr(lang, 2) || ' Panel', '') WHEN 3 THEN 'Filament' WHEN 4 THEN 'Model ERD' ELSE 'Other' END AS bucket FROM documents) GROUP BY 1"""
+)
 def tab_buckets(spark, sf):
-    n = F.col("doc_id") % 5
-    bucket = X.tab_bucket(F.when(n < 4, F.col("lang")), F.when(n == 0, "Panel"))
-    return _t(spark, sf, "documents").groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    n = F.col("doc_id") % 6
+    category = F.get(F.array(*[F.lit(c) for c in ("Command", "Events", "Filament", "Filament", "ERD", "Route")]), n.cast("int"))
+    return _t(spark, sf, "documents").groupBy(X.tab_bucket(category, F.when(n == 2, F.col("lang"))).alias("bucket")).agg(F.count("*").alias("n"))

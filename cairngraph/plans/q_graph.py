@@ -2,27 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions import exprs as X
 from ..operators import closure as C
 from ..operators import graph as O
-from .g1 import CUT, G, cut_edges, cut_nodes, edges, nodes
+from .base import registrar
+from .g1 import URGENT, WIDE, G, edges, nodes, urgent, wide_edges, wide_nodes
 
-QUERIES, ORACLES = {}, {}
+QUERIES, ORACLES, query = registrar()
 SKIP = ["supplier-to-part"]
 
 
-def query(oracle=None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return add
-
-
 def _regions(spark, sf):
     return nodes(spark, sf).where("type = 'region'").select(F.col("id").alias("tab_id"), "id")
 
@@ -50,12 +44,35 @@ def tab_edges(spark, sf):
     return C.tab_edges(C.tab_closure(e, _regions(spark, sf), SKIP), n, e).groupBy("tab_id", "type").agg(F.count("*").alias("n"))
 
 
-@query(_seeded("type IN ('region', 'supplier') OR (type = 'customer' AND id LIKE '%7')", SKIPPED) + " SELECT split_part(tab_id, '::', 1) AS family, count(DISTINCT tab_id) AS tabs, count(*) AS members FROM reach GROUP BY 1")
+@query(
+    G
+    + """, sched AS (SELECT c_nationkey AS k, min(c_custkey) AS ord, arg_min(c_mktsegment, c_custkey) AS label FROM customer GROUP BY 1),
+sl AS (SELECT k, 'schedule-' || lower(label) || CASE WHEN row_number() OVER (PARTITION BY lower(label) ORDER BY ord) > 1 THEN '-' || row_number() OVER (PARTITION BY lower(label) ORDER BY ord) ELSE '' END AS tab_id FROM sched),
+seeds AS (SELECT lower(r_name) AS tab_id, 'region::' || r_regionkey AS id, 'route' AS family FROM region UNION SELECT 'cmd-' || regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g'), 'customer::' || c_custkey, 'command' FROM customer
+ UNION SELECT 'channel-part-' || p_partkey, 'part::' || p_partkey, 'channel' FROM part UNION SELECT 'macros', 'nation::' || n_nationkey, 'macro' FROM nation WHERE n_name LIKE '%1'
+ UNION SELECT tab_id, 'nation::' || k, 'schedule' FROM sl UNION SELECT 'get-page-' || s_suppkey, x, 'page' FROM (SELECT s_suppkey, unnest(['supplier::' || s_suppkey, 'nation::' || s_nationkey]) AS x FROM supplier)),
+reach(tab_id, id, family) AS (SELECT tab_id, id, family FROM seeds UNION SELECT r.tab_id, e.target, r.family FROM reach r JOIN edges e ON e.source = r.id WHERE e.type <> 'supplier-to-part'),
+whole AS (SELECT tab_id, id, family FROM reach UNION SELECT s.tab_id, e.source, s.family FROM seeds s JOIN edges e ON e.target = s.id AND e.type = 'supplier-to-part' WHERE s.family = 'channel')
+SELECT family, count(DISTINCT tab_id) AS tabs, count(*) AS members FROM whole GROUP BY 1"""
+)
 def tab_families(spark, sf):
-    n = nodes(spark, sf)
-    seeds = n.where("type in ('region', 'supplier') or (type = 'customer' and id like '%7')").select(F.col("id").alias("tab_id"), "id")
-    met = C.tab_closure(edges(spark, sf), seeds, SKIP)
-    return met.groupBy(F.substring_index("tab_id", "::", 1).alias("family")).agg(F.count_distinct("tab_id").alias("tabs"), F.count("*").alias("members"))
+    """Regions as routes, customers as commands, parts as channels with suppliers as broadcasters, customers' nations as schedules, suppliers as pages."""
+    t = lambda name: spark.read.parquet(f"{sf}/{name}.parquet")
+    row = lambda df, label, kind, key, ord: df.select(label.alias("label"), F.concat(F.lit(f"{kind}::"), F.col(key).cast("string")).alias("id"), F.col(ord).cast("long").alias("ord"))
+    part = F.concat(F.lit("part "), F.col("p_partkey").cast("string"))
+    page = F.concat(F.lit("GET /page/"), F.col("s_suppkey").cast("string"))
+    seeds = C.tab_seeds(
+        routes=row(t("region"), F.col("r_name"), "region", "r_regionkey", "r_regionkey"),
+        commands=row(t("customer"), F.col("c_name"), "customer", "c_custkey", "c_custkey"),
+        channels=row(t("part"), part, "part", "p_partkey", "p_partkey"),
+        schedules=row(t("customer"), F.col("c_mktsegment"), "nation", "c_nationkey", "c_custkey"),
+        macros=row(t("nation").where("n_name like '%1'"), F.col("n_name"), "nation", "n_nationkey", "n_nationkey"),
+        pages=row(t("supplier"), page, "supplier", "s_suppkey", "s_suppkey").union(row(t("supplier"), page, "nation", "s_nationkey", "s_suppkey")),
+    )
+    e = edges(spark, sf)
+    met = C.tab_closure(e, seeds, SKIP)
+    whole = C.with_broadcasters(met, seeds.where("family = 'channel'"), nodes(spark, sf), e, "supplier-to-part")
+    return whole.join(seeds.select("tab_id", "family").distinct(), "tab_id").groupBy("family").agg(F.count_distinct("tab_id").alias("tabs"), F.count("*").alias("members"))
 
 
 @query(_seeded("id IN ('region::0', 'nation::3')") + " SELECT type, count(*) AS n, count(DISTINCT reach.id) AS reached FROM nodes LEFT JOIN (SELECT DISTINCT id FROM reach) reach USING (id) GROUP BY 1")
@@ -80,13 +97,17 @@ def neighbourhood(spark, sf):
 
 @query(
     G
-    + """, w(tab_id, id) AS (SELECT id, id FROM nodes WHERE type = 'nation' UNION SELECT w.tab_id, e.target FROM w JOIN edges e ON e.source = w.id WHERE split_part(w.id, '::', 1) IN ('nation', 'customer'))
-SELECT w.tab_id, count(DISTINCT e.target) AS ops FROM w JOIN edges e ON e.source = w.id WHERE e.type = 'customer-to-order' AND split_part(w.id, '::', 1) IN ('nation', 'customer') GROUP BY 1"""
+    + """, w(tab_id, id) AS (SELECT id, id FROM nodes WHERE type = 'region' UNION SELECT w.tab_id, e.target FROM w JOIN edges e ON e.source = w.id WHERE e.type IN ('region-to-nation', 'nation-to-customer')),
+o AS (SELECT DISTINCT w.tab_id, 'model' AS kind, e.target AS operation FROM w JOIN edges e ON e.source = w.id WHERE e.type = 'customer-to-order' UNION SELECT w.tab_id, 'raw', 'select ' || c_mktsegment || ' ' || floor(c_acctbal) FROM w JOIN customer ON w.id = 'customer::' || c_custkey)
+SELECT tab_id, kind, count(*) AS ops FROM o GROUP BY 1, 2"""
 )
 def attributed_ops(spark, sf):
-    n = nodes(spark, sf)
-    seeds = n.where("type = 'nation'").select(F.col("id").alias("tab_id"), "id")
-    return C.attributed(edges(spark, sf), seeds, n, ["customer"], ["customer-to-order"]).groupBy("tab_id").agg(F.count("*").alias("ops"))
+    """Regions walk through nations and customers to orders; each customer has one raw statement."""
+    kinds = {"region-to-nation": "service", "nation-to-customer": "repository", "customer-to-order": "model"}
+    calls = edges(spark, sf).select("source", "target", X.lookup(F.col("type"), kinds, "other").alias("type"))
+    said = F.concat(F.lit("select "), "c_mktsegment", F.lit(" "), F.format_string("%.1f", F.floor("c_acctbal").cast("double")))
+    statements = spark.read.parquet(f"{sf}/customer.parquet").select(F.concat(F.lit("customer::"), F.col("c_custkey").cast("string")).alias("id"), said.alias("statement"))
+    return C.attributed(calls, _regions(spark, sf), statements).groupBy("tab_id", "kind").agg(F.count("*").alias("ops"))
 
 
 @query(_deep("type = 'region'", limit="WHERE r.depth < 5 AND split_part(r.id, '::', 1) IN ('region', 'nation', 'customer')") + " SELECT b.tab_id, e.type, count(*) AS hops FROM best b JOIN edges e ON e.source = b.id WHERE split_part(b.id, '::', 1) IN ('region', 'nation', 'customer') GROUP BY 1, 2")
@@ -112,23 +133,27 @@ def resolve_member(spark, sf):
     return asked.join(got, ["id", "method"]).select("conv_id", "turn", "role", F.substring_index("declared_in", "#", -1).cast("long").alias("declared_turn"))
 
 
-@query(_seeded("type IN ('region', 'nation')", "AND e.type NOT IN ('order-to-part', 'supplier-to-part', 'nation-to-supplier')") + " SELECT n.id, count(r.id) AS hidden FROM nodes n LEFT JOIN reach r ON r.tab_id = n.id AND r.id <> n.id WHERE n.type IN ('region', 'nation') GROUP BY 1")
+@query(
+    _seeded("type IN ('region', 'nation')", "AND e.type NOT IN ('order-to-part', 'supplier-to-part', 'nation-to-supplier')")
+    + """ SELECT n.id, count(r.id) AS hidden, n.id IN (SELECT id FROM reach WHERE id <> tab_id) AS itself_hidden, (SELECT count(DISTINCT id) FROM reach WHERE id <> tab_id) AS all_hidden
+FROM nodes n LEFT JOIN reach r ON r.tab_id = n.id AND r.id <> n.id WHERE n.type IN ('region', 'nation') GROUP BY 1"""
+)
 def collapsed_counts(spark, sf):
     n = nodes(spark, sf)
-    return C.collapse(n, edges(spark, sf), n.where("type in ('region', 'nation')"), ["region", "nation", "customer", "order"])
+    hidden, counts = C.collapse(n, edges(spark, sf), n.where("type in ('region', 'nation')"), ["region", "nation", "customer", "order"])
+    whole = hidden.agg(F.count("*").alias("all_hidden"))
+    return counts.join(hidden.withColumn("itself_hidden", F.lit(True)), "id", "left").join(F.broadcast(whole)).select("id", "hidden", F.coalesce("itself_hidden", F.lit(False)).alias("itself_hidden"), "all_hidden")
 
 
 @query(
     """WITH RECURSIVE t AS (SELECT event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts) AS b, user_id FROM events),
-e AS (SELECT DISTINCT a, b FROM t WHERE b IS NOT NULL AND user_id % 40 = 0), r(s, id) AS (SELECT a, b FROM e UNION SELECT r.s, e.b FROM r JOIN e ON e.a = r.id)
+e AS (SELECT DISTINCT a, b FROM t WHERE b IS NOT NULL), r(s, id) AS (SELECT a, b FROM e UNION SELECT r.s, e.b FROM r JOIN e ON e.a = r.id)
 SELECT s AS event, id AS reached, EXISTS (SELECT 1 FROM r x WHERE x.s = r.s AND x.id = r.s) AS cyclic FROM r"""
 )
 def event_cascade(spark, sf):
-    from pyspark.sql.window import Window as W
-
     ev = spark.read.parquet(f"{sf}/events.parquet")
     nxt = F.lead("event_type").over(W.partitionBy("user_id").orderBy("ts"))
-    t = ev.select("event_type", nxt.alias("b"), "user_id").where("b is not null and user_id % 40 = 0").select("event_type", "b").distinct()
+    t = ev.select("event_type", nxt.alias("b"), "user_id").where("b is not null").select("event_type", "b").distinct()
     listeners = t.select(F.col("event_type").alias("event"), F.concat_ws(">", "event_type", "b").alias("listener"))
     fired = t.select(F.concat_ws(">", "event_type", "b").alias("listener"), F.col("b").alias("event"))
     return C.event_cascade(listeners, fired)
@@ -160,17 +185,25 @@ def reference_growth(spark, sf):
 
 
 @query(
-    """WITH RECURSIVE names AS (SELECT 'r' || r_regionkey AS owner, 'region::' || r_regionkey AS name FROM region),
-g AS (SELECT 'region::' || n_regionkey AS grp, 'nation::' || n_nationkey AS member FROM nation UNION ALL SELECT 'nation::' || s_nationkey, 'supplier::' || s_suppkey FROM supplier),
-w(owner, id) AS (SELECT owner, name FROM names UNION SELECT w.owner, g.member FROM w JOIN g ON g.grp = w.id)
-SELECT DISTINCT owner, coalesce(s.s_name, w.id) AS name FROM w LEFT JOIN supplier s ON w.id = 'supplier::' || s.s_suppkey WHERE w.id NOT IN (SELECT grp FROM g)"""
+    """WITH RECURSIVE g AS (SELECT 'r' || n_regionkey AS grp, n_nationkey AS pos, 'n' || n_nationkey AS member FROM nation UNION ALL SELECT 'n' || s_nationkey, s_suppkey, 's' || s_suppkey || CASE WHEN s_suppkey % 2 = 0 THEN ':' || s_suppkey || ',1' ELSE '' END FROM supplier
+ UNION ALL SELECT 'n' || s_nationkey, 100000000 + s_suppkey, 'r' || n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 5 = 0),
+w(owner, name, place, seen) AS (SELECT 'o' || r_regionkey, 'r' || r_regionkey, [r_regionkey]::BIGINT[], []::VARCHAR[] FROM region UNION ALL SELECT w.owner, g.member, list_append(w.place, g.pos), list_append(w.seen, w.name) FROM w JOIN g ON g.grp = w.name WHERE NOT list_contains(w.seen, w.name)),
+l AS (SELECT owner, CASE WHEN s_suppkey % 3 = 1 THEN s_name || substr(name, length(split_part(name, ':', 1)) + 1) ELSE name END AS name, place FROM w LEFT JOIN supplier ON split_part(name, ':', 1) = 's' || s_suppkey WHERE name NOT IN (SELECT grp FROM g))
+SELECT owner, name, array_to_string(min(place), '/') AS place FROM l GROUP BY 1, 2 UNION ALL SELECT 'p' || r_regionkey, 'r0:x', CAST(r_regionkey AS VARCHAR) FROM region"""
 )
 def group_expand(spark, sf):
-    e = edges(spark, sf).where("type in ('region-to-nation', 'nation-to-supplier')")
-    groups = e.select(F.col("source").alias("group"), F.col("ord").alias("pos"), F.col("target").alias("member"))
-    n = nodes(spark, sf)
-    names = n.where("type = 'region'").select(F.regexp_replace("id", "^region::", "r").alias("owner"), F.col("id").alias("name"))
-    return C.expand_groups(names, groups, n.where("type = 'supplier'").select(F.col("id").alias("alias"), F.col("label").alias("target")))
+    """Regions expand to nations and those to suppliers, some with parameters or an alias, and some back to their region; a group's name with parameters is no group."""
+    t = lambda name: spark.read.parquet(f"{sf}/{name}.parquet")
+    named = lambda kind, key: F.concat(F.lit(kind), F.col(key).cast("string"))
+    s = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    params = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit(":"), F.col("s_suppkey").cast("string"), F.lit(",1"))).otherwise("")
+    groups = t("nation").select(named("r", "n_regionkey").alias("group"), F.col("n_nationkey").cast("long").alias("pos"), named("n", "n_nationkey").alias("member"))
+    groups = groups.union(s.select(named("n", "s_nationkey"), "s_suppkey", F.concat(named("s", "s_suppkey"), params)))
+    groups = groups.union(s.where("s_suppkey % 5 = 0").select(named("n", "s_nationkey"), F.lit(100000000) + F.col("s_suppkey"), named("r", "n_regionkey")))
+    names = t("region").select(named("o", "r_regionkey").alias("owner"), F.col("r_regionkey").alias("pos"), named("r", "r_regionkey").alias("name"))
+    names = names.union(t("region").select(named("p", "r_regionkey"), "r_regionkey", F.lit("r0:x")))
+    aliases = t("supplier").where("s_suppkey % 3 = 1").select(named("s", "s_suppkey").alias("alias"), F.col("s_name").alias("target"))
+    return C.expand_groups(names, groups, aliases).select("owner", "name", F.array_join(F.col("place").cast("array<string>"), "/").alias("place"))
 
 
 @query(
@@ -194,34 +227,39 @@ RANKS = {"region": 0, "nation": 1, "customer": 2, "order": 3, "part": 4, "suppli
 
 @query(
     _deep("id = 'customer::1'")
-    + """, calls AS (SELECT depth, source, target, type, ord FROM best JOIN edges e ON e.source = best.id)
-SELECT label, count(*) AS n, min(depth) AS depth, min(sender) AS sender, max(receiver) AS receiver FROM (SELECT depth, source AS sender, target AS receiver, type AS label FROM calls UNION ALL SELECT depth, target, source, 'return' FROM calls) GROUP BY 1"""
+    + """, calls AS (SELECT source, target FROM best JOIN edges e ON e.source = best.id), people AS (SELECT id, type FROM best JOIN nodes USING (id))
+SELECT 'actors' AS part, CASE WHEN type = 'part' THEN 'model' ELSE type END AS label, count(*) AS n FROM people GROUP BY 2 UNION ALL SELECT 'actors', x, 1 FROM (SELECT unnest(['client', 'db']) AS x)
+UNION ALL SELECT 'messages', x, CAST(y AS BIGINT) FROM (SELECT unnest(['request', 'response', 'call', 'query', 'result']) AS x, unnest([1, 1, (SELECT count(*) FROM calls), (SELECT count(*) FROM people WHERE type = 'part'), (SELECT count(*) FROM people WHERE type = 'part')]) AS y)"""
 )
 def sequence_messages(spark, sf):
-    n = nodes(spark, sf)
-    out = C.sequence(n, edges(spark, sf), n.where("id = 'customer::1'"), RANKS)
-    return out.groupBy("label").agg(F.count("*").alias("n"), F.min("pos.depth").alias("depth"), F.min("sender").alias("sender"), F.max("receiver").alias("receiver"))
+    """The calls of one customer, parts being the models."""
+    n = nodes(spark, sf).withColumn("type", F.when(F.col("type") == "part", "model").otherwise(F.col("type")))
+    e = edges(spark, sf).withColumn("label", F.lit("call"))
+    actors, messages = C.sequence(n, e, n.where("id = 'customer::1'"), RANKS)
+    said = actors.groupBy(F.col("type").alias("label")).agg(F.count("*").alias("n")).select(F.lit("actors").alias("part"), "label", "n")
+    return said.union(messages.groupBy(F.substring_index("label", " ×", 1).alias("label")).agg(F.count("*").alias("n")).select(F.lit("messages"), "label", "n"))
 
 
-@query(CUT + " SELECT type, count(*) AS n FROM cedges WHERE source IN (SELECT id FROM cnodes) AND target IN (SELECT id FROM cnodes) GROUP BY 1")
+@query(WIDE + " SELECT type, count(*) AS n FROM wedges WHERE source IN (SELECT id FROM wnodes) AND target IN (SELECT id FROM wnodes) GROUP BY 1")
 def valid_edges(spark, sf):
-    return O.valid_edges(cut_nodes(spark, sf), cut_edges(spark, sf)).groupBy("type").agg(F.count("*").alias("n"))
+    return O.valid_edges(wide_nodes(spark, sf), wide_edges(spark, sf)).groupBy("type").agg(F.count("*").alias("n"))
 
 
-@query(CUT + " SELECT DISTINCT id, true AS external FROM (SELECT source AS id FROM cedges UNION ALL SELECT target FROM cedges) WHERE id NOT IN (SELECT id FROM cnodes)")
+@query(WIDE + " SELECT DISTINCT id, true AS external FROM (SELECT source AS id FROM wedges UNION ALL SELECT target FROM wedges) WHERE id NOT IN (SELECT id FROM wnodes)")
 def placeholders(spark, sf):
-    return O.placeholders(cut_nodes(spark, sf), cut_edges(spark, sf))
+    return O.placeholders(wide_nodes(spark, sf), wide_edges(spark, sf))
 
 
-@query(CUT + " SELECT type, count(*) AS n FROM cnodes WHERE id NOT IN (SELECT source FROM cedges UNION ALL SELECT target FROM cedges) GROUP BY 1")
+@query(WIDE + " SELECT type, count(*) AS n FROM wnodes WHERE id NOT IN (SELECT source FROM wedges UNION ALL SELECT target FROM wedges) GROUP BY 1")
 def isolated_by_type(spark, sf):
-    return O.isolated(cut_nodes(spark, sf), cut_edges(spark, sf))
+    return O.isolated(wide_nodes(spark, sf), wide_edges(spark, sf))
 
 
-@query(_seeded("type = 'region'", base=CUT, e="cedges") + " SELECT type, count(*) AS n FROM cnodes WHERE id NOT IN (SELECT id FROM reach) GROUP BY 1")
+@query(_seeded("id IN (SELECT id FROM urgent)", base=WIDE + ", " + URGENT, e="wedges") + " SELECT type, count(*) AS n FROM wnodes WHERE id NOT IN (SELECT id FROM reach) GROUP BY 1")
 def outside_tabs(spark, sf):
-    met = C.tab_closure(cut_edges(spark, sf), _regions(spark, sf))
-    return O.outside_tabs(cut_nodes(spark, sf), met)
+    """A tab for each urgent open order."""
+    met = C.tab_closure(wide_edges(spark, sf), urgent(spark, sf).select(F.col("id").alias("tab_id"), "id"))
+    return O.outside_tabs(wide_nodes(spark, sf), met)
 
 
 @query(G + " SELECT type, count(*) AS n FROM nodes GROUP BY 1")
@@ -246,45 +284,61 @@ def edge_occurrence(spark, sf):
     return O.edge_ids(li, ["l_orderkey", "l_partkey"], ["l_linenumber"]).select("l_orderkey", "l_partkey", "l_linenumber", F.col("occurrence").cast("long").alias("occurrence"))
 
 
-@query(G + " SELECT target AS id, coalesce(CASE WHEN split_part(source, '::', 1) = 'order' THEN 'f' || CAST(split_part(source, '::', 2) AS BIGINT) % 10 END, '#' || source) AS file, count(DISTINCT source) AS callers FROM edges WHERE source <> target GROUP BY 1, 2")
+@query(
+    WIDE
+    + """, f AS (SELECT id, CASE WHEN type = 'order' THEN 'f' || ord % 10 END AS file FROM wnodes)
+SELECT target AS id, coalesce(file, '#' || source) AS file, count(DISTINCT source) AS callers FROM wedges LEFT JOIN f ON f.id = source WHERE source <> target AND target IN (SELECT id FROM wnodes) GROUP BY 1, 2"""
+)
 def usages_all(spark, sf):
-    n = nodes(spark, sf)
-    file = F.when(F.col("type") == "order", F.concat(F.lit("f"), (F.substring_index("id", "::", -1).cast("long") % 10).cast("string")))
-    return O.usages(n.withColumn("file", file), edges(spark, sf))
+    """Orders lie in files; the callers of documents are no nodes."""
+    file = F.when(F.col("type") == "order", F.concat(F.lit("f"), (F.col("ord") % 10).cast("string")))
+    return O.usages(wide_nodes(spark, sf).withColumn("file", file), wide_edges(spark, sf))
 
 
-@query(G + " SELECT id, type, label FROM nodes WHERE lower(label) = 'nation_7' OR id = 'Nation_7'")
+@query(
+    G
+    + """, u AS (SELECT *, CASE WHEN type = 'nation' THEN '/API/' || label END AS uri FROM nodes)
+SELECT 'id' AS asked, id FROM u WHERE id = 'nation::3' UNION ALL (SELECT 'label', id FROM u WHERE lower(label) = 'nation_7' ORDER BY ord LIMIT 1) UNION ALL (SELECT 'uri', id FROM u WHERE lower(uri) = '/api/nation_5' ORDER BY ord LIMIT 1)"""
+)
 def focal_lookup(spark, sf):
-    return O.focal(nodes(spark, sf), "Nation_7").select("id", "type", "label")
+    n = nodes(spark, sf).withColumn("uri", F.when(F.col("type") == "nation", F.concat(F.lit("/API/"), "label")))
+    asked = {"id": ("nation::3", "Nation_7"), "label": ("gone", "Nation_7"), "uri": (None, "/api/NATION_5"), "none": ("gone", None)}
+    each = [O.focal(n, *key).select(F.lit(name).alias("asked"), "id") for name, key in asked.items()]
+    return reduce(lambda a, b: a.union(b), each)
 
 
 @query(
-    _seeded("type = 'region'", SKIPPED)
-    + """, f AS (SELECT id, CASE WHEN type = 'region' AND id IN ('region::1', 'region::3') THEN 'high' WHEN type = 'part' AND ord % 7 = 0 THEN 'critical' END AS severity, type IN ('order', 'part') AND ord % 11 = 0 AS smell FROM nodes)
-SELECT tab_id, CAST(count(severity) FILTER (WHERE tab_id = id) AS BIGINT) AS security, CASE WHEN count(severity) FILTER (WHERE tab_id = id) > 0 THEN 'high' ELSE 'none' END AS worst,
+    _seeded("type IN ('region', 'nation')", SKIPPED)
+    + """, f AS (SELECT id, CASE WHEN type = 'region' AND ord % 2 = 1 THEN 'high' WHEN type = 'nation' AND ord % 3 = 0 THEN 'medium' WHEN type = 'nation' AND ord % 3 = 1 THEN 'low' WHEN type = 'part' AND ord % 7 = 0 THEN 'critical' END AS severity, type IN ('order', 'part') AND ord % 11 = 0 AS smell FROM nodes)
+SELECT tab_id, count(severity) FILTER (WHERE tab_id = id) AS security, coalesce(max(severity) FILTER (WHERE tab_id = id), 'none') AS worst,
  count(*) FILTER (WHERE smell) AS smells, count(severity) FILTER (WHERE tab_id = id) + count(*) FILTER (WHERE smell) AS total FROM reach JOIN f USING (id) GROUP BY 1"""
 )
 def tab_rollup(spark, sf):
+    """Regions and nations as tabs; findings of what lies below their entry do not count."""
+    kind, ord = F.col("type"), F.col("ord")
+    severity = F.when((kind == "region") & (ord % 2 == 1), "high").when((kind == "nation") & (ord % 3 == 0), "medium").when((kind == "nation") & (ord % 3 == 1), "low").when((kind == "part") & (ord % 7 == 0), "critical")
     n = nodes(spark, sf)
-    severity = F.when((F.col("type") == "region") & F.col("id").isin("region::1", "region::3"), "high").when((F.col("type") == "part") & (F.col("ord") % 10**9 % 7 == 0), "critical")
-    facts = n.withColumn("severity", severity).withColumn("smell", F.col("type").isin("order", "part") & (F.col("ord") % 11 == 0))
-    facts = facts.withColumn("severity", F.when((F.col("type") == "part") & (F.col("ord") % 7 != 0), F.lit(None)).otherwise(F.col("severity")))
-    seeds = _regions(spark, sf)
+    facts = n.withColumn("severity", severity).withColumn("smell", kind.isin("order", "part") & (ord % 11 == 0))
+    seeds = n.where("type in ('region', 'nation')").select(F.col("id").alias("tab_id"), "id")
     return O.tab_rollup(C.tab_closure(edges(spark, sf), seeds, SKIP), seeds, facts)
 
 
-@query(G + " SELECT id, CASE type WHEN 'region' THEN 0 WHEN 'nation' THEN 1 WHEN 'customer' THEN 2 WHEN 'order' THEN 3 WHEN 'part' THEN 4 ELSE 5 END AS type_rank FROM nodes")
+@query(G + " SELECT id, CASE type WHEN 'region' THEN 0 WHEN 'nation' THEN 2 WHEN 'customer' THEN 2 WHEN 'order' THEN 7 WHEN 'part' THEN 99 ELSE 10 END AS type_rank FROM nodes")
 def actor_order(spark, sf):
-    return O.actor_order(nodes(spark, sf), RANKS).orderBy("type_rank", "id").select("id", "type_rank")
+    """Entities under the names of the actors that they stand for."""
+    names = {"region": "route", "nation": "controller", "customer": "action", "order": "model", "supplier": "command"}
+    return O.actor_order(nodes(spark, sf).withColumn("type", X.lookup(F.col("type"), names, "unknown"))).select("id", "type_rank")
 
 
 @query(
     G
-    + """, tabs AS (SELECT id, label || ':' || k AS label, ord * 2 + k AS ord FROM nodes CROSS JOIN (VALUES (0), (1)) v(k) WHERE type <> 'order')
-SELECT id, max_by(label, ord) AS label FROM tabs GROUP BY 1"""
+    + """, tabs AS (SELECT id, label || ':' || k AS label, ord * 2 + k AS ord FROM nodes CROSS JOIN (VALUES (0), (1)) v(k))
+SELECT 'node' AS kind, id, max_by(label, ord) AS label FROM tabs GROUP BY 2 UNION ALL SELECT 'edge', source || '|' || target || '|' || type, type FROM edges"""
 )
 def merge_tabs(spark, sf):
-    n = nodes(spark, sf).where("type <> 'order'")
+    """Every node stored in two tabs, every edge in two without an id."""
+    n, e = nodes(spark, sf), edges(spark, sf)
     tabs = n.select("id", F.concat("label", F.lit(":0")).alias("label"), (F.col("ord") * 2).alias("ord")).union(n.select("id", F.concat("label", F.lit(":1")), F.col("ord") * 2 + 1))
-    e = edges(spark, sf).where("type = 'region-to-nation'").withColumn("id", F.lit(""))
-    return O.merge_graphs(tabs, e)[0].select("id", "label")
+    named = e.withColumn("id", F.lit("")).union(e.withColumn("id", F.lit(None).cast("string")))
+    got_n, got_e = O.merge_graphs(tabs, named)
+    return got_n.select(F.lit("node").alias("kind"), "id", "label").union(got_e.select(F.lit("edge"), "id", "type"))

@@ -5,23 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import rewire as R
-from .g1 import CUT, G, cut_edges, edges, nodes
+from .base import registrar
+from .base import table as _t
+from .g1 import URGENT, G, edges, mentions, nodes, urgent, wide_edges, wide_nodes
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(oracle=None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return add
-
-
-def _t(spark, sf, name):
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+QUERIES, ORACLES, query = registrar()
 
 
 def _pre(p, c):
@@ -71,14 +59,17 @@ def priority_resolve(spark, sf):
 
 
 @query(
-    """WITH t AS (SELECT page_id, '/' || coalesce(nullif(regexp_extract(url, '^https?://[^/]+/([a-z]+)', 1), ''), 'x') AS lang FROM pages)
-SELECT l.page_id, r.first_id FROM t l JOIN (SELECT lang, min(page_id) AS first_id FROM t WHERE page_id % 2 = 0 GROUP BY 1) r USING (lang)"""
+    r"""WITH t AS (SELECT page_id, coalesce(nullif(regexp_extract(url, '^https?://[^/]+/([a-z]+)', 1), ''), 'x') AS lang FROM pages),
+r AS (SELECT lang, min(page_id) AS first_id FROM t WHERE page_id % 2 = 0 GROUP BY 1)
+SELECT page_id, first_id FROM t JOIN r USING (lang) WHERE page_id % 3 > 0"""
 )
 def template_match(spark, sf):
+    """A placeholder stands for a placeholder: those inside a segment are literal and find no partner here."""
     lang = F.coalesce(F.nullif(F.regexp_extract("url", "^https?://[^/]+/([a-z]+)", 1), F.lit("")), F.lit("x"))
     p = _t(spark, sf, "pages").select("page_id", lang.alias("lang"))
-    left = p.select(F.concat(F.lit("/"), "lang", F.lit("/{p"), F.col("page_id").cast("string"), F.lit("}")).alias("template"))
-    right = p.where("page_id % 2 = 0").select(F.concat(F.lit("/"), "lang", F.lit("/{q"), F.col("page_id").cast("string"), F.lit("}")).alias("template"), F.col("page_id").alias("ord"))
+    name = lambda before: F.concat("lang", F.lit(before), F.col("page_id").cast("string"), F.lit("}"))
+    left = p.select(F.when(F.col("page_id") % 3 == 0, name(".p{p")).otherwise(name(".{p")).alias("template"))
+    right = p.where("page_id % 2 = 0").select(name(".{q").alias("template"), F.col("page_id").alias("ord"))
     number = lambda c: F.regexp_extract(c, "([0-9]+)", 1).cast("long")
     return R.template_match(left, right).select(number("left").alias("page_id"), number("right").alias("first_id"))
 
@@ -91,31 +82,37 @@ def two_key_link(spark, sf):
     return R.two_key_link(left, by_class.union(by_name), "a", "b", "linked").select("o_orderkey", "linked")
 
 
-@query("SELECT DISTINCT 'o' || l_orderkey AS source, l_suppkey AS target FROM lineitem WHERE l_suppkey % 4 = 0 AND l_linenumber = 1")
+@query("SELECT DISTINCT 'o' || l_orderkey AS source, l_suppkey AS target FROM lineitem WHERE l_suppkey % 4 = 0")
 def provides_edges(spark, sf):
-    li = _t(spark, sf, "lineitem").where("l_linenumber = 1")
+    li = _t(spark, sf, "lineitem")
     providers = li.groupBy(F.col("l_suppkey").alias("fqcn")).agg(F.collect_set("l_orderkey").alias("provides")).withColumn("deferred", F.col("fqcn") % 4 == 0)
-    n = li.select(F.col("l_orderkey").alias("fqcn"), _pre("o", "l_orderkey").alias("id"))
+    n = li.select(F.col("l_orderkey").alias("fqcn"), _pre("o", "l_orderkey").alias("id")).distinct()
     return R.provides_edges(providers, n)
 
 
 @query(
-    r"""WITH s AS (SELECT s_suppkey, 'A\S' || s_suppkey AS f, s_suppkey % 4 AS m FROM supplier),
-e AS (SELECT f AS source, CASE m WHEN 0 THEN 'A\S' || (s_suppkey - 1) WHEN 1 THEN CASE WHEN s_suppkey + 1 IN (SELECT s_suppkey FROM s) THEN 'A\S' || (s_suppkey + 1) ELSE 'S' || (s_suppkey + 1) END WHEN 2 THEN 'X\Lost' ELSE f END AS target, 'has' AS type FROM s)
-SELECT DISTINCT source, target, type, target = 'X\Lost' OR target NOT IN (SELECT f FROM s) AS external FROM e"""
+    r"""WITH s AS (SELECT s_suppkey, 'A\S' || s_suppkey AS f, s_suppkey % 5 AS m, s_nationkey FROM supplier),
+e AS (SELECT f AS source, CASE m WHEN 0 THEN 'A\S' || (s_suppkey - 1) WHEN 1 THEN CASE WHEN s_suppkey + 1 IN (SELECT s_suppkey FROM s) THEN 'A\S' || (s_suppkey + 1) ELSE 's' || (s_suppkey + 1) END WHEN 2 THEN 'X\Lost' WHEN 3 THEN f ELSE 'X\S' || s_suppkey END AS target, 'has' AS type FROM s),
+t AS (SELECT n_nationkey AS k, n_regionkey AS rows FROM nation WHERE n_nationkey % 2 = 0), c AS (SELECT n_nationkey AS k, n_name FROM nation WHERE n_nationkey % 3 = 0)
+SELECT DISTINCT source, target, type, s.f IS NULL AS external, t.rows, c.n_name AS shape FROM e LEFT JOIN s ON s.f = target LEFT JOIN t ON t.k = s.s_nationkey LEFT JOIN c ON c.k = s.s_nationkey"""
 )
 def erd_edges(spark, sf):
-    k, m = F.col("s_suppkey"), F.col("s_suppkey") % 4
-    name = lambda n: F.concat(F.lit("A\\S"), n.cast("string"))
-    related = F.when(m == 0, name(k - 1)).when(m == 1, F.concat(F.lit("S"), (k + 1).cast("string"))).when(m == 2, F.lit("X\\Lost")).otherwise(name(k))
-    models = _t(spark, sf, "supplier").select(name(k).alias("fqcn"), F.array(F.struct(F.lit("has").alias("type"), related.alias("related"))).alias("relationships"))
-    ids, e = R.er_graph(models)
-    return e.join(ids.withColumnRenamed("id", "target"), "target").select("source", "target", "type", "external")
-
-
-@query("SELECT p_partkey, CAST(n AS BIGINT) AS n_lines, last_ship FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n, max(l_shipdate) AS last_ship FROM lineitem WHERE l_quantity >= 49 GROUP BY 1) ON l_partkey = p_partkey")
+    """Suppliers as entities of their nation's table: related by full name, bare name, unknown names, themselves, another namespace."""
+    k, m = F.col("s_suppkey"), F.col("s_suppkey") % 5
+    name = lambda n, space="A\\S": F.concat(F.lit(space), n.cast("string"))
+    related = F.when(m == 0, name(k - 1)).when(m == 1, name(k + 1, "s")).when(m == 2, F.lit("\\X\\Lost")).when(m == 3, name(k)).otherwise(name(k, "X\\S"))
+    models = _t(spark, sf, "supplier").select(name(k).alias("fqcn"), F.col("s_nationkey").alias("table"), F.array(F.struct(F.lit("has").alias("type"), related.alias("related"))).alias("relationships"))
+    n = _t(spark, sf, "nation")
+    stats = n.where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("table"), F.col("n_regionkey").alias("rows"))
+    schemas = n.where("n_nationkey % 3 = 0").select(F.col("n_nationkey").alias("table"), F.col("n_name").alias("shape"))
+    ids, e = R.er_graph(models, stats, schemas)
+    return e.join(ids.withColumnRenamed("id", "target"), "target").select("source", "target", "type", "external", "stats.rows", "schema.shape")
+
+
+@query("SELECT p_partkey, CAST(n AS BIGINT) AS n_lines, last_ship FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n, max(l_shipdate) AS last_ship FROM lineitem GROUP BY 1 HAVING count(*) < 30) ON l_partkey = p_partkey")
 def stamp_stats(spark, sf):
-    facts = _t(spark, sf, "lineitem").where("l_quantity >= 49").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("n_lines"), F.max("l_shipdate").alias("last_ship"))
+    """Parts with the figures of those that fewer than 30 line items name."""
+    facts = _t(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("n_lines"), F.max("l_shipdate").alias("last_ship")).where("n_lines < 30")
     return R.stamp(_t(spark, sf, "part").select("p_partkey"), facts, "p_partkey", ["n_lines", "last_ship"])
 
 
@@ -132,18 +129,24 @@ def range_findings(spark, sf):
 
 
 @query(
-    CUT
-    + """, u AS (SELECT id, 'f' || ord % 5 AS file FROM cnodes WHERE type = 'part' AND id NOT IN (SELECT target FROM cedges WHERE type = 'order-to-part')),
-b AS (SELECT DISTINCT 'part::' || l_partkey AS id, 'f' || l_suppkey % 5 AS file FROM lineitem WHERE l_linenumber = 1), c AS (SELECT DISTINCT 'part::' || l_partkey AS id, 'f' || l_orderkey % 5 AS file FROM lineitem WHERE l_linenumber = 2)
-SELECT id, file, concat_ws(',', CASE WHEN EXISTS (SELECT 1 FROM b WHERE b.id = u.id AND b.file <> u.file) THEN 'bound' END, CASE WHEN EXISTS (SELECT 1 FROM c WHERE c.id = u.id AND c.file <> u.file) THEN 'configured' END) AS evidence FROM u"""
+    G.replace("WITH RECURSIVE", "WITH", 1)
+    + ", "
+    + URGENT
+    + """, reached AS (SELECT DISTINCT target AS id FROM edges WHERE source IN (SELECT id FROM urgent)), u AS (SELECT 'part::' || p_partkey AS id, 'f' || p_partkey % 5 AS file, p_partkey AS k FROM part WHERE 'part::' || p_partkey NOT IN (SELECT id FROM reached)),
+li AS (SELECT DISTINCT 'part::' || l_partkey AS id, l_returnflag AS f, l_linestatus AS s, 'f' || l_suppkey % 5 AS file FROM lineitem)
+SELECT id, file, concat_ws(',', CASE WHEN k % 4 = 0 THEN 'facade' WHEN k % 3 = 0 THEN 'bound' END, CASE WHEN EXISTS (SELECT 1 FROM li WHERE li.id = u.id AND f = 'A' AND li.file <> u.file) THEN 'configured' END,
+ CASE WHEN 'part::' || (k + 1) IN (SELECT id FROM reached) OR ('part::' || (k + 2) IN (SELECT id FROM reached)) THEN 'inherited' END, CASE WHEN EXISTS (SELECT 1 FROM li WHERE li.id = u.id AND s = 'O' AND li.file <> u.file) THEN 'mentioned' END) AS evidence FROM u"""
 )
 def unreached_evidence(spark, sf):
-    linked = cut_edges(spark, sf).where("type = 'order-to-part'").select(F.col("target").alias("id"))
-    n = nodes(spark, sf).where("type = 'part'").join(linked, "id", "left_anti")
-    unreached = n.select("id", F.concat(F.lit("f"), (F.col("ord") % 10**9 % 5).cast("string")).alias("file"))
-    li = _t(spark, sf, "lineitem")
-    named = lambda line, key: li.where(F.col("l_linenumber") == line).select(_pre("part::", "l_partkey").alias("id"), F.concat(F.lit("f"), (F.col(key) % 5).cast("string")).alias("file")).distinct()
-    return R.evidence(unreached, bound=named(1, "l_suppkey"), configured=named(2, "l_orderkey")).select("id", "file", F.array_join("evidence", ",").alias("evidence"))
+    """Parts in no urgent open order; a part extends the one before it and implements the one before that."""
+    part = _t(spark, sf, "part").select(F.col("p_partkey").alias("k"), _pre("part::", "p_partkey").alias("id"), F.concat(F.lit("f"), (F.col("p_partkey") % 5).cast("string")).alias("file"))
+    reached = edges(spark, sf).join(urgent(spark, sf).withColumnRenamed("id", "source"), "source", "left_semi").select(F.col("target").alias("id")).distinct()
+    unreached = part.join(reached, "id", "left_anti").select("id", "file")
+    other = lambda n: F.concat(F.lit("part::"), (F.col("k") - n).cast("string"))
+    classes = part.select("id", other(1).alias("parent"), F.array(other(2)).alias("interfaces"), F.array().cast("array<string>").alias("traits"))
+    li = _t(spark, sf, "lineitem").select(_pre("part::", "l_partkey").alias("id"), "l_returnflag", "l_linestatus", F.concat(F.lit("f"), (F.col("l_suppkey") % 5).cast("string")).alias("file"))
+    got = R.evidence(unreached, bound=part.where("k % 3 = 0"), facades=part.where("k % 4 = 0"), inherited=R.inherited(classes, reached), configured=li.where("l_returnflag = 'A'"), mentioned=li.where("l_linestatus = 'O'"))
+    return got.select("id", "file", F.array_join("evidence", ",").alias("evidence"))
 
 
 @query("SELECT o_orderkey AS key, CASE WHEN o_custkey % 3 = 0 THEN 'c' || o_custkey ELSE 'n' || o_custkey % 30 END AS id FROM orders WHERE o_custkey % 3 = 0 OR o_custkey % 30 IN (SELECT n_nationkey FROM nation)")
@@ -154,10 +157,10 @@ def first_existing(spark, sf):
     return R.first_existing(cands, have)
 
 
-@query("SELECT p_partkey, EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity >= 49) AS invoked FROM part")
+@query("SELECT doc_id, doc_id IN (SELECT doc_id FROM labels) AS invoked FROM documents")
 def invoked_members(spark, sf):
-    members = _t(spark, sf, "part").select(F.lit("part").alias("class"), F.col("p_partkey").cast("string").alias("member"))
-    return R.invoked(members, cut_edges(spark, sf)).select(F.col("member").cast("long").alias("p_partkey"), "invoked")
+    members = _t(spark, sf, "documents").select(F.lit("document").alias("class"), F.col("doc_id").cast("string").alias("member"))
+    return R.invoked(members, wide_edges(spark, sf)).select(F.col("member").cast("long").alias("doc_id"), "invoked")
 
 
 @query("SELECT 'n::' || role AS id, conv_id AS region, CASE WHEN conv_id % 2 = 0 THEN 'chain' ELSE 'batch' END AS kind, CASE WHEN conv_id % 2 = 0 THEN min(turn) END AS pos FROM conversations GROUP BY role, conv_id")
@@ -180,24 +183,29 @@ def span_regions(spark, sf):
 
 
 @query(
-    """SELECT type, count(*) AS n, count(DISTINCT source) AS sources FROM (SELECT 'c' || o_custkey AS source, 'action-to-' || lower(o_orderstatus) AS type FROM orders UNION ALL SELECT 'e' || l_returnflag, 'event-to-listener' FROM lineitem WHERE l_linenumber = 7) GROUP BY 1"""
+    """SELECT type, count(*) AS n, count(DISTINCT source) AS sources FROM (SELECT 'c' || o_custkey AS source, 'action-to-' || lower(o_orderstatus) AS type FROM orders UNION ALL SELECT 'e' || l_returnflag, 'event-to-listener' FROM lineitem) GROUP BY 1"""
 )
 def assemble_edges(spark, sf):
     calls = _t(spark, sf, "orders").select(_pre("c", "o_custkey").alias("caller"), _pre("o", "o_orderkey").alias("callee"), F.lower("o_orderstatus").alias("callee_type"))
-    heard = _t(spark, sf, "lineitem").where("l_linenumber = 7").select(_pre("p", "l_partkey").alias("listener"), _pre("e", "l_returnflag").alias("event"))
+    heard = _t(spark, sf, "lineitem").select(_pre("p", "l_partkey").alias("listener"), _pre("e", "l_returnflag").alias("event"))
     return R.assemble_calls(calls, heard)[1].groupBy("type").agg(F.count("*").alias("n"), F.count_distinct("source").alias("sources"))
 
 
 @query(
-    """WITH r AS (SELECT 'c' || c_custkey AS id, 'n' || c_nationkey AS controller, lower(c_mktsegment) AS action, c_nationkey AS k FROM customer)
-SELECT DISTINCT id AS source, controller AS target, 'route-to-controller' AS type FROM r UNION SELECT controller, controller || '::' || action, 'controller-to-action' FROM r UNION SELECT id, 'web', 'route-to-guard' FROM r
-UNION SELECT id, 'auth', 'route-to-guard' FROM r WHERE (k % 2 = 0 OR action = 'building') AND action <> 'machinery'"""
+    r"""WITH r AS (SELECT 'c' || c_custkey AS id, 'n' || c_nationkey AS controller, lower(c_mktsegment) AS action, c_nationkey AS k FROM customer),
+m AS (SELECT unnest(['web', 'throttle:60,1', 'App\Session']) AS target)
+SELECT DISTINCT id AS source, controller AS target, 'route-to-controller' AS type FROM r UNION SELECT controller, controller || '::' || action, 'controller-to-action' FROM r UNION SELECT id, target, 'route-to-guard' FROM r, m
+UNION SELECT id, 'App\Auth:api', 'route-to-guard' FROM r WHERE (k % 3 = 0 OR (k % 3 = 1 AND action = 'building')) AND action <> 'machinery'"""
 )
 def assemble_routes(spark, sf):
+    """A group on every route and a parameterised alias on the controllers, for all, some or no actions."""
     routes = _t(spark, sf, "customer").select(_pre("c", "c_custkey").alias("id"), _pre("n", "c_nationkey").alias("controller"), F.lower("c_mktsegment").alias("action"), F.array(F.lit("web")).alias("middlewares"))
-    only = F.when(F.col("n_nationkey") % 2 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("building")))
-    guards = _t(spark, sf, "nation").select(_pre("n", "n_nationkey").alias("controller"), F.lit("auth").alias("name"), only.alias("only"), F.array(F.lit("machinery")).alias("except"))
-    return R.assemble_routes(routes, guards)
+    k = F.col("n_nationkey") % 3
+    only = F.when(k == 1, F.array(F.lit("building"))).when(k == 2, F.array().cast("array<string>"))
+    guards = _t(spark, sf, "nation").select(_pre("n", "n_nationkey").alias("controller"), F.lit("auth:api").alias("name"), only.alias("only"), F.array(F.lit("machinery")).alias("except"))
+    groups = spark.createDataFrame([("web", 0, "throttle:60,1"), ("web", 1, "session"), ("web", 2, "web")], "group string, pos int, member string")
+    aliases = spark.createDataFrame([("session", "App\\Session"), ("auth", "App\\Auth")], "alias string, target string")
+    return R.assemble_routes(routes, guards, groups, aliases)
 
 
 @query("SELECT DISTINCT 's' || l_suppkey AS source, 'p' || l_partkey AS target, 'supplier-to-part' AS type FROM lineitem UNION SELECT DISTINCT 'p' || l_partkey, 'f' || l_returnflag, 'part-to-flag' FROM lineitem WHERE l_linestatus = 'O'")
@@ -220,11 +228,15 @@ def dependency_edges(spark, sf):
     return R.dependency_edges(deps, classes, old, "needs")
 
 
-@query("SELECT DISTINCT 'part::' || p_partkey AS id, CASE p_size % 3 WHEN 0 THEN 'enum' ELSE 'trait' END AS kind FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_quantity >= 49 AND p_size % 3 < 2 AND p_partkey % 2 = 0")
+@query(
+    """SELECT DISTINCT id, kind FROM (SELECT 'brand::' || p_brand AS id, CASE WHEN p_brand LIKE '%1' THEN 'interface' ELSE 'enum' END AS kind FROM part UNION ALL SELECT 'segment::' || c_mktsegment, 'trait' FROM customer UNION ALL SELECT 'priority::' || o_orderpriority, 'class' FROM orders) WHERE kind IN ('enum', 'trait')"""
+)
 def supplement_nodes(spark, sf):
-    kind = F.when(F.col("p_size") % 3 == 0, "enum").when(F.col("p_size") % 3 == 1, "trait").otherwise("interface")
-    classes = _t(spark, sf, "part").select(_pre("part::", "p_partkey").alias("fqcn"), kind.alias("kind"))
-    return R.supplement(cut_edges(spark, sf), classes, nodes(spark, sf).where("type <> 'part' or ord % 2 = 1"))
+    """What entities only name: brands as enums or interfaces, segments as traits, priorities as classes; orders are declared, but nodes already."""
+    id = F.col("target")
+    kind = F.when(id.startswith("brand::") & id.endswith("1"), "interface").when(id.startswith("brand::"), "enum").when(id.startswith("segment::"), "trait").otherwise("class")
+    classes = mentions(spark, sf).select(id.alias("fqcn"), kind.alias("kind")).distinct().union(nodes(spark, sf).where("type = 'order'").select("id", F.lit("enum")))
+    return R.supplement(wide_edges(spark, sf), classes, wide_nodes(spark, sf))
 
 
 @query("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS filled FROM conversations")

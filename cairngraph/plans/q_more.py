@@ -4,26 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..lineage import scratch
 from ..operators import graph as O
 from ..sources import io as S
+from .base import registrar
+from .base import table as _t
 from .g1 import G, edges, nodes
-from .q_streams import _shared
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(oracle=None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return add
-
-
-def _t(spark, sf, name):
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+QUERIES, ORACLES, query = registrar()
 
 
 @query("SELECT l_orderkey AS node_id, bool_or(l_quantity >= 49) AS n1 FROM lineitem GROUP BY 1")
@@ -31,6 +19,19 @@ def any_flag(spark, sf):
     return O.any_flag(_t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("node_id"), (F.col("l_quantity") >= 49).alias("n1")), "n1")
 
 
+@query(
+    """SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'model' WHEN p_brand IN (SELECT p_brand FROM part WHERE p_size = 1) THEN 'facade' WHEN p_name IN (SELECT p_name FROM part WHERE p_size = 2) THEN 'validation_request' WHEN p_size > 30 THEN 'action_class' ELSE 'service' END AS type FROM part"""
+)
+def classify_refine(spark, sf):
+    """Parts as classes named by brand in files named by part name, of which those of large parts lie under a root; some have a type already."""
+    p = _t(spark, sf, "part")
+    file = lambda root: F.concat(root, F.lit("/"), F.col("p_name"))
+    root = F.when(F.col("p_size") > 30, "app/Actions").otherwise("app/Actionsets")
+    n = p.select("p_partkey", F.col("p_brand").alias("fqcn"), F.when(F.col("p_size") % 5 == 0, "model").otherwise("service").alias("type"), file(root).alias("file"))
+    checked = p.where("p_size = 2").select(F.explode(F.array(file(F.lit("app/Actions")), file(F.lit("app/Actionsets")))).alias("file"))
+    return O.refine_types(n, p.where("p_size = 1").select(F.col("p_brand").alias("fqcn")), checked, ["app/Actions"]).select("p_partkey", "type")
+
+
 @query("SELECT DISTINCT user_id AS node_id, event_type AS kind, json_extract_string(props, '$.k') AS k FROM events")
 def nested_dedupe(spark, sf):
     e = _t(spark, sf, "events")
@@ -61,7 +62,7 @@ def graph_roundtrip(spark, sf):
     ns = n.groupBy("tab").agg(F.collect_list(F.struct("id", "type", "label", blank)).alias("nodes"))
     es = e.groupBy("tab").agg(F.collect_list(F.struct(F.lit("").alias("id"), "source", "target", F.lit("").alias("label"), "type")).alias("edges"))
     tabs = ns.join(es, "tab").select("tab", F.struct(F.lit("p").alias("project"), F.lit("now").alias("analyzedAt")).alias("meta"), "nodes", "edges")
-    path = _shared(spark)
+    path = scratch(spark, "tabs")
     tabs.write.partitionBy("tab").json(path)
     got_nodes, got_edges, _ = S.read_graph(spark, f"{path}/*")
     a = got_nodes.join(got_edges.select(F.col("target").alias("id"), "source").distinct(), "id").groupBy(F.regexp_replace("source", "::", "-").alias("tab_id")).agg(F.count_distinct("id").alias("nodes"))
@@ -74,18 +75,18 @@ def commit_log(spark, sf):
     """Orders written as a commit log and read back."""
     head = F.concat(F.lit("@@"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("␟"), "o_orderpriority")
     text = _t(spark, sf, "orders").select(F.concat(head, F.lit("\nc"), F.col("o_custkey").cast("string"), F.lit("\n")))
-    path = _shared(spark)
+    path = scratch(spark, "tabs")
     text.write.text(path)
     log = S.read_commit_log(spark, path, "2000-01-01")
     return log.select(F.col("commit_date").cast("string").alias("day"), "author", "file")
 
 
-@query("SELECT 's' || l_suppkey AS project, 'p' || l_partkey AS package, l_returnflag = 'R' AS dev FROM lineitem WHERE l_linenumber = 1 GROUP BY 1, 2, 3")
+@query("SELECT 's' || l_suppkey AS project, 'p' || l_partkey AS package, l_returnflag = 'R' AS dev FROM lineitem GROUP BY 1, 2, 3")
 def manifest_packages(spark, sf):
     """Suppliers as manifests of their parts, written and read back."""
-    li = _t(spark, sf, "lineitem").where("l_linenumber = 1").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("name"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("p"), (F.col("l_returnflag") == "R").alias("dev")).distinct()
+    li = _t(spark, sf, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("name"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("p"), (F.col("l_returnflag") == "R").alias("dev")).distinct()
     pick = lambda dev: F.map_from_entries(F.collect_list(F.when(F.col("dev") == dev, F.struct(F.col("p"), F.lit("1"))))).alias("require-dev" if dev else "require")
-    path = _shared(spark)
+    path = scratch(spark, "manifests")
     li.groupBy("name").agg(pick(False), pick(True)).write.json(path)
     return S.read_manifests(spark, path, False).select("project", "package", "dev")
 
@@ -95,7 +96,7 @@ def catalog_columns(spark, sf):
     """Parts as catalogue extracts with two columns each, written among an unreadable line and read back."""
     col = lambda c: F.struct(c.alias("name"), F.lit("int").alias("type"))
     good = _t(spark, sf, "part").select(F.to_json(F.struct(F.concat(F.lit("t"), F.col("p_partkey").cast("string")).alias("table"), F.array(col(F.lit("id")), col(F.lower("p_brand"))).alias("columns"))))
-    path = _shared(spark)
+    path = scratch(spark, "tabs")
     good.union(spark.range(1).select(F.lit("{broken"))).write.text(path)
     got = S.read_table_schemas(spark, path).where("table is not null")
     return got.select("table", F.explode("columns").alias("c")).select("table", F.col("c.name").alias("col"))

@@ -6,23 +6,11 @@ from pyspark.sql import functions as F
 
 from ..operators import audit as U
 from ..operators import text as T
-from ..operators.closure import expand_groups
+from ..operators.closure import guard_names
+from .base import registrar
+from .base import table as _t
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(oracle=None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return add
-
-
-def _t(spark, sf, name):
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+QUERIES, ORACLES, query = registrar()
 
 
 RULES = [("ip", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", "low"), ("secret", r"(?:token|password|secret) *= *[^ ]+", "high"), ("license", r"[Ll]icensed under [A-Za-z -]+", "none")]
@@ -41,10 +29,13 @@ def rule_scan(spark, sf):
     return T.rule_scan(docs, RULES).withColumn("line", F.col("line").cast("long"))
 
 
-@query("SELECT doc_id, CASE WHEN toxic = 1 THEN 'critical' WHEN regexp_matches(lower(coalesce(text, '')), 'token|licensed') THEN 'high' ELSE 'medium' END AS severity FROM labels JOIN documents USING (doc_id)")
+@query("SELECT doc_id, CASE WHEN (toxic = 1 AND contains(lower(coalesce(text, '')), lang)) OR regexp_matches(lower(coalesce(text, '')), 'password|licensed') THEN 'high' ELSE 'medium' END AS severity FROM labels JOIN documents USING (doc_id)")
 def finding_severity(spark, sf):
-    found = _t(spark, sf, "labels").join(_t(spark, sf, "documents"), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("message"), (F.col("toxic") == 1).alias("tainted"))
-    return T.finding_severity(found, ["token", "licensed"]).select("doc_id", "severity")
+    """Documents as messages; the name of its language is tainted in toxic ones."""
+    both = _t(spark, sf, "labels").join(_t(spark, sf, "documents"), "doc_id")
+    found = both.select("doc_id", F.col("doc_id").alias("file"), F.coalesce("text", F.lit("")).alias("message"))
+    tainted = both.where("toxic = 1").select(F.col("doc_id").alias("file"), F.upper("lang").alias("name"))
+    return T.finding_severity(found, tainted, ["password", "licensed"]).select("doc_id", "severity")
 
 
 @query(
@@ -64,8 +55,7 @@ def template_references(spark, sf):
 
 @query(r"""SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="(/[^"]*)"', 1)) AS href FROM pages""")
 def page_refs(spark, sf):
-    pages = _t(spark, sf, "pages")
-    return pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), F.lit(1))).alias("href")).distinct()
+    return T.page_refs(_t(spark, sf, "pages"))
 
 
 @query("SELECT doc_id FROM documents WHERE contains(text, 'token') OR contains(text, 'Licensed')")
@@ -98,22 +88,29 @@ def _routes(spark, sf):
 
 
 def _guards(spark, sf):
-    """Guard names as written, expanded through groups and aliases."""
-    n = F.col("c_nationkey")
-    written = F.when(n % 4 == 0, "web").when(n % 4 == 1, "staff").when(n % 4 == 2, "guest")
-    names = _routes(spark, sf).select(F.col("route").alias("owner"), written.alias("name")).where("name is not null")
-    groups = spark.createDataFrame([("staff", 0, "web"), ("staff", 1, "can:admin"), ("web", 0, "auth:api"), ("web", 1, "throttle:60"), ("web", 2, "web")], "group string, pos int, member string")
-    aliases = spark.createDataFrame([("guest", "App\\Guards\\Guest")], "alias string, target string")
-    return expand_groups(names, groups, aliases).select(F.col("owner").alias("route"), F.col("name").alias("guard"))
+    """Guard names as written, resolved and expanded through groups and aliases."""
+    n = F.col("c_nationkey") % 7
+    written = F.when(n == 0, "web").when(n == 1, "staff").when(n == 2, "guest:x").when(n == 3, "web:tenant").when(n == 4, "club").when(n == 5, "loop")
+    names = _routes(spark, sf).select(F.col("route").alias("owner"), F.lit(0).alias("pos"), written.alias("name")).where("name is not null")
+    groups = [("staff", 0, "web"), ("staff", 1, "can:manage"), ("web", 0, "AUTH:api"), ("web", 1, "throttle:60,1"), ("web", 2, "web"), ("club", 0, "member:gold"), ("loop", 0, "loop")]
+    aliases = [("guest", "Framework\\Guest"), ("member", "App\\Members")]
+    return guard_names(names, spark.createDataFrame(groups, "group string, pos int, member string"), spark.createDataFrame(aliases, "alias string, target string")).select(F.col("owner").alias("route"), F.col("name").alias("guard"))
+
+
+def _exposure(spark, sf):
+    """A guard of its own class counts as authed because of what the class extends."""
+    parents = spark.createDataFrame([("App\\Members", "App\\Base"), ("App\\Base", "Framework\\Authenticate"), ("A", "B"), ("B", "A")], "child string, parent string")
+    bases = spark.createDataFrame([("Framework\\Authenticate",)], "id string")
+    return U.exposure(_guards(spark, sf), _routes(spark, sf), PATTERNS, parents, bases)
 
 
-ROUTES = "r AS (SELECT c_custkey AS route, ['GET','POST','PUT','DELETE'][c_custkey % 4 + 1] AS method, '/' || lower(c_mktsegment) || '/' || c_custkey AS uri, c_custkey % 9 = 0 AS throttled, c_nationkey % 4 AS g FROM customer), x AS (SELECT *, CASE g WHEN 0 THEN 'authed' WHEN 1 THEN 'admin' WHEN 2 THEN 'guest' ELSE 'public' END AS exposure FROM r)"
-PATTERNS = {"guest": ["Guest"], "authed": ["auth"], "admin": ["can:admin"]}
+ROUTES = "r AS (SELECT c_custkey AS route, ['GET','POST','PUT','DELETE'][c_custkey % 4 + 1] AS method, '/' || lower(c_mktsegment) || '/' || c_custkey AS uri, c_name AS name, c_custkey % 9 = 0 AS throttled, c_nationkey % 7 AS g FROM customer), x AS (SELECT *, CASE g WHEN 0 THEN 'authed' WHEN 1 THEN 'admin' WHEN 2 THEN 'guest' WHEN 4 THEN 'authed' ELSE 'public' END AS exposure FROM r)"
+PATTERNS = {"guest": ["Other\\Guest"], "authed": ["auth"], "admin": ["can:"]}
 
 
 @query("WITH " + ROUTES + " SELECT route, exposure FROM x")
 def exposure(spark, sf):
-    return U.exposure(_guards(spark, sf), _routes(spark, sf), PATTERNS)
+    return _exposure(spark, sf)
 
 
 @query("WITH " + ROUTES + " SELECT route, 'high' AS severity FROM x WHERE method IN ('POST', 'PUT') AND regexp_matches(uri, 'machinery|building') AND NOT throttled AND g > 1")
@@ -121,23 +118,29 @@ def missing_throttle(spark, sf):
     return U.missing_throttle(_routes(spark, sf), _guards(spark, sf), ["machinery", "building"])
 
 
-@query("WITH " + ROUTES + " SELECT route, CASE method WHEN 'DELETE' THEN 'high' ELSE 'medium' END AS severity FROM x WHERE method <> 'GET' AND exposure = 'public' AND NOT regexp_matches(uri, '^/furniture/.*$')")
+@query("WITH " + ROUTES + " SELECT route, CASE method WHEN 'DELETE' THEN 'high' ELSE 'medium' END AS severity FROM x WHERE method <> 'GET' AND exposure = 'public' AND NOT regexp_matches(uri, '^/(?:furniture|building)/') AND name NOT LIKE '%7'")
 def public_write(spark, sf):
-    r = _routes(spark, sf)
-    return U.public_write(r, U.exposure(_guards(spark, sf), r, PATTERNS), ["/FURNITURE/*"])
+    return U.public_write(_routes(spark, sf), _exposure(spark, sf), ["FURNITURE/*", "/building/*"], ["customer#*7"])
 
 
-@query("WITH " + ROUTES + " SELECT route, method, exposure FROM x WHERE exposure = 'admin' AND contains(uri, 'auto')")
+@query("WITH " + ROUTES + ", s AS (SELECT route, method, uri, nullif(exposure, 'guest') AS exposure, CASE WHEN method = 'DELETE' THEN 'high' WHEN method = 'GET' AND exposure <> 'admin' THEN 'low' END AS risk FROM x) SELECT 'admin' AS asked, route, method, exposure, coalesce(risk, 'none') AS risk FROM s WHERE exposure = 'admin' AND contains(uri, 'auto') UNION ALL SELECT 'high', route, method, coalesce(exposure, 'unknown'), risk FROM s WHERE risk = 'high'")
 def route_filter(spark, sf):
-    r = _routes(spark, sf)
-    return r.join(U.exposure(_guards(spark, sf), r, PATTERNS), "route").where((F.col("exposure") == "admin") & F.col("uri").contains("auto")).select("route", "method", "exposure")
+    """Asked for admin routes of an address and for those of high risk; guests' exposure and some risks are not stored."""
+    risk = F.when(F.col("method") == "DELETE", "high").when((F.col("method") == "GET") & (F.col("exposure") != "admin"), "low")
+    r = _routes(spark, sf).join(_exposure(spark, sf), "route").withColumn("risk_level", risk).withColumn("exposure", F.nullif("exposure", F.lit("guest")))
+    n = r.select(F.col("route").alias("id"), F.lit("route").alias("type"), "method", "uri", "name", "exposure", "risk_level")
+    asked = lambda name, **by: U.route_filter(n, **by).select(F.lit(name).alias("asked"), F.col("id").alias("route"), "method", "exposure", F.col("risk_level").alias("risk"))
+    return asked("admin", exposure="admin", contains="auto").union(asked("high", risk="high"))
 
 
-@query("SELECT 't' || p_partkey AS \"table\", 'fk' AS foreign_key FROM part WHERE p_size % 3 > 0")
+@query("SELECT 't' || p_partkey AS \"table\", 'fk' AS foreign_key FROM part WHERE p_size % 4 > 0")
 def fk_index(spark, sf):
+    """Indexes that lead with the key, that turn it round, that are too short, and a key without columns."""
     cols = lambda *c: F.array(*[F.lit(x) for x in c])
-    index = F.when(F.col("p_size") % 3 == 0, cols("a", "b", "c")).when(F.col("p_size") % 3 == 1, cols("b", "a")).otherwise(cols("a"))
-    schemas = _t(spark, sf, "part").select(F.concat(F.lit("t"), F.col("p_partkey").cast("string")).alias("table"), F.array(F.struct(index.alias("columns"))).alias("indexes"), F.array(F.struct(F.lit("fk").alias("name"), cols("a", "b").alias("columns"))).alias("foreign_keys"))
+    n = F.col("p_size") % 4
+    index = F.when(n == 1, cols("b", "a")).when(n == 2, cols("a")).otherwise(cols("a", "b", "c"))
+    key = F.when(n == 3, F.array().cast("array<string>")).otherwise(cols("a", "b"))
+    schemas = _t(spark, sf, "part").select(F.concat(F.lit("t"), F.col("p_partkey").cast("string")).alias("table"), F.array(F.struct(index.alias("columns"))).alias("indexes"), F.array(F.struct(F.lit("fk").alias("name"), key.alias("columns"))).alias("foreign_keys"))
     return U.fk_index(schemas)
 
 

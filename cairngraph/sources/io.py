@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import lookup
+from ..lineage import settle
 
 GRAPH = "meta struct<project:string,analyzedAt:string>, nodes array<struct<id:string,type:string,label:string,data:string>>, edges array<struct<id:string,source:string,target:string,label:string,type:string>>"
 
@@ -18,9 +20,57 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Da
     return nodes, edges, raw.select("tab_id", "meta.*")
 
 
-def write_tabs(df: DataFrame, path: str, keys: tuple[str, ...] = ("tab_id",)) -> None:
+def write_tabs(df: DataFrame, path: str, keys: tuple[str, ...] = ("tab_id",), fmt: str = "parquet") -> None:
     """Upsert by partition: tabs in df are replaced, all others stay."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+    df.write.format(fmt).mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).save(path)
+
+
+def write_graph(tab_nodes: DataFrame, tab_edges: DataFrame, manifest: DataFrame, path: str) -> None:
+    """Store each tab's subgraph as JSON lines, a folder a tab, and the manifest of all tabs.
+
+    tab_nodes and tab_edges have tab_id; their tabs replace the stored ones.
+    Rows are dealt by tab and a hash, so a large tab is written by many tasks.
+    The manifest is written last: it names what is there.
+    """
+    for name, df, key in (("nodes", tab_nodes, "id"), ("edges", tab_edges, "source")):
+        write_tabs(df.repartition("tab_id", F.pmod(F.xxhash64(key), F.lit(16))), f"{path}/{name}", fmt="json")
+    manifest.write.mode("overwrite").json(f"{path}/manifest")
+
+
+def read_tabs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and manifest of a graph stored by write_graph; tab ids stay texts."""
+    node = "tab_id string, id string, type string, label string, data string, ord long"
+    edge = "tab_id string, id string, source string, target string, label string, type string, ord long"
+    entry = "tab_id string, label string, category string, route_count long, node_count long, edge_count long, issue_count long, risk_level string"
+    return tuple(spark.read.schema(schema).json(f"{path}/{name}") for name, schema in (("nodes", node), ("edges", edge), ("manifest", entry)))
+
+
+def upsert(df: DataFrame, path: str, key: str, buckets: int = 64) -> None:
+    """Put rows into the table at path, one a key: stored rows of the same keys are replaced.
+
+    Rows lie in ``buckets`` partitions by a hash of their key, of which only
+    those that df touches are rewritten, from a stored copy, so a failed write
+    can be repeated. Of rows of df that share a key the last in the order of
+    their columns stays.
+    """
+    spark = df.sparkSession
+    cols = [c for c in df.columns if c != key]
+    last = df.groupBy(key).agg(F.max(F.struct(*cols)).alias("_row")).select(key, "_row.*")
+    fresh = settle(last.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")))
+    if exists(spark, path):
+        stored = spark.read.parquet(path)
+        touched = stored.join(fresh.select("bucket").distinct(), "bucket", "left_semi")
+        fresh = settle(touched.join(fresh.select(key), key, "left_anti").unionByName(fresh))
+    write_tabs(fresh, path, ("bucket",))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a readable table lies at path."""
+    try:
+        spark.read.parquet(path)
+    except AnalysisException:
+        return False
+    return True
 
 
 def stale_tabs(stored: DataFrame, kept: DataFrame) -> DataFrame:
@@ -28,10 +78,16 @@ def stale_tabs(stored: DataFrame, kept: DataFrame) -> DataFrame:
     return stored.select("tab_id").distinct().join(kept.select("tab_id").distinct(), "tab_id", "left_anti")
 
 
-def prune_tabs(spark: SparkSession, path: str, kept: DataFrame) -> None:
-    """Replace every stale tab's partition by none, by rewriting the table without them beside it."""
-    stored = spark.read.parquet(path)
-    stored.join(kept.select("tab_id").distinct(), "tab_id", "left_semi").write.mode("overwrite").partitionBy("tab_id").parquet(path.rstrip("/") + "-pruned")
+def prune_tabs(spark: SparkSession, table: str, kept: DataFrame) -> int:
+    """Drop the partitions of tabs that are not in kept(tab_id), with their files, from a managed table partitioned by tab_id; how many.
+
+    Only the names of stale partitions reach the driver, which holds the
+    table's list of partitions anyway; no kept row is rewritten.
+    """
+    stale = [r.tab_id for r in stale_tabs(spark.table(table).select("tab_id"), kept).collect()]
+    for tab in stale:
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (tab_id = '{tab.replace(chr(92), chr(92) * 2).replace(chr(39), chr(92) + chr(39))}')")
+    return len(stale)
 
 
 def table_stats(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
@@ -46,9 +102,15 @@ def table_stats(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
 
 
 def merge_stats(uniform: DataFrame, other: DataFrame) -> DataFrame:
-    """Tables of either reading; the uniform reading's total is preferred."""
+    """(table, rows, table_bytes, index_bytes, total_bytes, estimated) of the tables of either reading.
+
+    The uniform reading has (table, rows, total_bytes), the other also
+    table_bytes and index_bytes. The uniform total is preferred; a table that
+    only the other reading has is estimated.
+    """
     a, b = uniform.alias("a"), other.alias("b")
-    return a.join(b, "table", "full").select("table", F.coalesce("a.rows", "b.rows").alias("rows"), F.coalesce("a.total_bytes", "b.total_bytes").alias("total_bytes"), F.col("a.rows").isNull().alias("estimated"))
+    pick = lambda c: F.coalesce(f"a.{c}", f"b.{c}").alias(c)
+    return a.join(b, "table", "full").select("table", pick("rows"), F.col("b.table_bytes"), F.col("b.index_bytes"), pick("total_bytes"), F.col("a.rows").isNull().alias("estimated"))
 
 
 def read_commit_log(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
@@ -67,6 +129,11 @@ def fingerprint(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return files.select("path", F.sha2("content", 256).alias("hash"), "length")
 
 
+def content_hash(sources: DataFrame, key: str = "file") -> DataFrame:
+    """(key, fingerprint) of sources(key, text); a null text counts as empty."""
+    return sources.select(key, F.md5(F.coalesce("text", F.lit(""))).alias("fingerprint"))
+
+
 def read_manifests(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """(project, package, version, dev) of package manifests with two dependency maps, one a file or one a line."""
     raw = spark.read.schema("name string, `require` map<string,string>, `require-dev` map<string,string>").json(path, multiLine=multi_line)
@@ -80,15 +147,40 @@ def read_table_schemas(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
 
 
-def read_rounds(spark: SparkSession, path: str) -> DataFrame:
-    """(arm, scenario, rep, ms, counts, phases) of benchmark rounds, one JSON document a file."""
-    raw = spark.read.schema("arm string, scenarios map<string,struct<times_ms:array<double>,counts:map<string,bigint>,phases_ms:map<string,double>>>").json(path, multiLine=True)
+def read_rounds(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """(arm, scenario, rep, ms, counts, phases) of benchmark rounds, one JSON document a file or one a line."""
+    raw = spark.read.schema("arm string, scenarios map<string,struct<times_ms:array<double>,counts:map<string,bigint>,phases_ms:map<string,double>>>").json(path, multiLine=multi_line)
     each = raw.select("arm", F.explode("scenarios").alias("scenario", "s"))
     return each.select("arm", "scenario", F.posexplode("s.times_ms").alias("rep", "ms"), F.col("s.counts").alias("counts"), F.col("s.phases_ms").alias("phases"))
 
 
+# Types of findings that are not their rule's last segment in capitals.
+FINDING_TYPES = {
+    "unsafe-validator": "UNVALIDATED_INPUT",
+    "weak-validation": "UNVALIDATED_INPUT",
+    "blade-raw-echo": "XSS_BLADE_UNESCAPED",
+    "ssrf.http-client": "SSRF",
+    "cookie-insecure": "INSECURE_COOKIE",
+}
+
+
+def read_findings(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """(file, line, type, severity, message, rule) of scanner reports with a list of findings, one JSON document a file or one a line."""
+    raw = spark.read.schema("findings array<struct<file:string,line:int,ruleId:string,severity:string,message:string>>").json(path, multiLine=multi_line)
+    return normalise_findings(raw.select(F.explode("findings").alias("f")).select("f.file", "f.line", F.col("f.ruleId").alias("rule"), "f.severity", "f.message"))
+
+
 def normalise_findings(findings: DataFrame) -> DataFrame:
-    """findings(file, rule, level) with the rule id in lower case with dashes and a severity by level."""
-    levels = {"error": "high", "warning": "medium", "note": "low", "critical": "critical"}
-    rule = F.regexp_replace(F.lower(F.trim("rule")), "[^a-z0-9]+", "-")
-    return findings.select("file", rule.alias("rule"), lookup(F.lower("level"), levels, "medium").alias("severity"))
+    """(file, line, type, severity, message, rule) of findings(file, line, rule, severity, message).
+
+    Findings without a file go; a missing rule is unknown, a missing message
+    the rule, a severity that is not low, medium, high or critical medium. The
+    type is looked up by what follows the rule's first dot, else made of its
+    last segment.
+    """
+    rule = F.coalesce("rule", F.lit("unknown"))
+    made = F.upper(F.regexp_replace(F.substring_index(rule, ".", -1), "-", "_"))
+    kind = F.coalesce(lookup(F.regexp_replace(rule, r"^[^.]*\.", ""), FINDING_TYPES), made)
+    level = F.lower("severity")
+    severity = F.when(level.isin("critical", "high", "medium", "low"), level).otherwise("medium")
+    return findings.where("file is not null").select("file", "line", kind.alias("type"), severity.alias("severity"), F.coalesce("message", rule).alias("message"), rule.alias("rule"))

@@ -1,75 +1,158 @@
-"""Structured Streaming forms of the continuous jobs, each with a batch twin in plans."""
+"""Structured Streaming forms of the continuous jobs.
+
+Each job is one function of DataFrames that a stream and a batch share: it
+takes either, or a stream runs it on every micro-batch.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window as W
+
+from ..lineage import settle
+from ..operators.aggs import order_stats
+from ..operators.diff import apply_partial, owned_equal
+from ..sources.io import exists
 
 
-def _seen_hash(key, frames, state: GroupState):
-    """Rows of one path whose hash differs from the one before; the state is the last hash."""
-    rows = pd.concat(list(frames)).sort_values("ts", kind="stable")
-    last = state.get[0] if state.exists else None
-    out = []
-    for ts, value in zip(rows["ts"], rows["hash"]):
-        if value != last:
-            out.append((key[0], value, ts, "added" if last is None else "modified"))
-        last = value
-    state.update((last,))
-    yield pd.DataFrame(out, columns=["path", "hash", "ts", "change"])
+def changes(rows: DataFrame, last: DataFrame | None = None) -> DataFrame:
+    """rows(path, hash, ts, ...) whose hash differs from the path's one before, with change: added or modified.
 
+    ``last`` has (path, hash) as known before; a path that it lacks is added
+    with its first row.
+    """
+    before = F.lag("hash").over(W.partitionBy("path").orderBy("ts"))
+    if last is not None:
+        known = last.select("path", F.col("hash").alias("_last"))
+        rows = rows.join(known, "path", "left")
+        before = F.coalesce(before, F.col("_last"))
+    found = rows.withColumn("_before", before).where("_before is null or _before <> hash")
+    return found.withColumn("change", F.when(F.col("_before").isNull(), "added").otherwise("modified")).drop("_before", "_last")
 
-def change_feed(stream: DataFrame) -> DataFrame:
-    """(path, hash, ts, change) of a stream(path, hash, ts): a path's first hash and every change of it.
 
+def change_feed(stream: DataFrame, path: str, checkpoint: str):
+    """Start a query that writes the changes of a stream(path, hash, ts) to the table at path, a partition a micro-batch.
+
+    What a path had before is its latest change of an earlier micro-batch, so
+    the table is its own state and a repeated micro-batch gives the same rows.
     A file source cannot show deletions; snapshot_diff on snapshots does.
     """
-    grouped = stream.select("path", "hash", "ts").groupBy("path")
-    return grouped.applyInPandasWithState(_seen_hash, "path string, hash string, ts timestamp, change string", "hash string", "append", GroupStateTimeout.NoTimeout)
+
+    def put(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows, last = settle(batch.select("path", "hash", "ts")), None
+        if exists(spark, path):
+            stored = spark.read.parquet(path).where(F.col("batch") < number).join(rows.select("path").distinct(), "path", "left_semi")
+            last = stored.groupBy("path").agg(F.max_by("hash", F.struct("batch", "ts")).alias("hash"))
+        found = settle(changes(rows, last).withColumn("batch", F.lit(number)))
+        found.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def churn_windows(stream: DataFrame, size: str, slide: str, delay: str) -> DataFrame:
-    """(start, key, commits) over sliding windows of a stream(ts, key); later rows than delay are dropped."""
+    """(start, key, commits) over sliding windows of (ts, key); a stream drops rows later than delay."""
     counted = stream.withWatermark("ts", delay).groupBy(F.window("ts", size, slide), "key").agg(F.count("*").alias("commits"))
     return counted.select(F.col("window.start").alias("start"), "key", "commits")
 
 
 def timing_windows(stream: DataFrame, size: str, delay: str) -> DataFrame:
-    """(start, key, n, low, high, p95) over tumbling windows of a stream(ts, key, ms)."""
-    summed = stream.withWatermark("ts", delay).groupBy(F.window("ts", size), "key")
-    out = summed.agg(F.count("*").alias("n"), F.min("ms").alias("low"), F.max("ms").alias("high"), F.percentile_approx("ms", 0.95).alias("p95"))
-    return out.select(F.col("window.start").alias("start"), "key", "n", "low", "high", "p95")
+    """(start, key, n, low, high, p95) over tumbling windows of (ts, key, ms).
+
+    The 95th percentile is exact on a batch and approximate, to one rank in
+    ten thousand, on a stream, whose state must stay small.
+    """
+    if stream.isStreaming:
+        summed = stream.withWatermark("ts", delay).groupBy(F.window("ts", size), "key")
+        out = summed.agg(F.count("*").alias("n"), F.min("ms").alias("low"), F.max("ms").alias("high"), F.percentile_approx("ms", 0.95).alias("p95"))
+        return out.select(F.col("window.start").alias("start"), "key", "n", "low", "high", "p95")
+    rows = stream.select(F.window("ts", size)["start"].alias("start"), "key", "ms")
+    rank = F.greatest(F.ceil(F.lit(0.95) * F.col("n")) - 1, F.lit(0))
+    return order_stats(rows, ["start", "key"], "ms", {"p95": rank}).select("start", "key", "n", "low", "high", "p95")
 
 
 def dedupe_events(stream: DataFrame, keys: Sequence[str], delay: str) -> DataFrame:
-    """The first row of each key within the watermark's delay."""
-    return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(list(keys))
+    """The first row of each key by ts; a stream keeps a key's first arrival until the watermark has passed it by delay."""
+    if stream.isStreaming:
+        return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(list(keys))
+    rest = [c for c in stream.columns if c not in keys and c != "ts"]
+    first = stream.groupBy(*keys).agg(F.min(F.struct("ts", *rest)).alias("_row"))
+    return first.select(*keys, "_row.*").select(*stream.columns)
 
 
 def session_cascade(stream: DataFrame, gap: str, delay: str) -> DataFrame:
-    """(user_id, start, events, kinds) per burst of a user's events."""
-    bursts = stream.withWatermark("ts", delay).groupBy(F.session_window("ts", gap).alias("w"), "user_id")
-    return bursts.agg(F.count("*").alias("events"), F.approx_count_distinct("event_type").alias("kinds")).select("user_id", F.col("w.start").alias("start"), "events", "kinds")
+    """(user_id, start, events, kinds, transitions) of (user_id, ts, event_type), per burst of a user's events.
 
-
-def incremental_merge(stream: DataFrame, path: str, checkpoint: str):
-    """Start a query that replaces, batch by batch, the nodes of each changed file in the table at path.
-
-    stream has (file, id, label); a file's rows come together. Files outside a
-    batch keep their partition. One batch's rows of a file replace it whole, so
-    a repeated batch gives the same table.
+    ``transitions`` has (before, after, n) for each pair of events that follow
+    one another in the burst, by time and then type, in order.
+    """
+    bursts = stream.withWatermark("ts", delay).groupBy(F.session_window("ts", gap).alias("w"), "user_id")
+    held = bursts.agg(F.array_sort(F.collect_list(F.struct("ts", "event_type"))).alias("_all"))
+    kinds = F.transform("_all", lambda e: e["event_type"])
+    n = F.size("_all")
+    steps = F.zip_with(F.slice(kinds, 1, n - 1), F.slice(kinds, 2, n - 1), lambda a, b: F.struct(a.alias("before"), b.alias("after")))
+    count = lambda step: F.struct(step["before"].alias("before"), step["after"].alias("after"), F.size(F.filter(steps, lambda s: s == step)).alias("n"))
+    counted = F.transform(F.array_sort(F.array_distinct(steps)), count)
+    return held.select("user_id", F.col("w.start").alias("start"), n.cast("long").alias("events"), F.size(F.array_distinct(kinds)).cast("long").alias("kinds"), counted.alias("transitions"))
+
+
+def merge_files(nodes_path: str, partial_nodes: DataFrame, old_edges: DataFrame, partial_edges: DataFrame, files: DataFrame, rebuild: Callable[[], DataFrame]) -> str:
+    """Fold the changed files(file) into the stored nodes(id, label, ord, file), which lie by file; scoped or full.
+
+    If the files own the same edges in both builds their nodes are replaced
+    where they lie and no other file is written. Otherwise nothing here stands
+    in for a full run, and ``rebuild`` gives the nodes of one; so it does where
+    a file loses all its nodes or a node moves from a file that is not listed.
+    Either way a repeated call gives the same table.
+    """
+    spark = partial_nodes.sparkSession
+    old = spark.read.parquet(nodes_path)
+    inside = old.join(files, "file", "left_semi")
+    moved = old.join(files, "file", "left_anti").join(partial_nodes.select("id"), "id", "left_semi")
+    nodes, _ = apply_partial(inside, old_edges, partial_nodes, files)
+    nodes = settle(nodes)
+    emptied = inside.select("file").distinct().join(nodes.select("file"), "file", "left_anti")
+    if not (moved.isEmpty() and emptied.isEmpty() and owned_equal(old, old_edges, partial_nodes, partial_edges, files).first()["equal"]):
+        settle(rebuild().select(*old.columns)).repartition("file").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("file").parquet(nodes_path)
+        return "full"
+    nodes.repartition("file").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file").parquet(nodes_path)
+    return "scoped"
+
+
+def incremental_merge(stream: DataFrame, nodes_path: str, checkpoint: str, edges_of: Callable[[DataFrame], tuple[DataFrame, DataFrame]], rebuild: Callable[[], DataFrame]):
+    """Start a query that merges, batch by batch, the files of a stream(id, label, ord, file) into the stored nodes.
+
+    A file's rows come together. ``edges_of(files)`` gives the old and the new
+    edges, ``rebuild()`` the nodes of a full run; see merge_files.
     """
 
     def put(batch: DataFrame, _: int) -> None:
-        batch.dropDuplicates(["file", "id"]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file").parquet(path)
+        rows = settle(batch.dropDuplicates(["file", "id"]))
+        files = rows.select("file").distinct()
+        old_edges, new_edges = edges_of(files)
+        merge_files(nodes_path, rows, old_edges, new_edges, files, rebuild)
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def late_rows(progress: dict) -> int:
-    """Rows that a query's progress reports as dropped by its watermark."""
-    return sum(op.get("numRowsDroppedByWatermark", 0) for op in progress.get("stateOperators", []))
+def late_rows(query) -> int:
+    """Rows that a streaming query has dropped as later than its watermark, by its recent progress."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
+def backfill(rows: DataFrame, path: str, days: Sequence[str], job: Callable[[DataFrame], DataFrame], lead: str = "0 days") -> None:
+    """Compute the given days of the table at path, partitioned by day, anew from all rows(ts, ...), late ones included.
+
+    ``job`` is the batch form of the windows and gives (start, ...); rows from
+    ``lead`` before a day are read too, as its windows may begin there.
+    """
+    wanted = [F.to_date(F.lit(d)) for d in days]
+    near = F.lit(False)
+    for d in wanted:
+        near = near | ((F.col("ts") >= d - F.expr(f"interval {lead}")) & (F.col("ts") < F.date_add(d, 1) + F.expr(f"interval {lead}")))
+    made = job(rows.where(near)).withColumn("day", F.to_date("start"))
+    kept = made.where(F.col("day").isin(*[F.lit(d).cast("date") for d in days]))
+    settle(kept).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
