@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import settle as cut  # noqa: F401
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -14,18 +14,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the reliable checkpoint folder and drop its lineage.
-
-    The folder is the session's ``spark.checkpoint.dir``; a temporary one is
-    made only where that is unset, as in local tests.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cairn-"))
-    return df.checkpoint(eager=True)
-
-
 def words(text: Column) -> Column:
     """Array of the maximal runs without ASCII white space; empty for null."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({WORD})"), F.lit(1))

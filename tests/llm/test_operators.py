@@ -279,46 +279,46 @@ def test_toxicity_held_out(spark, empty):
     assert toxicity.toxicity(docs, marks.limit(0)).count() == len(rows)
 
 
-def test_language_models(spark, docs, empty):
+@pytest.mark.parametrize("sizes", [{}, {"chunk": 5000, "meet": 20}])
+def test_language_models(spark, docs, empty, sizes):
     chosen = docs.where("doc_id < 10").select("doc_id")
-    out = lm_scoring.score_against(docs, chosen, vocab_size=50, max_bigrams=10_000).collect()
+    out = lm_scoring.score_against(docs, chosen, **sizes).collect()
     assert len(out) == len(corpus())
     low = lambda t: WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
-    texts = [low(r.text) for r in docs.collect()]
-    target = [low(r.text) for r in docs.where("doc_id < 10").collect()]
-    count = Counter(w for t in texts for w in t)
-    import numpy as np
+    rows = [(r.doc_id, low(r.text)) for r in docs.collect()]
+    count = Counter(w for _, t in rows for w in t)
+    vocab = {w for w in count if count[w] >= 2}
 
-    hashed = {w: int(neardup._word_hashes(w.encode())[0].view(np.int64)[0]) for w in count}
-    vocab = set(sorted((w for w in count if count[w] >= 2), key=lambda w: (-count[w], hashed[w]))[:50])
-    unk = lambda t: ["<s>", *[w if w in vocab else "<unk>" for w in t]]
-    models = []
-    for part in (target, texts):
+    def counts(texts):
         uni, bi = Counter(), Counter()
-        for t in map(unk, part):
-            uni.update(t[1:])
-            uni["<s>"] += len(t) > 1
-            bi.update(zip(t, t[1:]))
-        models.append((uni, bi, sum(v for k, v in uni.items() if k != "<s>") + len(vocab) + 1))
-    both = models[0][1] + models[1][1]
-
-    def loss(model, t):
-        uni, bi, total = model
-        sums = 0.0
-        for a, b in zip(t, t[1:]):
-            share, w = (uni[b] + 1) / total, 0.5 if uni[a] else 0.0
-            pair = bi[a, b] / uni[a] if uni[a] and both[a, b] >= 2 else 0.0
-            sums -= np.log(w * pair + (1 - w) * share)
-        return sums / (len(t) - 1)
+        for t in texts:
+            uni.update(w if w in vocab else None for w in t)
+            uni["<s>"] += len(t) > 0
+            bi.update(zip(["<s>", *t], t))
+        return uni, bi, sum(map(len, texts))
 
-    by = {r.doc_id: low(r.text) for r in docs.collect()}
+    whole = {"t": counts([t for i, t in rows if i is not None and i < 10]), "b": counts([t for _, t in rows])}
+
+    def loss(name, i, t):
+        uni, bi, n = whole[name]
+        own, own_bi, own_n = counts([t] if name == "b" or (i is not None and i < 10) else [])
+        sums = 0.0
+        for a, b in zip(["<s>", *t], t):
+            va, vb = (x if x in vocab or x == "<s>" else None for x in (a, b))
+            seen = uni[va] - own[va]
+            share = (uni[vb] - own[vb] + 1) / (n - own_n + len(vocab) + 1)
+            sums -= math.log(0.5 * (bi[a, b] - own_bi[a, b]) / seen + 0.5 * share if seen else share)
+        return sums / len(t)
+
+    by = dict(rows)
     for r in out:
-        t = unk(by[r.doc_id])
-        if len(t) == 1:
-            assert r.score is None and r.n_words == 0
+        t = by[r.doc_id]
+        assert r.n_words == len(t)
+        if not t:
+            assert r.score is None
         else:
-            assert r.target_loss == pytest.approx(loss(models[0], t), abs=1e-5)
-            assert r.background_loss == pytest.approx(loss(models[1], t), abs=1e-5)
+            assert r.target_loss == pytest.approx(loss("t", r.doc_id, t), abs=1e-5)
+            assert r.background_loss == pytest.approx(loss("b", r.doc_id, t), abs=1e-5)
     assert lm_scoring.score_against(empty, chosen).count() == 0
 
 
@@ -415,9 +415,9 @@ def test_language_models_keep_the_tail(spark):
     target = spark.createDataFrame([(5000,)], "doc_id long")
     out = {r.doc_id: r for r in lm_scoring.score_against(frame, target).collect()}
     assert len(out) == len(rows)
-    n, known = sum(len(t.split()) for _, t in rows), 12_003
-    share = (3 + 1) / (n + known + 1)  # of w1 and of w2; no other text starts with w1
-    loss = -math.log(0.5 * share) - math.log(0.5 * 3 / 3 + 0.5 * share)
+    n, known = sum(len(t.split()) for _, t in rows) - 2, 12_003
+    share = (2 + 1) / (n + known + 1)  # of w1 and of w2 without the text itself; no other text starts with w1
+    loss = -math.log(0.5 * share) - math.log(0.5 * 2 / 2 + 0.5 * share)
     assert out[5002].background_loss == pytest.approx(loss / 2, abs=1e-5)
     assert out[5001].score < out[5002].score
 
