@@ -69,10 +69,16 @@ def _pairs(hashes: np.ndarray, sizes: np.ndarray, bits: int) -> np.ndarray:
     return _mix(_mix(before * MULT) ^ hashes) >> np.uint64(64 - bits)
 
 
+def _places(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct codes and the place of each one in them."""
+    kept, at = np.unique(codes, return_inverse=True)
+    return kept, at.astype(np.int32)
+
+
 def _coded(hashes: np.ndarray, sizes: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Sorted distinct hashes and the place of each word's in them: of words, then of bigrams."""
-    words = np.concatenate((np.array([ALL, START], np.uint64), hashes))
-    return [np.unique(words, return_inverse=True), np.unique(_pairs(hashes, sizes, bits), return_inverse=True)]
+    """Places of all words, ``ALL`` and ``START`` first, and of all bigrams."""
+    words = _places(np.concatenate((np.array([ALL, START], np.uint64), hashes)))
+    return [words, _places(_pairs(hashes, sizes, bits))]
 
 
 def _counts(at: np.ndarray, flags: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -144,36 +150,51 @@ def _own(at: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
 def _scorer(bits: int, n_known: int, known_sums: tuple[int, int]):
     """Losses of a chunk's documents; sums has what _sum gave back to the chunk."""
 
-    def run(key: tuple[pa.Scalar, ...], rows: pa.Table, sums: pa.Table) -> pa.Table:
-        docs, hashes, sizes, target = _words(rows, bits)
-        (_, at_word), (_, at_pair) = _coded(hashes, sizes, bits)
-        back: list[list] = [[], []]
-        for part, n, body in sorted(zip(sums["part"].to_pylist(), sums["size"].to_pylist(), sums["body"].to_pylist())):
-            back[part % 2].append(_spread(body, n, 2))
-        word_sums, pair_sums = ([np.concatenate([c[m] for c in got]).astype(np.int64) if got else np.zeros(0, np.int64) for m in (0, 1)] for got in back)
-        doc, flags = np.repeat(np.arange(len(sizes)), sizes), np.repeat(target, sizes)
+    def losses(at: np.ndarray, at_pair: np.ndarray, sizes: np.ndarray, target: np.ndarray, words: list, pairs: list) -> list[np.ndarray]:
+        """Mean losses of some documents, whose words lie end to end, under the target and the background model."""
+        doc, mine = np.repeat(np.arange(len(sizes)), sizes), np.repeat(target, sizes)
         starts = (np.cumsum(sizes) - sizes)[sizes > 0]
-        # words out of the vocabulary share one place, the last
-        at = at_word[2:]
-        at = np.where(word_sums[0][at] > 0, at, len(word_sums[0])) if len(at) else at
         before = np.concatenate((at[:1], at[:-1]))
         before[starts] = START
-        own, own_pair = _own(at, doc, len(word_sums[0]) + 1), _own(at_pair, doc, len(pair_sums[0]))
+        own, own_pair = _own(at, doc, len(words[0])), _own(at_pair, doc, len(pairs[0]))
         own_before = np.concatenate((own[:1], own[:-1]))
         own_before[starts] = 1
-        length = sizes[doc]
-        ends, means = np.cumsum(sizes), []
+        length, ends, means = sizes[doc], np.cumsum(sizes), []
         for m in (1, 0):
-            mine = np.ones(len(at), np.int64) if m == 0 else flags.astype(np.int64)
-            total = word_sums[m][ALL] if len(word_sums[m]) else 0
-            count = np.append(word_sums[m], total - known_sums[m])
-            share = (count[at] - own * mine + 1) / (total - length * mine + n_known + 1)
-            seen = count[before] - own_before * mine
-            pair = np.maximum(pair_sums[m][at_pair] - own_pair * mine, 0) / np.maximum(seen, 1)
+            out = mine if m else 1
+            share = (words[m][at] - own * out + 1) / (words[m][ALL] - length * out + n_known + 1)
+            seen = words[m][before] - own_before * out
+            pair = np.maximum(pairs[m][at_pair] - own_pair * out, 0) / np.maximum(seen, 1)
             mix = np.where(seen > 0, WEIGHT, 0.0)
             lost = np.concatenate(([0.0], np.cumsum(-np.log(mix * pair + (1 - mix) * share))))
             means.append(np.where(sizes > 0, (lost[ends] - lost[ends - sizes]) / np.maximum(sizes, 1), np.nan))
-        return pa.table({"doc_id": docs["doc_id"], "n_words": sizes, "target_loss": pa.array(means[0], pa.float64(), from_pandas=True), "background_loss": pa.array(means[1], pa.float64(), from_pandas=True)})
+        return means
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table, sums: pa.Table) -> pa.Table:
+        docs, hashes, sizes, target = _words(rows, bits)
+        (_, at_word), (_, at_pair) = _coded(hashes, sizes, bits)
+        del hashes
+        back: list[list] = [[], []]
+        for part, n, body in sorted(zip(sums["part"].to_pylist(), sums["size"].to_pylist(), sums["body"])):
+            back[part % 2].append(_spread(body.as_py(), n, 2))
+        words, pairs = ([np.concatenate([c[m] for c in got]).astype(np.int64) if got else np.zeros(0, np.int64) for m in (0, 1)] for got in back)
+        del back
+        # words out of the vocabulary share one place, the last
+        at = at_word[2:]
+        if len(at):
+            at = np.where(words[0][at] > 0, at, np.int32(len(words[0])))
+            words = [np.append(w, w[ALL] - known_sums[m]) for m, w in enumerate(words)]
+        edges = np.concatenate(([0], np.cumsum(sizes)))
+        means: list[list] = [[np.zeros(0)], [np.zeros(0)]]
+        low = 0
+        while len(at) and low < len(sizes):  # some documents at a time, to hold little beside the chunk's places
+            high = max(low + 1, int(np.searchsorted(edges, edges[low] + SLICE)))
+            part = slice(edges[low], edges[high] if high < len(edges) else None)
+            for m, got in enumerate(losses(at[part], at_pair[part], sizes[low:high], target[low:high].astype(np.int64), words, pairs)):
+                means[m].append(got)
+            low = high
+        got = [np.concatenate(m) if len(at) else np.full(len(sizes), np.nan) for m in means]
+        return pa.table({"doc_id": docs["doc_id"], "n_words": sizes, "target_loss": pa.array(got[0], pa.float64(), from_pandas=True), "background_loss": pa.array(got[1], pa.float64(), from_pandas=True)})
 
     return run
 
