@@ -322,6 +322,38 @@ def test_language_models(spark, docs, empty, sizes):
     assert lm_scoring.score_against(empty, chosen).count() == 0
 
 
+def test_a_repeated_id_is_linked_by_each_of_its_texts(spark):
+    rng = random.Random(2)
+    text = lambda: [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    a, b, c = text(), text(), text()
+    near = lambda t: " ".join([*t[:-1], "other"])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (5, " ".join(b)), (6, near(a)), (7, near(b)), (8, " ".join(c)), (4, " ".join(c)), (9, "alone in here")]
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in out} == {(5, 5), (6, 5), (7, 5), (8, 4), (4, 4), (9, 9)} and len(out) == 8
+
+
+def test_templated_texts_equal_brute_force(spark):
+    # ten slots with five values each: most pairs share buckets, few are linked
+    rng = random.Random(1)
+    base = [f"w{k}" for k in range(300)]
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for s in range(10):
+            words[10 + 28 * s] = f"v{s}_{rng.randrange(5)}"
+        rows.append((i, " ".join(words)))
+    sets = [set(neardup.shingle_set(t).tolist()) for _, t in rows]
+    want = list(range(120))
+    for i in range(120):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                low, high = sorted((want[i], want[j]))
+                want = [low if x == high else x for x in want]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(120)] == want and len(set(want)) < 120
+
+
 @pytest.mark.parametrize("k", [1, 7])
 def test_top_k(spark, k):
     rng = random.Random(5)
