@@ -34,3 +34,15 @@ def settle(df: DataFrame) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """Path of a new table beside the checkpoints."""
     return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written as a table beside the checkpoints and read back.
+
+    Other than a checkpoint's, its size is measured and not estimated from the
+    plan it had. In a loop of joins the estimates multiply, until they take
+    longer than the joins, and no table counts as small any more.
+    """
+    path = scratch(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
