@@ -77,25 +77,27 @@ def _select(slot: np.ndarray):
     return run
 
 
-def _fit(rows: list[np.ndarray], labels: np.ndarray, values: np.ndarray, penalty: float, steps: int = 200) -> tuple[np.ndarray, float]:
-    """Weights of the scaled features and the bias, by accelerated gradient descent."""
-    x = np.zeros((len(rows), len(values) + 1), np.float32)
-    for k, row in enumerate(rows):
-        x[k, row] = values[row]
-    x[:, -1] = 1
-    n = max(1, len(rows))
-    v = np.ones(x.shape[1], np.float32)
+def _fit(flat: np.ndarray, sizes: np.ndarray, labels: np.ndarray, values: np.ndarray, penalty: float, steps: int = 200) -> tuple[np.ndarray, float]:
+    """Weights of the scaled features and the bias, by accelerated gradient descent.
+
+    The rows' features lie end to end in flat; only they are held, so the cost
+    follows the features that texts have and not all that there are.
+    """
+    row, n = np.repeat(np.arange(len(sizes)), sizes), max(1, len(sizes))
+    forward = lambda w: np.bincount(row, (w[:-1] * values)[flat], len(sizes)) + w[-1]
+    backward = lambda e: np.append(np.bincount(flat, e[row], len(values)) * values, e.sum())
+    v = np.ones(len(values) + 1)
     for _ in range(8):  # largest curvature, by power iteration
-        v = x.T @ (x @ v)
+        v = backward(forward(v))
         top = float(np.linalg.norm(v))
         v /= top or 1
     rate = 1 / (0.25 * top / n + penalty)
-    decay = np.full(x.shape[1], penalty, np.float32)
+    decay = np.full(len(values) + 1, penalty)
     decay[-1] = 0
-    w = ahead = np.zeros(x.shape[1], np.float32)
+    w = ahead = np.zeros(len(values) + 1)
     for k in range(steps):
-        error = 1 / (1 + np.exp(-np.clip(x @ ahead, -30, 30))) - labels
-        new = ahead - rate * (x.T @ error / n + decay * ahead)
+        error = 1 / (1 + np.exp(-np.clip(forward(ahead), -30, 30))) - labels
+        new = ahead - rate * (backward(error) / n + decay * ahead)
         ahead = new + k / (k + 3) * (new - w)
         w = new
     return w[:-1] * values, float(w[-1])
@@ -106,35 +108,36 @@ def held_out_fold(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 8000, max_features: int = 1024, min_z: float = 3.5, penalty: float = 1e-3) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 8000, min_z: float = 3.5, penalty: float = 1e-3) -> Model:
     """Train on docs(doc_id, text) and labels(doc_id, label), one row per doc_id, label 0 or 1.
 
     At most ``sample_docs`` labels are used, those first in hashed id order, so
     that their ids can be sent to every task and no text is moved for the
-    others; and at most ``max_features`` features, those whose log-count ratio
-    exceeds its standard error the most. Without rows of both labels the model
+    others. Of the 2^20 hashed features all are used whose log-count ratio is
+    ``min_z`` standard errors or more. Without rows of both labels the model
     gives every text the smoothed share of toxic rows.
     """
     chosen = labels.where("doc_id is not null and label in (0, 1)").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
     pick = cut(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("label").cast("int").alias("label")))
     share = {r.label: r.n for r in pick.groupBy("label").agg(F.count("*").alias("n")).collect()}
     pos, neg = share.get(1, 0), share.get(0, 0)
-    slot = np.full(1 << BITS, -1, np.int16)
+    slot = np.full(1 << BITS, -1, np.int32)
     if not (pos and neg):
         return Model(slot, np.zeros(0), float(np.log((pos + 0.5) / (neg + 0.5))) if pos + neg else 0.0)
     p, q = F.col("toxic") + F.lit(1.0), F.col("other") + F.lit(1.0)
     ratio = F.log(p / (pos + 2.0)) - F.log(q / (neg + 2.0))
     counts = pick.mapInArrow(_count, "feature long, toxic long, other long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     z = F.abs(ratio) / F.sqrt(1 / p + 1 / q)
-    best = counts.select("feature", ratio.alias("ratio"), z.alias("z")).where(F.col("z") >= min_z).orderBy(F.desc("z"), "feature").limit(max_features).collect()
-    if not best:
+    best = counts.select("feature", ratio.alias("ratio"), z.alias("z")).where(F.col("z") >= min_z).select("feature", "ratio").toArrow().sort_by("feature")
+    if not best.num_rows:
         return Model(slot, np.zeros(0), float(np.log((pos + 0.5) / (neg + 0.5))))
-    values = np.array([r.ratio for r in best], np.float32)
-    slot[[r.feature for r in best]] = np.arange(len(best))
-    got = pick.mapInArrow(_select(slot), "slots array<int>, label int").collect()
-    got.sort(key=lambda r: (r.label, r.slots))
-    weight, bias = _fit([np.array(r.slots, np.int64) for r in got], np.array([r.label for r in got], np.float32), values, penalty)
-    return Model(slot, weight.astype(np.float64), bias)
+    values = best["ratio"].to_numpy()
+    slot[best["feature"].to_numpy()] = np.arange(len(values))
+    got = pick.mapInArrow(_select(slot), "slots array<int>, label int").toArrow()
+    rows = sorted(((label, np.asarray(slots.values)) for slots, label in zip(got["slots"], got["label"].to_pylist())), key=lambda r: (r[0], r[1].tobytes()))
+    flat, sizes = np.concatenate([r for _, r in rows]).astype(np.int64), np.array([len(r) for _, r in rows])
+    weight, bias = _fit(flat, sizes, np.array([label for label, _ in rows], float), values, penalty)
+    return Model(slot, weight, bias)
 
 
 def _scorer(model: Model):
