@@ -109,13 +109,15 @@ def laid(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, block: int = BLOCK, seed: str = "mix") -> DataFrame:
-    """Per row of docs(doc_id, text, source): doc_id, source, size, source_size, target, taken.
+    """Per row of docs(doc_id, text, source): doc_id, source, size, source_size, target, taken, first_slot, last_slot.
 
     ``taken`` counts the words that the schedule reads from the document, with
-    repeats. It is at most cap times the size, and a source's sum is its target
-    rounded down. Null and empty texts have size 0 and nothing taken; a null
-    source is a source of its own; a null doc_id is drawn as an empty one;
-    rows that share a doc_id are read separately. An empty table gives no row.
+    repeats, ``first_slot`` and ``last_slot`` are where it first and last reads
+    one, null if it never does. taken is at most cap times the size, and a
+    source's sum is its target rounded down. Null and empty texts have size 0
+    and nothing taken; a null source is a source of its own; a null doc_id is
+    drawn as an empty one; rows that share a doc_id are read separately. An
+    empty table gives no row.
     """
     rows = cut(sized(docs, seed))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -127,11 +129,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, blo
     parts = parts.withColumn("low", F.greatest(F.col("start") - F.col("block") * block, F.lit(0)))
     parts = parts.withColumn("high", F.least(F.col("start") + F.col("size") - F.col("block") * block, F.lit(block)))
 
-    reads = schedule(plan, block).groupBy("sid", "block", "words").agg(F.count("*").alias("times"))
-    used = parts.join(reads, ["sid", "block"]).withColumn("got", F.col("times") * F.greatest(F.least("words", "high") - F.col("low"), F.lit(0)))
-    used = used.groupBy("sid", "start").agg(F.sum("got").alias("got"))
-    read = full.join(used, ["sid", "start"], "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("got", F.lit(0)).cast("long").alias("taken"))
-    empty = placed.where("size = 0").select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+    reads = schedule(plan, block).groupBy("sid", "block", "words").agg(F.count("*").alias("times"), F.min("slot").alias("first"), F.max("slot").alias("last"))
+    used = parts.join(reads, ["sid", "block"]).withColumn("got", F.col("times") * F.greatest(F.least("words", "high") - F.col("low"), F.lit(0))).where("got > 0")
+    used = used.groupBy("sid", "start").agg(F.sum("got").alias("got"), F.min("first").alias("first_slot"), F.max("last").alias("last_slot"))
+    facts = ["doc_id", "source", "size", "source_size", "target"]
+    read = full.join(used, ["sid", "start"], "left").select(*facts, F.coalesce("got", F.lit(0)).cast("long").alias("taken"), "first_slot", "last_slot")
+    none = F.lit(None).cast("long")
+    empty = placed.where("size = 0").select(*facts, F.lit(0).cast("long"), none, none)
     return read.union(empty)
 
 
@@ -141,9 +145,9 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3,
     Rows without a word, or of which less than half was read, are left out.
     """
     times = mix(docs, weights, cap, block, seed).where("size > 0").groupBy("doc_id").agg(F.max(F.expr("(2 * taken + size) div (2 * size)")).alias("times_read"))
-    names = docs.columns
-    kept = docs.alias("d").join(times.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id"))).where("times_read > 0")
-    return kept.select(*[F.col(f"d.`{c}`") for c in names], F.explode(F.sequence(F.lit(1), F.col("times_read").cast("int"))).alias("copy_read")).drop("copy_read")
+    rows = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).alias("d")
+    kept = rows.join(times.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id"))).where("times_read > 0")
+    return kept.select("row", F.explode(F.sequence(F.lit(1), F.col("times_read").cast("int"))).alias("copy")).select("row.*")
 
 
 ORACLE = r"""
@@ -163,9 +167,20 @@ t AS (SELECT source, sid, source_size,
              CASE WHEN pos < first_open THEN full_size ELSE weight * max(CASE WHEN pos = first_open THEN share END) OVER () END AS target FROM f),
 p AS (SELECT d.doc_id, d.size, t.sid, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS need,
              CAST(sum(d.size) OVER (PARTITION BY t.sid ORDER BY draw, doc_id, d.size ROWS UNBOUNDED PRECEDING) AS BIGINT) - d.size AS start
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+b AS (SELECT sid, source_size, target, CAST(floor(target) AS BIGINT) AS need, (source_size + 127) // 128 AS n_blocks, sum(target) OVER (ORDER BY sid ROWS UNBOUNDED PRECEDING) / sum(target) OVER () AS high FROM t WHERE source_size > 0),
+q AS (SELECT *, need // source_size * n_blocks + (need % source_size + 127) // 128 AS quota, lag(high, 1, 0.0) OVER (ORDER BY sid) AS low, lead(sid) OVER (ORDER BY sid) IS NULL AS last FROM b),
+z AS (SELECT CAST(coalesce(sum(quota), 0) AS BIGINT) AS n FROM q),
+i AS (SELECT unnest(range(n)) AS slot FROM z),
+u AS (SELECT slot, fmod(fmod((slot // 1048576) * fmod(1048576 * 0.6180339887498949::DOUBLE, 1.0::DOUBLE), 1.0::DOUBLE) + (slot % 1048576) * 0.6180339887498949::DOUBLE, 1.0::DOUBLE) AS u FROM i),
+k AS (SELECT slot, sid, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS k FROM u JOIN q ON low <= u AND u < CASE WHEN last THEN 2.0 ELSE high END),
+h AS (SELECT q.sid, quota, (SELECT count(*) FROM k WHERE k.sid = q.sid) AS have FROM q),
+y AS (SELECT slot, sid, k FROM k UNION ALL SELECT (SELECT n FROM z), sid, unnest(range(have, quota)) FROM h WHERE have < quota),
+e AS (SELECT slot, sid, k % n_blocks AS block, least(128, source_size - k % n_blocks * 128, need - k // n_blocks * source_size - k % n_blocks * 128) AS words FROM y JOIN q USING (sid) WHERE k < quota),
+x AS (SELECT sid, start, size, unnest(range(start // 128, (start + size - 1) // 128 + 1)) AS block FROM p WHERE size > 0),
+o AS (SELECT x.sid, start, min(slot) AS first_slot, max(slot) AS last_slot FROM x JOIN e USING (sid, block) WHERE least(words, start + size - block * 128, 128) > greatest(start - block * 128, 0) GROUP BY 1, 2)
 SELECT doc_id, size, source_size, target,
        CASE WHEN size = 0 THEN 0 ELSE CAST(need // source_size * size
-         + greatest(0, least(size, need - need // source_size * source_size - start)) AS BIGINT) END AS taken
-FROM p
+         + greatest(0, least(size, need - need // source_size * source_size - p.start)) AS BIGINT) END AS taken, first_slot, last_slot
+FROM p LEFT JOIN o ON o.sid = p.sid AND o.start = p.start AND p.size > 0
 """

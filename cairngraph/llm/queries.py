@@ -13,7 +13,7 @@ MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_slot", "last_slot")
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
