@@ -1,8 +1,8 @@
 """Corpus pipeline: filter, deduplicate, redact, mix and encode documents.
 
 Every stage takes all rows that the one before it kept. All but the last
-return the columns of documents. A stage's column of its own that has the name
-of a documents column replaces it, except where the stage only filters.
+return the columns of documents as they came, but for the text and n_chars of
+redacted ones.
 """
 
 from __future__ import annotations
@@ -16,9 +16,20 @@ from cairngraph.llm.common import cut
 from cairngraph.llm.queries import MODEL
 
 
+def _apart(docs: DataFrame, *used: str) -> DataFrame:
+    """The columns used, and all others in one struct ``row``, whose names meet none of an operator's own."""
+    rest = [c for c in docs.columns if c not in used]
+    return docs.select(*used, F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"))
+
+
+def _whole(docs: DataFrame, columns: list[str], *used: str) -> DataFrame:
+    """The columns that _apart took apart, in their order."""
+    return docs.select(*[F.col(c) if c in used else F.col(f"row.`{c}`") for c in columns])
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality cascade keeps, unchanged."""
-    return quality.quality(docs).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return _whole(quality.quality(_apart(docs, "text")).where("kept"), docs.columns, "text")
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,18 +39,17 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     order of its columns stays. Rows without a doc_id go.
     """
     leads = neardup.near_duplicates(docs, num=80, den=100).where("kept").select("doc_id").distinct()
-    first = F.row_number().over(W.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in docs.columns if c != "doc_id"]))
-    return docs.join(leads, "doc_id", "left_semi").withColumn("_first", first).where("_first = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    first = F.row_number().over(W.partitionBy("doc_id").orderBy("row"))
+    kept = _apart(docs, "doc_id").join(leads, "doc_id", "left_semi").withColumn("first", first).where("first = 1")
+    return _whole(kept, docs.columns, "doc_id")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with [SECRET] in place of every secret and n_chars counted anew."""
-    found = secrets.scan(docs.select("doc_id", *[F.col(f"`{c}`") for c in docs.columns if c != "doc_id"]), secrets.train(docs))
-    text = secrets.redact(F.col("text"), F.col("spans"))
-    clean = found.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
-    return clean.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """All documents, with [SECRET] in place of every secret and n_chars, where there is such a column, counted anew."""
+    found = secrets.scan(_apart(docs, "text"), secrets.train(docs))
+    clean = found.select("row", secrets.redact(F.col("text"), F.col("spans")).alias("text"))
+    n_chars = F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars")
+    return clean.select(*[F.col("text") if c == "text" else n_chars if c == "n_chars" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
