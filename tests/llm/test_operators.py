@@ -279,6 +279,46 @@ def test_toxicity_held_out(spark, empty):
     assert toxicity.toxicity(docs, marks.limit(0)).count() == len(rows)
 
 
+def test_toxicity_equals_a_plain_dictionary(spark):
+    import numpy as np
+
+    rng = random.Random(3)
+    vocab = ["".join(rng.choices("aeiou lnrst", k=rng.randint(2, 9))) for _ in range(80)]
+    rows = [(i, " ".join(rng.choices(vocab, k=30) + (["Idiot scum"] if i % 4 == 0 else [])), int(i % 4 == 0)) for i in range(200)] + [(200, "ü" * 30000 + " scum " * 20000, 0), (201, "", 0)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, label int"))
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+
+    def grams(text):
+        t = " " + " ".join(text.lower().split()) + " "
+        return {t[k : k + n] for n in (3, 4, 5, 6) for k in range(len(t) - n + 1) if " " not in t[k + 1 : k + n - 1]}
+
+    seen = [grams(t) for _, t, _ in rows]
+    pos, neg = sum(r[2] for r in rows), sum(1 - r[2] for r in rows)
+    counts = [Counter(), Counter()]
+    for g, (_, _, label) in zip(seen, rows):
+        counts[label].update(g)
+    values = {}
+    for g in counts[0] | counts[1]:
+        p, q = counts[1][g] + 1, counts[0][g] + 1
+        ratio = math.log(p / (pos + 2)) - math.log(q / (neg + 2))
+        if abs(ratio) / math.sqrt(1 / p + 1 / q) >= 3.5:
+            values[g] = ratio
+    names = {g: k for k, g in enumerate(sorted(values))}
+    x = np.zeros((len(rows), len(names) + 1))
+    for k, g in enumerate(seen):
+        for f in g & names.keys():
+            x[k, names[f]] = values[f]
+    x[:, -1] = 1
+    y, w = np.array([r[2] for r in rows], float), np.zeros(x.shape[1])
+    keep = np.append(np.full(len(names), 1e-3), 0)
+    for _ in range(30):  # Newton's steps
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x / len(y) + np.diag(keep) + 1e-12 * np.eye(len(w)), x.T @ (p - y) / len(y) + keep * w)
+    want = 1 / (1 + np.exp(-x @ w))
+    assert max(abs(got[r[0]] - s) for r, s in zip(rows, want)) < 0.02
+
+
 @pytest.mark.parametrize("sizes", [{}, {"chunk": 5000, "meet": 20}])
 def test_language_models(spark, docs, empty, sizes):
     chosen = docs.where("doc_id < 10").select("doc_id")
@@ -372,6 +412,51 @@ def test_top_k(spark, k):
     assert topk.top_k(vectors.limit(0), queries.limit(0), k).count() == 0
 
 
+def test_license_windows_equal_brute_force():
+    templates = [(name, t) for name, texts in licenses.TEMPLATES.items() for t in texts]
+    matcher = licenses.Matcher(templates, 0.0)
+    term = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
+    df = Counter(t for _, x in templates for t in set(term.findall(x.lower())))
+    idf = lambda t: 1 + math.log((len(templates) + 1) / (df[t] + 1))
+
+    def cosine(a, b):
+        a, b = Counter(a), Counter(b)
+        dot = sum(a[t] * b[t] * idf(t) ** 2 for t in a)
+        norm = lambda c: math.sqrt(sum((n * idf(t)) ** 2 for t, n in c.items()))
+        return dot / (norm(a) * norm(b)) if dot else 0.0
+
+    rng = random.Random(4)
+    plain = "the of code is and file value return list license copyright version under software".split()
+    for _ in range(12):
+        kind = rng.choice(templates)
+        text = " ".join([*rng.choices(plain, k=rng.randint(0, 30)), *[w for w in kind[1].split() if rng.random() > 0.1], *rng.choices(plain, k=rng.randint(0, 30))])
+        found = [(m.start(), m.end(), m[0]) for m in term.finditer(text.lower())]
+        cues = [(m.start(), m.end()) for m in re.finditer(licenses.CUE, text)]
+        words = [w for _, _, w in found]
+        best = 0.0
+        for name, template in templates:
+            want = term.findall(template.lower())
+            for k in range(max(1, len(words) - len(want) + 1)):
+                low, high = found[k][0], found[min(k + len(want), len(found)) - 1][1]
+                if any(a < high and low < b for a, b in cues):
+                    best = max(best, cosine(words[k : k + len(want)], want))
+            best = max(best, cosine(words, want))  # one line, so the whole text is its line
+        got = matcher.best(text)
+        assert (got is None) == (not cues)
+        if got:
+            assert got[1] >= best - 1e-5
+            # only the sentences of the line may be nearer than every window
+            sentences = re.split(r"(?<=[.!?])(?=\s)", text)
+            assert got[1] <= max([best, *(cosine(term.findall(x.lower()), term.findall(t.lower())) for n in range(len(sentences)) for m in range(n + 1, len(sentences) + 1) for x in ["".join(sentences[n:m])] for _, t in templates)]) + 1e-5
+
+
+def test_whole_license_texts(spark):
+    short = lambda t: re.sub(r"\n", " ", t)
+    rows = [("a/LICENSE", "Copyright 2021 Jane Doe\n\n" + licenses.ISC_TEXT), ("b/LICENSE", short(licenses.BSD_TEXT)), ("c/LICENSE", licenses.MIT_TEXT.upper()), ("a/x.c", "int main")]
+    out = {r.path: r.license for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert out == {"a/LICENSE": "ISC", "b/LICENSE": "BSD-3-Clause", "c/LICENSE": "MIT", "a/x.c": "ISC"}
+
+
 def test_licenses(spark):
     mit = "Released under the MIT License."
     rows = [("LICENSE", mit), ("a/x.py", "no notice"), ("a/LICENSE.txt", "intro\nLicensed under CC BY-NC 4.0.\n"), ("a/b/y.py", None), ("c/z.py", "code\n# Licensed under the Apache License, Version 2.0.\nmore"), ("c/w.py", ""), ("c/w.py", ""), (None, "lost"), ("d/odd.py", "my driving license was renewed at the office yesterday morning")]
@@ -439,6 +524,23 @@ def test_stages_on_empty_and_null_documents(spark):
         assert name == "sentencepiece" or out.columns == odd.columns, name
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    vocab = ["".join(rng.choices("aeioulnrst", k=rng.randint(2, 9))) for _ in range(300)]
+    names = "n_words n_lines kept base_failed _first first row hex spans assign times_read copy_read copy size sid draw bucket _w id digest rep".split()
+    own = {n: 700 + k for k, n in enumerate(names)}
+    rows = [(i, " ".join(rng.choices(vocab, k=120)) + ' password = "hunter2hunter2"', f"s{i % 2}", *own.values(), 5) for i in range(12)]
+    schema = "doc_id long, text string, source string, " + ", ".join(f"`{n}` long" for n in names) + ", n_chars long"
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "").collect()
+        assert out and out[0].__fields__ == docs.columns, name
+        assert all(r[n] == v for r in out for n, v in own.items()), name
+        assert all((r.text == rows[r.doc_id][1] and r.n_chars == 5) or (name == "secret_scan" and "[SECRET]" in r.text and r.n_chars == len(r.text)) for r in out), name
+
+
 def test_language_models_keep_the_tail(spark):
     # 12,000 words seen twice each, one of them only in the target
     texts = [(i, " ".join(f"w{k}" for k in range(40 * i, 40 * i + 40))) for i in range(300)]
