@@ -241,7 +241,8 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, size: int =
     signed = cut(text.mapInArrow(_signer(size, bands, rows), "doc_id long, digest binary, n_shingles long, keys array<long>"))
     lead = signed.where("n_shingles > 0 and doc_id is not null")
     classes, shared = _classes(lead)
-    reps = lead.join(classes, "digest").where("doc_id = rep").select("id", "digest", "rep", "n_shingles", "keys").dropDuplicates(["id"])
+    heads = classes.withColumn("doc_id", F.col("rep"))
+    reps = lead.join(heads, ["doc_id", "digest"]).select("id", "digest", "rep", "n_shingles", "keys").dropDuplicates(["id"])
 
     member = reps.select(F.explode("keys").alias("key"), "id", F.col("n_shingles").alias("n"))
     sizes = member.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
