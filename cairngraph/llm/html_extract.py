@@ -24,9 +24,9 @@ WINDOW = 3
 SURGE = 86
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"<(?:svg|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>|<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(script|style|noscript|template|textarea|select|iframe|object|svg|math|title|head(?=[\s>]))\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>[^<>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z)",
     re.S | re.I,
 )
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -39,8 +39,20 @@ _NAMES = re.compile(
     r"|promo|promoted|promotion|adsense|adsbygoogle|disclaimer|gdpr|related|replies|search|share|sharing|sidebar|signup|site-header|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])",
     re.I,
 )
-_LABEL = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_LABELS = {"class", "id", "role", "aria-label"}
+_UNSHOWN = re.compile(r"display\s*:\s*none", re.I)
+
+
+def _told(attributes: str) -> tuple[str, bool]:
+    """What a tag's attributes call it, and whether they hide it."""
+    labels, hidden = [], False
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), values[0] or values[1] or values[2]
+        if name in _LABELS:
+            labels.append(value)
+        hidden = hidden or name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and bool(_UNSHOWN.search(value)))
+    return " ".join(labels), hidden
 
 
 def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
@@ -90,11 +102,11 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
             continue
         if m[4] and m[4].rstrip().endswith("/"):
             continue
-        labels = " ".join(a or b or c for a, b, c in _LABEL.findall(m[4])) if m[4] else ""
+        labels, hidden = _told(m[4]) if m[4] else ("", False)
         in_main = any(not b for _, b in stack)
         if name == "article" and not in_main:
             stack, depth = [], []
-        aside = name in (_ASIDE if in_main else _OUTER) or bool(labels and name not in ("body", "html", "article", "main") and _NAMES.search(labels)) or bool(m[4] and _HIDDEN.search(m[4]))
+        aside = name in (_ASIDE if in_main else _OUTER) or bool(labels and name not in ("body", "html", "article", "main") and _NAMES.search(labels)) or hidden
         if aside or name in _MAIN:
             if name in _INLINE:
                 close_line()

@@ -412,6 +412,13 @@ def test_top_k(spark, k):
     assert topk.top_k(vectors.limit(0), queries.limit(0), k).count() == 0
 
 
+@pytest.mark.parametrize("inner", ['<div class="overflow-hidden">{}</div>', "<p title='a hidden gem'>{}</p>", '<div data-id="search">{}</div>', '<svg class="i"/><p>{}</p>', '<p title="it>{}</p>', '<p data-style="display:none" title=hidden>{}</p>'])
+def test_attributes_are_read_by_name(inner):
+    text = "A sentence of the article that is long enough to stay, with some more words to weigh."
+    page = f"<html><body><nav>Home | About</nav><article>{inner.format(text)}<p hidden>{text} unseen</p><p style='display: none'>no</p></article><footer>end</footer></body></html>"
+    assert html_extract.main_text(page) == text
+
+
 def test_license_windows_equal_brute_force():
     templates = [(name, t) for name, texts in licenses.TEMPLATES.items() for t in texts]
     matcher = licenses.Matcher(templates, 0.0)
