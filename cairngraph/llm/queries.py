@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, html_extract, licenses, lm_scoring, mixing, neardup, quality, secrets, sentencepiece_codec, topk, toxicity, warc
+from . import alignment, html_extract, lexical, licenses, lm_scoring, mixing, neardup, quality, secrets, sentencepiece_codec, topk, toxicity, warc
 from .common import table, words
 
 MODEL, BYTE_BPE = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")
@@ -78,10 +78,14 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.link_counts(table(spark, sf_dir, "documents"), BYTE_BPE, MODEL)
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_lm_scoring, op3_html_extraction, op4_quality_rules, op5_secret_scan, op6_exact_top_k, op7_license_scan, op8_toxicity, op9_minhash_near_dedup, op10_sentencepiece, op11_warc, op13_token_alignment)}
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_lm_scoring, op3_html_extraction, op4_quality_rules, op5_secret_scan, op6_exact_top_k, op7_license_scan, op8_toxicity, op9_minhash_near_dedup, op10_sentencepiece, op11_warc, op12_lexical_search, op13_token_alignment)}
 
-ORACLES = {"op1_source_mixing": mixing.ORACLE, "op4_quality_rules": quality.ORACLE, "op6_exact_top_k": topk.ORACLE}
+ORACLES = {"op1_source_mixing": mixing.ORACLE, "op4_quality_rules": quality.ORACLE, "op6_exact_top_k": topk.ORACLE, "op12_lexical_search": lexical.ORACLE}
