@@ -21,9 +21,13 @@ own; doc_id may be null; other columns of the input are not read.
 from __future__ import annotations
 
 import hashlib
+import json
+import re
+import unicodedata
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +38,7 @@ from pyspark.sql import functions as F
 from ..lineage import stored
 
 #: Bytes of text that are aligned at once, and distinct pairs of documents after which a chunk ends.
-BYTES, PAIRS = 1 << 20, 4_000_000
+BYTES, PAIRS = 1 << 20, 2_000_000
 
 
 @dataclass
@@ -55,7 +59,8 @@ class Csr:
         return np.repeat(np.arange(self.rows), np.diff(self.indptr))
 
     def transposed(self) -> Csr:
-        order = np.argsort(self.indices, kind="stable")
+        rising = (self.indices[1:] >= self.indices[:-1]).all()
+        order = slice(None) if rising else np.argsort(self.indices, kind="stable")
         return Csr(_starts(np.bincount(self.indices, minlength=self.columns)), self.row_of()[order], self.data[order], self.rows)
 
 
@@ -76,31 +81,68 @@ def gustavson(a: Csr, b: Csr) -> Csr:
     times = b.indptr[a.indices + 1] - first
     entry = np.repeat(np.arange(len(a.indices)), times)
     at = np.arange(len(entry)) - np.repeat(_starts(times)[:-1] - first, times)
-    key = a.row_of()[entry] * b.columns + b.indices[at]
-    value = a.data[entry] * b.data[at]
-    if len(key) and not (key[1:] >= key[:-1]).all():
-        order = np.argsort(key, kind="stable")
-        key, value = key[order], value[order]
-    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    summed = np.add.reduceat(value, new) if len(new) else value
-    row, column = np.divmod(key[new], max(b.columns, 1))
-    return Csr(_starts(np.bincount(row, minlength=a.rows)), column, summed, b.columns)
+    row, column, value = a.row_of()[entry], b.indices[at], a.data[entry] * b.data[at]
+    if not len(row):
+        return Csr(np.zeros(a.rows + 1, np.int64), column, value, b.columns)
+    same = row[1:] == row[:-1]
+    if (same & (column[1:] < column[:-1])).any():
+        order = np.lexsort((column, row))
+        row, column, value = row[order], column[order], value[order]
+    new = np.flatnonzero(np.concatenate([[True], ~same | (column[1:] != column[:-1])]))
+    return Csr(_starts(np.bincount(row[new], minlength=a.rows)), column[new], np.add.reduceat(value, new), b.columns)
+
+
+# Fixed value: how byte-level tokenizers cut a text into words.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+LONG = 500
+
+
+def _settled() -> re.Pattern:
+    """What holds a character that Unicode versions since 3.2 do not agree on, or a long run of white space."""
+    old = unicodedata.ucd_3_2_0
+    agreed = [c for c in map(chr, range(0x10000)) if (kind := old.category(c)) not in ("Cn", "Cs") and kind == unicodedata.category(c)]
+    return re.compile(f"[^{''.join(map(re.escape, agreed))}]|\\s{{{LONG}}}")
 
 
 @lru_cache(maxsize=2)
 def _byte_bpe(path: str):
-    """Encoder of texts by a byte-level BPE file, and the bytes of each id."""
+    """Encoder of texts by a byte-level BPE file, and the bytes of each id.
+
+    If the file's merges are in the order of their ids, as this format has
+    them, a faster library merges the words of texts on whose cutting into
+    words the libraries can not differ; all other texts go to the file's own.
+    """
+    from tiktoken import Encoding
     from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
-        tokenizer = Tokenizer.from_str(f.read())
+        text = f.read()
+    told, tokenizer = json.loads(text), Tokenizer.from_str(text)
     tokenizer.encode_special_tokens = True
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     of = {chr(b): b for b in shown} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in set(shown))}
     entries = [b""] * tokenizer.get_vocab_size()
     for entry, i in tokenizer.get_vocab().items():
         entries[i] = bytes(of[c] for c in entry) if all(c in of for c in entry) else entry.encode()
-    return lambda texts: [e.ids for e in tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)], entries
+
+    def own(texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+
+    ids, merges, cutter = told["model"]["vocab"], told["model"]["merges"], told["pre_tokenizer"] or {}
+    joined = ["".join(m if isinstance(m, list) else m.split(" ")) for m in merges]
+    plain = told["normalizer"] is None and cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True) and not cutter.get("add_prefix_space")
+    if not plain or [ids.get(x) for x in joined] != list(range(256, 256 + len(joined))):
+        return own, entries
+    added = {a["id"] for a in told["added_tokens"]}
+    fast = Encoding("words", pat_str=WORDS, mergeable_ranks={e: i for i, e in enumerate(entries) if i not in added}, special_tokens={}).encode_ordinary
+    unsettled = _settled().search
+
+    def encode(texts: list[str]) -> list[list[int]]:
+        slow = [n for n, t in enumerate(texts) if unsettled(t) or max(map(len, t.split()), default=0) > LONG]
+        rest = dict(zip(slow, own([texts[n] for n in slow]))) if slow else {}
+        return [rest[n] if n in rest else fast(" " + t) for n, t in enumerate(texts)]
+
+    return encode, entries
 
 
 @lru_cache(maxsize=2)
@@ -139,13 +181,16 @@ class Aligned:
 
     def __init__(self, by: Aligner, tokens: list[tuple[list[int], list[int]]]):
         self.by, self.docs = by, len(tokens)
-        self.a, self.b = (np.array([i for pair in tokens for i in pair[side]], np.int64) for side in (0, 1))
+        self.a, self.b = (np.fromiter(chain.from_iterable(pair[side] for pair in tokens), np.int64) for side in (0, 1))
         self.n_a, self.n_b = (np.array([len(pair[side]) for pair in tokens], np.int64) for side in (0, 1))
         by_byte_a, by_byte_b = incidence(by.len_a[self.a]), incidence(by.len_b[self.b])
         self.links = gustavson(by_byte_a, by_byte_b.transposed())
         ends_a, ends_b = by_byte_a.indptr[1:], by_byte_b.indptr[1:]
-        cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
-        self.group_a, self.group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
+        ends = np.zeros((2, by_byte_a.columns + 1), bool)
+        ends[0, ends_a] = ends[1, ends_b] = True
+        cut = ends[0] & ends[1]
+        cuts, closed = np.flatnonzero(cut), np.cumsum(cut) - cut
+        self.group_a, self.group_b = closed[ends_a], closed[ends_b]
         self.in_group_a, self.in_group_b = (np.bincount(g, minlength=len(cuts)) for g in (self.group_a, self.group_b))
         doc = np.repeat(np.arange(self.docs), self.n_a)
         self.doc_of_link = doc[self.links.row_of()]
