@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..lineage import stored
+
 
 def fat_flags(metrics: DataFrame) -> tuple[DataFrame, DataFrame]:
     """From metrics(class, method, lines, cc): methods with fat_method, and classes with fat_class."""
@@ -69,6 +71,19 @@ def event_facts(events: DataFrame, listeners: DataFrame, jobs: DataFrame, defer_
     return out.select("event", F.coalesce("listeners", F.lit(0)).alias("listeners"), F.col("listeners").isNull().alias("orphan"), (~F.col("deferred") & F.coalesce("_early", F.lit(False))).alias("observable_before_commit"))
 
 
+def numbered(df: DataFrame, order: Sequence[str | Column], name: str, first: int = 0) -> DataFrame:
+    """df, stored, with ``name``: its rows' places in the order, from ``first`` on.
+
+    Rows are sorted by ranges and counted in two levels, in a range and over
+    the ranges, of which there are as many as shuffle partitions.
+    """
+    cut = stored(df.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+    sizes = cut.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_low"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = F.broadcast(sizes.select("_part", "_low", before.alias("_base")))
+    return cut.join(sizes, "_part").withColumn(name, F.col("_base") + F.col("_at") - F.col("_low") + first).drop("_part", "_at", "_low", "_base")
+
+
 BINS = 1024
 
 

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.exprs import is_async, slug
-from ..lineage import settle
-from .aggs import collapse_messages, unique_slugs
+from ..lineage import settle, stored
+from .aggs import collapse_messages, numbered, unique_slugs
 from .graph import ACTOR_RANKS, type_rank
 
 COMPACT = 8
@@ -50,6 +50,27 @@ def closure(edges: DataFrame, seeds: DataFrame, keys: Sequence[str] = (), max_de
     return reduce(DataFrame.union, levels)
 
 
+def breadth_first(edges: DataFrame, start: DataFrame, order: Sequence[str] = ("ord", "target", "type", "label")) -> DataFrame:
+    """(id, place): the ids that edges lead to from start(id), numbered as a breadth-first walk meets them.
+
+    The walk takes the edges of one id after the other, by ``order``. Each level
+    is ranked by the place of the first parent and then by its edge, so a level
+    is one join and one sort, however many ids it has.
+    """
+    step = stored(edges.select("source", F.col("target").alias("_to"), F.struct(*order).alias("_edge")))
+    level = stored(numbered(start.select("id").distinct(), ["id"], "place"))
+    levels, n = [level], level.count()
+    while True:
+        met = level.join(step, level.id == step.source).groupBy(F.col("_to").alias("id")).agg(F.min(F.struct("place", "_edge")).alias("_by"))
+        fresh = met.join(reduce(DataFrame.union, levels).select("id"), "id", "left_anti")
+        level = stored(numbered(fresh, ["_by"], "place", n).select("id", "place"))
+        more = level.count()
+        if not more:
+            return reduce(DataFrame.union, levels)
+        n += more
+        levels = [stored(reduce(DataFrame.union, [*levels, level]))] if len(levels) >= COMPACT else [*levels, level]
+
+
 def tab_closure(edges: DataFrame, seeds: DataFrame, skip_types: Sequence[str] = ()) -> DataFrame:
     """(tab_id, id, depth) from seeds(tab_id, id), not traversing edges of skip_types."""
     walked = edges.where(~F.col("type").isin(*skip_types)) if skip_types else edges
@@ -264,11 +285,13 @@ def sequence(nodes: DataFrame, edges: DataFrame, route: DataFrame, ranks: dict[s
     type rank and id, and the database if a node of the type ``model`` is met.
     Messages (pos, sender, receiver, label, asynchronous, is_return, times),
     repeated ones once at their first position: the request, the calls between
-    two participants by the depth of the caller, then ord, then id, a query and
+    two participants in the order of a breadth-first walk, which is through
+    with the edges of one caller before it takes those of the next, a query and
     its result for each model, and the response. Labels of repeated messages
-    are marked ``×n``.
+    are marked ``×n``. Edges are (source, target, label, type, ord); their ord
+    and then their target order those of a caller.
     """
-    met = settle(closure(edges, route))
+    met = stored(breadth_first(edges, route))
     inside = nodes.join(met.select("id"), "id", "left_semi").withColumn("_rank", type_rank(F.col("type"), ranks))
     people = inside.select(F.struct(F.lit(1).alias("part"), F.col("_rank").alias("rank"), F.col("id").alias("name")).alias("place"), "id", F.when(F.col("type") == "action", "controller").otherwise(F.col("type")).alias("type"))
     place = lambda part, name: F.struct(F.lit(part).alias("part"), F.lit(0).alias("rank"), F.lit(name).alias("name"))
@@ -278,13 +301,12 @@ def sequence(nodes: DataFrame, edges: DataFrame, route: DataFrame, ranks: dict[s
 
     ids = inside.select("id")
     first = route.join(ids, "id", "left_semi").select("id")
-    at = lambda part, depth, ord, name, step: F.struct(F.lit(part).alias("part"), depth.cast("long").alias("depth"), ord.cast("long").alias("ord"), name.alias("name"), F.lit(step).alias("step"))
+    at = lambda part, caller, ord, name, step: F.struct(F.lit(part).alias("part"), caller.cast("long").alias("caller"), ord.cast("long").alias("ord"), name.alias("name"), F.lit(step).alias("step"))
     zero = F.lit(0)
     row = lambda pos, a, b, label, late, back: [pos.alias("pos"), a.alias("sender"), b.alias("receiver"), F.coalesce(label, F.lit("")).alias("label"), late.alias("asynchronous"), F.lit(back).alias("is_return")]
     no, client_id, db = F.lit(False), F.lit("__client__"), F.lit("__db__")
     calls = met.join(edges, met.id == edges.source).where("source <> target").join(ids.select(F.col("id").alias("source")), "source", "left_semi").join(ids.select(F.col("id").alias("target")), "target", "left_semi")
-    name = F.concat_ws(">", "source", "target")
-    rows = calls.select(*row(at(1, F.col("depth"), F.col("ord"), name, 0), F.col("source"), F.col("target"), F.col("label"), is_async(F.col("type")), False))
+    rows = calls.select(*row(at(1, F.col("place"), F.col("ord"), F.col("target"), 0), F.col("source"), F.col("target"), F.col("label"), is_async(F.col("type")), False))
     models = inside.where(F.col("type") == model)
     for df, values in (
         (first, row(at(0, zero, zero, F.col("id"), 0), client_id, F.col("id"), F.lit("request"), no, False)),

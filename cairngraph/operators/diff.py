@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..lineage import stored
+
 
 def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """(path, change) of two snapshots(path, hash): added, modified or deleted."""
@@ -82,20 +84,76 @@ def count_changes(base: DataFrame, head: DataFrame) -> DataFrame:
     return both.where(~F.col("base").eqNullSafe(F.col("head")))
 
 
-def _numbered(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """edges with ``occurrence``, the number of the edge among those of equal keys, which are interchangeable."""
-    return edges.withColumn("occurrence", F.row_number().over(W.partitionBy(*keys).orderBy(*keys)) - 1)
+def exact(*cols: str) -> Column:
+    """One text that only equal values of all columns share: each with its length before it, nulls apart."""
+    one = lambda c: F.coalesce(F.concat(F.octet_length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string"), F.lit(";")), F.lit("-;"))
+    return F.concat(*[one(F.col(c)) for c in cols])
+
+
+def _numbered(edges: DataFrame, keys: Sequence[str], fields: Sequence[str] = ()) -> DataFrame:
+    """edges with ``occurrence``, the number of the edge among those of equal keys, by their fields; those of equal fields are interchangeable."""
+    return edges.withColumn("occurrence", F.row_number().over(W.partitionBy(*keys).orderBy(*keys, *fields)) - 1)
+
+
+def graph_signature(nodes: DataFrame, edges: DataFrame, fields: Sequence[str] = ("type", "label"), keys: Sequence[str] = EDGE, edge_fields: Sequence[str] = ("label",)) -> DataFrame:
+    """(kind, id, signature): hashes of what nodes and edges say.
+
+    Edges are named by their keys and occurrence, so the order of two builds
+    does not matter; their signature is of their keys and ``edge_fields``. No
+    two different values share a text that is hashed or named.
+    """
+    n = nodes.select(F.lit("node").alias("kind"), "id", F.md5(exact(*fields)).alias("signature"))
+    name = F.concat(exact(*keys), F.lit("#"), F.col("occurrence").cast("string"))
+    return n.union(_numbered(edges, keys, edge_fields).select(F.lit("edge"), name, F.md5(exact(*keys, *edge_fields))))
+
+
+def signature_tree(signed: DataFrame, digits: int) -> DataFrame:
+    """(level, kind, range, n, total): sums of the signatures over ranges of ids, for each level of 1 to ``digits`` digits.
+
+    A range is the first hexadecimal digits of the hash of the id. Equal ranges
+    have equal n and total; different ones share them by chance alone. The
+    finest level is summed first and each coarser one from the next finer one.
+    """
+    number = F.conv(F.substring(F.md5(exact("kind", "id", "signature")), 1, 15), 16, 10).cast("decimal(38,0)")
+    out = level = None
+    for k in range(digits, 0, -1):
+        if level is None:
+            level = stored(signed.groupBy("kind", id_range("id", k).alias("range")).agg(F.count("*").alias("n"), F.sum(number).alias("total")))
+        else:
+            level = level.groupBy("kind", F.substring("range", 1, k).alias("range")).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+        part = level.select(F.lit(k).alias("level"), "kind", "range", "n", F.col("total").cast("decimal(38,0)").alias("total"))
+        out = part if out is None else out.union(part)
+    return out
 
 
-def graph_signature(nodes: DataFrame, edges: DataFrame, fields: Sequence[str] = ("type", "label"), keys: Sequence[str] = EDGE) -> DataFrame:
-    """(kind, id, signature): hashes of what nodes and edges say, edges being named by their content and occurrence."""
-    n = nodes.select(F.lit("node").alias("kind"), "id", F.md5(F.concat_ws("|", *fields)).alias("signature"))
-    name = F.concat_ws("|", *keys)
-    return n.union(_numbered(edges, keys).select(F.lit("edge"), F.concat(name, F.lit("#"), F.col("occurrence").cast("string")), F.md5(name)))
+def id_range(column: str, digits: int) -> Column:
+    return F.substring(F.md5(column), 1, digits)
 
 
-def signature_diff(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(kind, id): elements of two signatures that differ or are on one side only; none means equal graphs."""
+def tree_diff(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(kind, range): the finest ranges in which two signature trees of equal depth differ, found from the coarsest level down.
+
+    Below a range that is equal in both nothing is compared.
+    """
+    digits = max(x.agg(F.max("level")).first()[0] or 0 for x in (a, b))
+    odd = None
+    for k in range(1, digits + 1):
+        one, two = (x.where(F.col("level") == k).select("kind", "range", F.struct("n", "total").alias(side)) for x, side in ((a, "_a"), (b, "_b")))
+        if odd is not None:
+            above = lambda x: x.withColumn("_above", F.substring("range", 1, k - 1)).join(odd.select(F.col("kind"), F.col("range").alias("_above")), ["kind", "_above"], "left_semi").drop("_above")  # noqa: B023, E731
+            one, two = above(one), above(two)
+        odd = stored(one.join(two, ["kind", "range"], "full").where(~F.col("_a").eqNullSafe(F.col("_b"))).select("kind", "range"))
+    return odd if odd is not None else a.select("kind", "range").limit(0)
+
+
+def signature_diff(a: DataFrame, b: DataFrame, ranges: DataFrame | None = None, digits: int = 0) -> DataFrame:
+    """(kind, id): elements of two signatures that differ or are on one side only; none means equal graphs.
+
+    With ranges(kind, range) of so many digits, as tree_diff gives them, only
+    the elements of those ranges are joined.
+    """
+    if ranges is not None:
+        a, b = (x.withColumn("range", id_range("id", digits)).join(ranges, ["kind", "range"], "left_semi").drop("range") for x in (a, b))
     both = a.withColumnRenamed("signature", "_a").join(b.withColumnRenamed("signature", "_b"), ["kind", "id"], "full")
     return both.where(~F.col("_a").eqNullSafe(F.col("_b"))).select("kind", "id")
 

@@ -99,9 +99,20 @@ def stamp(nodes: DataFrame, facts: DataFrame, key: str, cols: Sequence[str]) ->
 
 
 def range_findings(findings: DataFrame, spans: DataFrame) -> DataFrame:
-    """findings(file, line, ...) by the spans(file, id, first, last) that hold their line; without a line, by every span of the file."""
-    met = findings.join(spans, "file")
-    return met.where(F.col("line").isNull() | F.col("line").between(F.col("first"), F.col("last")))
+    """findings(file, line, ...) by the spans(file, id, first, last) that hold their line; without a line, by every span of the file.
+
+    A span lies in one or two bins of the least power of two that is no less
+    than its length, and a finding in one bin of each size that spans have. So
+    a finding meets the spans near its line only, however many a file has.
+    """
+    length = F.col("last") - F.col("first") + 1
+    sized = spans.where("first <= last").withColumn("_size", F.ceil(F.log2(length.cast("double"))).cast("int"))
+    width = F.expr("shiftleft(1L, _size)")
+    binned = sized.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("first") / width), F.floor(F.col("last") / width))))
+    sizes = [r[0] for r in sized.select("_size").distinct().collect()]  # at most one for each bit of a line number
+    placed = findings.where("line is not null").withColumn("_size", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>"))).withColumn("_bin", F.floor(F.col("line") / width))
+    near = placed.join(binned, ["file", "_size", "_bin"]).where(F.col("line").between(F.col("first"), F.col("last"))).drop("_size", "_bin")
+    return near.unionByName(findings.where("line is null").join(spans, "file").select(*near.columns))
 
 
 def inherited(classes: DataFrame, reached: DataFrame) -> DataFrame:

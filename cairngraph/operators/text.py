@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions.exprs import contains_any, glob_match, truncate
 
@@ -23,6 +24,28 @@ def rule_scan(sources: DataFrame, rules: Sequence[tuple[str, str, str]]) -> Data
     return each.select("file", "line", "r.rule", "r.severity", F.explode("r.hits").alias("hit")).withColumn("snippet", truncate(F.col("hit"), 60, 57, "...")).drop("hit")
 
 
+def spanning_scan(sources: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """(file, line, rule, severity, snippet): one row per match of rules(id, regex, severity) in the whole text of sources(file, text).
+
+    A match may span lines and counts for the line in which it starts; no rule
+    may match an empty text. A text is cut at the matches of a rule, and the
+    newlines of what lies before each are summed over the rows of its matches.
+    """
+    matching = [F.when(F.col("text").rlike(p), F.struct(F.lit(i).alias("rule"), F.lit(p).alias("regex"), F.lit(s).alias("severity"))) for i, p, s in rules]
+    return located(sources.select("file", "text", F.explode(F.array_compact(F.array(*matching))).alias("_r")).select("file", "text", "_r.*"))
+
+
+def located(found: DataFrame) -> DataFrame:
+    """(file, line, rule, severity, snippet): the matches in found(file, text, rule, regex, severity), with the lines in which they start."""
+    newlines = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+    cut = found.select("file", "rule", "severity", F.monotonically_increasing_id().alias("_text"), F.regexp_extract_all("text", "regex", F.lit(0)).alias("_hits"), F.split("text", F.col("regex"), -1).alias("_gaps"))
+    rows = cut.select("file", "rule", "severity", "_text", F.posexplode(F.arrays_zip("_hits", F.slice("_gaps", 1, F.size("_hits")).alias("_gaps"))).alias("_at", "_m"))
+    rows = rows.select("file", "rule", "severity", "_text", "_at", F.col("_m")["_hits"].alias("hit"), newlines(F.col("_m")["_gaps"]).alias("_before"), newlines(F.col("_m")["_hits"]).alias("_own"))
+    upto = W.partitionBy("_text").orderBy("_at").rowsBetween(W.unboundedPreceding, 0)
+    line = (F.sum(F.col("_before") + F.col("_own")).over(upto) - F.col("_own") + 1).cast("int")
+    return rows.select("file", line.alias("line"), "rule", "severity", truncate(F.col("hit"), 60, 57, "...").alias("snippet"))
+
+
 # Words that tell of raw user content.
 RISKY_WORDS = "html body content description text message comment note remark bio about summary input data raw unsafe user post output".split()
 

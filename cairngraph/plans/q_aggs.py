@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators import aggs as A
-from ..lineage import scratch
+from ..lineage import scratch, stored
 from ..operators import diff as D
 from .base import registrar
 from .base import table as _t
@@ -346,20 +346,39 @@ def count_changes(spark, sf):
     return D.count_changes(counts.where("arm = 'base'"), counts.where("arm = 'head'"))
 
 
-@query(
+_EXACT = lambda *cols: " || ".join(f"coalesce(strlen({c}) || ':' || {c} || ';', '-;')" for c in cols)
+SIGNED = (
     G
-    + """, o AS (SELECT 'node' AS kind, id, md5(type || '|' || label) AS a, md5(type || '|' || CASE WHEN ord % 10 = 3 THEN label || '!' ELSE label END) AS b FROM nodes UNION ALL SELECT 'edge', source || '|' || target || '|' || type || '#0', md5(source || '|' || target || '|' || type), CASE WHEN ord % 10 <> 4 THEN md5(source || '|' || target || '|' || type) END FROM edges)
-SELECT kind, id, a AS signature, a IS DISTINCT FROM b AS differs FROM o"""
+    + f""", e AS (SELECT *, 'n' || ord % 3 AS label FROM edges), o AS (SELECT 'node' AS kind, id, md5({_EXACT("type", "label")}) AS a, md5({_EXACT("type", "(CASE WHEN ord % 10 = 3 THEN label || '!' ELSE label END)")}) AS b FROM nodes
+UNION ALL SELECT 'edge', {_EXACT("source", "target", "type")} || '#0', md5({_EXACT("source", "target", "type", "label")}), CASE WHEN ord % 10 <> 4 THEN md5({_EXACT("source", "target", "type", "CASE WHEN ord % 10 = 5 THEN 'moved' ELSE label END")}) END FROM e)
+"""
 )
-def graph_signature(spark, sf):
-    """The graph against one with some labels changed and some edges gone."""
-    n, e = nodes(spark, sf), edges(spark, sf)
+
+
+def _two_signatures(spark, sf):
+    """The graph's signature and that of one with some labels of nodes and edges changed and some edges gone."""
+    n, e = nodes(spark, sf), edges(spark, sf).withColumn("label", F.concat(F.lit("n"), (F.col("ord") % 3).cast("string")))
     other = n.withColumn("label", F.when(F.col("ord") % 10 == 3, F.concat("label", F.lit("!"))).otherwise(F.col("label")))
-    signed = D.graph_signature(n, e)
-    odd = D.signature_diff(signed, D.graph_signature(other, e.where("ord % 10 <> 4"))).withColumn("differs", F.lit(True))
+    moved = e.where("ord % 10 <> 4").withColumn("label", F.when(F.col("ord") % 10 == 5, "moved").otherwise(F.col("label")))
+    return D.graph_signature(n, e), D.graph_signature(other, moved)
+
+
+@query(SIGNED + "SELECT kind, id, a AS signature, a IS DISTINCT FROM b AS differs FROM o")
+def graph_signature(spark, sf):
+    signed, other = _two_signatures(spark, sf)
+    odd = D.signature_diff(signed, other).withColumn("differs", F.lit(True))
     return signed.join(odd, ["kind", "id"], "left").select("kind", "id", "signature", F.coalesce("differs", F.lit(False)).alias("differs"))
 
 
+@query(SIGNED + "SELECT kind, substr(md5(id), 1, 3) AS range, count(*) AS elements FROM o WHERE a IS DISTINCT FROM b GROUP BY 1, 2")
+def graph_ranges(spark, sf):
+    """The ranges of ids in which two builds differ, found by their trees of signatures, and the elements that do."""
+    signed, other = map(stored, _two_signatures(spark, sf))
+    ranges = D.tree_diff(D.signature_tree(signed, 3), D.signature_tree(other, 3))
+    odd = D.signature_diff(signed, other, ranges, 3).withColumn("range", D.id_range("id", 3))
+    return ranges.join(odd, ["kind", "range"], "left").groupBy("kind", "range").agg(F.count("id").alias("elements"))
+
+
 def _filed(spark, sf):
     file = F.when(F.col("type") != "region", F.concat(F.lit("f"), (F.col("ord") % 17).cast("string")))
     return nodes(spark, sf).withColumn("file", file)

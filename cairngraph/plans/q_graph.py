@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import exprs as X
+from ..operators import aggs as A
 from ..operators import closure as C
 from ..operators import graph as O
 from .base import registrar
@@ -226,18 +227,24 @@ RANKS = {"region": 0, "nation": 1, "customer": 2, "order": 3, "part": 4, "suppli
 
 
 @query(
-    _deep("id = 'customer::1'")
-    + """, calls AS (SELECT source, target FROM best JOIN edges e ON e.source = best.id), people AS (SELECT id, type FROM best JOIN nodes USING (id))
-SELECT 'actors' AS part, CASE WHEN type = 'part' THEN 'model' ELSE type END AS label, count(*) AS n FROM people GROUP BY 2 UNION ALL SELECT 'actors', x, 1 FROM (SELECT unnest(['client', 'db']) AS x)
-UNION ALL SELECT 'messages', x, CAST(y AS BIGINT) FROM (SELECT unnest(['request', 'response', 'call', 'query', 'result']) AS x, unnest([1, 1, (SELECT count(*) FROM calls), (SELECT count(*) FROM people WHERE type = 'part'), (SELECT count(*) FROM people WHERE type = 'part')]) AS y)"""
+    G
+    + """, l1 AS (SELECT target AS id, row_number() OVER (ORDER BY ord, target) AS p FROM edges WHERE source = 'nation::1'),
+l2 AS (SELECT target AS id, p, ord FROM edges JOIN l1 ON source = l1.id WHERE type = 'customer-to-order'),
+calls AS (SELECT 0 AS level, 0 AS p, 0 AS q, source, target, ord FROM edges WHERE source = 'nation::1' UNION ALL SELECT 1, p, 0, source, target, ord FROM edges JOIN l1 ON source = l1.id
+ UNION ALL SELECT 2, p, l2.ord, source, target, edges.ord FROM edges JOIN l2 ON source = l2.id),
+parts AS (SELECT DISTINCT target AS id FROM calls WHERE starts_with(target, 'part::')),
+m AS (SELECT 0 AS part, 0 AS level, 0 AS p, 0 AS q, 0 AS ord, '' AS t, '__client__' AS sender, 'nation::1' AS receiver, 'request' AS label, false AS is_return
+ UNION ALL SELECT 1, level, p, q, ord, target, source, target, 'call', false FROM calls
+ UNION ALL SELECT 2, 0, 0, 0, 0, id || chr(1) || '0', id, '__db__', 'query', false FROM parts UNION ALL SELECT 2, 0, 0, 0, 0, id || chr(1) || '1', '__db__', id, 'result', true FROM parts
+ UNION ALL SELECT 3, 0, 0, 0, 0, '', 'nation::1', '__client__', 'response', true)
+SELECT row_number() OVER (ORDER BY part, level, p, q, ord, t) - 1 AS place, sender, receiver, label, is_return FROM m"""
 )
 def sequence_messages(spark, sf):
-    """The calls of one customer, parts being the models."""
+    """The calls that start at one nation, in their order; parts are the models."""
     n = nodes(spark, sf).withColumn("type", F.when(F.col("type") == "part", "model").otherwise(F.col("type")))
     e = edges(spark, sf).withColumn("label", F.lit("call"))
-    actors, messages = C.sequence(n, e, n.where("id = 'customer::1'"), RANKS)
-    said = actors.groupBy(F.col("type").alias("label")).agg(F.count("*").alias("n")).select(F.lit("actors").alias("part"), "label", "n")
-    return said.union(messages.groupBy(F.substring_index("label", " ×", 1).alias("label")).agg(F.count("*").alias("n")).select(F.lit("messages"), "label", "n"))
+    _, messages = C.sequence(n, e, n.where("id = 'nation::1'"), RANKS)
+    return A.numbered(messages, ["pos"], "place").select("place", "sender", "receiver", "label", "is_return")
 
 
 @query(WIDE + " SELECT type, count(*) AS n FROM wedges WHERE source IN (SELECT id FROM wnodes) AND target IN (SELECT id FROM wnodes) GROUP BY 1")

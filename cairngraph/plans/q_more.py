@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..lineage import scratch
+from ..operators import aggs as A
 from ..operators import graph as O
 from ..sources import io as S
 from .base import registrar
@@ -70,15 +71,31 @@ def graph_roundtrip(spark, sf):
     return a.join(b, "tab_id").select("tab_id", "edges", "nodes")
 
 
-@query("SELECT CAST(o_orderdate AS DATE)::VARCHAR AS day, o_orderpriority AS author, 'c' || o_custkey AS file FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01'")
-def commit_log(spark, sf):
-    """Orders written as a commit log and read back."""
+def _log(spark, sf):
+    """Orders written as commit logs, one a year, and read back."""
     head = F.concat(F.lit("@@"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("␟"), "o_orderpriority")
-    text = _t(spark, sf, "orders").select(F.concat(head, F.lit("\nc"), F.col("o_custkey").cast("string"), F.lit("\n")))
-    path = scratch(spark, "tabs")
-    text.write.text(path)
-    log = S.read_commit_log(spark, path, "2000-01-01")
-    return log.select(F.col("commit_date").cast("string").alias("day"), "author", "file")
+    text = F.concat(head, F.lit("\nc"), F.col("o_custkey").cast("string"), F.lit("\n")).alias("value")
+    day = F.to_date("o_orderdate").alias("day")
+    lines = _t(spark, sf, "orders").select(F.year("o_orderdate").alias("year"), day, "o_orderkey", text)
+    path = scratch(spark, "log")
+    lines.repartition("year").sortWithinPartitions("year", F.desc("day"), F.desc("o_orderkey")).select("year", "value").write.partitionBy("year").text(path)
+    return S.read_commit_log(spark, path, "2000-01-01")
+
+
+@query(
+    """SELECT * FROM (SELECT CAST(o_orderdate AS DATE)::VARCHAR AS day, o_orderpriority AS author, 'c' || o_custkey AS file, row_number() OVER (ORDER BY CAST(o_orderdate AS DATE) DESC, o_orderkey DESC) - 1 AS ord FROM orders) WHERE day >= '2000-01-01'"""
+)
+def commit_log(spark, sf):
+    return _log(spark, sf).select(F.col("commit_date").cast("string").alias("day"), "author", "file", "ord")
+
+
+@query(
+    """SELECT 'c' || o_custkey AS file, count(*) AS commits, max(CAST(o_orderdate AS DATE))::VARCHAR AS last_changed, max(o_orderpriority) FILTER (WHERE k = 1) AS last_author
+FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE) DESC, o_orderkey DESC) AS k FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01') GROUP BY o_custkey"""
+)
+def churn_log(spark, sf):
+    """Commits and the last author of each file, out of logs of several years."""
+    return A.churn(_log(spark, sf)).withColumn("last_changed", F.col("last_changed").cast("string"))
 
 
 @query("SELECT 's' || l_suppkey AS project, 'p' || l_partkey AS package, l_returnflag = 'R' AS dev FROM lineitem GROUP BY 1, 2, 3")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import audit as U
+from ..operators import rules as K
 from ..operators import text as T
 from ..operators.closure import guard_names
 from .base import registrar
@@ -17,16 +18,21 @@ RULES = [("ip", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", "low"), ("sec
 
 
 @query(
-    r"""WITH l AS (SELECT doc_id AS file, unnest(range(1, len(a) + 1)) AS line, unnest(a) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)),
+    r"""WITH g AS (SELECT doc_id AS file, string_split_regex(text, '[a-z]+\.\n[A-Z][a-z]+') AS gaps, regexp_extract_all(text, '[a-z]+\.\n[A-Z][a-z]+') AS hits FROM documents),
+m AS (SELECT file, unnest(range(1, len(hits) + 1)) AS k, unnest(gaps[1:len(hits)]) AS gap, unnest(hits) AS hit FROM g),
+spans AS (SELECT file, sum(length(gap) - length(replace(gap, chr(10), ''))) OVER (PARTITION BY file ORDER BY k) + k AS line, hit FROM m),
+l AS (SELECT doc_id AS file, unnest(range(1, len(a) + 1)) AS line, unnest(a) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)),
 r(rule, p, severity) AS (VALUES ('ip', '[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}', 'low'), ('secret', '(?:token|password|secret) *= *[^ ]+', 'high'), ('license', '[Ll]icensed under [A-Za-z -]+', 'none')),
 h AS (SELECT file, line, 'ip' AS rule, 'low' AS severity, unnest(regexp_extract_all(t, '[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}')) AS hit FROM l
 UNION ALL SELECT file, line, 'secret', 'high', unnest(regexp_extract_all(t, '(?:token|password|secret) *= *[^ ]+')) FROM l
-UNION ALL SELECT file, line, 'license', 'none', unnest(regexp_extract_all(t, '[Ll]icensed under [A-Za-z -]+')) FROM l)
+UNION ALL SELECT file, line, 'license', 'none', unnest(regexp_extract_all(t, '[Ll]icensed under [A-Za-z -]+')) FROM l
+UNION ALL SELECT file, line, 'ending', 'low', hit FROM spans)
 SELECT file, line, rule, severity, CASE WHEN length(hit) > 60 THEN substr(hit, 1, 57) || '...' ELSE hit END AS snippet FROM h"""
 )
 def rule_scan(spark, sf):
     docs = _t(spark, sf, "documents").select(F.col("doc_id").alias("file"), "text")
-    return T.rule_scan(docs, RULES).withColumn("line", F.col("line").cast("long"))
+    both = T.rule_scan(docs, RULES).union(T.spanning_scan(docs, [("ending", r"[a-z]+\.\n[A-Z][a-z]+", "low")]))
+    return both.withColumn("line", F.col("line").cast("long"))
 
 
 @query("SELECT doc_id, CASE WHEN (toxic = 1 AND contains(lower(coalesce(text, '')), lang)) OR regexp_matches(lower(coalesce(text, '')), 'password|licensed') THEN 'high' ELSE 'medium' END AS severity FROM labels JOIN documents USING (doc_id)")
@@ -169,3 +175,65 @@ def fk_orphans(spark, sf):
 @query("SELECT DISTINCT o_custkey AS caller, o_orderpriority AS callee FROM orders WHERE o_orderstatus = 'P'")
 def unresolved(spark, sf):
     return U.unresolved(_t(spark, sf, "orders").select(F.col("o_custkey").alias("caller"), F.col("o_orderpriority").alias("callee"), (F.col("o_orderstatus") != "P").alias("resolved")))
+
+
+PATHS = "SELECT DISTINCT 'app/' || p_brand || '/' || p_type || '/' || p_name || '.php' AS value FROM part"
+GLOBS = "SELECT s_suppkey AS rule_id, s_nationkey AS n, CASE s_suppkey % 5 WHEN 0 THEN 'APP/Brand#' || s_nationkey || '/*' WHEN 1 THEN '*' || chr(97 + s_nationkey) || '?lt.p*' WHEN 2 THEN '*/SMALL/*' || chr(97 + s_nationkey) || '*' WHEN 3 THEN repeat('?', 25 + s_nationkey) ELSE repeat('?', 30 + s_nationkey) || '*' END AS pattern FROM supplier"
+
+
+def _globs(spark, sf):
+    k, n = F.col("s_suppkey") % 5, F.col("s_nationkey")
+    text, letter = n.cast("string"), F.char(n + 97)
+    pattern = F.when(k == 0, F.concat(F.lit("APP/Brand#"), text, F.lit("/*"))).when(k == 1, F.concat(F.lit("*"), letter, F.lit("?lt.p*"))).when(k == 2, F.concat(F.lit("*/SMALL/*"), letter, F.lit("*")))
+    pattern = pattern.when(k == 3, F.repeat(F.lit("?"), n + 25)).otherwise(F.concat(F.repeat(F.lit("?"), n + 30), F.lit("*")))
+    return _t(spark, sf, "supplier").select(F.col("s_suppkey").alias("rule_id"), pattern.alias("pattern"), F.concat(F.lit("n"), text).alias("label"))
+
+
+def _paths(spark, sf):
+    return _t(spark, sf, "part").select(F.concat(F.lit("app/"), "p_brand", F.lit("/"), "p_type", F.lit("/"), "p_name", F.lit(".php")).alias("value"))
+
+
+GLOB_HITS = f"p AS ({PATHS}), g AS ({GLOBS}), hits AS (SELECT value, rule_id, n FROM p JOIN g ON lower(value) LIKE replace(replace(lower(pattern), '*', '%'), '?', '_'))"
+
+
+@query(f"WITH {GLOB_HITS} SELECT value, rule_id FROM hits")
+def glob_rules(spark, sf):
+    """Suppliers as globs, of all kinds of anchors, against parts as paths."""
+    return K.match_globs(_paths(spark, sf), _globs(spark, sf))
+
+
+@query(f"WITH {GLOB_HITS}, best AS (SELECT value, arg_min(n, rule_id) AS n FROM hits GROUP BY value) SELECT value, coalesce('n' || n, 'none') AS label FROM p LEFT JOIN best USING (value)")
+def first_rule(spark, sf):
+    return K.first_rule(_paths(spark, sf), _globs(spark, sf), "none")
+
+
+@query(
+    r"""WITH g AS (SELECT DISTINCT CASE c_custkey % 3 WHEN 0 THEN 'App\Http\' || c_mktsegment || ':' || c_nationkey || ':x' WHEN 1 THEN c_mktsegment || ':' || c_nationkey ELSE 'Lib\' || c_mktsegment END AS name FROM customer),
+r AS (SELECT n_nationkey AS rule_id, lower(CASE n_nationkey % 4 WHEN 0 THEN 'building:' WHEN 1 THEN 'MACHINERY:' || n_nationkey WHEN 2 THEN 'Any\Furniture' ELSE 'app\http' END) AS p FROM nation),
+x AS (SELECT name, rule_id, lower(name) AS l, p, regexp_extract(split_part(lower(name), ':', 1), '[^\\]*$') AS b, regexp_extract(split_part(p, ':', 1), '[^\\]*$') AS pb FROM g, r)
+SELECT name, rule_id FROM x WHERE CASE WHEN p LIKE '%:' THEN starts_with(l, p) OR l = rtrim(p, ':') ELSE l = p OR starts_with(l, p || ':') OR starts_with(l, p || '\') OR (contains(p, '\') AND b <> '' AND b = pb) END"""
+)
+def guard_rules(spark, sf):
+    """Nations as patterns of guards, against customers' segments as guards."""
+    k, n = F.col("c_custkey") % 3, F.col("c_nationkey").cast("string")
+    name = F.when(k == 0, F.concat(F.lit("App\\Http\\"), "c_mktsegment", F.lit(":"), n, F.lit(":x"))).when(k == 1, F.concat("c_mktsegment", F.lit(":"), n)).otherwise(F.concat(F.lit("Lib\\"), "c_mktsegment"))
+    r, m = F.col("n_nationkey") % 4, F.col("n_nationkey").cast("string")
+    pattern = F.when(r == 0, "building:").when(r == 1, F.concat(F.lit("MACHINERY:"), m)).when(r == 2, "Any\\Furniture").otherwise("app\\http")
+    return K.match_guards(_t(spark, sf, "customer").select(name.alias("name")), _t(spark, sf, "nation").select(F.col("n_nationkey").alias("rule_id"), pattern.alias("pattern")))
+
+
+@query(
+    r"""WITH r AS (SELECT 'r' || item_id AS rule, '(?:^|[^A-Za-z0-9_])' || w || '[.,]?\s+[A-Za-z]+' AS p FROM (SELECT item_id, regexp_extract(text, '[A-Za-z]{3,}') AS w FROM benchmark) WHERE w <> ''),
+c AS (SELECT doc_id AS file, rule, string_split_regex(text, p) AS gaps, regexp_extract_all(text, p) AS hits FROM documents, r WHERE regexp_matches(text, p)),
+m AS (SELECT file, rule, unnest(range(1, len(hits) + 1)) AS k, unnest(gaps[1:len(hits)]) AS gap, unnest(hits) AS hit FROM c),
+n AS (SELECT *, length(gap) - length(replace(gap, chr(10), '')) AS before, length(hit) - length(replace(hit, chr(10), '')) AS own FROM m)
+SELECT file, rule, CAST(1 + sum(before + own) OVER (PARTITION BY file, rule ORDER BY k) - own AS BIGINT) AS line, CASE WHEN length(hit) > 60 THEN substr(hit, 1, 57) || '...' ELSE hit END AS snippet FROM n"""
+)
+def text_rules(spark, sf):
+    """A rule for each benchmark item, its first word and the one behind it, in all documents."""
+    word = F.regexp_extract("text", "[A-Za-z]{3,}", 0)
+    regex = F.concat(F.lit("(?:^|[^A-Za-z0-9_])"), word, F.lit(r"[.,]?\s+[A-Za-z]+"))
+    items = _t(spark, sf, "benchmark").where(word != "")
+    made = items.select(F.concat(F.lit("r"), F.col("item_id").cast("string")).alias("rule"), word.alias("anchor"), regex.alias("regex"), F.lit("low").alias("severity"))
+    found = K.scan_table(_t(spark, sf, "documents").select(F.col("doc_id").alias("file"), "text"), made)
+    return found.select("file", "rule", F.col("line").cast("long").alias("line"), "snippet")

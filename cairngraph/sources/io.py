@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions.exprs import lookup
 from ..lineage import settle
@@ -114,13 +115,27 @@ def merge_stats(uniform: DataFrame, other: DataFrame) -> DataFrame:
 
 
 def read_commit_log(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
-    """(commit_date, author, file, ord) of a text log: a line ``@@date␟author``, then the files; newest first."""
-    raw = spark.read.option("lineSep", "\n@@").text(path).select(F.monotonically_increasing_id().alias("_o"), F.split(F.regexp_replace("value", "^@@", ""), "\n").alias("l"))
+    """(commit_date, author, file, ord) of text logs: a line ``@@date␟author``, then the files, newest first.
+
+    ord rises from the newest commit on. Of several log files the one whose
+    newest commit is newer comes first, then that of the lesser path; inside a
+    log its lines tell the order. Commits are counted in two levels, inside the
+    blocks in which a log is read and over the blocks, of which there is one
+    for each split. Lines before a log's first header are left out; a date that
+    cannot be read is null, and such commits are not ``since`` any day.
+    """
+    place = (F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    raw = spark.read.option("lineSep", "\n@@").text(path).select(*place, F.monotonically_increasing_id().alias("_o"), F.split(F.regexp_replace("value", "^@@", ""), "\n").alias("l"), F.col("value").startswith("@@").alias("_marked"))
     head = F.split(F.get("l", 0), "␟")
-    commits = raw.select("_o", F.to_date(F.get(head, 0)).alias("commit_date"), F.get(head, 1).alias("author"), F.posexplode(F.slice("l", 2, F.size("l"))).alias("_p", "file"))
-    commits = commits.where(F.length(F.trim("file")) > 0)
-    commits = commits if since is None else commits.where(F.col("commit_date") >= F.to_date(F.lit(since)))
-    return commits.select("commit_date", "author", "file", F.col("_o").alias("ord"))
+    date = F.try_to_date(F.get(head, 0))
+    blocks = raw.groupBy("_file", "_block").agg(F.min("_o").alias("_low"), F.count("*").alias("_n"), F.max(date).alias("_day"))
+    newest = F.max("_day").over(W.partitionBy("_file")).alias("_newest")
+    in_order = W.orderBy(F.desc_nulls_last("_newest"), "_file", "_block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = blocks.select("*", newest).select("_file", "_block", "_low", F.coalesce(F.sum("_n").over(in_order), F.lit(0)).alias("_base"))
+    commits = raw.join(blocks, ["_file", "_block"]).where("_block > 0 or _o > _low or _marked")
+    found = commits.select(date.alias("commit_date"), F.get(head, 1).alias("author"), F.explode(F.slice("l", 2, F.size("l"))).alias("file"), (F.col("_base") + F.col("_o") - F.col("_low")).alias("ord"))
+    found = found.where(F.length(F.trim("file")) > 0)
+    return found if since is None else found.where(F.col("commit_date") >= F.to_date(F.lit(since)))
 
 
 def fingerprint(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
