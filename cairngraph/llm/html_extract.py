@@ -3,12 +3,14 @@
 Markup is stripped into lines, one for each block of the page, and each line
 gets its text length, less its link text, as weight. Weights are summed over
 sliding windows of lines; a surge is where the window sum rises above a
-threshold and a dive where it falls back to zero, and the lines between a
-surge and its dive are kept. The threshold is ``SURGE`` or less, as the page's
-own blocks are short. Tags only change weights: lines inside navigation, forms,
-adverts and the like weigh nothing and are never kept, and a line of a marked
-article weighs a whole surge more. Lines outside the articles are summed
-without them, so text beside a teaser is judged as on a page without one.
+threshold and a dive where it falls to zero, and the lines between the dives
+around a surge are kept. The threshold is ``SURGE`` or less, as the blocks of
+the page, or of its articles for their lines, are short. Lines inside navigation, forms, adverts and the
+like weigh nothing and are never kept. The lines of marked articles are summed
+apart, without the boilerplate between them, so an advert is no dive; there a
+dive needs windows of links alone before and behind it. Lines outside the
+articles are summed without them. A label marks boilerplate only as a whole:
+``comment-list`` does, ``share-price-story`` not.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,25 +37,34 @@ _VOID = set("area base br col embed hr img input link meta param source track wb
 _ASIDE = set("nav footer aside form button dialog menu".split())
 _OUTER = _ASIDE | {"header"}
 _MAIN = {"article", "main"}
-_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|advertisement|adverts|banner|breadcrumb|breadcrumbs|comment|comments|commentlist|cookie|cookies|consent|disqus|footer|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pagination|popup"
-    r"|promo|promoted|promotion|adsense|adsbygoogle|disclaimer|gdpr|related|replies|search|share|sharing|sidebar|signup|site-header|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])",
-    re.I,
+#: Words that name boilerplate, and words that may stand beside them in a label.
+_NAMES = set(
+    "ad ads adsbygoogle adsense advert advertisement adverts banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer disqus footer gdpr login masthead menu modal nav navbar navigation"
+    " newsletter notice notices pagination popup promo promoted promotion promotions related replies reply search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split()
 )
+_NEUTRAL = set("area article bar block blog bottom box button buttons card cell col column container content entry form foot footnav global group head header holder icons inner item items left link links list main media module outer page panel post primary region right row secondary section site slot sticky sub third top unit user wrap wrapper zone".split())
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _LABELS = {"class", "id", "role", "aria-label"}
+_TEXTUAL = {"h1", "h2", "h3", "h4", "h5", "h6", "p"}  # their ids are anchors made of their text
 _UNSHOWN = re.compile(r"display\s*:\s*none", re.I)
 
 
-def _told(attributes: str) -> tuple[str, bool]:
-    """What a tag's attributes call it, and whether they hide it."""
-    labels, hidden = [], False
+def _names_boilerplate(label: str) -> bool:
+    """Whether a label as a whole names boilerplate: one of its words does, and no other word says more."""
+    words = {w.lower() for w in _WORD.findall(label)}
+    return bool(words & _NAMES) and words <= _NAMES | _NEUTRAL
+
+
+def _told(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether a label of the tag names boilerplate, and whether its attributes hide it."""
+    named = hidden = False
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), values[0] or values[1] or values[2]
-        if name in _LABELS:
-            labels.append(value)
+        if name in _LABELS and not (name == "id" and tag in _TEXTUAL):
+            named = named or any(map(_names_boilerplate, [value] if name == "aria-label" else value.split()))
         hidden = hidden or name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and bool(_UNSHOWN.search(value)))
-    return " ".join(labels), hidden
+    return named, hidden
 
 
 def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
@@ -102,11 +114,11 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
             continue
         if m[4] and m[4].rstrip().endswith("/"):
             continue
-        labels, hidden = _told(m[4]) if m[4] else ("", False)
+        named, hidden = _told(name, m[4]) if m[4] else (False, False)
         in_main = any(not b for _, b in stack)
         if name == "article" and not in_main:
             stack, depth = [], []
-        aside = name in (_ASIDE if in_main else _OUTER) or bool(labels and name not in ("body", "html", "article", "main") and _NAMES.search(labels)) or hidden
+        aside = name in (_ASIDE if in_main else _OUTER) or (named and name not in ("body", "html", "article", "main")) or hidden
         if aside or name in _MAIN:
             if name in _INLINE:
                 close_line()
@@ -126,15 +138,24 @@ def _window_sums(weights: list[int], window: int) -> list[int]:
     return sums
 
 
-def _between(weights: list[int], window: int, limit: float) -> list[bool]:
-    """Whether each line is between a surge above limit and its dive."""
-    out, running = [], False
-    for weight, total in zip(weights, _window_sums(weights, window)):
-        if total == 0:
-            running = False
-        elif total > limit and weight > 0:
-            running = True
-        out.append(running)
+def _between(weights: list[int], window: int, limit: float, both: bool = False) -> list[bool]:
+    """Whether each line lies between two dives with a surge above limit among its neighbours.
+
+    A dive is where the window sum is zero, with ``both`` also the sum of the
+    window that ends there, else a line without weight before the first one is
+    left out. A text's first short lines, which come before the window that
+    surges, are within the same dives.
+    """
+    sums = _window_sums(weights, window)
+    live = [total > 0 for total in sums]
+    if both:
+        live = [a or total > 0 for a, total in zip(live, _window_sums(weights[::-1], window)[::-1])]
+    out: list[bool] = []
+    for alive, run in groupby(range(len(weights)), key=live.__getitem__):
+        at = list(run)
+        kept = alive and max(sums[n] for n in at) > limit
+        first = at[0] if both else next((n for n in at if weights[n]), 0)
+        out += [kept and n >= first for n in at]
     return out
 
 
@@ -147,10 +168,13 @@ def surge_of(weights: list[int], window: int, surge: int) -> float:
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The page's main text, one line per kept block; empty for null."""
     lines = lines_of(page or "")
-    limit = surge_of([w for _, w, _, _ in lines], window, surge)
-    inner = _between([len(text) + surge if inside and not aside else 0 for text, _, aside, inside in lines], window, limit)
-    outer = _between([0 if inside else w for _, w, _, inside in lines], window, limit)
-    return "\n".join(text for (text, _, aside, inside), i, o in zip(lines, inner, outer) if not aside and (i if inside else o))
+    kept: dict[int, bool] = {}
+    for inside in (True, False):
+        part = [n for n, line in enumerate(lines) if line[3] == inside and not (inside and line[2])]
+        weights = [lines[n][1] for n in part]
+        limit = surge_of(weights if inside else [line[1] for line in lines], window, surge)
+        kept |= zip(part, _between(weights, window, limit, both=inside))
+    return "\n".join(line[0] for n, line in enumerate(lines) if not line[2] and kept[n])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

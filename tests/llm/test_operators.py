@@ -6,6 +6,7 @@ import math
 import random
 import re
 from collections import Counter
+from html.parser import HTMLParser
 
 import pytest
 
@@ -616,3 +617,88 @@ def test_secrets_of_any_characters(spark, docs):
     assert rows[9101].spans == "random:0:24" and rows[9102].spans == "random:0:16"
     assert rows[9103].spans == "random:0:43,hex:5:37" and rows[9103].clean == "[SECRET]"
     assert "random" not in rows[9104].spans
+
+
+class PlainPage(HTMLParser):
+    """Lines of well-formed pages of div, p, nav, article and a, told from the open elements alone."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.open, self.lines, self.text, self.links = [], [], "", 0
+        self.feed(page)
+        self.end()
+
+    def end(self):
+        text = " ".join(self.text.split())
+        if text:
+            aside = any(t == "nav" or c == "comment-list" for t, c in self.open)
+            self.lines.append((text, 0 if aside else max(0, len(text) - self.links), aside, any(t == "article" for t, _ in self.open)))
+        self.text, self.links = "", 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag != "a":
+            self.end()
+        self.open.append((tag, dict(attrs).get("class", "")))
+
+    def handle_endtag(self, tag):
+        if tag != "a":
+            self.end()
+        self.open.pop()
+
+    def handle_data(self, data):
+        self.text += data
+        self.links += len(data) if any(t == "a" for t, _ in self.open) else 0
+
+
+def plain_main_text(page, window, surge):
+    """Every window and every pair of dives tried one by one."""
+    lines, kept = PlainPage(page).lines, set()
+    for inside in (True, False):
+        part = [n for n, x in enumerate(lines) if x[3] == inside and not (inside and x[2])]
+        w = [lines[n][1] for n in part]
+        ahead = [sum(w[k : k + window]) for k in range(len(w))]
+        whole = w if inside else [x[1] for x in lines]
+        solid = sorted(x for x in whole if x)
+        limit = min(surge, max(sum(whole[k : k + window]) for k in range(len(whole))) / 2, 2 * solid[(len(solid) - 1) // 2]) if solid else surge
+        dive = [not ahead[k] and not (inside and sum(w[max(0, k - window + 1) : k + 1])) for k in range(len(w))]
+        for k in range(len(w)):
+            around = [j for j in range(len(w)) if not any(dive[min(j, k) : max(j, k) + 1])]
+            if around and max(ahead[j] for j in around) > limit and (inside or any(w[j] for j in around if j <= k)):
+                kept.add(part[k])
+    return "\n".join(x[0] for n, x in enumerate(lines) if n in kept and not x[2])
+
+
+def test_html_equals_trying_all_windows():
+    rng, seen = random.Random(8), Counter()
+    for _ in range(400):
+        def block(deep=0):
+            words = "w" * rng.choice([1, 5, 30, 120])
+            kind = rng.randint(0, 9 if deep < 2 else 5)
+            if kind < 3:
+                return f"<p>{words}</p>"
+            if kind < 6:
+                return f"<div><a>{words}</a></div>"
+            return rng.choice(["<div>{}</div>", "<nav>{}</nav>", "<div class='comment-list'>{}</div>", "<div class='share-price-story'>{}</div>"]).format("".join(block(deep + 1) for _ in range(rng.randint(1, 4))))
+
+        body = lambda: "".join(block() for _ in range(rng.randint(0, 7)))
+        page = body() + (f"<article>{body()}</article>" + body() if rng.random() < 0.6 else "")
+        window, surge = rng.choice([1, 2, 3]), rng.choice([10, 86])
+        want = plain_main_text(page, window, surge)
+        assert html_extract.main_text(page, window, surge) == want
+        seen[want == "\n".join(x[0] for x in PlainPage(page).lines if x[3] and not x[2])] += 1
+    assert min(seen.values()) > 40
+
+
+def test_html_labels_count_as_a_whole():
+    long = "word " * 60
+    for tag in ("<div class='share-price-story'>", "<p class='related-work'>", "<h2 id='notice'>", "<div class='searching'>"):
+        assert html_extract.main_text(f"<article><p>{long}</p>{tag}Some text</{tag[1:].split()[0]}></article>").endswith("\nSome text")
+    for tag in ("<div class='x share-buttons'>", "<p class='notice'>", "<div id='comments'>", "<div class='commentList'>", "<section class='post-comments'>"):
+        assert html_extract.main_text(f"<article><p>{long}</p>{tag}Some text</{tag[1:].split()[0]}></article>") == long.strip()
+
+
+def test_html_links_alone_are_a_dive_in_an_article():
+    long, links = "word " * 60, "".join(f"<li><a>link {n}</a></li>" for n in range(8))
+    got = html_extract.main_text(f"<article><p>{long}</p><ul>{links}</ul><p>after</p></article>").split("\n")
+    assert got == [long.strip(), "link 0", "link 1"]
+    assert html_extract.main_text(f"<article><p>{long}</p><div class='ad'>Buy</div><nav>{links}</nav><p>after</p></article>").split("\n") == [long.strip(), "after"]
