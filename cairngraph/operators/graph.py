@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.exprs import lookup, max_severity, severity_rank
+from ..lineage import stored
 
 
 def valid_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -119,11 +120,53 @@ def actor_order(nodes: DataFrame, ranks: dict[str, int] = ACTOR_RANKS) -> DataFr
     return nodes.withColumn("type_rank", type_rank(F.col("type"), ranks)).orderBy("type_rank", "id")
 
 
+# Where the steps of a flow hold steps of their own. Flags count in the branches of their kind of step only.
+FLAG_BRANCHES = {"then": "if", "else": "if", "body": "loop"}
+CALL_BRANCHES = {"then": None, "else": None, "body": None}
+
+
 def any_flag(steps: DataFrame, flag: str) -> DataFrame:
     """(node_id, flag) over flattened steps(node_id, path, ...): whether any step of a node has the flag."""
     return steps.groupBy("node_id").agg(F.bool_or(F.coalesce(flag, F.lit(False))).alias(flag))
 
 
+def walk_steps(trees: DataFrame, branches: dict[str, str | None]) -> DataFrame:
+    """(node_id, path, step): every step of trees(node_id, steps), variants that hold arrays of steps, to any depth.
+
+    ``branches`` names the fields in which a step holds steps of its own, each
+    with the type of step in which it counts, or None for any. path tells the
+    place, as ``0.then.2``. Each level is one pass over the steps that have
+    some below them. A tree that is null or no array has no steps.
+    """
+    inner = lambda name: F.try_variant_get("step", f"$.{name}", "array<variant>")
+    counts = lambda kind: F.lit(True) if kind is None else F.try_variant_get("step", "$.type", "string") == kind
+    level = trees.select("node_id", F.posexplode(F.try_variant_get("steps", "$", "array<variant>")).alias("_n", "step"))
+    level = stored(level.select("node_id", F.col("_n").cast("string").alias("path"), "step"))
+    levels = [level]
+    while branches:
+        below = F.array_compact(F.array(*[F.when(counts(kind) & inner(name).isNotNull(), F.struct(F.lit(name).alias("name"), inner(name).alias("steps"))) for name, kind in branches.items()]))
+        each = level.select("node_id", "path", F.explode(below).alias("_b")).select("node_id", "path", "_b.name", F.posexplode("_b.steps").alias("_n", "step"))
+        level = stored(each.select("node_id", F.concat_ws(".", "path", "name", F.col("_n").cast("string")).alias("path"), "step"))
+        if level.isEmpty():
+            break
+        levels.append(level)
+    return reduce(DataFrame.union, levels)
+
+
+def any_flag_in_trees(trees: DataFrame, flag: str, branches: dict[str, str | None] = FLAG_BRANCHES) -> DataFrame:
+    """(node_id, flag): whether any step of trees(node_id, steps) has the flag, however deep; a node without steps has none."""
+    seen = walk_steps(trees, branches).select("node_id", F.coalesce(F.try_variant_get("step", f"$.{flag}", "boolean"), F.lit(False)).alias("_on"))
+    found = seen.groupBy("node_id").agg(F.bool_or("_on").alias("_on"))
+    return trees.select("node_id").distinct().join(found, "node_id", "left").select("node_id", F.coalesce("_on", F.lit(False)).alias(flag))
+
+
+def calls_in_trees(trees: DataFrame, field: str, branches: dict[str, str | None] = CALL_BRANCHES) -> DataFrame:
+    """(node_id, call): the distinct entries, as JSON, of a list field over all steps of trees(node_id, steps); the order of an entry's keys does not count."""
+    steps = walk_steps(trees, branches)
+    each = steps.select("node_id", F.explode(F.try_variant_get("step", f"$.{field}", "array<variant>")).alias("_call"))
+    return each.select("node_id", F.to_json("_call").alias("call")).distinct()
+
+
 def flatten_calls(steps: DataFrame, field: str) -> DataFrame:
     """(node_id, fields...): the distinct entries of an array of structs over all steps of a node."""
     return steps.select("node_id", F.explode(field).alias("_c")).select("node_id", "_c.*").distinct()

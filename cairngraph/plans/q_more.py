@@ -40,6 +40,32 @@ def nested_dedupe(spark, sf):
     return O.flatten_calls(steps, "calls")
 
 
+FLOWS = """WITH f AS (SELECT o_custkey AS node_id, o_orderkey % 4 AS kind, l_quantity >= 45 AS n1, l_returnflag AS verb, l_suppkey % 7 AS host FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"""
+
+
+def _flows(spark, sf):
+    """Customers as nodes, their orders as steps (if, loop, try and an if in a loop) and the line items as steps below them."""
+    li = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.struct(F.lit("call").alias("type"), (F.col("l_quantity") >= 45).alias("n1"), F.array(F.struct(F.col("l_returnflag").alias("verb"), (F.col("l_suppkey") % 7).alias("host"))).alias("http")).alias("s"))
+    leaf = li.groupBy("o_orderkey").agg(F.collect_list("s").alias("s"))
+    kind = F.col("o_orderkey") % 4
+    below = F.when(kind == 3, F.array(F.struct(F.lit("if").alias("type"), F.col("s").alias("else")))).alias("body")
+    step = F.struct(F.element_at(F.array(*map(F.lit, ("if", "loop", "try", "loop"))), (kind + 1).cast("int")).alias("type"), F.when(kind == 0, F.col("s")).alias("then"), F.when(kind.isin(1, 2), F.to_json("s")).otherwise(F.to_json(below)).alias("body"))
+    orders = _t(spark, sf, "orders").join(leaf, "o_orderkey").select(F.col("o_custkey").alias("node_id"), step.alias("step"))
+    text = lambda c: F.coalesce(c, F.lit("null"))
+    one = F.concat(F.lit('{"type":"'), F.col("step.type"), F.lit('","then":'), text(F.to_json("step.then")), F.lit(',"body":'), text(F.col("step.body")), F.lit("}"))
+    return orders.groupBy("node_id").agg(F.parse_json(F.concat(F.lit("["), F.array_join(F.collect_list(one), ","), F.lit("]"))).alias("steps"))
+
+
+@query(FLOWS + " SELECT node_id, bool_or(n1 AND kind <> 2) AS n1 FROM f GROUP BY 1")
+def flag_trees(spark, sf):
+    return O.any_flag_in_trees(_flows(spark, sf), "n1")
+
+
+@query(FLOWS + """ SELECT DISTINCT node_id, '{"host":' || host || ',"verb":"' || verb || '"}' AS call FROM f""")
+def call_trees(spark, sf):
+    return O.calls_in_trees(_flows(spark, sf), "http")
+
+
 @query("SELECT c_custkey AS tab_id, c_custkey % 5 AS severity FROM customer WHERE contains(lower(c_name), '1') AND c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_custkey % 5 > 0")
 def tab_list(spark, sf):
     risk = F.get(F.array(*[F.lit(x) for x in ("none", "low", "medium", "high", "critical")]), (F.col("c_custkey") % 5).cast("int"))

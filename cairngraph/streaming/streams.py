@@ -8,49 +8,90 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StreamingQueryListener
 from pyspark.sql.window import Window as W
 
 from ..lineage import settle
 from ..operators.aggs import order_stats
 from ..operators.diff import apply_partial, owned_equal
-from ..sources.io import exists
 
 
-def changes(rows: DataFrame, last: DataFrame | None = None) -> DataFrame:
+def changes(rows: DataFrame) -> DataFrame:
     """rows(path, hash, ts, ...) whose hash differs from the path's one before, with change: added or modified.
 
-    ``last`` has (path, hash) as known before; a path that it lacks is added
-    with its first row.
+    Rows of one path and ts follow one another by hash.
     """
-    before = F.lag("hash").over(W.partitionBy("path").orderBy("ts"))
-    if last is not None:
-        known = last.select("path", F.col("hash").alias("_last"))
-        rows = rows.join(known, "path", "left")
-        before = F.coalesce(before, F.col("_last"))
-    found = rows.withColumn("_before", before).where("_before is null or _before <> hash")
-    return found.withColumn("change", F.when(F.col("_before").isNull(), "added").otherwise("modified")).drop("_before", "_last")
+    found = rows.withColumn("_before", F.lag("hash").over(W.partitionBy("path").orderBy("ts", "hash"))).where("_before is null or _before <> hash")
+    return found.withColumn("change", F.when(F.col("_before").isNull(), "added").otherwise("modified")).drop("_before")
 
 
-def change_feed(stream: DataFrame, path: str, checkpoint: str):
-    """Start a query that writes the changes of a stream(path, hash, ts) to the table at path, a partition a micro-batch.
+class LastHash(StatefulProcessor):
+    """Keeps the last hash and time of each path, and tells the rows that change the hash.
 
-    What a path had before is its latest change of an earlier micro-batch, so
-    the table is its own state and a repeated micro-batch gives the same rows.
-    A file source cannot show deletions; snapshot_diff on snapshots does.
+    A path's rows of one micro-batch are taken by time and then hash. A row
+    older than the path's last one is passed over. With a time to live in
+    seconds a path that is not seen for so long is forgotten, and added anew.
     """
 
-    def put(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows, last = settle(batch.select("path", "hash", "ts")), None
-        if exists(spark, path):
-            stored = spark.read.parquet(path).where(F.col("batch") < number).join(rows.select("path").distinct(), "path", "left_semi")
-            last = stored.groupBy("path").agg(F.max_by("hash", F.struct("batch", "ts")).alias("hash"))
-        found = settle(changes(rows, last).withColumn("batch", F.lit(number)))
-        found.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+    def __init__(self, ttl: int | None = None):
+        self.ttl = ttl
 
-    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def init(self, handle) -> None:
+        self.last = handle.getValueState("last", "hash string, micros long", *([self.ttl * 1000] if self.ttl else []))
+
+    def handleInputRows(self, key, rows, timers):
+        before, since = self.last.get() if self.last.exists() else (None, None)
+        for at, now in sorted((r.micros, r.hash) for r in rows):
+            if since is not None and at < since:
+                continue
+            if since is None or now != before:
+                yield Row(path=key[0], hash=now, micros=at, change="added" if since is None else "modified")
+            before, since = now, at
+        if since is not None:
+            self.last.update((before, since))
+
+    def close(self) -> None:
+        pass
+
+
+CHANGE = "path string, hash string, micros long, change string"
+
+
+def tracked(rows: DataFrame, ttl: int | None = None) -> DataFrame:
+    """(path, hash, ts, change): the changes of a stream or batch of rows(path, hash, ts), without nulls, by keyed state.
+
+    A stream keeps one short row for each path in its state store, so a
+    micro-batch costs what it holds and not what came before.
+    """
+    _ = rows.sparkSession.streams  # a batch's state is coordinated by them too
+    known = rows.select("path", "hash", F.unix_micros("ts").alias("micros")).dropna()
+    found = known.groupBy("path").transformWithState(LastHash(ttl), CHANGE, "Update", "ProcessingTime" if ttl else "None")
+    return found.select("path", "hash", F.timestamp_micros("micros").alias("ts"), "change")
+
+
+def change_feed(stream: DataFrame, path: str, checkpoint: str, ttl: int | None = None):
+    """Start a query that appends the changes of a stream(path, hash, ts) to the Parquet table at path.
+
+    Its state lies in a RocksDB store under the checkpoint, from where a
+    restarted query goes on. A file source cannot show deletions;
+    snapshot_diff on snapshots does. A path's rows of one micro-batch are
+    sorted in memory; the source's limit of files a trigger bounds them.
+    """
+    conf, name = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name)
+    conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        out = tracked(stream, ttl).writeStream.outputMode("append").format("parquet").option("path", path)
+        return out.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        conf.set(name, before)
+
+
+def feed_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(path, hash, ts): the last of each path that a change feed knows, read from its state store."""
+    return spark.read.format("statestore").option("stateVarName", "last").load(checkpoint).select("key.path", "value.hash", F.timestamp_micros("value.micros").alias("ts"))
 
 
 def churn_windows(stream: DataFrame, size: str, slide: str, delay: str) -> DataFrame:
@@ -138,21 +179,54 @@ def incremental_merge(stream: DataFrame, nodes_path: str, checkpoint: str, edges
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+class LateRows(StreamingQueryListener):
+    """Counts, for each micro-batch of the queries of a session, the rows dropped as later than the watermark.
+
+    It is added to the session's streams and keeps every micro-batch with a
+    late row, where a query's own progress forgets all but the last hundred.
+    """
+
+    def __init__(self):
+        self.counts: dict[tuple[str, int], int] = {}
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        late = sum(op.numRowsDroppedByWatermark for op in p.stateOperators)
+        if late:
+            self.counts[str(p.id), p.batchId] = late
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def of(self, query) -> int:
+        """Late rows of one query, over all its runs since the listener was added."""
+        return sum(n for (at, _), n in list(self.counts.items()) if at == str(query.id))
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame([(q, b, n) for (q, b), n in sorted(self.counts.items())], "query string, batch long, late long")
+
+
 def late_rows(query) -> int:
-    """Rows that a streaming query has dropped as later than its watermark, by its recent progress."""
+    """Rows that a streaming query has dropped as later than its watermark, by its recent progress; LateRows counts all."""
     return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
 
 
-def backfill(rows: DataFrame, path: str, days: Sequence[str], job: Callable[[DataFrame], DataFrame], lead: str = "0 days") -> None:
-    """Compute the given days of the table at path, partitioned by day, anew from all rows(ts, ...), late ones included.
+def backfill(rows: DataFrame, path: str, days: DataFrame | Sequence[str], job: Callable[[DataFrame], DataFrame], lead: int = 0) -> None:
+    """Compute the days(day) of the table at path, partitioned by day, anew from all rows(ts, ...), late ones included.
 
     ``job`` is the batch form of the windows and gives (start, ...); rows from
-    ``lead`` before a day are read too, as its windows may begin there.
+    ``lead`` days before and behind a day are read too, as its windows may
+    begin or end there. Rows and windows are chosen by joins on their day.
     """
-    wanted = [F.to_date(F.lit(d)) for d in days]
-    near = F.lit(False)
-    for d in wanted:
-        near = near | ((F.col("ts") >= d - F.expr(f"interval {lead}")) & (F.col("ts") < F.date_add(d, 1) + F.expr(f"interval {lead}")))
-    made = job(rows.where(near)).withColumn("day", F.to_date("start"))
-    kept = made.where(F.col("day").isin(*[F.lit(d).cast("date") for d in days]))
-    settle(kept).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+    if not isinstance(days, DataFrame):
+        days = rows.sparkSession.createDataFrame([(d,) for d in days], "day string")
+    wanted = days.select(F.col("day").cast("date").alias("day")).distinct()
+    near = wanted.select(F.explode(F.sequence(F.date_sub("day", lead), F.date_add("day", lead + (lead > 0)))).alias("_day")).distinct()
+    made = job(rows.withColumn("_day", F.to_date("ts")).join(near, "_day", "left_semi").drop("_day")).withColumn("day", F.to_date("start"))
+    settle(made.join(wanted, "day", "left_semi")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
