@@ -16,6 +16,7 @@ from pyspark.sql.window import Window as W
 from ..lineage import settle
 from ..operators.aggs import order_stats
 from ..operators.diff import apply_partial, owned_equal
+from ..sources import versions
 
 
 def changes(rows: DataFrame) -> DataFrame:
@@ -179,6 +180,53 @@ def incremental_merge(stream: DataFrame, nodes_path: str, checkpoint: str, edges
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def merge_version(spark: SparkSession, root: str, partial_nodes: DataFrame, partial_edges: DataFrame, files: DataFrame, rebuild: Callable[[], tuple[DataFrame, DataFrame]], told: str | None = None) -> str:
+    """Fold the nodes(id, label, ord, file) and edges(source, target, type, file) of the changed files(file) into the store at root, as its next version; scoped or full.
+
+    A full run is needed where the files own other edges than before, where a
+    file loses all its nodes, and where a node moves from a file that is not
+    listed; ``rebuild`` gives its nodes and edges. Readers see the version
+    before or the next one. Of rows of one file and id the first in the order
+    of their columns stays.
+    """
+    after = versions.versions(spark, root)[-1]
+    old_nodes, old_edges = (versions.read(spark, root, name, after) for name in ("nodes", "edges"))
+    first = F.row_number().over(W.partitionBy("file", "id").orderBy("label", "ord"))
+    fresh = partial_nodes.withColumn("_n", first).where("_n = 1").drop("_n")
+    inside = old_nodes.join(files, "file", "left_semi")
+    moved = old_nodes.join(files, "file", "left_anti").join(fresh.select("id"), "id", "left_semi")
+    keys = ["source", "target", "type"]
+    nodes = settle(apply_partial(inside, old_edges.select(*keys), fresh, files)[0])
+    emptied = inside.select("file").distinct().join(nodes.select("file"), "file", "left_anti")
+    if moved.isEmpty() and emptied.isEmpty() and owned_equal(old_nodes, old_edges.select(*keys), fresh, partial_edges.select(*keys), files).first()["equal"]:
+        versions.publish(spark, root, {"nodes": nodes.select(*old_nodes.columns), "edges": partial_edges.join(files, "file", "left_semi").select(*old_edges.columns)}, {"nodes": files, "edges": files}, told=told, after=after)
+        return "scoped"
+    whole_nodes, whole_edges = rebuild()
+    versions.publish(spark, root, {"nodes": whole_nodes.select(*old_nodes.columns), "edges": whole_edges.select(*old_edges.columns)}, told=told, after=after)
+    return "full"
+
+
+def versioned_merge(stream: DataFrame, root: str, checkpoint: str, edges_of: Callable[[DataFrame], DataFrame], rebuild: Callable[[], tuple[DataFrame, DataFrame]]):
+    """Start a query that merges, batch by batch, the files of a stream(id, label, ord, file) into the store at root.
+
+    ``edges_of(files)`` gives the new edges of files. Each version notes the
+    query's checkpoint and its micro-batch, so a repeated one is not merged
+    again.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        noted = versions.note(spark, root) or ""
+        at, _, done = noted.rpartition("#")
+        if at == checkpoint and int(done) >= number:
+            return
+        rows = settle(batch)
+        files = rows.select("file").distinct()
+        merge_version(spark, root, rows, edges_of(files), files, rebuild, f"{checkpoint}#{number}")
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 class LateRows(StreamingQueryListener):
     """Counts, for each micro-batch of the queries of a session, the rows dropped as later than the watermark.
 
