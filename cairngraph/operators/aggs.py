@@ -37,7 +37,7 @@ def by_kind(items: DataFrame) -> DataFrame:
     return items.groupBy("blind", "kind").agg(F.count("*").alias("n")).orderBy("blind", F.desc("n"), "kind")
 
 
-#: Node types that carry a complexity worth listing.
+# Types that have a complexity.
 COMPLEX_TYPES = ("action", "action_class", "service", "validation_request", "controller", "job", "command")
 
 
@@ -84,7 +84,7 @@ def numbered(df: DataFrame, order: Sequence[str | Column], name: str, first: int
     return cut.join(sizes, "_part").withColumn(name, F.col("_base") + F.col("_at") - F.col("_low") + first).drop("_part", "_at", "_low", "_base")
 
 
-BINS = 1024
+BINS = 64
 
 
 def _upto(by: Sequence[str], order: Sequence[str], size: str):
@@ -96,16 +96,19 @@ def order_stats(samples: DataFrame, by: Sequence[str], value: str, places: dict[
     """(by..., n, low, high, places...): the values at given 0-based places, expressions of ``n``, of each group in order.
 
     Equal values are counted first. Places are found among the counts in two
-    levels, over ``BINS`` equal ranges of the group's values and then inside
-    the ranges that hold a place, so no task orders a whole group. Null values
-    are left out.
+    levels, over ``BINS`` ranges of the group's values and then inside the
+    ranges that hold a place. The ranges are cut at approximate quantiles of
+    the distinct values, so each has about as many whatever their spread, and
+    no task orders a whole group; the places are exact. Null values are left
+    out.
     """
     by = list(by)
     counts = samples.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    ends = counts.groupBy(*by).agg(F.sum("_c").alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high"))
-    share = F.coalesce((F.col("_v") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0)), F.lit(0.0))
+    cuts = F.percentile_approx("_v", [n / BINS for n in range(1, BINS)], 20 * BINS).alias("_cuts")
+    ends = counts.groupBy(*by).agg(F.sum("_c").alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high"), cuts)
+    below = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
     same = [F.col(f"c.{c}").eqNullSafe(F.col(f"e.{c}")) for c in by]
-    placed = counts.alias("c").join(ends.alias("e"), reduce(lambda a, b: a & b, same)).select("c.*", "e.n", "e.low", "e.high", F.least(F.floor(share * BINS), F.lit(BINS - 1)).alias("_bin"))
+    placed = counts.alias("c").join(ends.alias("e"), reduce(lambda a, b: a & b, same)).select("c.*", "e.n", "e.low", "e.high", below.alias("_bin"))
     bins = placed.groupBy(*by, "_bin").agg(F.sum("_c").alias("_held")).withColumn("_base", _upto(by, ["_bin"], "_held") - F.col("_held"))
     same = [F.col(f"p.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*by, "_bin"]]
     inside = placed.alias("p").join(bins.alias("b"), reduce(lambda a, b: a & b, same)).select("p.*", "b._base", "b._held")
@@ -260,18 +263,20 @@ def path_tree(paths: DataFrame) -> DataFrame:
     return marked.groupBy("prefix").agg(F.count_if(own).alias("direct"), F.count("*").alias("total"))
 
 
-def running(df: DataFrame, group: str, order: str, size: str, name: str, width: int = 1 << 16) -> DataFrame:
-    """df with ``name``: the sum of size up to and with each row of its group, by order.
+def running(df: DataFrame, group: str, order: str, size: str, name: str, width: int | None = None) -> DataFrame:
+    """df, stored, with ``name``: the sum of size up to and with each row of its group, by order.
 
-    The sum is taken in two levels, over blocks of ``width`` values of the
-    integer order and inside each block, so that no task orders a whole group.
-    Rows of equal order must not differ in size for the sum to be defined.
+    The sum is taken in two levels, over ranges of group and order that hold
+    about as many rows each, as Spark samples them, and inside each range; so
+    no task orders a whole group, however its order is spread. With ``width``
+    there are as many ranges as hold so many rows. Rows of equal
+    order must not differ in size for the sum to be defined.
     """
-    block = F.floor(F.col(order) / width).alias("_block")
-    cut = df.select("*", block)
+    ranges = [max(1, df.count() // width)] if width else []
+    cut = stored(df.repartitionByRange(*ranges, F.col(group).asc_nulls_first(), F.col(order).asc_nulls_first()).withColumn("_block", F.spark_partition_id()))
     sums = cut.groupBy(group, "_block").agg(F.sum(size).alias("_held"))
     sums = sums.withColumn("_base", _upto([group], ["_block"], "_held") - F.col("_held")).select(F.col(group).alias("_group"), F.col("_block").alias("_at"), "_base")
-    met = cut.join(sums, F.col(group).eqNullSafe(F.col("_group")) & F.col("_block").eqNullSafe(F.col("_at")))
+    met = cut.join(sums, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_block") == F.col("_at")))
     return met.withColumn(name, F.col("_base") + _upto([group, "_block"], [order], size)).drop("_block", "_group", "_at", "_base")
 
 

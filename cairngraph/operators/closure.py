@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.exprs import is_async, slug
+from ..functions.exprs import is_async, node_id, short_name, slug
 from ..lineage import settle, stored
 from .aggs import collapse_messages, numbered, unique_slugs
 from .graph import ACTOR_RANKS, type_rank
@@ -32,7 +32,7 @@ def closure(edges: DataFrame, seeds: DataFrame, keys: Sequence[str] = (), max_de
     """
     a, b = ("target", "source") if reverse else ("source", "target")
     step = edges.select(F.col(a).alias("id"), F.col(b).alias("to"))
-    step = step.distinct() if max_depth is not None else settle(step.distinct())
+    step = step if max_depth is not None else settle(step.distinct())
     by = [*keys, "id"]
     frontier = settle(seeds.select(*by).distinct().withColumn("depth", F.lit(0)))
     levels, depth = [frontier], 0
@@ -50,25 +50,27 @@ def closure(edges: DataFrame, seeds: DataFrame, keys: Sequence[str] = (), max_de
     return reduce(DataFrame.union, levels)
 
 
-def breadth_first(edges: DataFrame, start: DataFrame, order: Sequence[str] = ("ord", "target", "type", "label")) -> DataFrame:
-    """(id, place): the ids that edges lead to from start(id), numbered as a breadth-first walk meets them.
+def breadth_first(edges: DataFrame, start: DataFrame, order: Sequence[str] = ("ord", "target", "type", "label"), max_depth: int | None = None) -> DataFrame:
+    """(id, place, depth): the ids that edges lead to from start(id), numbered as a breadth-first walk meets them.
 
     The walk takes the edges of one id after the other, by ``order``. Each level
     is ranked by the place of the first parent and then by its edge, so a level
     is one join and one sort, however many ids it has.
     """
     step = stored(edges.select("source", F.col("target").alias("_to"), F.struct(*order).alias("_edge")))
-    level = stored(numbered(start.select("id").distinct(), ["id"], "place"))
-    levels, n = [level], level.count()
-    while True:
+    level = stored(numbered(start.select("id").distinct(), ["id"], "place").select("id", "place", F.lit(0).alias("depth")))
+    levels, n, depth = [level], level.count(), 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
         met = level.join(step, level.id == step.source).groupBy(F.col("_to").alias("id")).agg(F.min(F.struct("place", "_edge")).alias("_by"))
         fresh = met.join(reduce(DataFrame.union, levels).select("id"), "id", "left_anti")
-        level = stored(numbered(fresh, ["_by"], "place", n).select("id", "place"))
+        level = stored(numbered(fresh, ["_by"], "place", n).select("id", "place", F.lit(depth).alias("depth")))
         more = level.count()
         if not more:
-            return reduce(DataFrame.union, levels)
+            break
         n += more
         levels = [stored(reduce(DataFrame.union, [*levels, level]))] if len(levels) >= COMPACT else [*levels, level]
+    return reduce(DataFrame.union, levels)
 
 
 def tab_closure(edges: DataFrame, seeds: DataFrame, skip_types: Sequence[str] = ()) -> DataFrame:
@@ -132,12 +134,23 @@ def impact(nodes: DataFrame, edges: DataFrame, changed: DataFrame, types: Sequen
     return closure(edges, changed, reverse=True).join(nodes.where(F.col("type").isin(*types)), "id")
 
 
-def neighbourhood(nodes: DataFrame, edges: DataFrame, focal: DataFrame, depth: int = 3) -> DataFrame:
-    """Existing nodes within ``depth`` steps of the focal(id) nodes, with the least depth."""
-    return closure(edges, focal, max_depth=depth).join(nodes, "id")
+# The order of the types of a node's neighbours; all others come last.
+NEIGHBOURS = {t: n for n, t in enumerate("route controller action validation_request action_class service model event job command channel schedule middleware view mail notification enum interface trait abstract_class ai_agent ai_tool filament_panel filament_resource filament_page filament_widget filament_relation_manager".split())}
+
+
+def neighbourhood(nodes: DataFrame, edges: DataFrame, focal: DataFrame, depth: int = 3, ranks: dict[str, int] = NEIGHBOURS) -> DataFrame:
+    """Existing nodes within ``depth`` steps of the focal(id) nodes, with ``place`` and the least ``depth``.
+
+    The walk takes a node's neighbours by the rank of their type, and by ord
+    and target where the ranks are equal.
+    """
+    rank = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in ranks.items() for x in kv]), "_type"), F.lit(99))
+    types = nodes.select(F.col("id").alias("target"), F.col("type").alias("_type")).dropDuplicates(["target"])
+    ranked = edges.select("source", "target", "ord").join(types, "target", "left").withColumn("rank", rank)
+    return breadth_first(ranked, focal, ("rank", "ord", "target"), depth).join(nodes, "id")
 
 
-#: Types through which the operations of an entry are followed.
+# Types through which the operations of an entry are followed.
 THROUGH = ("service", "repository", "mail", "notification", "abstract_class")
 
 
@@ -193,8 +206,17 @@ def inherits_from(parents: DataFrame, bases: DataFrame) -> DataFrame:
     return edges.select(F.col("source").alias("id")).distinct().join(below, "id", "left").select("id", F.coalesce("hit", F.lit(False)).alias("inherits"))
 
 
-def resolve_member(parents: DataFrame, methods: DataFrame, requests: DataFrame, hops: int = 5) -> DataFrame:
-    """(id, method, declared_in, depth): nearest class up to ``hops`` above that declares the requested method."""
+# Namespaces of the framework, above which no member is looked for.
+FRAMEWORK = ("Illuminate\\", "Laravel\\")
+
+
+def resolve_member(parents: DataFrame, methods: DataFrame, requests: DataFrame, hops: int = 5, stop: Sequence[str] = FRAMEWORK) -> DataFrame:
+    """(id, method, declared_in, depth): nearest class up to ``hops`` above that declares the requested method.
+
+    Parents whose names start with one of ``stop`` are not entered.
+    """
+    for prefix in stop:
+        parents = parents.where(~F.col("parent").startswith(prefix))
     edges = parents.select(F.col("child").alias("source"), F.col("parent").alias("target"))
     keyed = requests.select(F.col("id").alias("asked"), "method", "id").distinct()
     chain = closure(edges, keyed, ["asked", "method"], max_depth=hops)
@@ -203,6 +225,19 @@ def resolve_member(parents: DataFrame, methods: DataFrame, requests: DataFrame,
     return near.select(F.col("asked").alias("id"), "method", F.col("n.id").alias("declared_in"), F.col("n.depth").alias("depth"))
 
 
+def inherited_methods(nodes: DataFrame, resolved: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges (source, target, label, type) from methods to those they inherit, and the nodes (id, fqcn, method, label) that those lack in nodes(id).
+
+    ``resolved`` is what resolve_member gives; a method declared in the asked
+    class itself inherits nothing. Each edge comes once.
+    """
+    up = resolved.where("depth > 0").select(node_id(F.col("id"), F.col("method")).alias("source"), node_id(F.col("declared_in"), F.col("method")).alias("target"), "declared_in", "method").distinct()
+    short = short_name(F.col("declared_in"))
+    found = up.select("source", "target", F.concat(F.lit("→ "), short, F.lit("::"), "method").alias("label"), F.lit("inherits-method").alias("type")).distinct()
+    new = up.select(F.col("target").alias("id"), F.col("declared_in").alias("fqcn"), "method", F.concat(short, F.lit("@"), "method").alias("label")).distinct()
+    return found, new.join(nodes.select("id"), "id", "left_anti")
+
+
 def collapse(nodes: DataFrame, edges: DataFrame, collapsed: DataFrame, types: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(id) hidden by any of collapsed(id), and (id, hidden): how many each of them hides, itself not counted.
 

@@ -222,6 +222,6 @@ def scope_decision(diff: DataFrame, roots: Sequence[str], by: Sequence[str] = ()
     Without ``by`` there is one row, and none without a change; by projects,
     those without a change are not in diff and have no row.
     """
-    outside = ~F.coalesce(F.greatest(*[F.col("path").startswith(r).cast("int") for r in roots], F.lit(0)), F.lit(0)).cast("boolean")
+    outside = ~F.coalesce(F.greatest(*[(F.col("path").startswith(r.rstrip("/") + "/") | (F.col("path") == r.rstrip("/"))).cast("int") for r in roots], F.lit(0)), F.lit(0)).cast("boolean")
     facts = diff.groupBy(*by).agg(F.count("path").alias("n"), F.count_if((F.col("change") != "modified") | outside).alias("hard"))
     return facts.select(*by, F.when(F.col("n") == 0, "none").when(F.col("hard") > 0, "full").otherwise("list").alias("decision"), F.col("n").alias("files"))

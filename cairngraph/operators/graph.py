@@ -82,6 +82,23 @@ def usages(nodes: DataFrame, edges: DataFrame, ids: DataFrame | None = None) ->
     return met.groupBy("id", "file").agg(F.count("*").alias("callers")).orderBy("id", F.desc("callers"), F.col("file").startswith("#"), "file")
 
 
+def usage_list(nodes: DataFrame, edges: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """(id, file, callers, source, label, type, edge_labels, edge_types): each direct caller of each node, in its file.
+
+    file and callers are those of usages, by which the rows can be ordered. The
+    distinct labels and types of a caller's edges are joined by ``, `` in the
+    order of the edges (ord); empty ones are left out. A caller that is no node
+    is labelled by its id, of unknown type.
+    """
+    calls = edges.where("source <> target and source <> ''").join((nodes if ids is None else ids).select(F.col("id").alias("target")).distinct(), "target", "left_semi")
+    joined = lambda c: F.array_join(F.array_distinct(F.filter(F.transform("_e", lambda e: e[c]), lambda x: x != "")), ", ")
+    each = calls.groupBy(F.col("target").alias("id"), "source").agg(F.array_sort(F.collect_list(F.struct("ord", F.coalesce("label", F.lit("")).alias("label"), F.coalesce("type", F.lit("")).alias("type")))).alias("_e"))
+    known = nodes.select(F.col("id").alias("source"), F.nullif("file", F.lit("")).alias("file"), F.col("label").alias("_label"), F.col("type").alias("_type")).dropDuplicates(["source"])
+    met = each.join(known, "source", "left").select("id", F.coalesce("file", F.concat(F.lit("#"), "source")).alias("file"), "source", F.coalesce("_label", "source").alias("label"), F.coalesce("_type", F.lit("unknown")).alias("type"), joined("label").alias("edge_labels"), joined("type").alias("edge_types"))
+    counts = met.groupBy("id", "file").agg(F.count("*").alias("callers"))
+    return met.join(counts, ["id", "file"]).select("id", "file", "callers", "source", "label", "type", "edge_labels", "edge_types")
+
+
 def focal(nodes: DataFrame, id: str | None = None, label: str | None = None) -> DataFrame:
     """The node of that id, else the first by ord whose label or uri equals the label in any case."""
     rank = F.when(F.col("id") == F.lit(id), 0)
@@ -106,6 +123,7 @@ def tab_rollup(tab_nodes: DataFrame, seeds: DataFrame, nodes: DataFrame) -> Data
 
 
 #: Actors of a sequence from left to right.
+# The order of the types of actors.
 ACTOR_RANKS = {t: n for n, t in enumerate("route middleware controller action validation_request action_class service model event job command channel schedule view mail notification enum interface trait abstract_class service_provider ai_agent ai_tool".split())}
 
 

@@ -63,19 +63,24 @@ def page_refs(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), F.lit(1))).alias("href")).distinct()
 
 
+# Component tags that are no templates.
+NO_TEMPLATES = ("slot", "dynamic-component")
+
+
 def template_refs(sources: DataFrame, names: DataFrame) -> DataFrame:
     """(parent, child): templates that sources(name, text) include, if they exist in names(name).
 
     Includes, conditional includes, first-of lists and component tags are read;
     names with ``::`` or ``$`` are left out. A component stands for
-    ``components.x`` and, if that does not exist, ``components.x.index``.
+    ``components.x`` and, if that does not exist, ``components.x.index``; tags
+    with ``::`` and those that name no template are left out.
     """
-    quoted = r"['\"]([A-Za-z0-9_./:$-]+)['\"]"
-    direct = F.regexp_extract_all("text", F.lit(rf"@(?:include|extends|each|component|includeIf)\(\s*{quoted}"), F.lit(1))
-    cond = F.regexp_extract_all("text", F.lit(rf"@include(?:When|Unless)\([^,]+,\s*{quoted}"), F.lit(1))
-    lists = F.flatten(F.transform(F.regexp_extract_all("text", F.lit(r"@includeFirst\(\s*\[([^\]]*)\]"), F.lit(1)), lambda x: F.regexp_extract_all(x, F.lit(quoted), F.lit(1))))
+    quoted = r"['\"]([^'\"]+)['\"]"
+    every = lambda pattern: F.regexp_extract_all("text", F.lit(pattern), F.lit(1))
+    direct, cond = every(rf"@(?:include|extends|each|component|includeIf)\s*\(\s*{quoted}"), every(rf"@include(?:When|Unless)\s*\(\s*[^,]+,\s*{quoted}")
+    lists = F.flatten(F.transform(every(r"@includeFirst\s*\(\s*\[([^\]]*)\]"), lambda x: F.regexp_extract_all(x, F.lit(quoted), F.lit(1))))
     named = sources.select(F.col("name").alias("parent"), F.explode(F.concat(direct, cond, lists)).alias("child"), F.lit(0).alias("level"))
-    tags = sources.select(F.col("name").alias("parent"), F.explode(F.regexp_extract_all("text", F.lit(r"<x-([a-z0-9.-]+)"), F.lit(1))).alias("tag"))
+    tags = sources.select(F.col("name").alias("parent"), F.explode(every(r"<\s*x-([A-Za-z0-9._:-]+)")).alias("tag")).where(~F.col("tag").isin(*NO_TEMPLATES) & ~F.col("tag").contains("::"))
     plain = tags.select("parent", F.concat(F.lit("components."), "tag").alias("child"), F.lit(1).alias("level"), F.col("tag"))
     index = tags.select("parent", F.concat(F.lit("components."), "tag", F.lit(".index")), F.lit(2), "tag")
     comp = plain.union(index).join(names.select(F.col("name").alias("child")).distinct(), "child", "left_semi")

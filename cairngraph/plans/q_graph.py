@@ -90,10 +90,17 @@ def impact(spark, sf):
     return C.impact(n, edges(spark, sf), n.where("type = 'part' and id like '%00'"), ["customer", "supplier"]).select("id")
 
 
-@query(_deep("id = 'nation::7'", limit="WHERE r.depth < 3") + " SELECT id, type, CAST(depth AS INTEGER) AS depth FROM best JOIN nodes USING (id)")
+@query(
+    G
+    + """, r AS (SELECT e.*, CASE n.type WHEN 'supplier' THEN 0 WHEN 'order' THEN 1 ELSE 99 END AS rank FROM edges e LEFT JOIN nodes n ON n.id = e.target),
+w(id, depth, keys) AS (SELECT 'nation::7', 0, CAST([] AS STRUCT(rank INTEGER, ord BIGINT, target VARCHAR)[]) UNION ALL SELECT r.target, w.depth + 1, list_append(w.keys, {'rank': r.rank, 'ord': r.ord, 'target': r.target}) FROM w JOIN r ON r.source = w.id WHERE w.depth < 3),
+b AS (SELECT id, depth, keys, row_number() OVER (PARTITION BY id ORDER BY depth, keys) AS k FROM w)
+SELECT id, type, depth, row_number() OVER (ORDER BY depth, keys) - 1 AS place FROM b JOIN nodes USING (id) WHERE k = 1"""
+)
 def neighbourhood(spark, sf):
+    """Within three steps of a nation; suppliers and orders come before other types."""
     n = nodes(spark, sf)
-    return C.neighbourhood(n, edges(spark, sf), n.where("id = 'nation::7'"), 3).select("id", "type", "depth")
+    return C.neighbourhood(n, edges(spark, sf), n.where("id = 'nation::7'"), 3, {"supplier": 0, "order": 1}).select("id", "type", "depth", "place")
 
 
 @query(
@@ -147,13 +154,13 @@ def collapsed_counts(spark, sf):
 
 
 @query(
-    """WITH RECURSIVE t AS (SELECT event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts) AS b, user_id FROM events),
+    """WITH RECURSIVE t AS (SELECT event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_type) AS b, user_id FROM events),
 e AS (SELECT DISTINCT a, b FROM t WHERE b IS NOT NULL), r(s, id) AS (SELECT a, b FROM e UNION SELECT r.s, e.b FROM r JOIN e ON e.a = r.id)
 SELECT s AS event, id AS reached, EXISTS (SELECT 1 FROM r x WHERE x.s = r.s AND x.id = r.s) AS cyclic FROM r"""
 )
 def event_cascade(spark, sf):
     ev = spark.read.parquet(f"{sf}/events.parquet")
-    nxt = F.lead("event_type").over(W.partitionBy("user_id").orderBy("ts"))
+    nxt = F.lead("event_type").over(W.partitionBy("user_id").orderBy("ts", "event_type"))
     t = ev.select("event_type", nxt.alias("b"), "user_id").where("b is not null").select("event_type", "b").distinct()
     listeners = t.select(F.col("event_type").alias("event"), F.concat_ws(">", "event_type", "b").alias("listener"))
     fired = t.select(F.concat_ws(">", "event_type", "b").alias("listener"), F.col("b").alias("event"))
@@ -302,6 +309,21 @@ def usages_all(spark, sf):
     return O.usages(wide_nodes(spark, sf).withColumn("file", file), wide_edges(spark, sf))
 
 
+@query(
+    WIDE
+    + """, f AS (SELECT id, label, type, CASE WHEN type = 'order' THEN 'f' || ord % 10 END AS file FROM wnodes),
+x AS (SELECT *, CASE WHEN ord % 3 > 0 THEN 'k' || ord % 3 ELSE '' END AS label FROM wedges),
+c AS (SELECT target AS id, source, string_agg(DISTINCT label, ', ') FILTER (WHERE label <> '') AS edge_labels, string_agg(DISTINCT type, ', ') AS edge_types FROM x WHERE source <> target AND target IN (SELECT id FROM wnodes) GROUP BY 1, 2),
+u AS (SELECT c.id, coalesce(file, '#' || source) AS file, source, coalesce(label, source) AS label, coalesce(type, 'unknown') AS type, coalesce(edge_labels, '') AS edge_labels, edge_types FROM c LEFT JOIN f ON f.id = source)
+SELECT *, count(*) OVER (PARTITION BY id, file) AS callers FROM u"""
+)
+def usage_list(spark, sf):
+    """Every caller with its edges' labels and types."""
+    file = F.when(F.col("type") == "order", F.concat(F.lit("f"), (F.col("ord") % 10).cast("string")))
+    label = F.when(F.col("ord") % 3 > 0, F.concat(F.lit("k"), (F.col("ord") % 3).cast("string"))).otherwise("")
+    return O.usage_list(wide_nodes(spark, sf).withColumn("file", file), wide_edges(spark, sf).withColumn("label", label))
+
+
 @query(
     G
     + """, u AS (SELECT *, CASE WHEN type = 'nation' THEN '/API/' || label END AS uri FROM nodes)

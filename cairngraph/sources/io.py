@@ -76,7 +76,8 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def stale_tabs(stored: DataFrame, kept: DataFrame) -> DataFrame:
     """(tab_id) stored but not written by the latest run."""
-    return stored.select("tab_id").distinct().join(kept.select("tab_id").distinct(), "tab_id", "left_anti")
+    now = kept.select(F.col("tab_id").alias("_kept")).distinct()
+    return stored.select("tab_id").distinct().join(now, F.col("tab_id").eqNullSafe(F.col("_kept")), "left_anti")
 
 
 def prune_tabs(spark: SparkSession, table: str, kept: DataFrame) -> int:
@@ -87,7 +88,8 @@ def prune_tabs(spark: SparkSession, table: str, kept: DataFrame) -> int:
     """
     stale = [r.tab_id for r in stale_tabs(spark.table(table).select("tab_id"), kept).collect()]
     for tab in stale:
-        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (tab_id = '{tab.replace(chr(92), chr(92) * 2).replace(chr(39), chr(92) + chr(39))}')")
+        name = "NULL" if tab is None else "'" + tab.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (tab_id = {name})")
     return len(stale)
 
 
