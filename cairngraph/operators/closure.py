@@ -57,14 +57,15 @@ def breadth_first(edges: DataFrame, start: DataFrame, order: Sequence[str] = ("o
     is ranked by the place of the first parent and then by its edge, so a level
     is one join and one sort, however many ids it has.
     """
-    step = stored(edges.select("source", F.col("target").alias("_to"), F.struct(*order).alias("_edge")))
-    level = stored(numbered(start.select("id").distinct(), ["id"], "place").select("id", "place", F.lit(0).alias("depth")))
+    step = edges.select("source", F.col("target").alias("_to"), F.struct(*order).alias("_edge"))
+    step = step if max_depth is not None else stored(step)
+    level = numbered(start.select("id").distinct(), ["id"], "place").select("id", "place", F.lit(0).alias("depth"))
     levels, n, depth = [level], level.count(), 0
     while max_depth is None or depth < max_depth:
         depth += 1
         met = level.join(step, level.id == step.source).groupBy(F.col("_to").alias("id")).agg(F.min(F.struct("place", "_edge")).alias("_by"))
         fresh = met.join(reduce(DataFrame.union, levels).select("id"), "id", "left_anti")
-        level = stored(numbered(fresh, ["_by"], "place", n).select("id", "place", F.lit(depth).alias("depth")))
+        level = numbered(fresh, ["_by"], "place", n).select("id", "place", F.lit(depth).alias("depth"))
         more = level.count()
         if not more:
             break
@@ -176,27 +177,49 @@ def trace(edges: DataFrame, entries: DataFrame, nodes: DataFrame, expandable: Se
     return callers.join(edges, callers.id == edges.source).select("tab_id", "source", "target", "type", (F.col("depth") + 1).alias("depth")).distinct()
 
 
-def first_parent(edges: DataFrame) -> DataFrame:
-    """(target, source): the parent whose edge comes first by ord, then source."""
+def first_parent(edges: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """(target, source, also...): the parent whose edge comes first by ord, then source."""
     first = F.row_number().over(W.partitionBy("target").orderBy("ord", "source"))
-    return edges.withColumn("_n", first).where("_n = 1").select("target", "source")
+    return edges.withColumn("_n", first).where("_n = 1").select("target", "source", *also)
 
 
 def longest_path(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(root, length, path): from each root of the first-parent forest its longest path; ties go to the least path.
+    """(root, length, path): from each root of the first-parent forest its longest path.
 
-    A node enters a path once, so a forest whose every node has a parent ends too.
+    Of paths of one length the one stays that goes first, by ord and id of the
+    child, where they part. Nodes that no root leads to are on no path. All is
+    done by pointer doubling, so a chain of n nodes takes about log n rounds:
+    depths and the heights below each node, by jumps to ancestors, then the
+    paths along each node's highest first child, by jumps down from the roots.
     """
-    tree = settle(first_parent(edges).where("source <> target"))
-    roots = nodes.select("id").join(tree.select(F.col("target").alias("id")), "id", "left_anti")
-    level = settle(roots.select(F.col("id").alias("root"), "id", F.array("id").alias("path")))
-    best = level.select("root", "path")
+    tree = stored(first_parent(edges, ["ord"]).where("source <> target"))
+    every = stored(nodes.select("id").union(tree.select("source")).distinct())
+    most = every.count()
+    roots = stored(every.join(tree.select(F.col("target").alias("id")), "id", "left_anti"))
+    up = stored(roots.select("id", F.lit(None).cast("string").alias("above"), F.lit(0).alias("depth")).union(tree.select("target", "source", F.lit(1))))
+    jumps = []  # (id, above): to the ancestor 2^k levels up, while there is one
     while True:
-        level = settle(level.join(tree, level.id == tree.source).select("root", F.col("target").alias("id"), F.array_append("path", F.col("target")).alias("path")))
-        if level.isEmpty():
+        jumps.append(up.where("above is not null").select("id", "above"))
+        far = up.select(F.col("id").alias("above"), F.col("above").alias("_far"), F.col("depth").alias("_more"))
+        up = stored(up.join(far, "above", "left").select("id", F.col("_far").alias("above"), (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth")))
+        if up.where("above is not null").isEmpty() or 2 ** len(jumps) > most:
             break
-        best = settle(best.union(level.select("root", "path")).groupBy("root").agg(F.min(F.struct((-F.size("path")).alias("n"), "path")).alias("b")).select("root", "b.path"))
-    return best.select("root", F.size("path").alias("length"), "path")
+    settled = up.where("above is null").select("id", "depth")  # the rest are on cycles or below them
+    low = settled.withColumn("low", F.col("depth"))
+    for jump in jumps:
+        lifted = low.join(jump, "id").groupBy(F.col("above").alias("id")).agg(F.max("low").alias("_low"))
+        low = stored(low.join(lifted, "id", "left").select("id", "depth", F.greatest("low", F.coalesce("_low", "low")).alias("low")))
+    near = tree.select("source", "ord", F.col("target").alias("id")).join(low.select("id", "low"), "id")
+    first = near.groupBy("source").agg(F.min(F.struct((-F.col("low")).alias("low"), "ord", "id")).alias("_f")).select(F.col("source").alias("id"), F.col("_f.id").alias("down"))
+    on = roots.select("id", F.col("id").alias("root"))
+    down = stored(first)
+    for _ in jumps:
+        on = stored(on.union(on.join(down, "id").select(F.col("down").alias("id"), "root")))
+        far = down.select(F.col("id").alias("down"), F.col("down").alias("_far"))
+        down = stored(down.join(far, "down").select("id", F.col("_far").alias("down")))
+    path = F.array_sort(F.collect_list(F.struct("depth", "id")))
+    found = on.join(settled, "id").groupBy("root").agg(path.alias("_p"))
+    return found.join(nodes.select(F.col("id").alias("root")), "root", "left_semi").select("root", F.size("_p").alias("length"), F.transform("_p", lambda x: x["id"]).alias("path"))
 
 
 def inherits_from(parents: DataFrame, bases: DataFrame) -> DataFrame:

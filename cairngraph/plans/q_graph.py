@@ -216,9 +216,9 @@ def group_expand(spark, sf):
 
 @query(
     G
-    + """, fp AS (SELECT target, source FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY ord, source) AS k FROM edges) WHERE k = 1),
-w(root, id, path) AS (SELECT id, id, [id] FROM nodes WHERE id NOT IN (SELECT target FROM fp) UNION ALL SELECT w.root, fp.target, list_append(w.path, fp.target) FROM w JOIN fp ON fp.source = w.id)
-SELECT root, CAST(max(len(path)) AS INTEGER) AS length, array_to_string(min(path) FILTER (WHERE len(path) = m), '>') AS path FROM (SELECT *, max(len(path)) OVER (PARTITION BY root) AS m FROM w) GROUP BY root"""
+    + """, fp AS (SELECT target, source, ord FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY ord, source) AS k FROM edges) WHERE k = 1),
+w(root, id, path, keys) AS (SELECT id, id, [id], CAST([] AS STRUCT(ord BIGINT, id VARCHAR)[]) FROM nodes WHERE id NOT IN (SELECT target FROM fp) UNION ALL SELECT w.root, fp.target, list_append(w.path, fp.target), list_append(w.keys, {'ord': fp.ord, 'id': fp.target}) FROM w JOIN fp ON fp.source = w.id)
+SELECT root, CAST(len(path) AS INTEGER) AS length, array_to_string(path, '>') AS path FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY len(path) DESC, keys) AS k FROM w) WHERE k = 1"""
 )
 def longest_path(spark, sf):
     out = C.longest_path(nodes(spark, sf), edges(spark, sf))

@@ -70,3 +70,29 @@ def test_neighbours_come_by_type_and_then_by_edge(spark):
     edges = spark.createDataFrame([("r", "o", 0), ("r", "v", 1), ("r", "z", 3), ("r", "s", 2), ("s", "m", 5), ("v", "m", 0), ("m", "far", 0), ("r", "gone", 0)], "source string, target string, ord long")
     got = closure.neighbourhood(nodes, edges, spark.createDataFrame([("r",)], "id string"), 2).orderBy("place").collect()
     assert [(r.id, r.depth) for r in got] == [("r", 0), ("s", 1), ("z", 1), ("v", 1), ("o", 1), ("m", 2)]
+
+
+def test_longest_paths_take_the_first_of_equal_ones(spark):
+    import random
+
+    rng = random.Random(9)
+    parents = {n: (rng.randrange(max(0, n - 9), n), rng.randrange(4)) for n in range(2, 120) if n % 40}
+    edges = [(f"n{p}", f"n{c}", o) for c, (p, o) in parents.items()] + [("c1", "c2", 0), ("c2", "c1", 0), ("c1", "c3", 0), ("x", "lost", 0), ("n0", "n0", 0)]
+    below = {}
+    for s, t, o in edges:
+        below.setdefault(s, []).append((o, t))
+
+    def best(at):
+        found = [best(t) for _, t in sorted(below.get(at, [])) if t != at]
+        return [at, *max(found, key=len, default=[])]
+
+    nodes = spark.createDataFrame([(f"n{i}",) for i in range(120)] + [("c1",), ("c2",), ("c3",), ("lost",)], "id string")
+    got = closure.longest_path(nodes, spark.createDataFrame(edges, "source string, target string, ord long"))
+    assert {r.root: (r.length, r.path) for r in got.collect()} == {f"n{i}": (len(best(f"n{i}")), best(f"n{i}")) for i in range(120) if i not in parents}
+
+
+def test_a_long_chain_takes_few_rounds(spark):
+    n = 3000
+    chain = spark.range(n).select(F.concat(F.lit("k"), "id").alias("source"), F.concat(F.lit("k"), F.col("id") + 1).alias("target"), F.lit(0).alias("ord"))
+    got = closure.longest_path(chain.select(F.col("source").alias("id")), chain).collect()
+    assert [(r.root, r.length, r.path[-1]) for r in got] == [("k0", n + 1, f"k{n}")]
