@@ -5,7 +5,9 @@ minimum and its maximum, so a signature of 2p values costs p hash passes.
 Bands of the signature are bucket keys. Links between bucket members are
 confirmed on the full shingle sets and closed into components.
 
-Work inside a bucket stays near linear in its size:
+Work inside a bucket is kept below all pairs where texts are copies or differ in
+rare shingles; texts made of one template by filling in from a few words, which
+share buckets without being linked, can cost as much as all their pairs:
 
 * identical texts are one class and travel as one row;
 * a small bucket (at most ``SMALL`` classes) yields its pairs;

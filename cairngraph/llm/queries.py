@@ -38,7 +38,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 nearest vectors, by sign codes, of each whose id is divisible by 100."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10, bits=64)
+    return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,8 +39,12 @@ def hamming(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
-def cut_points(bits: int, rows: int, most: int = 16) -> list[tuple[int, int]]:
-    """Equal segments of log2(rows) bits or more, at most ``most``, that do not straddle code words."""
+def cut_points(bits: int, rows: int, most: int = WORD_BITS) -> list[tuple[int, int]]:
+    """Equal segments of log2(rows) bits or more, at most ``most``, that do not straddle code words.
+
+    So a segment's value is held by about one row, however many there are; a
+    code word holds more values than Spark counts rows in a table.
+    """
     width = max(1, min(most, max(rows, 2).bit_length() - 1))
     per_word = WORD_BITS // width
     out = []
@@ -60,15 +64,24 @@ def masks(width: int, radius: int) -> list[int]:
     return [sum(1 << b for b in bits) for bits in combinations(range(width), radius)]
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64) -> DataFrame:
+def longest(*tables: DataFrame) -> int:
+    """Elements of the longest embedding."""
+    return max(1, *[df.agg(F.max(F.size("embedding"))).first()[0] or 0 for df in tables])
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int | None = None) -> DataFrame:
     """Per query the k nearest rows: query_id, rank (from 1), vec_id, distance.
 
     vectors and queries have (vec_id, embedding). Ties go to the smaller
     vec_id; a query that is in vectors finds itself. Rows with a null id or
     embedding are left out on both sides; null and missing elements are 0 bits.
     Rows that share a vec_id count with each row's code. Fewer than k rows give as many as there are.
+    Codes have a bit for each element of the longest embedding; with ``bits``
+    given a longer one is an error.
     """
-    coded = lambda df: df.where("vec_id is not null and embedding is not null").select("vec_id", sign_code(F.col("embedding"), bits).alias("code")).distinct()
+    bits = longest(vectors, queries) if bits is None else bits
+    fits = F.when(F.size("embedding") > bits, F.raise_error(F.lit(f"an embedding has more than {bits} elements"))).otherwise(F.col("embedding"))
+    coded = lambda df: df.where("vec_id is not null and embedding is not null").select("vec_id", fits.alias("embedding")).select("vec_id", sign_code(F.col("embedding"), bits).alias("code")).distinct()
     numbered = coded(vectors).withColumn("place", F.row_number().over(W.partitionBy("code", F.col("vec_id") % 64).orderBy("vec_id"))).where(F.col("place") <= k)
     index = numbered.groupBy("code").agg(F.slice(F.sort_array(F.collect_set("vec_id")), 1, k).alias("ids"))
     index = cut(index)

@@ -702,3 +702,17 @@ def test_html_links_alone_are_a_dive_in_an_article():
     got = html_extract.main_text(f"<article><p>{long}</p><ul>{links}</ul><p>after</p></article>").split("\n")
     assert got == [long.strip(), "link 0", "link 1"]
     assert html_extract.main_text(f"<article><p>{long}</p><div class='ad'>Buy</div><nav>{links}</nav><p>after</p></article>").split("\n") == [long.strip(), "after"]
+
+
+def test_top_k_reads_every_element(spark):
+    rng = random.Random(2)
+    rows = [(n, [rng.choice([-1.0, 1.0]) for _ in range(80)]) for n in range(60)]
+    rows += [(100, [*rows[0][1][:64], *[-x for x in rows[0][1][64:]]]), (101, [1.0, 2.0]), (102, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    codes = {i: [k < len(v) and v[k] > 0 for k in range(80)] for i, v in rows}
+    got = {(r.query_id, r["rank"]): (r.distance, r.vec_id) for r in topk.top_k(df, df.where("vec_id in (0, 100)"), k=5).collect()}
+    for q in (0, 100):
+        want = sorted((sum(a != b for a, b in zip(codes[q], c)), i) for i, c in codes.items())[:5]
+        assert [got[q, n + 1] for n in range(5)] == want
+    with pytest.raises(Exception, match="more than 64 elements"):
+        topk.top_k(df, df, k=1, bits=64).collect()
