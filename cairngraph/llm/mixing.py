@@ -4,8 +4,8 @@ Slot i of the schedule gets the golden-ratio point frac(i * 0.618...). The
 points are mapped through the sources' cumulative target shares, so any run of
 slots holds each source in nearly its share. The slots of a source are ranked
 and its k-th slot reads the k-th block of ``block`` words of the source's
-documents, laid end to end in hashed order; after the last block the source
-starts over. Equal blocks make a source's slots equal to its words.
+documents, laid end to end in hashed order; after the last document the source
+starts over. As blocks are equal, the slots a source gets decide its words.
 
 Ranks and running sums are taken in two levels (inside a bucket, then over the
 buckets' totals), so no source is ordered by one task.
@@ -13,6 +13,8 @@ buckets' totals), so no source is ordered by one task.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -21,6 +23,8 @@ from .common import WORD, cut
 
 GOLDEN = 0.6180339887498949
 BLOCK = 128
+#: A mix has at least so many slots, or one a word, so that a few of them are a small part of a source.
+SLOTS = 1 << 17
 BINS = 1024
 HALF = 1 << 20
 
@@ -57,23 +61,29 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3
     return ranked.select("source", "sid", "source_size", F.when(F.col("pos") < F.col("first"), F.col("full")).otherwise(F.col("weight") * F.col("share")).alias("target"))
 
 
-def schedule(plan: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(slot, sid, pass, block, words) from targets(): which block each slot reads.
+def block_of(total: float, most: int = BLOCK, slots: int = SLOTS) -> int:
+    """Words a slot reads: ``most``, or fewer where the mix would have less than ``slots`` slots."""
+    return max(1, min(most, int(total) // slots))
+
 
-    ``words`` is below the block's own length only in a source's last slot,
-    which is cut where the target is reached. A source that the points left
-    short of its quota gets the missing slots at the end.
+def schedule(plan: DataFrame, block: int | None = None, cap: int = 3) -> DataFrame:
+    """(slot, sid, k, block, words) from targets(): slot is the k-th of its source and reads its words from k * block on.
+
+    There are as many slots as blocks in the whole mix, and a source gets those
+    whose points fall into its share, so what it reads is its target but for
+    the few blocks by which the points are uneven. ``words`` is below the block
+    only where a source was read ``cap`` times; slots beyond that are left out.
+    ``block`` follows from the mix's size (block_of) unless it is given.
     """
     spark = plan.sparkSession
-    need = F.floor("target").cast("long")
-    plan = plan.where("source_size > 0").withColumn("need", need)
-    plan = plan.withColumn("n_blocks", F.ceil(F.col("source_size") / block).cast("long")).withColumn("passes", F.expr("need div source_size"))
-    plan = plan.withColumn("quota", F.col("passes") * F.col("n_blocks") + F.ceil((F.col("need") - F.col("passes") * F.col("source_size")) / block).cast("long"))
+    plan = plan.where("source_size > 0")
     all_rows, upto = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing), W.orderBy("sid").rowsBetween(W.unboundedPreceding, 0)
     plan = plan.withColumn("high", F.sum("target").over(upto) / F.sum("target").over(all_rows))
     plan = cut(plan.withColumn("low", F.lag("high", 1, 0.0).over(W.orderBy("sid"))).withColumn("last", F.lead("sid").over(W.orderBy("sid")).isNull()))
 
-    n = plan.agg(F.coalesce(F.sum("quota"), F.lit(0))).first()[0]
+    total = plan.agg(F.coalesce(F.sum(F.col("source_size").cast("double")), F.lit(0.0))).first()[0]
+    block = block or block_of(total)
+    n = math.ceil(total / block)
     chunk = max(4096, int(n**0.5))
     step = (HALF * GOLDEN) % 1.0
     point = F.expr(f"pmod(pmod((id div {HALF}) * {step!r}D, 1D) + (id % {HALF}) * {GOLDEN!r}D, 1D)")
@@ -87,15 +97,8 @@ def schedule(plan: DataFrame, block: int = BLOCK) -> DataFrame:
     counts = counts.withColumn("off", F.sum("c").over(W.partitionBy("sid").orderBy("chunk").rowsBetween(W.unboundedPreceding, 0)) - F.col("c"))
     inside = F.row_number().over(W.partitionBy("sid", "chunk").orderBy("slot")) - 1
     ranked = slots.withColumn("at", inside).join(counts, ["sid", "chunk"]).select("slot", "sid", (F.col("off") + F.col("at")).alias("k"))
-    have = counts.groupBy("sid").agg(F.sum("c").alias("have"))
-    late = plan.join(have, "sid", "left").withColumn("have", F.coalesce("have", F.lit(0))).where("have < quota")
-    late = late.select(F.lit(n).alias("slot"), "sid", F.explode(F.sequence(F.col("have"), F.col("quota") - 1)).alias("k"))
-
-    facts = plan.select("sid", "source_size", "need", "n_blocks", "quota")
-    read = ranked.union(late).join(facts, "sid").where("k < quota")
-    read = read.withColumn("pass", F.expr("k div n_blocks")).withColumn("block", F.expr("k % n_blocks"))
-    words = F.least(F.lit(block), F.col("source_size") - F.col("block") * block, F.col("need") - F.col("pass") * F.col("source_size") - F.col("block") * block)
-    return read.select("slot", "sid", "pass", "block", words.cast("long").alias("words"))
+    words = F.least(F.lit(block), cap * F.col("source_size") - F.col("k") * block).cast("long")
+    return ranked.join(plan.select("sid", "source_size"), "sid").select("slot", "sid", "k", F.lit(block).alias("block"), words.alias("words")).where("words > 0")
 
 
 def laid(docs: DataFrame) -> DataFrame:
@@ -108,16 +111,16 @@ def laid(docs: DataFrame) -> DataFrame:
     return within.join(sums.drop("held"), ["sid", "bucket"]).withColumn("start", F.col("base") + F.col("inner")).drop("bucket", "base", "inner")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, block: int = BLOCK, seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, block: int | None = None, seed: str = "mix") -> DataFrame:
     """Per row of docs(doc_id, text, source): doc_id, source, size, source_size, target, taken, first_slot, last_slot.
 
     ``taken`` counts the words that the schedule reads from the document, with
     repeats, ``first_slot`` and ``last_slot`` are where it first and last reads
     one, null if it never does. taken is at most cap times the size, and a
-    source's sum is its target rounded down. Null and empty texts have size 0
-    and nothing taken; a null source is a source of its own; a null doc_id is
-    drawn as an empty one; rows that share a doc_id are read separately. An
-    empty table gives no row.
+    source's sum misses its target by a few blocks at most. Null and empty
+    texts have size 0 and nothing taken; a null source is a source of its own;
+    a null doc_id is drawn as an empty one; rows that share a doc_id are read
+    separately. An empty table gives no row.
     """
     rows = cut(sized(docs, seed))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -125,13 +128,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, blo
     known = plan.withColumnRenamed("source", "name")
     placed = rows.join(known, rows.source.eqNullSafe(known.name)).drop("name")
     full = cut(laid(placed.where("size > 0")))
-    parts = full.select("sid", "start", "size", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))).alias("block"))
-    parts = parts.withColumn("low", F.greatest(F.col("start") - F.col("block") * block, F.lit(0)))
-    parts = parts.withColumn("high", F.least(F.col("start") + F.col("size") - F.col("block") * block, F.lit(block)))
 
-    reads = schedule(plan, block).groupBy("sid", "block", "words").agg(F.count("*").alias("times"), F.min("slot").alias("first"), F.max("slot").alias("last"))
-    used = parts.join(reads, ["sid", "block"]).withColumn("got", F.col("times") * F.greatest(F.least("words", "high") - F.col("low"), F.lit(0))).where("got > 0")
-    used = used.groupBy("sid", "start").agg(F.sum("got").alias("got"), F.min("first").alias("first_slot"), F.max("last").alias("last_slot"))
+    reads = cut(schedule(plan, block, cap))
+    ends = reads.groupBy("sid", F.col("block").alias("b")).agg(F.sum("words").alias("read"))
+    # a document stands in the source's stream of words once for every pass that is begun
+    times = full.join(ends, "sid").select("sid", "start", "size", "b", "read", F.explode(F.expr("sequence(0L, (read - 1) div source_size)")).alias("pass"), "source_size")
+    times = times.withColumn("low", F.col("start") + F.col("pass") * F.col("source_size")).withColumn("high", F.least(F.col("low") + F.col("size"), F.col("read"))).where("low < high")
+    parts = times.select("sid", "start", "low", "high", F.explode(F.expr("sequence(low div b, (high - 1) div b)")).alias("k"))
+    got = F.least(F.col("high"), F.col("k") * F.col("block") + F.col("words")) - F.greatest(F.col("low"), F.col("k") * F.col("block"))
+    used = parts.join(reads, ["sid", "k"]).groupBy("sid", "start").agg(F.sum(got).alias("got"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"))
     facts = ["doc_id", "source", "size", "source_size", "target"]
     read = full.join(used, ["sid", "start"], "left").select(*facts, F.coalesce("got", F.lit(0)).cast("long").alias("taken"), "first_slot", "last_slot")
     none = F.lit(None).cast("long")
@@ -139,10 +144,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, blo
     return read.union(empty)
 
 
-def copies(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, block: int = BLOCK, seed: str = "mix") -> DataFrame:
+def copies(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, block: int | None = None, seed: str = "mix") -> DataFrame:
     """The mixed corpus as whole documents: each row of docs round(taken / size) times.
 
-    Rows without a word, or of which less than half was read, are left out.
+    The schedule cuts a source's stream inside one document, so the copies miss
+    the words read by half of that document at most. Rows without a word, or of
+    which less than half was read, are left out.
     """
     times = mix(docs, weights, cap, block, seed).where("size > 0").groupBy("doc_id").agg(F.max(F.expr("(2 * taken + size) div (2 * size)")).alias("times_read"))
     rows = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).alias("d")
@@ -165,22 +172,20 @@ r AS (SELECT *, row_number() OVER o AS pos, sum(full_size) OVER o - full_size AS
 f AS (SELECT *, (total - before) / rest AS share, min(CASE WHEN (total - before) / rest <= level THEN pos END) OVER () AS first_open FROM r),
 t AS (SELECT source, sid, source_size,
              CASE WHEN pos < first_open THEN full_size ELSE weight * max(CASE WHEN pos = first_open THEN share END) OVER () END AS target FROM f),
-p AS (SELECT d.doc_id, d.size, t.sid, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS need,
+g AS (SELECT greatest(1, least(128, CAST(sum(source_size) AS BIGINT) // 131072)) AS block, CAST(ceil(sum(source_size) / greatest(1, least(128, CAST(sum(source_size) AS BIGINT) // 131072))) AS BIGINT) AS n FROM t),
+p AS (SELECT d.doc_id, d.size, t.sid, t.source_size, t.target,
              CAST(sum(d.size) OVER (PARTITION BY t.sid ORDER BY draw, doc_id, d.size ROWS UNBOUNDED PRECEDING) AS BIGINT) - d.size AS start
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-b AS (SELECT sid, source_size, target, CAST(floor(target) AS BIGINT) AS need, (source_size + 127) // 128 AS n_blocks, sum(target) OVER (ORDER BY sid ROWS UNBOUNDED PRECEDING) / sum(target) OVER () AS high FROM t WHERE source_size > 0),
-q AS (SELECT *, need // source_size * n_blocks + (need % source_size + 127) // 128 AS quota, lag(high, 1, 0.0) OVER (ORDER BY sid) AS low, lead(sid) OVER (ORDER BY sid) IS NULL AS last FROM b),
-z AS (SELECT CAST(coalesce(sum(quota), 0) AS BIGINT) AS n FROM q),
-i AS (SELECT unnest(range(n)) AS slot FROM z),
+b AS (SELECT sid, source_size, sum(target) OVER (ORDER BY sid ROWS UNBOUNDED PRECEDING) / sum(target) OVER () AS high FROM t WHERE source_size > 0),
+q AS (SELECT *, lag(high, 1, 0.0) OVER (ORDER BY sid) AS low, lead(sid) OVER (ORDER BY sid) IS NULL AS last FROM b),
+i AS (SELECT unnest(range(n)) AS slot FROM g),
 u AS (SELECT slot, fmod(fmod((slot // 1048576) * fmod(1048576 * 0.6180339887498949::DOUBLE, 1.0::DOUBLE), 1.0::DOUBLE) + (slot % 1048576) * 0.6180339887498949::DOUBLE, 1.0::DOUBLE) AS u FROM i),
 k AS (SELECT slot, sid, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS k FROM u JOIN q ON low <= u AND u < CASE WHEN last THEN 2.0 ELSE high END),
-h AS (SELECT q.sid, quota, (SELECT count(*) FROM k WHERE k.sid = q.sid) AS have FROM q),
-y AS (SELECT slot, sid, k FROM k UNION ALL SELECT (SELECT n FROM z), sid, unnest(range(have, quota)) FROM h WHERE have < quota),
-e AS (SELECT slot, sid, k % n_blocks AS block, least(128, source_size - k % n_blocks * 128, need - k // n_blocks * source_size - k % n_blocks * 128) AS words FROM y JOIN q USING (sid) WHERE k < quota),
-x AS (SELECT sid, start, size, unnest(range(start // 128, (start + size - 1) // 128 + 1)) AS block FROM p WHERE size > 0),
-o AS (SELECT x.sid, start, min(slot) AS first_slot, max(slot) AS last_slot FROM x JOIN e USING (sid, block) WHERE least(words, start + size - block * 128, 128) > greatest(start - block * 128, 0) GROUP BY 1, 2)
+c AS (SELECT q.sid, CAST(least(count(k.sid) * any_value(block), 3 * any_value(source_size)) AS BIGINT) AS read FROM q CROSS JOIN g LEFT JOIN k ON k.sid = q.sid GROUP BY q.sid),
+a AS (SELECT p.sid, start, (start + pass * source_size) // block AS low_k, (least(start + pass * source_size + size, read) - 1) // block AS high_k
+      FROM p JOIN c USING (sid) CROSS JOIN g CROSS JOIN (SELECT unnest([0, 1, 2]) AS pass) WHERE size > 0 AND start + pass * source_size < read),
+o AS (SELECT a.sid, a.start, min(x.slot) AS first_slot, max(y.slot) AS last_slot FROM a JOIN k x ON x.sid = a.sid AND x.k = low_k JOIN k y ON y.sid = a.sid AND y.k = high_k GROUP BY 1, 2)
 SELECT doc_id, size, source_size, target,
-       CASE WHEN size = 0 THEN 0 ELSE CAST(need // source_size * size
-         + greatest(0, least(size, need - need // source_size * source_size - p.start)) AS BIGINT) END AS taken, first_slot, last_slot
-FROM p LEFT JOIN o ON o.sid = p.sid AND o.start = p.start AND p.size > 0
+       CASE WHEN size = 0 THEN 0 ELSE CAST(read // source_size * size + greatest(0, least(size, read % source_size - p.start)) AS BIGINT) END AS taken, first_slot, last_slot
+FROM p LEFT JOIN c ON c.sid = p.sid LEFT JOIN o ON o.sid = p.sid AND o.start = p.start AND p.size > 0
 """
