@@ -11,6 +11,7 @@ again in a token is no new evidence, so a run of one character is not random.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -46,33 +47,55 @@ class MarkovPair:
         return F.aggregate(F.array_distinct(pairs), F.lit(0.0), lambda acc, x: acc + F.coalesce(F.get(table, x), F.lit(0.0)))
 
 
+def _running(items: Column, none: Column, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """The non-null second results of step(position, item), which first gives the next position, from 0 on.
+
+    An array that grows by one is copied each time, so items are folded in
+    blocks of about the square root of their number, whose results are joined.
+    """
+    width = lambda x: F.ceil(F.sqrt(F.size(x))).cast("int")
+    cut_up = lambda x: F.transform(F.sequence(F.lit(0), F.size(x) - 1, width(x)), lambda i: F.slice(x, i + 1, width(x)))
+    # as an array's only element, the items are computed once and not for every block
+    blocks = F.flatten(F.transform(F.filter(F.array(items), lambda x: F.size(x) > 0), cut_up))
+
+    def inner(acc: Column, item: Column) -> Column:
+        pos, out = step(acc["pos"], item)
+        return F.struct(pos.cast("int").alias("pos"), F.when(out.isNotNull(), F.array_append(acc["out"], out)).otherwise(acc["out"]).alias("out"))
+
+    def outer(acc: Column, block: Column) -> Column:
+        done = F.array(F.aggregate(block, F.struct(acc["pos"].alias("pos"), none.alias("out")), inner))
+        return F.get(F.transform(done, lambda d: F.struct(d["pos"].alias("pos"), F.array_append(acc["out"], d["out"]).alias("out"))), F.lit(0))
+
+    start = F.struct(F.lit(0).alias("pos"), F.slice(F.array(none), 1, 0).alias("out"))
+    return F.aggregate(blocks, start, outer, lambda acc: F.flatten(acc["out"]))
+
+
 def _spans(text: Column, pattern: str, value_group: int, least: int) -> Column:
-    """array<struct<start, end>>: leftmost non-overlapping matches whose value has ``least`` characters."""
+    """array<struct<start, end, hit>>: leftmost non-overlapping matches whose value has ``least`` characters."""
     whole = f"(?:{pattern})"
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group))
-    gaps = F.split(text, whole, -1)
-    steps = F.arrays_zip(gaps.alias("gap"), found.alias("hit"), values.alias("value"))
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    start = lambda acc, s: acc["pos"] + F.length(s["gap"])
+    gaps = F.transform(F.split(text, whole, -1), lambda x: F.length(x))
+    steps = F.arrays_zip(gaps.alias("gap"), found.alias("hit"), F.transform(values, lambda v: F.length(v)).alias("long"))
+    none = F.array().cast("array<struct<start:int,end:int,hit:string>>")
 
-    def step(acc: Column, s: Column) -> Column:
-        stop = start(acc, s) + F.coalesce(F.length(s["hit"]), F.lit(0))
-        spans = F.when(F.length(s["value"]) >= least, F.array_append(acc["spans"], F.struct(start(acc, s).alias("start"), stop.alias("end")))).otherwise(acc["spans"])
-        return F.struct(stop.alias("pos"), spans.alias("spans"))
+    def step(pos: Column, s: Column) -> tuple[Column, Column]:
+        start = pos + s["gap"]
+        stop = start + F.coalesce(F.length(s["hit"]), F.lit(0))
+        return stop, F.when(s["long"] >= least, F.struct(start.alias("start"), stop.alias("end"), s["hit"].alias("hit")))
 
-    walked = F.aggregate(steps, F.struct(F.lit(0).alias("pos"), none.alias("spans")), step, lambda acc: acc["spans"])
-    return F.when(text.rlike(pattern), walked).otherwise(none)
+    return F.when(text.rlike(pattern), _running(steps, none, step)).otherwise(none)
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """docs with assign, access and hex: arrays of (start, end) in code points."""
+    """docs with assign, access and hex: arrays of (start, end, hit), in code points."""
     text = F.coalesce("text", F.lit(""))
+    none = F.array().cast("array<struct<start:int,end:int,hit:string>>")
     return docs.withColumns(
         {
             "assign": _spans(text, ASSIGN, 2, 8),
-            "access": F.when(text.contains("AKIA"), _spans(text, ACCESS, 1, 16)).otherwise(F.array().cast("array<struct<start:int,end:int>>")),
-            "hex": F.when(text.rlike(r"[0-9a-f]{32}"), _spans(text, HEX, 1, 32)).otherwise(F.array().cast("array<struct<start:int,end:int>>")),
+            "access": F.when(text.contains("AKIA"), _spans(text, ACCESS, 1, 16)).otherwise(none),
+            "hex": F.when(text.rlike(r"[0-9a-f]{32}"), _spans(text, HEX, 1, 32)).otherwise(none),
         }
     )
 
@@ -127,15 +150,23 @@ def scan(docs: DataFrame, model: MarkovPair | None = None) -> DataFrame:
     if model is None:
         return out.withColumn("spans", F.sort_array("_base")).drop("_base")
     out = out.withColumn("_long", _spans(text, TOKEN, 1, LEAST))
-    out = out.withColumn("_long", F.filter("_long", lambda s: ~F.exists("_base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))))
+    # of the spans in order, with base ones first, a token goes if one before it ends no sooner
+    order = lambda name, no: F.transform(name, lambda s: F.struct(s["start"].alias("start"), F.lit(no).alias("token"), s["end"].alias("end"), (s["hit"] if no else F.lit("")).alias("hit")))
+    both = F.sort_array(F.concat(order("_base", 0), order("_long", 1)))
+
+    def free(reach: Column, s: Column) -> tuple[Column, Column]:
+        kept = (s["token"] == 1) & (s["end"] > reach)
+        return F.when(s["token"] == 1, reach).otherwise(F.greatest(reach, s["end"])), F.when(kept, F.struct(s["start"].alias("start"), s["end"].alias("end"), s["hit"].alias("hit")))
+
+    none = F.array().cast("array<struct<start:int,end:int,hit:string>>")
+    alone = F.when((F.size("_base") > 0) & (F.size("_long") > 0), _running(both, none, free)).otherwise(F.col("_long"))
 
     def random(span: Column) -> Column:
-        token = F.substring(text, span["start"] + 1, span["end"] - span["start"])
-        score = model.column(token)
-        return (score >= model.total) & (score >= model.per_char * F.least(F.length(token) - 1, F.lit(model.most)))
+        score = model.column(span["hit"])
+        return (score >= model.total) & (score >= model.per_char * F.least(F.length(span["hit"]) - 1, F.lit(model.most)))
 
-    out = out.withColumn("_random", F.filter("_long", random))
-    return out.withColumn("spans", F.sort_array(F.concat("_base", numbered("_random", 3)))).drop("_base", "_long", "_random")
+    out = out.withColumn("_alone", alone).withColumn("_random", F.filter("_alone", random))
+    return out.withColumn("spans", F.sort_array(F.concat("_base", numbered("_random", 3)))).drop("_base", "_long", "_alone", "_random")
 
 
 def describe(spans: Column) -> Column:
@@ -144,15 +175,22 @@ def describe(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind_no"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """text with every run of overlapping spans replaced by mark."""
+def redact(text: Column, spans: Column, mark: str = "[SECRET]", piece: int = 4096) -> Column:
+    """text with every run of overlapping spans replaced by mark; what is kept is read from pieces of the text."""
+    none = F.array().cast("array<struct<low:int,high:int>>")
+
+    def gap(pos: Column, s: Column) -> tuple[Column, Column]:
+        return F.greatest(pos, s["end"]), F.when(s["start"] >= pos, F.struct(pos.alias("low"), s["start"].alias("high")))
+
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s)(.{{1,{piece}}})"), F.lit(1))
+    gaps = F.array_append(_running(spans, none, gap), F.struct(F.array_max(F.transform(spans, lambda s: s["end"])).alias("low"), F.length(text).alias("high")))
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = F.concat(acc["out"], F.substring(text, acc["pos"] + 1, s["start"] - acc["pos"]), F.lit(mark))
-        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.when(s["start"] >= acc["pos"], fresh).otherwise(acc["out"]).alias("out"))
+    def kept(pieces: Column, g: Column) -> Column:
+        first, last = F.floor(g["low"] / piece).cast("int"), F.floor(g["high"] / piece).cast("int")
+        return F.substring(F.array_join(F.slice(pieces, first + 1, last - first + 1), ""), g["low"] - first * piece + 1, g["high"] - g["low"])
 
-    done = F.aggregate(spans, F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    cut_up = F.transform(F.array(F.struct(pieces.alias("pieces"), gaps.alias("gaps"))), lambda x: F.array_join(F.transform(x["gaps"], lambda g: kept(x["pieces"], g)), mark))
+    return F.when(F.size(spans) > 0, F.get(cut_up, F.lit(0))).otherwise(text)
 
 
 def secrets(docs: DataFrame, sample_docs: int = 4000) -> DataFrame:
