@@ -99,13 +99,15 @@ def order_stats(samples: DataFrame, by: Sequence[str], value: str, places: dict[
     levels, over ``BINS`` ranges of the group's values and then inside the
     ranges that hold a place. The ranges are cut at approximate quantiles of
     the distinct values, so each has about as many whatever their spread, and
-    no task orders a whole group; the places are exact. Null values are left
-    out.
+    no task orders a whole group; the places are exact. The cuts are stored:
+    taken anew they may differ, as they depend on the order in which tasks
+    end, and the counts below a range would not be those of the range. Null
+    values are left out.
     """
     by = list(by)
     counts = samples.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
     cuts = F.percentile_approx("_v", [n / BINS for n in range(1, BINS)], 20 * BINS).alias("_cuts")
-    ends = counts.groupBy(*by).agg(F.sum("_c").alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high"), cuts)
+    ends = stored(counts.groupBy(*by).agg(F.sum("_c").alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high"), cuts))
     below = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
     same = [F.col(f"c.{c}").eqNullSafe(F.col(f"e.{c}")) for c in by]
     placed = counts.alias("c").join(ends.alias("e"), reduce(lambda a, b: a & b, same)).select("c.*", "e.n", "e.low", "e.high", below.alias("_bin"))

@@ -20,6 +20,17 @@ def test_an_outlier_does_not_put_all_values_in_one_range(spark):
     assert held.agg(F.max("count")).first()[0] < 3 * n / aggs.BINS
 
 
+def test_ranges_are_cut_once(spark):
+    n = 300_000
+    df = spark.range(n, numPartitions=24).select((F.col("id") % 3).alias("g"), (F.hash("id") % 20_000).cast("double").alias("v"))
+    places = {"mid": F.floor(F.col("n") / 2), "top": F.floor(F.col("n") * 0.95)}
+    got = aggs.order_stats(df, ["g"], "v", places)
+    assert "percentile_approx" not in got._jdf.queryExecution().optimizedPlan().toString()  # two plans of one cut may differ
+    for r in got.collect():
+        v = sorted(x.v for x in df.where(F.col("g") == r.g).collect())
+        assert (r.mid, r.top) == (v[len(v) // 2], v[int(len(v) * 0.95)])
+
+
 def test_running_sums_over_sparse_orders(spark):
     ids = [k * 2**40 + (k * 7919) % 1000 for k in range(400)] + [2**62]
     df = spark.createDataFrame([("a", i, 1) for i in ids] + [("b", None, 2), ("b", 5, 3)], "g string, k long, s long")
