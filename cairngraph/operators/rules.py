@@ -101,12 +101,22 @@ def match_guards(guards: DataFrame, rules: DataFrame, sep: str = "\\") -> DataFr
 def scan_table(sources: DataFrame, rules: DataFrame) -> DataFrame:
     """(file, line, rule, severity, snippet): matches of rules(rule, anchor, regex, severity) in the whole text of sources(file, text).
 
-    ``anchor`` is a word of a-z, 0-9 and _ that each match holds as a whole
-    word, in any case; a text is tested against the rules whose anchors it
-    holds. Texts travel once for each rule they may match, and their words
-    only to meet the anchors.
+    ``anchor`` is a word of A-Z, a-z, 0-9 and _ that each match holds as a whole
+    word, in any case, or in its own where rules has a column ``cased`` that is
+    true; a text is tested against the rules whose anchors it holds. Words meet
+    the anchors under a hash of their text, so a text is copied once for each
+    rule that it may match and never for its words; two texts of one hash would
+    only be tested against more rules. Both are spread by that hash over a
+    stated number of tasks, as the tests take long for tables of any size.
     """
-    keyed = sources.withColumn("_key", F.explode(_tokens(_low(F.col("text")))))
-    wanted = rules.select(_low(F.col("anchor")).alias("_key"), "rule", "regex", "severity")
-    met = keyed.join(wanted, "_key").where(F.rlike("text", F.col("regex")))
-    return located(met.select("file", "text", "rule", "regex", "severity"))
+    held = sources.where("text is not null").withColumn("_at", F.xxhash64("file", "text"))
+    cased = F.coalesce("cased", F.lit(False)) if "cased" in rules.columns else F.lit(False)
+    wanted = rules.select(F.when(cased, F.col("anchor")).otherwise(_low(F.col("anchor"))).alias("_anchor"), cased.alias("_cased"), "rule", "regex", "severity")
+    anchors = wanted.select("_anchor", "_cased", _low(F.col("_anchor")).alias("_key")).distinct()
+    words = held.select("_at", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Za-z0-9_]+)"), F.lit(1)))).alias("_word"))
+    met = words.withColumn("_key", _low(F.col("_word"))).join(anchors, "_key").where(~F.col("_cased") | (F.col("_word") == F.col("_anchor")))
+    pairs = met.select("_at", "_anchor", "_cased").distinct().join(wanted, ["_anchor", "_cased"]).drop("_anchor", "_cased")
+    spark = sources.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    found = held.repartition(tasks, "_at").join(pairs.repartition(tasks, "_at"), "_at").where(F.rlike("text", F.col("regex")))
+    return located(found.select("file", "text", "rule", "regex", "severity"))

@@ -72,5 +72,18 @@ def test_matches_over_lines_count_for_their_first(spark, scan):
     assert sorted((r.file, r.line, r.snippet) for r in got.collect()) == sorted(want)
 
 
+def test_words_of_long_texts_do_not_carry_them(spark):
+    many = " ".join(f"w{n}" for n in range(60_000))
+    docs = spark.createDataFrame([(n, many + " Key x\nkey y\nKEY z") for n in range(3)], "file long, text string")
+    made = [("any", "key", "(?i)key [a-z]", "low", None), ("own", "Key", "Key [a-z]", "low", True), ("none", "keY", "(?i)key", "low", True)]
+    got = rules.scan_table(docs, spark.createDataFrame(made, "rule string, anchor string, regex string, severity string, cased boolean"))
+    each = [("any", 1, "Key x"), ("any", 2, "key y"), ("any", 3, "KEY z"), ("own", 1, "Key x")]
+    assert sorted((r.file, r.rule, r.line, r.snippet) for r in got.collect()) == sorted((n, *e) for n in range(3) for e in each)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    words = [line for line in plan.splitlines() if "Generate explode" in line]
+    assert len(words) == 1 and "_word" in words[0] and "text" not in words[0].split("[_word")[0].split("),")[-1]
+    assert plan.count("RepartitionByExpression") == 2  # small tables are spread too
+
+
 def test_glob_regex_is_literal_but_for_wildcards():
     assert re.fullmatch(glob_regex("a.b[*]?"), "a.b[xyz]!")
