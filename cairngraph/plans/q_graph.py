@@ -71,9 +71,13 @@ def tab_families(spark, sf):
         pages=row(t("supplier"), page, "supplier", "s_suppkey", "s_suppkey").union(row(t("supplier"), page, "nation", "s_nationkey", "s_suppkey")),
     )
     e = edges(spark, sf)
-    met = C.tab_closure(e, seeds, SKIP)
-    whole = C.with_broadcasters(met, seeds.where("family = 'channel'"), nodes(spark, sf), e, "supplier-to-part")
-    return whole.join(seeds.select("tab_id", "family").distinct(), "tab_id").groupBy("family").agg(F.count_distinct("tab_id").alias("tabs"), F.count("*").alias("members"))
+    tabs, members = C.tab_classes(e, seeds, SKIP)
+    channels = seeds.where("family = 'channel'").select("tab_id", "id")
+    own = channels.select("tab_id").distinct()
+    heard = C.with_broadcasters(tabs.join(own, "tab_id", "left_semi").join(members, "class"), channels, nodes(spark, sf), e, "supplier-to-part")
+    sizes = tabs.join(own, "tab_id", "left_anti").join(members.groupBy("class").agg(F.count("*").alias("n")), "class").select("tab_id", "n")
+    sizes = sizes.union(heard.groupBy("tab_id").agg(F.count("*").alias("n")))
+    return sizes.join(seeds.select("tab_id", "family").distinct(), "tab_id").groupBy("family").agg(F.count("*").alias("tabs"), F.sum("n").alias("members"))
 
 
 @query(_seeded("id IN ('region::0', 'nation::3')") + " SELECT type, count(*) AS n, count(DISTINCT reach.id) AS reached FROM nodes LEFT JOIN (SELECT DISTINCT id FROM reach) reach USING (id) GROUP BY 1")

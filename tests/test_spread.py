@@ -107,3 +107,14 @@ def test_a_long_chain_takes_few_rounds(spark):
     chain = spark.range(n).select(F.concat(F.lit("k"), "id").alias("source"), F.concat(F.lit("k"), F.col("id") + 1).alias("target"), F.lit(0).alias("ord"))
     got = closure.longest_path(chain.select(F.col("source").alias("id")), chain).collect()
     assert [(r.root, r.length, r.path[-1]) for r in got] == [("k0", n + 1, f"k{n}")]
+
+
+def test_tabs_that_share_seeds_are_walked_once(spark):
+    hub = [("hub", f"n{k}") for k in range(50)] + [("hub", f"leaf{k}") for k in range(40)] + [("n1", "n2"), ("n2", "n1"), ("far", "end")]
+    e = spark.createDataFrame([(a, b, "calls") for a, b in hub] + [("n3", "never", "bind")], "source string, target string, type string")
+    pairs = [(f"t{k}", s) for k in range(40) for s in (f"leaf{k}", "hub")] + [("loop", "n1"), ("loop", "n2"), ("two", "far"), ("two", "n1"), ("gone", "no node")] + [("many", f"n{k}") for k in range(12)]
+    seeds = spark.createDataFrame(pairs, "tab_id string, id string")
+    tabs, members = closure.tab_classes(e, seeds, ["bind"])
+    assert rows(tabs.join(members, "class"), "tab_id", "id") == rows(closure.tab_closure(e, seeds, ["bind"]), "tab_id", "id")
+    assert tabs.where("tab_id rlike '^t[0-9]'").select("class").distinct().count() == 1
+    assert members.count() == 91 + 2 + 4 + 1 + 12
