@@ -36,8 +36,9 @@ def nodes(spark: SparkSession, sf: str) -> DataFrame:
 def edges(spark: SparkSession, sf: str) -> DataFrame:
     out = None
     for table, a, akey, b, bkey, repeated in EDGE_SPECS:
-        part = _t(spark, sf, table).select(_id(a, akey).alias("source"), _id(b, bkey).alias("target"), F.lit(f"{a}-to-{b}").alias("type"), F.col(bkey).cast("long").alias("ord"))
-        part = part.distinct() if repeated else part
+        keys = _t(spark, sf, table).select(akey, bkey)
+        keys = keys.distinct() if repeated else keys  # as numbers, which are a fraction of the names' size
+        part = keys.select(_id(a, akey).alias("source"), _id(b, bkey).alias("target"), F.lit(f"{a}-to-{b}").alias("type"), F.col(bkey).cast("long").alias("ord"))
         out = part if out is None else out.union(part)
     return out
 

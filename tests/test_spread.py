@@ -118,3 +118,12 @@ def test_tabs_that_share_seeds_are_walked_once(spark):
     assert rows(tabs.join(members, "class"), "tab_id", "id") == rows(closure.tab_closure(e, seeds, ["bind"]), "tab_id", "id")
     assert tabs.where("tab_id rlike '^t[0-9]'").select("class").distinct().count() == 1
     assert members.count() == 91 + 2 + 4 + 1 + 12
+
+
+def test_repeated_edges_are_merged_as_numbers(spark):
+    from cairngraph.plans import g1
+
+    e = g1.edges(spark, "/root/testdata/sf0.001")
+    assert e.count() == e.distinct().count()
+    merged = [line for line in e._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in line]
+    assert len(merged) == 2 and all("l_partkey" in line.split("], [")[0] and "::" not in line.split("], [")[0] for line in merged)
