@@ -106,8 +106,7 @@ def scan_table(sources: DataFrame, rules: DataFrame) -> DataFrame:
     true; a text is tested against the rules whose anchors it holds. Words meet
     the anchors under a hash of their text, so a text is copied once for each
     rule that it may match and never for its words; two texts of one hash would
-    only be tested against more rules. Both are spread by that hash over a
-    stated number of tasks, as the tests take long for tables of any size.
+    only be tested against more rules.
     """
     held = sources.where("text is not null").withColumn("_at", F.xxhash64("file", "text"))
     cased = F.coalesce("cased", F.lit(False)) if "cased" in rules.columns else F.lit(False)
@@ -116,7 +115,5 @@ def scan_table(sources: DataFrame, rules: DataFrame) -> DataFrame:
     words = held.select("_at", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Za-z0-9_]+)"), F.lit(1)))).alias("_word"))
     met = words.withColumn("_key", _low(F.col("_word"))).join(anchors, "_key").where(~F.col("_cased") | (F.col("_word") == F.col("_anchor")))
     pairs = met.select("_at", "_anchor", "_cased").distinct().join(wanted, ["_anchor", "_cased"]).drop("_anchor", "_cased")
-    spark = sources.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    found = held.repartition(tasks, "_at").join(pairs.repartition(tasks, "_at"), "_at").where(F.rlike("text", F.col("regex")))
+    found = held.join(pairs, "_at").where(F.rlike("text", F.col("regex")))
     return located(found.select("file", "text", "rule", "regex", "severity"))
