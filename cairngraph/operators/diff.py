@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -107,6 +107,62 @@ def graph_signature(nodes: DataFrame, edges: DataFrame, fields: Sequence[str] =
     return n.union(_numbered(edges, keys, edge_fields).select(F.lit("edge"), name, F.md5(exact(*keys, *edge_fields))))
 
 
+def _met(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """(keys..., occurrence, _a, _b): the edges of two builds by their keys and the number among equal ones; _a and _b are structs of new's other columns, null on the side that lacks the edge.
+
+    Both builds are dealt out once, by their keys, for the numbers and for the meeting.
+    """
+    cols = [F.col(f"`{c}`") for c in new.columns if c not in keys]
+    row = F.struct(F.lit(True).alias("_held"), *cols).alias("_row")
+    both = old.select(*keys, F.lit(False).alias("_new"), row).union(new.select(*keys, F.lit(True).alias("_new"), row)).repartition(*keys)
+    at = W.partitionBy(*keys, "_new").orderBy(*[F.col("_row")[c] for c in order] or ["_new"])
+    side = lambda new, to: F.first(F.when(F.col("_new") == new, F.col("_row")), ignorenulls=True).alias(to)
+    return both.withColumn("occurrence", F.row_number().over(at) - 1).groupBy(*keys, "occurrence").agg(side(False, "_a"), side(True, "_b"))
+
+
+def signature_pairs(old_nodes: DataFrame, old_edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame, fields: Sequence[str] = ("type", "label"), keys: Sequence[str] = EDGE, edge_fields: Sequence[str] = ("label",), name: Callable[[Column], Column] = lambda c: c) -> DataFrame:
+    """(kind, id, old, new): each element of two graphs with its signatures, as graph_signature gives them, null where it is in one alone.
+
+    Elements meet by their own keys, before they are named and hashed. Where
+    ids, sources and targets are numbers, ``name`` gives their texts.
+    """
+    row = F.struct(F.lit(True).alias("_held"), *fields)
+    a, b = old_nodes.select("id", row.alias("_a")), new_nodes.select(F.col("id").alias("_id"), row.alias("_b"))
+    n = a.join(b, F.col("id").eqNullSafe(F.col("_id")), "full").select(F.coalesce("id", "_id").alias("id"), "_a", "_b")
+    said = lambda side: F.when(F.col(side).isNotNull(), F.md5(exact(*[f"{side}.{c}" for c in fields])))
+    n = n.select(F.lit("node").alias("kind"), name(F.col("id")).alias("id"), said("_a").alias("old"), said("_b").alias("new"))
+    met = _met(old_edges.select(*keys, *edge_fields), new_edges.select(*keys, *edge_fields), keys, edge_fields)
+    met = met.select(*[(name(F.col(c)) if c in ("source", "target") else F.col(c)).alias(c) for c in keys], "occurrence", "_a", "_b").withColumn("_keys", exact(*keys))
+    said = lambda side: F.when(F.col(side).isNotNull(), F.md5(F.concat("_keys", exact(*[f"{side}.{c}" for c in edge_fields]))))
+    e = met.select(F.lit("edge"), F.concat("_keys", F.lit("#"), F.col("occurrence").cast("string")), said("_a"), said("_b"))
+    return n.union(e)
+
+
+def pair_trees(pairs: DataFrame, digits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Two signature trees (level, kind, range, n, total) of signature_pairs, and (kind, range, odd): how many elements differ in each of the finest ranges.
+
+    The pairs are read once and summed by their finest ranges; each coarser
+    level is summed from the next finer one. A signature adds a 64-bit hash to
+    the total, in two halves whose sums no range can overflow.
+    """
+    odd = ~F.col("old").eqNullSafe(F.col("new"))
+    sums = [F.count_if(odd).alias("odd")]
+    for side in ("old", "new"):
+        hashed = F.when(F.col(side).isNotNull(), F.xxhash64("kind", "id", side))
+        sums += [F.count(side).alias(f"_n_{side}"), F.sum(F.shiftrightunsigned(hashed, 32)).alias(f"_high_{side}"), F.sum(hashed.bitwiseAND(F.lit(2**32 - 1))).alias(f"_low_{side}")]
+    finest = stored(pairs.groupBy("kind", id_range("id", digits).alias("range")).agg(*sums))
+    trees = []
+    for side in ("old", "new"):
+        whole = lambda c: F.col(c).cast("decimal(20,0)")
+        level = finest.where(f"_n_{side} > 0").select("kind", "range", F.col(f"_n_{side}").alias("n"), (whole(f"_high_{side}") * F.lit(2**32).cast("decimal(11,0)") + whole(f"_low_{side}")).cast("decimal(38,0)").alias("total"))
+        tree = level.select(F.lit(digits).alias("level"), "*")
+        for k in range(digits - 1, 0, -1):
+            level = level.groupBy("kind", F.substring("range", 1, k).alias("range")).agg(F.sum("n").alias("n"), F.sum("total").cast("decimal(38,0)").alias("total"))
+            tree = tree.union(level.select(F.lit(k).alias("level"), "*"))
+        trees.append(tree)
+    return trees[0], trees[1], finest.select("kind", "range", "odd")
+
+
 def signature_tree(signed: DataFrame, digits: int) -> DataFrame:
     """(level, kind, range, n, total): sums of the signatures over ranges of ids, for each level of 1 to ``digits`` digits.
 
@@ -183,15 +239,18 @@ def reconstruct(old_nodes: DataFrame, old_edges: DataFrame, new_nodes: DataFrame
     """The new build's nodes(id, file, ...) and edges(keys..., ...), old rows being reused for all that is not dirty.
 
     Dirty are the nodes and edges of the changed files in either build, edges
-    on one side only and the ends of those.
+    on one side only and the ends of those. Both builds' edges meet once, by
+    their keys and numbers: an edge on one side only has no row to be taken in
+    its place, so of the others only the owner of their source decides.
     """
-    on = [*keys, "occurrence"]
-    was, now = _numbered(old_edges, keys), _numbered(new_edges, keys)
-    delta = edge_delta(old_edges, new_edges, keys)
-    dirty = dirty_set(old_nodes, new_nodes, delta, files)
-    nodes = _reuse(old_nodes, new_nodes, dirty, ["id"])
-    owned = owned_edges(old_nodes, was, files).select(*on).union(owned_edges(new_nodes, now, files).select(*on)).union(delta.select(*on)).distinct()
-    return nodes, _reuse(was, now, owned, on).drop("occurrence")
+    met = stored(_met(old_edges, new_edges, keys))
+    dirty = dirty_set(old_nodes, new_nodes, met.where("_a is null or _b is null"), files)
+    owned = old_nodes.select("id", "file").union(new_nodes.select("id", "file")).join(files.select("file").distinct(), "file", "left_semi")
+    owners = owned.select(F.col("id").alias("source")).distinct().withColumn("_owned", F.lit(True))
+    now = met.where("_b is not null").join(owners, "source", "left")
+    rows = now.withColumn("_row", F.when(F.col("_owned").isNull() & F.col("_a").isNotNull(), F.col("_a")).otherwise(F.col("_b")))
+    cols = [F.col(c) if c in keys else F.col(f"_row.`{c}`") for c in new_edges.columns]
+    return _reuse(old_nodes, new_nodes, dirty, ["id"]), rows.select(*cols)
 
 
 def _reuse(old: DataFrame, new: DataFrame, dirty: DataFrame, on: list[str]) -> DataFrame:

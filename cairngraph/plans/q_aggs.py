@@ -13,7 +13,7 @@ from ..operators import diff as D
 from .base import registrar
 from .base import table as _t
 from ..sources import io as S
-from .g1 import WIDE, G, edges, nodes, wide_edges, wide_nodes
+from .g1 import WIDE, G, edges, name, nodes, wide_edges, wide_nodes
 
 QUERIES, ORACLES, query = registrar()
 
@@ -355,33 +355,30 @@ UNION ALL SELECT 'edge', {_EXACT("source", "target", "type")} || '#0', md5({_EXA
 )
 
 
-def _two_signatures(spark, sf):
-    """The graph's signature and that of one with some labels of nodes and edges changed and some edges gone."""
-    n, e = nodes(spark, sf), edges(spark, sf).withColumn("label", F.concat(F.lit("n"), (F.col("ord") % 3).cast("string")))
+def _signature_pairs(spark, sf):
+    """The graph's signatures with those of one with some labels of nodes and edges changed and some edges gone."""
+    n, e = nodes(spark, sf, coded=True), stored(edges(spark, sf, coded=True)).withColumn("label", F.concat(F.lit("n"), (F.col("ord") % 3).cast("string")))
     other = n.withColumn("label", F.when(F.col("ord") % 10 == 3, F.concat("label", F.lit("!"))).otherwise(F.col("label")))
     moved = e.where("ord % 10 <> 4").withColumn("label", F.when(F.col("ord") % 10 == 5, "moved").otherwise(F.col("label")))
-    return D.graph_signature(n, e), D.graph_signature(other, moved)
+    return D.signature_pairs(n, e, other, moved, name=name)
 
 
 @query(SIGNED + "SELECT kind, id, a AS signature, a IS DISTINCT FROM b AS differs FROM o")
 def graph_signature(spark, sf):
-    signed, other = _two_signatures(spark, sf)
-    odd = D.signature_diff(signed, other).withColumn("differs", F.lit(True))
-    return signed.join(odd, ["kind", "id"], "left").select("kind", "id", "signature", F.coalesce("differs", F.lit(False)).alias("differs"))
+    pairs = _signature_pairs(spark, sf).where("old is not null")
+    return pairs.select("kind", "id", F.col("old").alias("signature"), (~F.col("old").eqNullSafe(F.col("new"))).alias("differs"))
 
 
 @query(SIGNED + "SELECT kind, substr(md5(id), 1, 3) AS range, count(*) AS elements FROM o WHERE a IS DISTINCT FROM b GROUP BY 1, 2")
 def graph_ranges(spark, sf):
     """The ranges of ids in which two builds differ, found by their trees of signatures, and the elements that do."""
-    signed, other = map(stored, _two_signatures(spark, sf))
-    ranges = D.tree_diff(D.signature_tree(signed, 3), D.signature_tree(other, 3))
-    odd = D.signature_diff(signed, other, ranges, 3).withColumn("range", D.id_range("id", 3))
-    return ranges.join(odd, ["kind", "range"], "left").groupBy("kind", "range").agg(F.count("id").alias("elements"))
+    old, new, odd = D.pair_trees(_signature_pairs(spark, sf), 3)
+    return D.tree_diff(old, new).join(odd, ["kind", "range"]).select("kind", "range", F.col("odd").alias("elements"))
 
 
-def _filed(spark, sf):
+def _filed(spark, sf, coded=False):
     file = F.when(F.col("type") != "region", F.concat(F.lit("f"), (F.col("ord") % 17).cast("string")))
-    return nodes(spark, sf).withColumn("file", file)
+    return nodes(spark, sf, coded).withColumn("file", file)
 
 
 FILED = G + ", fn AS (SELECT *, CASE WHEN type <> 'region' THEN 'f' || ord % 17 END AS file FROM nodes)"
@@ -414,11 +411,11 @@ UNION ALL SELECT 'edge', source || '>' || target, CASE WHEN e.ord % 9 = 0 OR fn.
 )
 def reconstruct(spark, sf):
     """A build whose every label is new, over one that lacks some nodes and edges: only what is dirty takes the new label."""
-    n, e = _filed(spark, sf).select("id", "file", "label", "ord"), edges(spark, sf).select("source", "target", "type", F.col("type").alias("label"), "ord")
+    n, e = _filed(spark, sf, coded=True).select("id", "file", "label", "ord"), stored(edges(spark, sf, coded=True)).select("source", "target", "type", F.col("type").alias("label"), "ord")
     mark = lambda df: df.withColumn("label", F.concat("label", F.lit("!")))
     old_n, old_e = n.where("ord % 4 > 0"), e.where("ord % 9 > 0")
     got_n, got_e = D.reconstruct(old_n.drop("ord"), old_e.drop("ord"), mark(n).drop("ord"), mark(e).drop("ord"), _changed(spark))
-    return got_n.select(F.lit("node").alias("kind"), "id", "label").union(got_e.select(F.lit("edge"), F.concat_ws(">", "source", "target"), "label"))
+    return got_n.select(F.lit("node").alias("kind"), name("id").alias("id"), "label").union(got_e.select(F.lit("edge"), F.concat_ws(">", name("source"), name("target")), "label"))
 
 
 @query(
