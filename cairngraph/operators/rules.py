@@ -28,46 +28,73 @@ def _glob_regex(low: Column) -> Column:
     return F.concat(F.lit("(?is)^"), F.replace(F.replace(quoted, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$"))
 
 
-def match_globs(values: DataFrame, rules: DataFrame) -> DataFrame:
-    """(value, rule_id): which of rules(rule_id, pattern) match which distinct values(value) whole, in any case of A-Z.
+#: Rule ids of one pattern that travel together, so many at most on average.
+BLOCK = 1000
 
-    In a pattern ``*`` is any run and ``?`` one character. Each rule is found
-    by one anchor that every match holds: of the words that stand between
-    separators in it the one that the fewest values hold; without a word the
-    first three characters of its longest literal, or all of a shorter one; a
-    rule of wildcards alone is found by the lengths it allows. Values are
-    joined to rules by their anchors, and the pairs tested. Null values and
-    null patterns match nothing.
-    """
+
+def _patterns(rules: DataFrame) -> DataFrame:
+    """(rule_id, _p): the rules' patterns in lower case, each once."""
+    return rules.where("pattern is not null").select("rule_id", _low(F.col("pattern")).alias("_p")).distinct()
+
+
+def _glob_hits(values: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(value, _p): which distinct patterns(_p) match which distinct values(value), each pair once, as a pattern has one anchor."""
     seen = values.where("value is not null").select("value").distinct().withColumn("_low", _low(F.col("value")))
-    made = rules.where("pattern is not null").select("rule_id", _low(F.col("pattern")).alias("_p")).distinct()
     words = F.array_distinct(F.regexp_extract_all("_p", F.lit(r"(?<![a-z0-9_*?])([a-z0-9_]+)(?![a-z0-9_*?])"), F.lit(1)))
     literals = F.array_sort(F.transform(F.regexp_extract_all("_p", F.lit("([^*?]+)"), F.lit(1)), lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x"))))
-    made = made.withColumn("_words", words).withColumn("_gram", F.substring(F.get(literals, 0)["x"], 1, GRAM)).withColumn("regex", _glob_regex(F.col("_p")))
+    made = patterns.withColumn("_words", words).withColumn("_gram", F.substring(F.get(literals, 0)["x"], 1, GRAM)).withColumn("regex", _glob_regex(F.col("_p")))
 
     by_word = seen.select("value", F.explode(_tokens(F.col("_low"))).alias("_key"))
     held = by_word.groupBy("_key").agg(F.count("*").alias("_n"))
-    each = made.select("rule_id", "regex", F.explode("_words").alias("_key"))
-    complete = each.join(held, "_key", "left").groupBy("rule_id", "regex").agg(F.min_by("_key", F.coalesce("_n", F.lit(0))).alias("_key"))
-    pairs = by_word.join(complete, "_key").select("value", "rule_id", "regex")
+    each = made.select("_p", "regex", F.explode("_words").alias("_key"))
+    complete = each.join(held, "_key", "left").groupBy("_p", "regex").agg(F.min_by("_key", F.coalesce("_n", F.lit(0))).alias("_key"))
+    pairs = by_word.join(complete, "_key").select("value", "_p", "regex")
     rest = made.where(F.size("_words") == 0)
     for n in range(1, GRAM + 1):
-        short = rest.where(F.length("_gram") == n).select("rule_id", "regex", F.col("_gram").alias("_key"))
+        short = rest.where(F.length("_gram") == n).select("_p", "regex", F.col("_gram").alias("_key"))
         cut = seen.where(F.length("_low") >= n).select("value", F.explode(_grams(F.col("_low"), n)).alias("_key"))
         cut = cut.join(short.select("_key").distinct(), "_key", "left_semi")
-        pairs = pairs.union(cut.join(short, "_key").select("value", "rule_id", "regex"))
-    wild = rest.where("_gram is null").select("rule_id", "regex", F.length(F.replace("_p", F.lit("*"), F.lit(""))).alias("_least"), F.col("_p").contains("*").alias("_open"))
+        pairs = pairs.union(cut.join(short, "_key").select("value", "_p", "regex"))
+    wild = rest.where("_gram is null").select("_p", "regex", F.length(F.replace("_p", F.lit("*"), F.lit(""))).alias("_least"), F.col("_p").contains("*").alias("_open"))
     lengths = seen.select(F.length("_low").alias("_length")).distinct()
     kinds = wild.select("_least", "_open").distinct()  # one for each length of pattern and openness, as lengths are
     allowed = kinds.join(lengths, (F.col("_length") == F.col("_least")) | (F.col("_open") & (F.col("_length") > F.col("_least"))))
-    longs = wild.join(allowed, ["_least", "_open"]).select("rule_id", "regex", "_length")
-    pairs = pairs.union(seen.select("value", F.length("_low").alias("_length")).join(longs, "_length").select("value", "rule_id", "regex"))
-    return pairs.where(F.rlike("value", F.col("regex"))).select("value", "rule_id").distinct()
+    longs = wild.join(allowed, ["_least", "_open"]).select("_p", "regex", "_length")
+    pairs = pairs.union(seen.select("value", F.length("_low").alias("_length")).join(longs, "_length").select("value", "_p", "regex"))
+    return pairs.where(F.rlike("value", F.col("regex"))).select("value", "_p")
+
+
+def match_globs(values: DataFrame, rules: DataFrame) -> DataFrame:
+    """(value, rule_id): which of rules(rule_id, pattern) match which distinct values(value) whole, in any case of A-Z.
+
+    In a pattern ``*`` is any run and ``?`` one character. Each pattern is found
+    by one anchor that every match holds: of the words that stand between
+    separators in it the one that the fewest values hold; without a word the
+    first three characters of its longest literal, or all of a shorter one; a
+    pattern of wildcards alone is found by the lengths it allows. Values are
+    joined to patterns by their anchors, and the pairs tested. Null values and
+    null patterns match nothing.
+
+    Rules of one pattern share its matches: these meet blocks of rule ids, so
+    what is tested, moved and held does not grow with the rules, and only the
+    rows given do. Rules of several patterns are made distinct, no others.
+    """
+    made = _patterns(rules)
+    hits = _glob_hits(values, made.select("_p").distinct()).repartition("value", "_p")
+    own = made.groupBy("rule_id").agg(F.count("*").alias("_n"), F.min("_p").alias("_p"))
+    one = own.where("_n = 1").select("rule_id", "_p")
+    sizes = one.groupBy("_p").agg(F.ceil(F.count("*") / BLOCK).alias("_blocks"))
+    blocks = one.join(sizes, "_p").groupBy("_p", F.pmod(F.xxhash64("rule_id"), F.col("_blocks")).alias("_block")).agg(F.collect_list(F.struct("rule_id")).alias("_ids"))  # structs, as lists leave nulls out
+    dealt = hits.join(sizes, "_p").select("value", "_p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_block"))
+    single = dealt.join(blocks, ["_p", "_block"]).select("value", F.explode("_ids").alias("_id")).select("value", "_id.rule_id")
+    several = made.join(own.where("_n > 1").select("rule_id"), "rule_id", "left_semi")
+    return single.union(hits.join(several, "_p").select("value", "rule_id").distinct())
 
 
 def first_rule(values: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     """(value, label): for each distinct value the label of the least rule_id of rules(rule_id, pattern, label) that matches, else default."""
-    least = match_globs(values, rules).groupBy("value").agg(F.min("rule_id").alias("rule_id"))
+    first = _patterns(rules).groupBy("_p").agg(F.min("rule_id").alias("rule_id"))
+    least = _glob_hits(values, first.select("_p")).join(first, "_p").groupBy("value").agg(F.min("rule_id").alias("rule_id"))
     found = least.join(rules.groupBy("rule_id").agg(F.min("label").alias("label")), "rule_id").select("value", "label")
     return values.select("value").distinct().join(found, "value", "left").select("value", F.coalesce("label", F.lit(default)).alias("label"))
 

@@ -86,3 +86,16 @@ def test_words_of_long_texts_do_not_carry_them(spark):
 
 def test_glob_regex_is_literal_but_for_wildcards():
     assert re.fullmatch(glob_regex("a.b[*]?"), "a.b[xyz]!")
+
+
+def test_rules_of_one_pattern_share_its_matches(spark):
+    n = 3 * rules.BLOCK + 7
+    values = spark.createDataFrame([("a/x",), ("a/y",), ("b/y",), (None,)], "value string")
+    many = spark.range(n).select("id", F.lit("A/*").alias("pattern"))
+    made = many.union(spark.createDataFrame([(-1, "a/*"), (-1, "*/y"), (-2, "?/x"), (-3, None), (None, "b/*")], "id long, pattern string")).toDF("rule_id", "pattern")
+    got = rules.match_globs(values, made)
+    assert got.count() == got.distinct().count() == 2 * n + 3 + 1 + 1
+    assert sorted(tuple(r) for r in got.where("rule_id < 0").collect()) == [("a/x", -2), ("a/x", -1), ("a/y", -1), ("b/y", -1)]
+    assert got.where("value like 'a%' and rule_id >= 0").groupBy("value").count().where(F.col("count") == n).count() == 2
+    assert got.where("rule_id is null").first().value == "b/y"
+    assert rules._glob_hits(values, rules._patterns(made).select("_p").distinct()).count() == 2 + 2 + 1 + 1  # pairs of patterns, however many rules
