@@ -51,12 +51,21 @@ def nodes(spark: SparkSession, sf: str, coded: bool = False) -> DataFrame:
     return out
 
 
+#: Rows of a part in which repeated edges are found.
+PART = 250_000
+
+
+def _once(keys: DataFrame) -> DataFrame:
+    """keys, each once, in as many parts as their number asks for; nearly all differ, so counting them before they are dealt out would only hold them twice."""
+    return keys.repartition(max(1, keys.count() // PART), *keys.columns).distinct()
+
+
 def edges(spark: SparkSession, sf: str, coded: bool = False) -> DataFrame:
     """(source, target, type, ord); coded: with numbers for ids, as in nodes."""
     of, out = code if coded else _id, None
     for table, a, akey, b, bkey, repeated in EDGE_SPECS:
         keys = _t(spark, sf, table).select(akey, bkey)
-        keys = keys.distinct() if repeated else keys  # as numbers, which are a fraction of the names' size
+        keys = _once(keys) if repeated else keys  # as numbers, which are a fraction of the names' size
         part = keys.select(of(a, akey).alias("source"), of(b, bkey).alias("target"), F.lit(f"{a}-to-{b}").alias("type"), F.col(bkey).cast("long").alias("ord"))
         out = part if out is None else out.union(part)
     return out

@@ -11,15 +11,21 @@ from ..functions import exprs as X
 from ..operators import aggs as A
 from ..operators import closure as C
 from ..operators import graph as O
+from ..lineage import stored
 from .base import registrar
-from .g1 import URGENT, WIDE, G, edges, nodes, urgent, wide_edges, wide_nodes
+from .g1 import URGENT, WIDE, G, edges, name, nodes, urgent, wide_edges, wide_nodes
 
 QUERIES, ORACLES, query = registrar()
 SKIP = ["supplier-to-part"]
 
 
-def _regions(spark, sf):
-    return nodes(spark, sf).where("type = 'region'").select(F.col("id").alias("tab_id"), "id")
+def _named(df, *ids):
+    """df with names for the numbers of its ids."""
+    return df.withColumns({c: name(c) for c in ids})
+
+
+def _regions(spark, sf, coded=False):
+    return nodes(spark, sf, coded).where("type = 'region'").select(F.col("id").alias("tab_id"), "id")
 
 
 def _seeded(start, where="", base=G, e="edges"):
@@ -35,14 +41,14 @@ SKIPPED = "AND e.type <> 'supplier-to-part'"
 
 @query(_deep("type = 'region'", SKIPPED) + " SELECT tab_id, type, count(*) AS n, CAST(min(depth) AS INTEGER) AS depth FROM best JOIN nodes USING (id) GROUP BY 1, 2")
 def tab_closure(spark, sf):
-    met = C.tab_closure(edges(spark, sf), _regions(spark, sf), SKIP)
-    return met.join(nodes(spark, sf).select("id", "type"), "id").groupBy("tab_id", "type").agg(F.count("*").alias("n"), F.min("depth").alias("depth"))
+    met = C.tab_closure(edges(spark, sf, coded=True), _regions(spark, sf, coded=True), SKIP)
+    return _named(met.join(nodes(spark, sf, coded=True).select("id", "type"), "id").groupBy("tab_id", "type").agg(F.count("*").alias("n"), F.min("depth").alias("depth")), "tab_id")
 
 
 @query(_seeded("type = 'region'", SKIPPED) + " SELECT a.tab_id, e.type, count(*) AS n FROM edges e JOIN reach a ON a.id = e.source JOIN reach b ON b.id = e.target AND a.tab_id = b.tab_id GROUP BY 1, 2")
 def tab_edges(spark, sf):
-    e, n = edges(spark, sf), nodes(spark, sf)
-    return C.tab_edges(C.tab_closure(e, _regions(spark, sf), SKIP), n, e).groupBy("tab_id", "type").agg(F.count("*").alias("n"))
+    e, n = stored(edges(spark, sf, coded=True)), nodes(spark, sf, coded=True)
+    return _named(C.tab_edges(C.tab_closure(e, _regions(spark, sf, coded=True), SKIP), n, e).groupBy("tab_id", "type").agg(F.count("*").alias("n")), "tab_id")
 
 
 @query(
@@ -82,16 +88,16 @@ def tab_families(spark, sf):
 
 @query(_seeded("id IN ('region::0', 'nation::3')") + " SELECT type, count(*) AS n, count(DISTINCT reach.id) AS reached FROM nodes LEFT JOIN (SELECT DISTINCT id FROM reach) reach USING (id) GROUP BY 1")
 def reached(spark, sf):
-    n = nodes(spark, sf)
-    entry = n.where("id in ('region::0', 'nation::3')").select("id")
-    met = C.reached(n, edges(spark, sf), entry.withColumn("fqcn", F.lit(None).cast("string"))).select("id", F.lit(1).alias("hit"))
+    n = nodes(spark, sf, coded=True)
+    entry = n.where(name("id").isin("region::0", "nation::3")).select("id")
+    met = C.reached(n, edges(spark, sf, coded=True), entry.withColumn("fqcn", F.lit(None).cast("string"))).select("id", F.lit(1).alias("hit"))
     return n.join(met, "id", "left").groupBy("type").agg(F.count("*").alias("n"), F.count("hit").alias("reached"))
 
 
 @query(G + ", up(id) AS (SELECT id FROM nodes WHERE type = 'part' AND id LIKE '%00' UNION SELECT e.source FROM up JOIN edges e ON e.target = up.id) SELECT id FROM up JOIN nodes USING (id) WHERE type IN ('customer', 'supplier')")
 def impact(spark, sf):
-    n = nodes(spark, sf)
-    return C.impact(n, edges(spark, sf), n.where("type = 'part' and id like '%00'"), ["customer", "supplier"]).select("id")
+    n = nodes(spark, sf, coded=True)
+    return C.impact(n, edges(spark, sf, coded=True), n.where((F.col("type") == "part") & name("id").endswith("00")), ["customer", "supplier"]).select(name("id").alias("id"))
 
 
 @query(
@@ -103,8 +109,8 @@ SELECT id, type, depth, row_number() OVER (ORDER BY depth, keys) - 1 AS place FR
 )
 def neighbourhood(spark, sf):
     """Within three steps of a nation; suppliers and orders come before other types."""
-    n = nodes(spark, sf)
-    return C.neighbourhood(n, edges(spark, sf), n.where("id = 'nation::7'"), 3, {"supplier": 0, "order": 1}).select("id", "type", "depth", "place")
+    n = nodes(spark, sf, coded=True)
+    return C.neighbourhood(n, stored(edges(spark, sf, coded=True)), n.where(name("id") == "nation::7"), 3, {"supplier": 0, "order": 1}).select(name("id").alias("id"), "type", "depth", "place")
 
 
 @query(
@@ -124,7 +130,8 @@ def attributed_ops(spark, sf):
 
 @query(_deep("type = 'region'", limit="WHERE r.depth < 5 AND split_part(r.id, '::', 1) IN ('region', 'nation', 'customer')") + " SELECT b.tab_id, e.type, count(*) AS hops FROM best b JOIN edges e ON e.source = b.id WHERE split_part(b.id, '::', 1) IN ('region', 'nation', 'customer') GROUP BY 1, 2")
 def trace_depth5(spark, sf):
-    return C.trace(edges(spark, sf), _regions(spark, sf), nodes(spark, sf), ["nation", "customer"], 5).groupBy("tab_id", "type").agg(F.count("*").alias("hops"))
+    hops = C.trace(stored(edges(spark, sf, coded=True)), _regions(spark, sf, coded=True), nodes(spark, sf, coded=True), ["nation", "customer"], 5)
+    return _named(hops.groupBy("tab_id", "type").agg(F.count("*").alias("hops")), "tab_id")
 
 
 @query(G + " SELECT n.id, n.type <> 'order' OR n.id IN (SELECT e.target FROM edges e JOIN edges f ON f.target = e.source WHERE f.source IN ('nation::1', 'nation::2')) AS inherits FROM nodes n WHERE n.type = 'order'")
@@ -151,10 +158,10 @@ def resolve_member(spark, sf):
 FROM nodes n LEFT JOIN reach r ON r.tab_id = n.id AND r.id <> n.id WHERE n.type IN ('region', 'nation') GROUP BY 1"""
 )
 def collapsed_counts(spark, sf):
-    n = nodes(spark, sf)
-    hidden, counts = C.collapse(n, edges(spark, sf), n.where("type in ('region', 'nation')"), ["region", "nation", "customer", "order"])
+    n = nodes(spark, sf, coded=True)
+    hidden, counts = C.collapse(n, edges(spark, sf, coded=True), n.where("type in ('region', 'nation')"), ["region", "nation", "customer", "order"])
     whole = hidden.agg(F.count("*").alias("all_hidden"))
-    return counts.join(hidden.withColumn("itself_hidden", F.lit(True)), "id", "left").join(F.broadcast(whole)).select("id", "hidden", F.coalesce("itself_hidden", F.lit(False)).alias("itself_hidden"), "all_hidden")
+    return counts.join(hidden.withColumn("itself_hidden", F.lit(True)), "id", "left").join(F.broadcast(whole)).select(name("id").alias("id"), "hidden", F.coalesce("itself_hidden", F.lit(False)).alias("itself_hidden"), "all_hidden")
 
 
 @query(
@@ -252,9 +259,9 @@ SELECT row_number() OVER (ORDER BY part, level, p, q, ord, t) - 1 AS place, send
 )
 def sequence_messages(spark, sf):
     """The calls that start at one nation, in their order; parts are the models."""
-    n = nodes(spark, sf).withColumn("type", F.when(F.col("type") == "part", "model").otherwise(F.col("type")))
-    e = edges(spark, sf).withColumn("label", F.lit("call"))
-    _, messages = C.sequence(n, e, n.where("id = 'nation::1'"), RANKS)
+    n = nodes(spark, sf, coded=True).withColumn("type", F.when(F.col("type") == "part", "model").otherwise(F.col("type")))
+    e = stored(edges(spark, sf, coded=True)).withColumn("label", F.lit("call"))
+    _, messages = C.sequence(n, e, n.where(name("id") == "nation::1"), RANKS, name=name, order=("ord", "target"))
     return A.numbered(messages, ["pos"], "place").select("place", "sender", "receiver", "label", "is_return")
 
 
@@ -275,8 +282,8 @@ def isolated_by_type(spark, sf):
 
 @query(_seeded("id IN (SELECT id FROM urgent)", base=WIDE + ", " + URGENT, e="wedges") + " SELECT type, count(*) AS n FROM wnodes WHERE id NOT IN (SELECT id FROM reach) GROUP BY 1")
 def outside_tabs(spark, sf):
-    """A tab for each urgent open order."""
-    met = C.tab_closure(wide_edges(spark, sf), urgent(spark, sf).select(F.col("id").alias("tab_id"), "id"))
+    """A tab for each urgent open order; what is in any of them is what all their orders reach together, walked once."""
+    met = C.closure(wide_edges(spark, sf), urgent(spark, sf))
     return O.outside_tabs(wide_nodes(spark, sf), met)
 
 
@@ -292,8 +299,8 @@ def induced_subgraph(spark, sf):
 
 @query(G + " SELECT source AS id, count(*) AS n FROM edges WHERE type IN ('region-to-nation', 'nation-to-customer', 'customer-to-order') AND target NOT LIKE '%5' GROUP BY 1")
 def out_degree(spark, sf):
-    n = nodes(spark, sf)
-    return O.out_degree(n, edges(spark, sf), ["region", "nation", "customer", "order"], n.where("id like '%5'"))
+    n = nodes(spark, sf, coded=True)
+    return _named(O.out_degree(n, edges(spark, sf, coded=True), ["region", "nation", "customer", "order"], n.where(name("id").endswith("5"))), "id")
 
 
 @query("SELECT l_orderkey, l_partkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_linenumber) - 1 AS occurrence FROM lineitem")

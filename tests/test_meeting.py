@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from cairngraph.operators import diff
+from cairngraph.operators import closure, diff
 from cairngraph.plans import g1
 
 SF = "/root/testdata/sf0.001"
@@ -46,3 +46,22 @@ def test_coded_ids_have_the_names(spark):
         assert coded.withColumns({c: g1.name(c) for c in ids}).exceptAll(table(spark, SF)).isEmpty()
     odd = spark.createDataFrame([(-3,), (None,), (2**59,)], "k long")
     assert [r[0] for r in odd.select(g1.name(g1.code("part", "k"))).collect()] == ["part::-3", None, f"part::{2**59}"]
+
+
+def test_sides_are_counted_in_one_pass(spark):
+    e = lambda *r: spark.createDataFrame(r, "source string, target string, type string")
+    old, new = e(("a", "b", "t"), ("a", "b", "t"), ("c", "d", "t"), (None, "d", "t")), e(("a", "b", "t"), ("c", "d", "t"), ("x", "y", "t"), (None, "d", "t"))
+    got = diff.edge_delta(old, new)
+    assert rows(got) == sorted([("a", "b", "t", 1, "removed"), ("x", "y", "t", 0, "added"), (None, "d", "t", 0, "removed"), (None, "d", "t", 0, "added")], key=str)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_sequence_of_numbers_is_that_of_names(spark):
+    got = []
+    for coded in (False, True):
+        n = g1.nodes(spark, SF, coded).where("type in ('nation', 'customer', 'order') or ord % 7 = 0")
+        start = n.where("type = 'nation' and label = 'NATION_1'").select("id")
+        to = {"name": g1.name, "order": ("ord", "target")} if coded else {}
+        made = closure.sequence(n, g1.edges(spark, SF, coded).withColumn("label", F.lit("x")), start, {"nation": 0}, "part", **to)
+        got.append([rows(made[0].select("id", "type")), rows(made[1].select("sender", "receiver", "label", "is_return"))])
+    assert got[0] == got[1] and got[0][1]
