@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,10 +23,13 @@ def edge_delta(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("source",
     """(keys..., occurrence, side): edges, repeated ones by their number, on one side only.
 
     Equal edges are counted and not numbered one by one, so an edge repeated
-    without end is one row until the numbers on one side only are given.
+    without end is one row until the numbers on one side only are given. Both
+    sides are counted in one pass; an edge with a null key equals none of the
+    other side.
     """
-    count = lambda df, name: df.groupBy(*keys).agg(F.count("*").alias(name))
-    both = count(old, "_o").join(count(new, "_n"), list(keys), "full").na.fill(0, ["_o", "_n"]).where("_o <> _n")
+    sides = old.select(*keys, F.lit(False).alias("_new")).union(new.select(*keys, F.lit(True).alias("_new")))
+    apart = F.when(reduce(lambda a, b: a | b, [F.col(f"`{k}`").isNull() for k in keys]), F.col("_new")).alias("_apart")
+    both = sides.groupBy(*keys, apart).agg(F.count_if(~F.col("_new")).alias("_o"), F.count_if("_new").alias("_n")).where("_o <> _n")
     numbers = F.sequence(F.least("_o", "_n"), F.greatest("_o", "_n") - 1)
     return both.select(*keys, F.explode(numbers).alias("occurrence"), F.when(F.col("_o") < F.col("_n"), "added").otherwise("removed").alias("side"))
 
@@ -40,10 +44,9 @@ def owned_edges(nodes: DataFrame, edges: DataFrame, files: DataFrame) -> DataFra
 
 
 def owned_equal(old_nodes: DataFrame, old_edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame, files: DataFrame, keys: Sequence[str] = EDGE) -> DataFrame:
-    """One row (equal): whether files(file) own the same edges, as often, in both builds."""
-    count = lambda n, e, name: owned_edges(n, e, files).groupBy(*keys).agg(F.count("*").alias(name))
-    both = count(old_nodes, old_edges, "_a").join(count(new_nodes, new_edges, "_b"), list(keys), "full")
-    odd = both.where(F.coalesce("_a", F.lit(0)) != F.coalesce("_b", F.lit(0)))
+    """One row (equal): whether files(file) own the same edges, as often, in both builds, which are counted against each other in one pass."""
+    owned = lambda n, e, k: owned_edges(n, e, files).select(*keys, F.lit(k).alias("_k"))
+    odd = owned(old_nodes, old_edges, 1).union(owned(new_nodes, new_edges, -1)).groupBy(*keys).agg(F.sum("_k").alias("_k")).where("_k <> 0")
     return odd.agg((F.count("*") == 0).alias("equal"))
 
 
