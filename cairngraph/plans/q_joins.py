@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import rewire as R
 from .base import registrar
 from .base import table as _t
-from .g1 import URGENT, G, edges, mentions, nodes, urgent, wide_edges, wide_nodes
+from .g1 import URGENT, G, code, edges, name, mentions, nodes, urgent, wide_edges, wide_nodes
 
 QUERIES, ORACLES, query = registrar()
 
@@ -222,10 +222,10 @@ def unwired(spark, sf):
 
 @query(G + " SELECT source, target, 'needs' AS type FROM edges WHERE type = 'supplier-to-part' AND target IN (SELECT 'part::' || p_partkey FROM part WHERE p_size < 25) AND (source, target) NOT IN (SELECT 'supplier::' || l_suppkey, 'part::' || l_partkey FROM lineitem WHERE l_quantity >= 40)")
 def dependency_edges(spark, sf):
-    deps = edges(spark, sf).where("type = 'supplier-to-part'")
-    classes = _t(spark, sf, "part").where("p_size < 25").select(_pre("part::", "p_partkey").alias("fqcn"))
-    old = _t(spark, sf, "lineitem").where("l_quantity >= 40").select(_pre("supplier::", "l_suppkey").alias("source"), _pre("part::", "l_partkey").alias("target"))
-    return R.dependency_edges(deps, classes, old, "needs")
+    deps = edges(spark, sf, coded=True).where("type = 'supplier-to-part'")
+    classes = _t(spark, sf, "part").where("p_size < 25").select(code("part", "p_partkey").alias("fqcn"))
+    old = _t(spark, sf, "lineitem").where("l_quantity >= 40").select(code("supplier", "l_suppkey").alias("source"), code("part", "l_partkey").alias("target"))
+    return R.dependency_edges(deps, classes, old, "needs").withColumns({"source": name("source"), "target": name("target")})
 
 
 @query(
