@@ -425,11 +425,11 @@ UNION ALL SELECT 'edge', source || '>' || target, type, ord FROM edges"""
 )
 def apply_partial(spark, sf):
     """A partial build of two files that has half of their nodes, its own order and one node more, which is not taken."""
-    n, e = _filed(spark, sf).select("id", "label", "file", "ord"), edges(spark, sf)
-    more = spark.range(1).select(F.lit("new::1"), F.lit("x"), F.lit("f3"), F.lit(0).cast("long"))
+    n, e = _filed(spark, sf, coded=True).select("id", "label", "file", "ord"), edges(spark, sf, coded=True)
+    more = spark.range(1).select(F.lit(-1).cast("long"), F.lit("x"), F.lit("f3"), F.lit(0).cast("long"))
     partial = n.where("ord % 2 = 0").withColumns({"label": F.concat("label", F.lit("!")), "ord": F.lit(0).cast("long")}).join(_changed(spark), "file", "left_semi").select("id", "label", "file", "ord").union(more)
     got_n, got_e = D.apply_partial(n, e, partial, _changed(spark))
-    return got_n.select(F.lit("node").alias("kind"), "id", "label", "ord").union(got_e.select(F.lit("edge"), F.concat_ws(">", "source", "target"), "type", "ord"))
+    return got_n.select(F.lit("node").alias("kind"), name("id").alias("id"), "label", "ord").union(got_e.select(F.lit("edge"), F.concat_ws(">", name("source"), name("target")), "type", "ord"))
 
 
 @query(
