@@ -158,9 +158,9 @@ def merge_files(nodes_path: str, partial_nodes: DataFrame, old_edges: DataFrame,
     nodes = settle(nodes)
     emptied = inside.select("file").distinct().join(nodes.select("file"), "file", "left_anti")
     if not (moved.isEmpty() and emptied.isEmpty() and owned_equal(old, old_edges, partial_nodes, partial_edges, files).first()["equal"]):
-        settle(rebuild().select(*old.columns)).repartition("file").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("file").parquet(nodes_path)
+        settle(rebuild().select(*old.columns)).repartitionByRange("file", "id").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("file").parquet(nodes_path)
         return "full"
-    nodes.repartition("file").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file").parquet(nodes_path)
+    nodes.repartitionByRange("file", "id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file").parquet(nodes_path)
     return "scoped"
 
 
