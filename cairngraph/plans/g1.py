@@ -106,9 +106,9 @@ wedges AS (SELECT * FROM edges UNION ALL SELECT DISTINCT 'label::' || quality, '
 )
 
 
-def urgent(spark: SparkSession, sf: str) -> DataFrame:
-    """(id): the open orders of the highest priority, entry points of the graph."""
-    return _t(spark, sf, "orders").where("o_orderstatus = 'O' and o_orderpriority like '1%'").select(_id("order", "o_orderkey").alias("id"))
+def urgent(spark: SparkSession, sf: str, coded: bool = False) -> DataFrame:
+    """(id): the open orders of the highest priority, entry points of the graph; coded as in nodes."""
+    return _t(spark, sf, "orders").where("o_orderstatus = 'O' and o_orderpriority like '1%'").select((code if coded else _id)("order", "o_orderkey").alias("id"))
 
 
 URGENT = "urgent AS (SELECT 'order::' || o_orderkey AS id FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority LIKE '1%')"

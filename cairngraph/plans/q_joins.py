@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..lineage import stored
 from ..operators import rewire as R
 from .base import registrar
 from .base import table as _t
@@ -139,14 +140,16 @@ SELECT id, file, concat_ws(',', CASE WHEN k % 4 = 0 THEN 'facade' WHEN k % 3 = 0
 )
 def unreached_evidence(spark, sf):
     """Parts in no urgent open order; a part extends the one before it and implements the one before that."""
-    part = _t(spark, sf, "part").select(F.col("p_partkey").alias("k"), _pre("part::", "p_partkey").alias("id"), F.concat(F.lit("f"), (F.col("p_partkey") % 5).cast("string")).alias("file"))
-    reached = edges(spark, sf).join(urgent(spark, sf).withColumnRenamed("id", "source"), "source", "left_semi").select(F.col("target").alias("id")).distinct()
-    unreached = part.join(reached, "id", "left_anti").select("id", "file")
-    other = lambda n: F.concat(F.lit("part::"), (F.col("k") - n).cast("string"))
-    classes = part.select("id", other(1).alias("parent"), F.array(other(2)).alias("interfaces"), F.array().cast("array<string>").alias("traits"))
-    li = _t(spark, sf, "lineitem").select(_pre("part::", "l_partkey").alias("id"), "l_returnflag", "l_linestatus", F.concat(F.lit("f"), (F.col("l_suppkey") % 5).cast("string")).alias("file"))
+    file = lambda c: F.concat(F.lit("f"), (F.col(c) % 5).cast("string")).alias("file")
+    part = _t(spark, sf, "part").select(F.col("p_partkey").alias("k"), (F.col("p_partkey") - 1).alias("before"), (F.col("p_partkey") - 2).alias("earlier"), file("p_partkey"))
+    part = part.withColumn("id", code("part", "k"))
+    entry = urgent(spark, sf, coded=True).withColumnRenamed("id", "source").hint("shuffle_hash")  # the edges, far more, pass it unsorted
+    reached = stored(edges(spark, sf, coded=True).join(entry, "source", "left_semi").select(F.col("target").alias("id")).distinct())
+    unreached = stored(part.join(reached, "id", "left_anti").select("id", "file"))
+    classes = part.select("id", code("part", "before").alias("parent"), F.array(code("part", "earlier")).alias("interfaces"), F.array().cast("array<long>").alias("traits"))
+    li = _t(spark, sf, "lineitem").select(code("part", "l_partkey").alias("id"), "l_returnflag", "l_linestatus", file("l_suppkey"))
     got = R.evidence(unreached, bound=part.where("k % 3 = 0"), facades=part.where("k % 4 = 0"), inherited=R.inherited(classes, reached), configured=li.where("l_returnflag = 'A'"), mentioned=li.where("l_linestatus = 'O'"))
-    return got.select("id", "file", F.array_join("evidence", ",").alias("evidence"))
+    return got.select(name("id").alias("id"), "file", F.array_join("evidence", ",").alias("evidence"))
 
 
 @query("SELECT o_orderkey AS key, CASE WHEN o_custkey % 3 = 0 THEN 'c' || o_custkey ELSE 'n' || o_custkey % 30 END AS id FROM orders WHERE o_custkey % 3 = 0 OR o_custkey % 30 IN (SELECT n_nationkey FROM nation)")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from cairngraph.operators import closure, diff
+from cairngraph.operators import closure, diff, rewire
 from cairngraph.plans import g1
 
 SF = "/root/testdata/sf0.001"
@@ -65,3 +65,14 @@ def test_a_sequence_of_numbers_is_that_of_names(spark):
         made = closure.sequence(n, g1.edges(spark, SF, coded).withColumn("label", F.lit("x")), start, {"nation": 0}, "part", **to)
         got.append([rows(made[0].select("id", "type")), rows(made[1].select("sender", "receiver", "label", "is_return"))])
     assert got[0] == got[1] and got[0][1]
+
+
+def test_evidence_meets_the_unreached_once_and_takes_numbers(spark):
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id long")
+    filed = lambda *x: spark.createDataFrame(list(x), "id long, file string")
+    classes = spark.createDataFrame([(9, 1, [2, None], None), (8, 3, None, [4]), (9, None, None, [5])], "id long, parent long, interfaces array<long>, traits array<long>")
+    unreached = filed((1, "f"), (2, "f"), (3, None), (4, "f"), (5, "f"), (5, "g"), (6, "f"), (6, "f"))
+    got = rewire.evidence(unreached, bound=ids(1, 1, 2, 7), facades=ids(2, 7), inherited=rewire.inherited(classes, ids(9, 9)), configured=filed((1, "f"), (2, "g"), (2, "h"), (3, None), (4, None)), mentioned=filed((3, "f"), (4, "f"), (5, "f"), (1, "g")))
+    assert rows(got) == sorted([(1, "f", ["bound", "inherited", "mentioned"]), (2, "f", ["facade", "configured", "inherited"]), (3, None, ["mentioned"]), (4, "f", ["configured"]), (5, "f", ["inherited", "mentioned"]), (5, "g", ["inherited", "mentioned"]), (6, "f", []), (6, "f", [])], key=str)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == plan.count("strategy=shuffle_hash") == 1  # all five in one join, which sorts none of them
