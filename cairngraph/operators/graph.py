@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -82,21 +82,33 @@ def usages(nodes: DataFrame, edges: DataFrame, ids: DataFrame | None = None) ->
     return met.groupBy("id", "file").agg(F.count("*").alias("callers")).orderBy("id", F.desc("callers"), F.col("file").startswith("#"), "file")
 
 
-def usage_list(nodes: DataFrame, edges: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+def usage_list(nodes: DataFrame, edges: DataFrame, ids: DataFrame | None = None, named: Callable[[str], Column] = F.col) -> DataFrame:
     """(id, file, callers, source, label, type, edge_labels, edge_types): each direct caller of each node, in its file.
 
     file and callers are those of usages, by which the rows can be ordered. The
     distinct labels and types of a caller's edges are joined by ``, `` in the
     order of the edges (ord); empty ones are left out. A caller that is no node
-    is labelled by its id, of unknown type.
+    is labelled by its id, of unknown type. Where ids are numbers, ``named``
+    gives the name of a column of them.
+
+    Edges meet their callers and then their targets, in joins that hold the
+    nodes and let the edges pass unsorted. One sort then serves both windows,
+    as a caller lies in one file.
     """
-    calls = edges.where("source <> target and source <> ''").join((nodes if ids is None else ids).select(F.col("id").alias("target")).distinct(), "target", "left_semi")
-    joined = lambda c: F.array_join(F.array_distinct(F.filter(F.transform("_e", lambda e: e[c]), lambda x: x != "")), ", ")
-    each = calls.groupBy(F.col("target").alias("id"), "source").agg(F.array_sort(F.collect_list(F.struct("ord", F.coalesce("label", F.lit("")).alias("label"), F.coalesce("type", F.lit("")).alias("type")))).alias("_e"))
-    known = nodes.select(F.col("id").alias("source"), F.nullif("file", F.lit("")).alias("file"), F.col("label").alias("_label"), F.col("type").alias("_type")).dropDuplicates(["source"])
-    met = each.join(known, "source", "left").select("id", F.coalesce("file", F.concat(F.lit("#"), "source")).alias("file"), "source", F.coalesce("_label", "source").alias("label"), F.coalesce("_type", F.lit("unknown")).alias("type"), joined("label").alias("edge_labels"), joined("type").alias("edge_types"))
-    counts = met.groupBy("id", "file").agg(F.count("*").alias("callers"))
-    return met.join(counts, ["id", "file"]).select("id", "file", "callers", "source", "label", "type", "edge_labels", "edge_types")
+    some = F.col("source") != F.col("target")
+    some = some & (F.col("source") != "") if dict(edges.dtypes)["source"] == "string" else some
+    known = nodes.select(F.col("id").alias("source"), F.nullif("file", F.lit("")).alias("_file"), F.col("label").alias("_label"), F.col("type").alias("_type")).dropDuplicates(["source"])
+    asked = (nodes if ids is None else ids).select(F.col("id").alias("target")).distinct()
+    calls = edges.where(some).select("source", "target", "ord", F.coalesce("label", F.lit("")).alias("label"), F.coalesce("type", F.lit("")).alias("type"))
+    # No semi-join: it would be moved ahead, and the rows dealt out by target twice.
+    calls = calls.join(known.hint("shuffle_hash"), "source", "left").join(asked.hint("shuffle_hash"), "target")
+    placed = calls.withColumn("file", F.coalesce("_file", F.concat(F.lit("#"), named("source"))))
+    first = W.partitionBy("target", "file", "source").orderBy("ord", "label", "type")
+    whole = first.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    each = placed.select("*", F.row_number().over(first).alias("_n"), F.collect_list("label").over(whole).alias("_labels"), F.collect_list("type").over(whole).alias("_types")).where("_n = 1")
+    met = each.withColumn("callers", F.count("*").over(W.partitionBy("target", "file")))
+    joined = lambda c: F.array_join(F.array_distinct(F.array_remove(c, "")), ", ")
+    return met.select(named("target").alias("id"), "file", "callers", named("source").alias("source"), F.coalesce("_label", named("source")).alias("label"), F.coalesce("_type", F.lit("unknown")).alias("type"), joined("_labels").alias("edge_labels"), joined("_types").alias("edge_types"))
 
 
 def focal(nodes: DataFrame, id: str | None = None, label: str | None = None) -> DataFrame:

@@ -14,24 +14,24 @@ def _id(kind: str, key: str):
     return F.concat(F.lit(f"{kind}::"), F.col(key).cast("string"))
 
 
-#: Ids as numbers: the key above so many bits, which hold the kind's place in NODE_SPECS. Keys stay below 2^60.
+#: Ids as numbers: the key above so many bits, which hold the kind's place in KINDS. Keys stay below 2^60.
 KIND_BITS = 3
 
 
 def code(kind: str, key: str):
     """The number of an entity, which joins, sorts and shuffles at a fraction of its name's cost."""
-    at = next(n for n, spec in enumerate(NODE_SPECS) if spec[0] == kind)
-    return F.shiftleft(F.col(key).cast("long"), KIND_BITS).bitwiseOR(F.lit(at).cast("long"))
+    return F.shiftleft(F.col(key).cast("long"), KIND_BITS).bitwiseOR(F.lit(KINDS.index(kind)).cast("long"))
 
 
 def name(coded):
     """The name of a number that code gave; null has none."""
     coded = F.col(coded) if isinstance(coded, str) else coded
-    kinds = F.array(*[F.lit(f"{spec[0]}::") for spec in NODE_SPECS])
+    kinds = F.array(*[F.lit(f"{kind}::") for kind in KINDS])
     return F.concat(F.get(kinds, coded.bitwiseAND(F.lit(2**KIND_BITS - 1)).cast("int")), F.shiftright(coded, KIND_BITS).cast("string"))
 
 
 NODE_SPECS = [("region", "region", "r_regionkey", "r_name"), ("nation", "nation", "n_nationkey", "n_name"), ("customer", "customer", "c_custkey", "c_name"), ("order", "orders", "o_orderkey", "o_orderstatus"), ("part", "part", "p_partkey", "p_name"), ("supplier", "supplier", "s_suppkey", "s_name")]
+KINDS = [spec[0] for spec in NODE_SPECS] + ["document", "label"]
 EDGE_SPECS = [
     ("nation", "region", "n_regionkey", "nation", "n_nationkey", False),
     ("customer", "nation", "c_nationkey", "customer", "c_custkey", False),
@@ -77,23 +77,29 @@ G = f"WITH RECURSIVE nodes AS ({NODES_SQL}), edges AS ({EDGES_SQL})"
 
 
 
-def wide_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    """The graph's nodes and the documents."""
-    docs = _t(spark, sf, "documents").select(_id("document", "doc_id").alias("id"), F.lit("document").alias("type"), F.col("lang").alias("label"), (F.col("doc_id") + 9 * 10**9).alias("ord"))
-    return nodes(spark, sf).union(docs)
+def wide_nodes(spark: SparkSession, sf: str, coded: bool = False) -> DataFrame:
+    """The graph's nodes and the documents; coded as in nodes."""
+    docs = _t(spark, sf, "documents").select((code if coded else _id)("document", "doc_id").alias("id"), F.lit("document").alias("type"), F.col("lang").alias("label"), (F.col("doc_id") + 9 * 10**9).alias("ord"))
+    return nodes(spark, sf, coded).union(docs)
 
 
-def mentions(spark: SparkSession, sf: str) -> DataFrame:
-    """Edges from entities to what they only name (segments, brands, priorities), and from kinds of labels to labelled documents."""
+def mentions(spark: SparkSession, sf: str, coded: bool = False) -> DataFrame:
+    """Edges from entities to what they only name (segments, brands, priorities), and from kinds of labels to labelled documents.
+
+    coded as in nodes; what is only named has no integer key. It gets a
+    negative number, a hash, which no node has and name() does not turn back.
+    """
+    of = code if coded else _id
+    met = (lambda what, key: F.xxhash64(_id(what, key)).bitwiseOR(F.lit(-(2**63)))) if coded else _id
     named = [("customer", "customer", "c_custkey", "segment", "c_mktsegment"), ("part", "part", "p_partkey", "brand", "p_brand"), ("order", "orders", "o_orderkey", "priority", "o_orderpriority")]
-    out = _t(spark, sf, "labels").select(F.concat(F.lit("label::"), F.col("quality").cast("string")).alias("source"), _id("document", "doc_id").alias("target"), F.lit("label-to-document").alias("type"), F.col("doc_id").alias("ord")).distinct()
+    out = _t(spark, sf, "labels").select(of("label", "quality").alias("source"), of("document", "doc_id").alias("target"), F.lit("label-to-document").alias("type"), F.col("doc_id").alias("ord")).distinct()
     for kind, table, key, what, name in named:
-        out = out.union(_t(spark, sf, table).select(_id(kind, key), _id(what, name), F.lit(f"{kind}-to-{what}"), F.col(key).cast("long")))
+        out = out.union(_t(spark, sf, table).select(of(kind, key), met(what, name), F.lit(f"{kind}-to-{what}"), F.col(key).cast("long")))
     return out
 
 
-def wide_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return edges(spark, sf).union(mentions(spark, sf))
+def wide_edges(spark: SparkSession, sf: str, coded: bool = False) -> DataFrame:
+    return edges(spark, sf, coded).union(mentions(spark, sf, coded))
 
 
 WIDE = (

@@ -332,7 +332,7 @@ def usage_list(spark, sf):
     """Every caller with its edges' labels and types."""
     file = F.when(F.col("type") == "order", F.concat(F.lit("f"), (F.col("ord") % 10).cast("string")))
     label = F.when(F.col("ord") % 3 > 0, F.concat(F.lit("k"), (F.col("ord") % 3).cast("string"))).otherwise("")
-    return O.usage_list(wide_nodes(spark, sf).withColumn("file", file), wide_edges(spark, sf).withColumn("label", label))
+    return O.usage_list(wide_nodes(spark, sf, coded=True).withColumn("file", file), wide_edges(spark, sf, coded=True).withColumn("label", label), named=name)
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from cairngraph.operators import closure, diff, rewire
+from cairngraph.operators import closure, diff, graph, rewire
 from cairngraph.plans import g1
 
 SF = "/root/testdata/sf0.001"
@@ -76,3 +76,18 @@ def test_evidence_meets_the_unreached_once_and_takes_numbers(spark):
     assert rows(got) == sorted([(1, "f", ["bound", "inherited", "mentioned"]), (2, "f", ["facade", "configured", "inherited"]), (3, None, ["mentioned"]), (4, "f", ["configured"]), (5, "f", ["inherited", "mentioned"]), (5, "g", ["inherited", "mentioned"]), (6, "f", []), (6, "f", [])], key=str)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join Inner") == plan.count("strategy=shuffle_hash") == 1  # all five in one join, which sorts none of them
+
+
+def test_usages_of_numbers_are_dealt_out_by_target_once(spark):
+    nodes = spark.createDataFrame([(1, "T", "service", "f"), (2, "A", "action", "f"), (3, None, "job", "f"), (4, "C", None, None)], "id long, label string, type string, file string")
+    edges = spark.createDataFrame([(2, 1, "y", "calls", 2), (2, 1, "x", "calls", 1), (2, 1, "x", "uses", 3), (2, 1, None, "calls", None), (3, 1, "", None, 0), (4, 1, "z", "z", 0), (-9, 1, "q", "q", 0), (1, 1, "q", "q", 0), (None, 1, "q", "q", 0), (2, 8, "q", "q", 0), (2, None, "q", "q", 0), (2, 4, "q", "q", 0)], "source long, target long, label string, type string, ord long")
+    got = graph.usage_list(nodes, edges, spark.createDataFrame([(1,), (1,)], "id long"), lambda c: F.concat(F.lit("n"), F.col(c).cast("string")))
+    assert rows(got) == [("n1", "#n-9", 1, "n-9", "n-9", "unknown", "q", "q"), ("n1", "#n4", 1, "n4", "C", "unknown", "z", "z"), ("n1", "f", 2, "n2", "A", "action", "x, y", "calls, uses"), ("n1", "f", 2, "n3", "n3", "job", "", "")]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("strategy=shuffle_hash") == 2  # no sort for the joins
+
+
+def test_numbers_stand_for_the_names_of_the_wide_graph(spark):
+    named = g1.wide_edges(spark, SF, coded=True).select(g1.name("source").alias("source"), F.when(F.col("target") >= 0, g1.name("target")).alias("target"), "type", "ord")
+    only_named = F.col("type").isin("customer-to-segment", "part-to-brand", "order-to-priority")
+    assert rows(named) == rows(g1.wide_edges(spark, SF).withColumn("target", F.when(~only_named, F.col("target"))))
+    assert rows(g1.wide_nodes(spark, SF, coded=True).withColumn("id", g1.name("id"))) == rows(g1.wide_nodes(spark, SF))
