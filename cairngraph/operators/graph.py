@@ -69,17 +69,21 @@ def edge_ids(edges: DataFrame, keys: Sequence[str] = ("source", "target", "type"
     return edges.withColumn("occurrence", at).withColumn("id", F.when(F.col("occurrence") == 0, base).otherwise(F.concat(base, F.lit("_"), F.col("occurrence"))))
 
 
-def usages(nodes: DataFrame, edges: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+def usages(nodes: DataFrame, edges: DataFrame, ids: DataFrame | None = None, named: Callable[[str], Column] = F.col) -> DataFrame:
     """(id, file, callers): distinct direct callers of each node by the caller's file, most first.
 
     Self-loops and empty sources do not count. A caller without a file, or
-    that is no node, is a group of its own, named ``#`` and its id.
+    that is no node, is a group of its own, named ``#`` and its id. Where ids
+    are numbers, ``named`` gives the name of a column of them.
     """
-    calls = edges.where("source <> target and source <> ''").select(F.col("target").alias("id"), "source").distinct()
-    calls = calls.join((nodes if ids is None else ids).select("id").distinct(), "id", "left_semi")
+    some = F.col("source") != F.col("target")
+    some = some & (F.col("source") != "") if dict(edges.dtypes)["source"] == "string" else some
+    calls = edges.where(some).select(F.col("target").alias("id"), "source").distinct()
+    calls = calls.join((nodes if ids is None else ids).select("id").distinct().hint("shuffle_hash"), "id", "left_semi")
     files = nodes.select(F.col("id").alias("source"), F.nullif("file", F.lit("")).alias("file")).dropDuplicates(["source"])
-    met = calls.join(files, "source", "left").select("id", F.coalesce("file", F.concat(F.lit("#"), "source")).alias("file"))
-    return met.groupBy("id", "file").agg(F.count("*").alias("callers")).orderBy("id", F.desc("callers"), F.col("file").startswith("#"), "file")
+    met = calls.join(files.hint("shuffle_hash"), "source", "left").select("id", F.coalesce("file", F.concat(F.lit("#"), named("source"))).alias("file"))
+    counted = met.groupBy("id", "file").agg(F.count("*").alias("callers")).withColumn("id", named("id"))
+    return counted.orderBy("id", F.desc("callers"), F.col("file").startswith("#"), "file")
 
 
 def usage_list(nodes: DataFrame, edges: DataFrame, ids: DataFrame | None = None, named: Callable[[str], Column] = F.col) -> DataFrame:

@@ -317,7 +317,7 @@ SELECT target AS id, coalesce(file, '#' || source) AS file, count(DISTINCT sourc
 def usages_all(spark, sf):
     """Orders lie in files; the callers of documents are no nodes."""
     file = F.when(F.col("type") == "order", F.concat(F.lit("f"), (F.col("ord") % 10).cast("string")))
-    return O.usages(wide_nodes(spark, sf).withColumn("file", file), wide_edges(spark, sf))
+    return O.usages(wide_nodes(spark, sf, coded=True).withColumn("file", file), wide_edges(spark, sf, coded=True), named=name)
 
 
 @query(

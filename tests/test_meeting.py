@@ -84,6 +84,8 @@ def test_usages_of_numbers_are_dealt_out_by_target_once(spark):
     got = graph.usage_list(nodes, edges, spark.createDataFrame([(1,), (1,)], "id long"), lambda c: F.concat(F.lit("n"), F.col(c).cast("string")))
     assert rows(got) == [("n1", "#n-9", 1, "n-9", "n-9", "unknown", "q", "q"), ("n1", "#n4", 1, "n4", "C", "unknown", "z", "z"), ("n1", "f", 2, "n2", "A", "action", "x, y", "calls, uses"), ("n1", "f", 2, "n3", "n3", "job", "", "")]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("strategy=shuffle_hash") == 2  # no sort for the joins
+    counted = graph.usages(nodes, edges, spark.createDataFrame([(1,), (1,)], "id long"), lambda c: F.concat(F.lit("n"), F.col(c).cast("string")))
+    assert [tuple(r) for r in counted.collect()] == [("n1", "f", 2), ("n1", "#n-9", 1), ("n1", "#n4", 1)]
 
 
 def test_numbers_stand_for_the_names_of_the_wide_graph(spark):
