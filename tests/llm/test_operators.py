@@ -279,6 +279,20 @@ def test_sentencepiece(spark, docs, empty):
     assert sentencepiece_codec.encode_decode(empty, MODEL).count() == 0
 
 
+def test_texts_without_tokens_have_a_row(spark, docs, tmp_path):
+    from cairngraph.llm.queries import op10_sentencepiece
+
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256, r.n_bytes) for r in op10_sentencepiece(spark, str(tmp_path)).collect()]
+    model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    want = []
+    for doc_id, text, *_ in corpus():
+        ids = model.encode(text or "")
+        want.append((doc_id, len(ids), sha(",".join(map(str, ids))), sha(model.decode(ids)), len((text or "").encode())))
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert sum(n == 0 for _, n, *_ in got) == 2
+
+
 def test_character_map_takes_the_longest_prefix():
     # one trie of "a" -> "x" and "ab" -> "yz", as units of (offset << 10 | leaf << 8 | label)
     units = [1 << 10 | 0] + [0] * 511
