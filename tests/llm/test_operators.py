@@ -788,3 +788,15 @@ def test_top_k_reads_every_element(spark):
         assert [got[q, n + 1] for n in range(5)] == want
     with pytest.raises(Exception, match="more than 64 elements"):
         topk.top_k(df, df, k=1, bits=64).collect()
+
+
+@pytest.mark.parametrize("rows", [500, 51_000, 140_000, 600_000, 4_000_000])
+def test_top_k_looks_for_few_values_in_any_table(rows):
+    """By the distance of the tenth neighbour in so many even codes of 64 bits: values looked for and rows met, of a query."""
+    within = [sum(math.comb(64, x) for x in range(d + 1)) * rows / 2**64 for d in range(65)]
+    far = next(d for d in range(65) if within[d] >= 10)
+    parts = topk.cut_points(64, rows)
+    assert sorted(b for low, high in parts for b in range(low, high)) == list(range(64))
+    looked = [(math.comb(high - low, r), high - low) for n, (low, high) in enumerate(parts) for r in range((far - n) // len(parts) + 1)]
+    assert sum(n for n, _ in looked) < 20_000
+    assert sum(n * rows / 2**w for n, w in looked) < max(4_000, rows / 2)
