@@ -125,22 +125,31 @@ def match_guards(guards: DataFrame, rules: DataFrame, sep: str = "\\") -> DataFr
     return held.join(wanted, ["kind", "key"]).select("name", "rule_id").distinct()
 
 
+#: Texts that a task tests.
+TEXTS = 1000
+
+
 def scan_table(sources: DataFrame, rules: DataFrame) -> DataFrame:
     """(file, line, rule, severity, snippet): matches of rules(rule, anchor, regex, severity) in the whole text of sources(file, text).
 
     ``anchor`` is a word of A-Z, a-z, 0-9 and _ that each match holds as a whole
     word, in any case, or in its own where rules has a column ``cased`` that is
     true; a text is tested against the rules whose anchors it holds. Words meet
-    the anchors under a hash of their text, so a text is copied once for each
-    rule that it may match and never for its words; two texts of one hash would
-    only be tested against more rules.
+    the anchors under a hash of their text; two texts of one hash would only be
+    tested against more rules. Rules of one anchor and regex are tested once. A
+    text moves once, with the list of what it is tested for, to one of as many
+    tasks as the number of texts asks for: by their size Spark would put them
+    in few, though testing them is the work.
     """
-    held = sources.where("text is not null").withColumn("_at", F.xxhash64("file", "text"))
+    held = sources.where("text is not null").select("file", "text", F.xxhash64("file", "text").alias("_at"))
     cased = F.coalesce("cased", F.lit(False)) if "cased" in rules.columns else F.lit(False)
-    wanted = rules.select(F.when(cased, F.col("anchor")).otherwise(_low(F.col("anchor"))).alias("_anchor"), cased.alias("_cased"), "rule", "regex", "severity")
-    anchors = wanted.select("_anchor", "_cased", _low(F.col("_anchor")).alias("_key")).distinct()
-    words = held.select("_at", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Za-z0-9_]+)"), F.lit(1)))).alias("_word"))
-    met = words.withColumn("_key", _low(F.col("_word"))).join(anchors, "_key").where(~F.col("_cased") | (F.col("_word") == F.col("_anchor")))
-    pairs = met.select("_at", "_anchor", "_cased").distinct().join(wanted, ["_anchor", "_cased"]).drop("_anchor", "_cased")
-    found = held.join(pairs, "_at").where(F.rlike("text", F.col("regex")))
-    return located(found.select("file", "text", "rule", "regex", "severity"))
+    anchor = F.when(cased, F.col("anchor")).otherwise(_low(F.col("anchor")))
+    wanted = rules.where("anchor is not null and regex is not null").select(F.struct(anchor.alias("anchor"), cased.alias("cased"), "regex").alias("_test"), "rule", "severity")
+    tests = wanted.select("_test", _low(F.col("_test.anchor")).alias("_key")).distinct()
+    words = held.select("_at", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\w+)"), F.lit(1)))).alias("_word"))
+    met = words.withColumn("_key", _low(F.col("_word"))).join(tests, "_key").where(~F.col("_test.cased") | (F.col("_word") == F.col("_test.anchor")))
+    tasks = max(1, sources.count() // TEXTS)
+    lists = met.select("_at", "_test").distinct().repartition(tasks, "_at").groupBy("_at").agg(F.collect_list("_test").alias("_tests"))
+    each = held.repartition(tasks, "_at").join(lists, "_at").select("file", "text", F.posexplode("_tests").alias("_n", "rule"))
+    found = located(each.select("file", "text", "rule", F.col("rule.regex").alias("regex"), F.lit(None).alias("severity")))
+    return found.withColumnRenamed("rule", "_test").drop("severity").join(wanted, "_test").select("file", "line", "rule", "severity", "snippet")

@@ -28,22 +28,32 @@ def spanning_scan(sources: DataFrame, rules: Sequence[tuple[str, str, str]]) ->
     """(file, line, rule, severity, snippet): one row per match of rules(id, regex, severity) in the whole text of sources(file, text).
 
     A match may span lines and counts for the line in which it starts; no rule
-    may match an empty text. A text is cut at the matches of a rule, and the
-    newlines of what lies before each are summed over the rows of its matches.
+    may match an empty text. See ``located``.
     """
     matching = [F.when(F.col("text").rlike(p), F.struct(F.lit(i).alias("rule"), F.lit(p).alias("regex"), F.lit(s).alias("severity"))) for i, p, s in rules]
     return located(sources.select("file", "text", F.explode(F.array_compact(F.array(*matching))).alias("_r")).select("file", "text", "_r.*"))
 
 
+#: Stands around matches, with a hash of the text behind it in texts that hold it themselves.
+MARK = "\u0001"
+
+
 def located(found: DataFrame) -> DataFrame:
-    """(file, line, rule, severity, snippet): the matches in found(file, text, rule, regex, severity), with the lines in which they start."""
-    newlines = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
-    cut = found.select("file", "rule", "severity", F.monotonically_increasing_id().alias("_text"), F.regexp_extract_all("text", "regex", F.lit(0)).alias("_hits"), F.split("text", F.col("regex"), -1).alias("_gaps"))
-    rows = cut.select("file", "rule", "severity", "_text", F.posexplode(F.arrays_zip("_hits", F.slice("_gaps", 1, F.size("_hits")).alias("_gaps"))).alias("_at", "_m"))
-    rows = rows.select("file", "rule", "severity", "_text", "_at", F.col("_m")["_hits"].alias("hit"), newlines(F.col("_m")["_gaps"]).alias("_before"), newlines(F.col("_m")["_hits"]).alias("_own"))
-    upto = W.partitionBy("_text").orderBy("_at").rowsBetween(W.unboundedPreceding, 0)
-    line = (F.sum(F.col("_before") + F.col("_own")).over(upto) - F.col("_own") + 1).cast("int")
-    return rows.select("file", line.alias("line"), "rule", "severity", truncate(F.col("hit"), 60, 57, "...").alias("snippet"))
+    """(file, line, rule, severity, snippet): the matches in found(file, text, rule, regex, severity), with the lines in which they start.
+
+    Each regex goes through its text once and marks its matches there; the text
+    is cut at the marks, so that every second piece is a match, and the newlines
+    of the pieces before it are summed over rows.
+    """
+    mark = F.when(F.col("text").contains(MARK), F.concat(F.lit(MARK), F.sha2("text", 256))).otherwise(F.lit(MARK))
+    pieces = F.split(F.regexp_replace("text", F.col("regex"), F.concat(mark, F.lit("$0"), mark)), mark, -1)
+    rows = found.select("file", "text", "regex", "rule", "severity", F.monotonically_increasing_id().alias("_text"))
+    rows = rows.select("file", "rule", "severity", "_text", F.posexplode(pieces).alias("_at", "_piece"))
+    newlines = F.length("_piece") - F.length(F.replace("_piece", F.lit("\n"), F.lit("")))
+    own = F.col("_at") % 2 == 1
+    rows = rows.select("file", "rule", "severity", "_text", "_at", newlines.alias("_lines"), F.when(own, truncate(F.col("_piece"), 60, 57, "...")).alias("snippet"))
+    before = W.partitionBy("_text").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    return rows.withColumn("line", (F.sum("_lines").over(before) + 1).cast("int")).where(own).select("file", "line", "rule", "severity", "snippet")
 
 
 # Words that tell of raw user content.

@@ -232,7 +232,7 @@ SELECT file, rule, CAST(1 + sum(before + own) OVER (PARTITION BY file, rule ORDE
 def text_rules(spark, sf):
     """A rule for each benchmark item, its first word and the one behind it, in all documents."""
     word = F.regexp_extract("text", "[A-Za-z]{3,}", 0)
-    regex = F.concat(F.lit("(?:^|[^A-Za-z0-9_])"), word, F.lit(r"[.,]?\s+[A-Za-z]+"))
+    regex = F.concat(F.lit(r"(?:^|\W)"), word, F.lit(r"[.,]?\s+[A-Za-z]+"))
     items = _t(spark, sf, "benchmark").where(word != "")
     made = items.select(F.concat(F.lit("r"), F.col("item_id").cast("string")).alias("rule"), word.alias("anchor"), regex.alias("regex"), F.lit("low").alias("severity"), F.lit(True).alias("cased"))
     found = K.scan_table(_t(spark, sf, "documents").select(F.col("doc_id").alias("file"), "text"), made)

@@ -99,3 +99,18 @@ def test_rules_of_one_pattern_share_its_matches(spark):
     assert got.where("value like 'a%' and rule_id >= 0").groupBy("value").count().where(F.col("count") == n).count() == 2
     assert got.where("rule_id is null").first().value == "b/y"
     assert rules._glob_hits(values, rules._patterns(made).select("_p").distinct()).count() == 2 + 2 + 1 + 1  # pairs of patterns, however many rules
+
+
+def test_rules_of_one_test_go_through_a_text_once(spark, monkeypatch):
+    tested = []
+    monkeypatch.setattr(rules, "located", lambda found: tested.append(found) or text.located(found))
+    source = "key a\x01b\nkey \x01key c\n\x01\nno\nkey d"
+    docs = spark.createDataFrame([(1, source), (2, "key z"), (3, "none")], "file long, text string")
+    made = [(f"r{n}", "key" if n % 2 else "KEY", r"(?:^|\W)key [a-z]", f"s{n}") for n in range(50)]
+    got = rules.scan_table(docs, spark.createDataFrame(made, "rule string, anchor string, regex string, severity string"))
+    each = [(1, 1, "key a"), (1, 2, "\x01key c"), (1, 5, "\nkey d"), (2, 1, "key z")]
+    want = [(f, line - 1 if s[0] == "\n" else line, f"r{n}", f"s{n}", s) for f, line, s in each for n in range(50)]
+    assert sorted((r.file, r.line, r.rule, r.severity, r.snippet) for r in got.collect()) == sorted(want)
+    assert tested[0].count() == 2
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 1 and "RLIKE" not in plan and plan.count("regexp_extract_all(") == 1  # the words
