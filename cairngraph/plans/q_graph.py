@@ -13,7 +13,7 @@ from ..operators import closure as C
 from ..operators import graph as O
 from ..lineage import stored
 from .base import registrar
-from .g1 import URGENT, WIDE, G, edges, name, nodes, urgent, wide_edges, wide_nodes
+from .g1 import URGENT, WIDE, G, code, edges, name, nodes, urgent, wide_edges, wide_nodes
 
 QUERIES, ORACLES, query = registrar()
 SKIP = ["supplier-to-part"]
@@ -65,7 +65,7 @@ SELECT family, count(DISTINCT tab_id) AS tabs, count(*) AS members FROM whole GR
 def tab_families(spark, sf):
     """Regions as routes, customers as commands, parts as channels with suppliers as broadcasters, customers' nations as schedules, suppliers as pages."""
     t = lambda name: spark.read.parquet(f"{sf}/{name}.parquet")
-    row = lambda df, label, kind, key, ord: df.select(label.alias("label"), F.concat(F.lit(f"{kind}::"), F.col(key).cast("string")).alias("id"), F.col(ord).cast("long").alias("ord"))
+    row = lambda df, label, kind, key, ord: df.select(label.alias("label"), code(kind, key).alias("id"), F.col(ord).cast("long").alias("ord"))
     part = F.concat(F.lit("part "), F.col("p_partkey").cast("string"))
     page = F.concat(F.lit("GET /page/"), F.col("s_suppkey").cast("string"))
     seeds = C.tab_seeds(
@@ -76,12 +76,10 @@ def tab_families(spark, sf):
         macros=row(t("nation").where("n_name like '%1'"), F.col("n_name"), "nation", "n_nationkey", "n_nationkey"),
         pages=row(t("supplier"), page, "supplier", "s_suppkey", "s_suppkey").union(row(t("supplier"), page, "nation", "s_nationkey", "s_suppkey")),
     )
-    e = edges(spark, sf)
-    tabs, members = C.tab_classes(e, seeds, SKIP)
+    e = edges(spark, sf, coded=True)
     channels = seeds.where("family = 'channel'").select("tab_id", "id")
-    own = channels.select("tab_id").distinct()
-    heard = C.with_broadcasters(tabs.join(own, "tab_id", "left_semi").join(members, "class"), channels, nodes(spark, sf), e, "supplier-to-part")
-    sizes = tabs.join(own, "tab_id", "left_anti").join(members.groupBy("class").agg(F.count("*").alias("n")), "class").select("tab_id", "n")
+    sizes, members = C.tab_sizes(e, seeds, channels.select("tab_id").distinct(), SKIP)
+    heard = C.with_broadcasters(members, channels, nodes(spark, sf, coded=True), e, "supplier-to-part")
     sizes = sizes.union(heard.groupBy("tab_id").agg(F.count("*").alias("n")))
     return sizes.join(seeds.select("tab_id", "family").distinct(), "tab_id").groupBy("family").agg(F.count("*").alias("tabs"), F.sum("n").alias("members"))
 

@@ -118,6 +118,20 @@ def test_tabs_that_share_seeds_are_walked_once(spark):
     assert rows(tabs.join(members, "class"), "tab_id", "id") == rows(closure.tab_closure(e, seeds, ["bind"]), "tab_id", "id")
     assert tabs.where("tab_id rlike '^t[0-9]'").select("class").distinct().count() == 1
     assert members.count() == 91 + 2 + 4 + 1 + 12
+    listed = spark.createDataFrame([("t3",), ("two",), ("many",)], "tab_id string")
+    sizes, own = closure.tab_sizes(e, seeds, listed, ["bind"])
+    want = closure.tab_closure(e, seeds, ["bind"]).select("tab_id", "id")
+    assert rows(own, "tab_id", "id") == rows(want.join(listed, "tab_id", "left_semi"), "tab_id", "id")
+    assert rows(sizes, "tab_id", "n") == rows(want.join(listed, "tab_id", "left_anti").groupBy("tab_id").agg(F.count("*").alias("n")), "tab_id", "n")
+
+
+def test_families_of_tabs_are_walked_as_numbers(spark):
+    from cairngraph.plans import q_graph
+
+    got = q_graph.tab_families(spark, "/root/testdata/sf0.001")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "::" not in plan
+    assert {r.family for r in got.collect()} == {"route", "command", "channel", "macro", "schedule", "page"}
 
 
 def test_repeated_edges_are_merged_as_numbers(spark):
